@@ -99,11 +99,16 @@ class _Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _series(factor: int, size: int) -> np.ndarray:
+        out = np.full(size, factor, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), CHUNK_BYTES + 4096)
-            self.up = np.cumprod(np.concatenate(([1], np.full(size - 1, self.base, np.uint64))).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate(([1], np.full(size - 1, self.inverse, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            self.up, self.down = (self._series(x, size) for x in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
 

@@ -1,0 +1,30 @@
+"""Connected components of a table of links, by repeated contraction."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chalkline.sources.scratch import scratch_table
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
+
+    A round sends every node to its smallest neighbour (a minimum with partial aggregates, so a hub costs one row a
+    task) and rewrites the links between the targets. A node that isn't a minimum disappears, so the number of
+    rounds is logarithmic; every round is a written table. Links with a null end, loops and repeats are ignored.
+    """
+    edges = scratch_table(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds = []
+    while not edges.isEmpty():
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = scratch_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "targets")
+        rounds.append(to)
+        ends = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        edges = scratch_table(ends.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds[0].select("node", F.col("to").alias("component"))
+    for to in rounds[1:]:
+        step = to.select(F.col("node").alias("component"), "to")
+        labels = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch_table(labels, "labels")

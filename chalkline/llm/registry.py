@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
-from chalkline.llm import mixing, quality_rules, sstable
+from chalkline.llm import decontamination, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, toxicity
 from chalkline.sources.tables import table
 
 
@@ -27,6 +27,42 @@ def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_tables(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_char_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, ["doc_id"], model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, listed(F.col("spans")).alias("spans"))
+
+
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), ["doc_id", "source"])
@@ -36,7 +72,12 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixture": op2_source_mixture,
+    "op4_char_nbsvm": op4_char_nbsvm,
     "op5_token_tables": op5_token_tables,
+    "op6_winnowing": op6_winnowing,
+    "op7_markov_secrets": op7_markov_secrets,
+    "op8_bottom_k": op8_bottom_k,
+    "op9_deep_shallow": op9_deep_shallow,
     "op10_host_rules": op10_host_rules,
 }
 
