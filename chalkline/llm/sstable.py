@@ -20,6 +20,7 @@ import bisect
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -47,49 +48,75 @@ _INDEX = struct.Struct("<9sQQQQ")
 # --- encoding ------------------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 stays, others move up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer, words at a time, with a bounded cache.
 
-    A single space between two characters that aren't white space always begins a new piece of this tokenizer's
-    pre-tokenization, so the ids of a text are those of its space-separated words (each with its space) in a row.
-    Texts with other white space next to a space, or with a special token's string, are encoded as one.
+    A single space or line feed between two characters that aren't white space always begins a new piece of this
+    tokenizer's pre-tokenization (a line feed is a piece, a space belongs to the next one), so the ids of a text are
+    those of its words in a row. A word of Latin letters is one piece and goes to the tokenizer's BPE model at once; a
+    mark after such a word is a piece of its own. Texts with other white space, or with a special token's string, are
+    given to the tokenizer as one.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = cache_entries
-        encode, limit = self.tokenizer.encode, cache_entries
+        tokenize, encode, letters = self.tokenizer.model.tokenize, self.whole, _byte_letters()
+        marks = {m: encode(m) for m in ".,;:!?"}
 
         class Words(dict):
+            """Ids of words after ``lead``; None for what isn't a word."""
+
+            def __init__(self, lead: str, limit: int):
+                super().__init__()
+                self.lead, self.letter, self.limit = lead, "".join(letters[ord(c)] for c in lead), limit
+
             def __missing__(self, word: str) -> bytes | None:
-                plain = word and not word[0].isspace() and not word[-1].isspace()
-                ids = np.array(encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes() if plain else None
-                if len(self) >= limit:
-                    self.clear()
-                self[word] = ids
+                keep = True
+                if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                    piece = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                    ids = array("I", [t.id for t in tokenize(self.letter + piece)]).tobytes()
+                elif (mark := word[-1:]) in marks and (core := word[:-1]).isalpha() and (core.isascii() or max(core) < "\u0250"):
+                    keep = core in self  # a rare word with a mark is rarer still
+                    ids = self[core] + marks[mark]
+                elif word and not word[0].isspace() and not mark.isspace():
+                    ids = encode(self.lead + word)
+                else:
+                    ids = None
+                if keep:
+                    if len(self) >= self.limit:
+                        self.clear()
+                    self[word] = ids
                 return ids
 
-        self.words = Words()
+        self.first, self.words = Words("", cache_entries // 4), Words(" ", cache_entries)
+        self.line_feed = encode("\n")
 
     def whole(self, text: str) -> bytes:
+        """The ids of a text that is given to the tokenizer as one."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, without the end id."""
         if any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.whole(text)
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        parts = list(map(self.words.__getitem__, rest))
-        if None in parts:
-            return self.whole(text)
-        return self.whole(first) + b"".join(parts)
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            parts = [self.first[first], *map(self.words.__getitem__, rest)]
+            if None in parts:
+                return self.whole(text)
+            lines.append(b"".join(parts))
+        return self.line_feed.join(lines)
 
 
 @lru_cache(maxsize=2)
@@ -277,14 +304,14 @@ def write_tables(docs: DataFrame, path: str, tokenizer_path: str, shards: int) -
     return scratch_table(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "manifest")
 
 
-def read_tables(manifest: DataFrame) -> DataFrame:
+def read_tables(manifest: DataFrame, shards: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the shard files, block by block.
 
     ``start`` counts the ids of all documents before it: those of earlier shards (a running sum over the manifest, a
     row for each shard) and those before it in its own.
     """
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = manifest.select("file", before.alias("before"), "shard").repartition(F.col("shard"))
+    starts = manifest.select("file", before.alias("before"), "shard").repartitionById(max(1, shards), F.col("shard"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,4 +347,4 @@ def token_tables(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     path = path or scratch_path(spark, "tokens")
     path = re.sub(r"^/", "file:///", path)
     path = re.sub(r"^file:/(?!/)", "file:///", path)
-    return read_tables(write_tables(docs, path, tokenizer_path, shards))
+    return read_tables(write_tables(docs, path, tokenizer_path, shards), shards)
