@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm import columnar as C
+from chalkline.llm.frames import pick, with_text
 from chalkline.sources.scratch import scratch_table
 
 WINDOW, GRAM = 10, 5
@@ -148,20 +149,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
 
 def _by_broadcast(docs: DataFrame, items: list[tuple], keep: list[str], text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    read = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*read.drop("__text").schema, *T._parse_datatype_string(_FOUND)])
+    read, name = with_text(docs, keep, text)
+    schema = T.StructType([*pick(read, *keep).schema, *T._parse_datatype_string(_FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
         for batch in batches:
             n_words, n_hit, items = [], [], []
-            for chunk in C.text_chunks(batch.column("__text")):
+            for chunk in C.text_chunks(batch.column(name)):
                 w = words_of(chunk)
                 hit, found = index.match(w)
                 n_words += np.bincount(w.of, minlength=len(chunk)).tolist()
                 n_hit += hit.tolist()
                 items += [sorted(x for x in f if x is not None) for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*keep, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*keep, "n_words", "n_hit", "items"])
 
     return read.mapInArrow(run, schema)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm import columnar as C
+from chalkline.llm.frames import pick, with_text
 from chalkline.sources.scratch import scratch_table
 
 #: Characters that count as symbols.
@@ -79,15 +80,15 @@ def measure(chunk: C.Chunk) -> np.ndarray:
 
 def rule_counts(docs: DataFrame, keep: list[str], text: str = "text", out: str = "rules") -> DataFrame:
     """The columns ``keep`` of every row with a struct ``out`` of COUNTS."""
-    read = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*read.drop("__text").schema, T.StructField(out, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    read, name = with_text(docs, keep, text)
+    schema = T.StructType([*pick(read, *keep).schema, T.StructField(out, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(c) for c in C.text_chunks(batch.column("__text"))]
+            parts = [measure(c) for c in C.text_chunks(batch.column(name))]
             counts = np.concatenate(parts, axis=1) if parts else np.zeros((len(COUNTS), 0), np.int64)
             struct = pa.StructArray.from_arrays([pa.array(x) for x in counts], names=list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], struct], names=[*keep, out])
 
     return read.mapInArrow(run, schema)
 
@@ -134,14 +135,13 @@ def host_verdicts(measured: DataFrame, host: str, rules: str, limits: HostRules)
 def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limits: HostRules = HostRules(), out: str = "rules") -> DataFrame:
     """``keep`` of every document, the struct ``out`` of its counts, ``base_failed`` and ``kept``.
 
-    The host must be one of ``keep``. The measured rows are written once; the join with the hosts' verdicts is on
-    the host, small on one side, so Spark broadcasts that side while it is small and splits hot hosts otherwise.
+    The measured rows are written once, without texts; the join with the hosts' verdicts is on the host, small on one
+    side, so Spark broadcasts that side while it is small and splits hot hosts otherwise. Where the text is one of
+    ``keep``, it is measured again for the result instead of being written with the rows.
     """
-    measured = scratch_table(rule_counts(docs, keep, text, out), "rules")
+    light = [k for k in dict.fromkeys([*keep, host]) if k != text]
+    measured = scratch_table(rule_counts(docs, light, text, out), "rules")
     verdicts = host_verdicts(measured, host, out, limits).select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
-    return (
-        measured.join(verdicts, measured[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left")
-        .withColumn("base_failed", base_failed(out, limits))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce("__ok", F.lit(True)))
-        .drop("__host", "__ok")
-    )
+    rows = measured if text not in keep else rule_counts(docs, list(dict.fromkeys([*keep, host])), text, out)
+    joined = rows.join(verdicts, rows[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left").withColumn("base_failed", base_failed(out, limits))
+    return joined.select(*(F.col(f"`{k}`") for k in keep), out, "base_failed", (~F.col("base_failed") & F.coalesce("__ok", F.lit(True))).alias("kept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
-from chalkline.llm import decontamination, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, toxicity
+from chalkline.llm import cotraining, decontamination, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, token_counts, toxicity
 from chalkline.sources.tables import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path())
+
+
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +32,15 @@ def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_tables(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    model = cotraining.train(documents, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    score = F.col("score")
+    return cotraining.score(documents, model).select("doc_id", held_out, "text_score", "meta_score", "score", (score >= 0.5).cast("int").alias("predicted"), (score >= 0.5).alias("kept"))
+
+
 def op4_char_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     documents = table(spark, sf_dir, "documents")
@@ -71,7 +85,9 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_word_pieces": op1_word_pieces,
     "op2_source_mixture": op2_source_mixture,
+    "op3_cotraining": op3_cotraining,
     "op4_char_nbsvm": op4_char_nbsvm,
     "op5_token_tables": op5_token_tables,
     "op6_winnowing": op6_winnowing,
