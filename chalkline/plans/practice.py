@@ -96,7 +96,7 @@ tries AS (SELECT l_orderkey AS set_id, l_partkey AS exercise_id, l_linenumber AS
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'R' END AS correct, epoch(l_shipdate)::BIGINT AS created_at FROM lineitem WHERE l_orderkey % 4 <> 0 AND l_linenumber % 5 <> 4)"""
 _S = f"""{_A}, per AS (SELECT set_id, exercise_id, bool_or(coalesce(correct, false)) AS ok, bool_or(action = 'give_up' OR coalesce(NOT correct AND attempt_number >= 3, false)) AS closed, max(created_at) AS latest FROM tries GROUP BY ALL),
 j AS (SELECT ex.*, per.set_id IS NOT NULL AS tried, coalesce(ok, false) AS ok, coalesce(ok, false) OR coalesce(closed, false) AS done, latest FROM ex LEFT JOIN per USING (set_id, exercise_id)),
-s AS (SELECT set_id, count(*) AS total, count_if(tried)::BIGINT AS attempted, count_if(done)::BIGINT AS completed, count_if(ok)::BIGINT AS correct, (min({'o': ordinal, 'e': exercise_id}) FILTER (NOT done)).e AS next_exercise, max(latest) AS latest FROM j GROUP BY set_id),
+s AS (SELECT set_id, count(*) AS total, count_if(tried)::BIGINT AS attempted, count_if(done)::BIGINT AS completed, count_if(ok)::BIGINT AS correct, (min({{'o': ordinal, 'e': exercise_id}}) FILTER (NOT done)).e AS next_exercise, max(latest) AS latest FROM j GROUP BY set_id),
 st AS (SELECT *, CASE WHEN completed > 0 THEN round(correct / completed, 3) END AS mastery, CASE WHEN completed = total THEN 'COMPLETED' WHEN latest IS NOT NULL THEN 'IN_PROGRESS' ELSE 'NOT_STARTED' END AS status FROM s)"""
 _W = "w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:12]) AS words FROM documents)"
 
