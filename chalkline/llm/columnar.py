@@ -1,5 +1,6 @@
 """Whole texts of an Arrow batch as flat byte arrays, for vectorised passes inside ``mapInArrow`` tasks."""
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,14 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, since a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_table(chars: bytes, invert: bool = False) -> np.ndarray:
     """A boolean for each byte value: is it one of ``chars``?"""
     table = np.zeros(256, bool)

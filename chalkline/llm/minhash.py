@@ -10,10 +10,12 @@ A document's set holds its distinct five-word shingles; its sketch the K smalles
    such a pair also shares one of the ``kept - needed + 1`` rarest values of either sketch (prefix filter, order by
    frequency over all classes), and only these enter the lists. Passages that many documents share are thus left
    out unless they make up most of a document.
-3. Overlaps of a list are compared with its centre (the class with the fewest unshared values), not with each other;
-   the links that verify are contracted to components. Lists that still hold several components then give the pairs
-   across components; nothing is capped, so no link between components is lost.
-4. The sketch of the union estimates the similarity of a pair and filters; the rest is verified on the whole sets.
+3. The classes of all lists with the same centre (the class with the fewest unshared values) are a group. They come
+   together in blocks of bounded size, each with the centre. A class is compared with the centre first: the sketch
+   of their union estimates the similarity and filters, and whole sets verify. Blocks that are left with several
+   components are counted out exactly on whole sets.
+4. Links are contracted to components. Groups of several blocks that still hold several components are counted out
+   block by block. No pair is moved and nothing is capped, so no link between components is lost.
 """
 
 import hashlib
@@ -35,6 +37,10 @@ K = 64
 SHARED = 28
 #: Similarity in hundredths.
 LEAST = 75
+#: Bits of the map of wanted ids (4 MB).
+BITMAP_BITS = 25
+#: Classes and hashes of a block, about.
+BLOCK_CLASSES, BLOCK_VALUES = 1024, 1 << 20
 
 
 def _needed(n: int) -> int:
@@ -83,122 +89,177 @@ def sketches(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n int, fp binary, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(v, fp, rep, n, alone): the values by which classes are looked up; ``alone`` counts a class's unshared ones."""
-    values = classes.select("fp", "rep", "n", F.explode("sketch").alias("v"))
+def class_table(made: DataFrame) -> DataFrame:
+    """(fp, rep, key): the classes of equal sets, the smallest id of each, and a number for each.
+
+    The number is the id, or a negative hash of the fingerprint where an id repeats with other texts and so stands for
+    several classes.
+    """
+    classes = made.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    several = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 AND rep IS NOT NULL").select("rep", F.lit(True).alias("several"))
+    other = F.shiftrightunsigned(F.xxhash64("fp"), 2) * -1 - 1
+    return classes.join(several, "rep", "left").select("fp", "rep", F.when(F.col("several"), other).otherwise(F.col("rep")).alias("key"))
+
+
+def inverted_lists(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, key, n, alone): the values by which classes are looked up; ``alone`` counts a class's unshared ones."""
+    named = made.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp", "doc_id"])
+    values = named.select("key", "n", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = values.join(counts, "v")
     kept = F.least("n", F.lit(K))
     needed = F.when(F.col("n") <= K * LEAST // 100, F.ceil(F.col("n") * LEAST / 100)).otherwise(F.least(F.ceil(F.col("n") * LEAST / 100), F.lit(SHARED)))
-    each = shared.groupBy("fp", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    each = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     each = each.withColumn("alone", kept - F.size("vs")).withColumn("take", (kept - needed + 1 - F.col("alone")).cast("int"))
-    return each.filter("take > 0").select("fp", "rep", "n", "alone", F.explode(F.slice("vs", 1, F.col("take"))).alias("x")).select(F.col("x.v").alias("v"), "fp", "rep", "n", "alone")
+    return each.filter("take > 0").select("key", "n", "alone", F.explode(F.slice("vs", 1, F.col("take"))).alias("x")).select(F.col("x.v").alias("v"), "key", "n", "alone")
 
 
-def _alike_in_size(a: str, b: str) -> F.Column:
-    return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
-
-
-def centre_pairs(lists: DataFrame) -> DataFrame:
-    """Each class of a list with the list's centre."""
-    centres = lists.groupBy("v").agg(F.min(F.struct("alone", F.negative("n").alias("m"), "fp", "rep")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    centres = centres.select("v", F.col("c.fp").alias("fp_b"), F.col("c.rep").alias("rep_b"), F.negative("c.m").alias("n_b"))
-    pairs = lists.join(centres, "v").filter("fp <> fp_b").filter(_alike_in_size("n", "n_b"))
-    return pairs.select(F.col("fp").alias("fp_a"), F.col("rep").alias("rep_a"), "fp_b", "rep_b").distinct()
+def memberships(lists: DataFrame) -> DataFrame:
+    """(centre, key, n, block, blocks): the classes of all lists that have the centre, once each, in blocks.
 
+    The centre of a list is the class with the fewest unshared values. Blocks hold about BLOCK_CLASSES classes and
+    BLOCK_VALUES hashes at most; the centre stands in every block of its group.
+    """
+    centres = lists.groupBy("v").agg(F.min(F.struct("alone", F.negative("n").alias("m"), "key")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    members = lists.join(centres.select("v", F.col("c.key").alias("centre")), "v").select("centre", "key", "n").distinct()
+    sizes = members.groupBy("centre").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_VALUES)).cast("int")
+    dealt = members.join(sizes.select("centre", blocks.alias("blocks")), "centre")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.when(F.col("key") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return dealt.withColumn("block", F.explode(every))
 
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes of a list that are in different components yet."""
-    known = lists.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = scratch_table(known, "lists")
-    mixed = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-    rows = known.join(mixed, "v")
-    a = rows.select("v", *(F.col(c).alias(f"{c}_a") for c in ("fp", "rep", "n", "component")))
-    b = rows.select("v", *(F.col(c).alias(f"{c}_b") for c in ("fp", "rep", "n", "component")))
-    pairs = a.join(b, "v").filter("component_a <> component_b AND fp_a < fp_b").filter(_alike_in_size("n_a", "n_b"))
-    return pairs.select("fp_a", "rep_a", "fp_b", "rep_b").distinct()
 
+def named_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep, ...) with the texts of the documents that have these ids.
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate((a, b))
-    both.sort()
-    return int(np.count_nonzero(both[1:] == both[:-1]))
+    A bitmap of the wanted ids' hashes (bounded: 2**BITMAP_BITS bits) drops most other texts where they are read, so
+    that they don't cross the join's shuffle. It lets some pass; the join is exact.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    spots = wanted.select(place("rep").alias("h"))
+    bitmap = spots.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    texts = pick(docs, "doc_id", "text").withColumn("rep", F.col("doc_id").cast("long")).withColumn("h", place("rep"))
+    texts = texts.withColumn("bucket", F.bitmap_bucket_number("h")).withColumn("bit", F.bitmap_bit_position("h"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = texts.join(F.broadcast(bitmap), "bucket").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return wanted.join(near.select("rep", "text"), "rep")
 
 
-def maybe_similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
+def maybe_similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Does the sketch of the union allow a similarity of LEAST? Exact for sets that their sketches hold whole."""
-    union = np.union1d(a, b)
-    if n_a <= K and n_b <= K:
+    union = np.union1d(a[:K], b[:K])
+    if len(a) <= K and len(b) <= K:
         return 100 * (len(a) + len(b) - len(union)) >= LEAST * len(union)
     low = union[:K]
-    shared = np.count_nonzero(np.isin(low, a, assume_unique=True) & np.isin(low, b, assume_unique=True))
+    shared = np.count_nonzero(np.isin(low, a[:K], assume_unique=True) & np.isin(low, b[:K], assume_unique=True))
     return shared * K >= SHARED * len(low)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = _common(a, b)
-    return 100 * both >= LEAST * (len(a) + len(b) - both)
-
-
-def _filtered(pairs: DataFrame, test, *extra: str) -> DataFrame:
-    """The pairs whose columns x_a and x_b pass ``test``."""
-    columns = ["fp_a", "rep_a", "fp_b", "rep_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(test(batch), pa.bool_())).select(columns)
-
-    return pairs.mapInArrow(run, "fp_a binary, rep_a long, fp_b binary, rep_b long")
-
-
-def estimate(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that the union's sketch lets pass."""
-    own = classes.select("fp", "n", "sketch")
-    rows = pairs
-    for side in "ba":
-        rows = rows.join(own.select(*(F.col(c).alias(f"{c}_{side}") for c in own.columns)), f"fp_{side}")
-
-    def test(batch: pa.RecordBatch) -> list[bool]:
-        cols = []
-        for side in "ab":
-            lists = batch.column(f"sketch_{side}")
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            cols.append((flat, lists.offsets.to_numpy(), batch.column(f"n_{side}").to_numpy()))
-        (fa, oa, na), (fb, ob, nb) = cols
-        return [maybe_similar(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], int(na[i]), int(nb[i])) for i in range(batch.num_rows)]
-
-    return _filtered(rows, test)
-
-
-def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(fp, set): all shingle hashes of the classes, from the texts of the documents that stand for them."""
-    texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in C.text_chunks(batch.column("text")):
-                found = [(fingerprint(s), s.tobytes()) for s in shingle_sets(chunk) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*found, strict=True) if found else ([], []))], names=["fp", "set"])
-
-    return texts.mapInArrow(run, "fp binary, set binary").dropDuplicates(["fp"])
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= LEAST * (len(a) + len(b) - common)
+
+
+class Components:
+    """Disjoint sets of numbers; ``join`` notes the pairs that joined two."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.joined: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        ra, rb = self.find(a), self.find(b)
+        if ra != rb:
+            self.parent[ra] = rb
+            self.joined.append((a, b))
+
+
+def star_links(sets: list[np.ndarray], component: np.ndarray, centre: int, known: Components) -> None:
+    """Compare all sets with the centre: by size, by the union's sketch, then exactly."""
+    middle = sets[centre]
+    for i, s in enumerate(sets):
+        if i != centre and 100 * min(len(s), len(middle)) >= LEAST * max(len(s), len(middle)) and known.find(int(component[i])) != known.find(int(component[centre])):
+            if maybe_similar(s, middle) and similar(s, middle):
+                known.join(int(component[i]), int(component[centre]))
+
+
+def block_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, known: Components) -> None:
+    """Compare all sets of ``left`` with those of ``right``, exactly: intersections are matrix products over shared hashes."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    _, which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(df > 1, np.cumsum(df > 1) - 1, -1)[which]
+    row = np.repeat(np.arange(n), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common, width = np.zeros((len(left), len(right)), np.float32), 2048
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part[left] @ part[right].T
+    linked = 100 * common >= LEAST * (sizes[left][:, None] + sizes[right][None, :] - common)
+    for i, j in np.argwhere(linked & (component[left][:, None] != component[right][None, :])).tolist():
+        known.join(int(component[left[i]]), int(component[right[j]]))
+
+
+def _sets_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the rows' texts, and which rows hold the class that they name (a repeated id may have other texts)."""
+    column = table.column("text").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    sets = [s for chunk in C.text_chunks(column) for s in shingle_sets(chunk)]
+    right = [len(s) > 0 and fingerprint(s) == fp for s, fp in zip(sets, table.column("fp").to_pylist(), strict=True)]
+    return sets, np.flatnonzero(right)
+
+
+def _link_table(known: Components) -> pa.Table:
+    return pa.table([pa.array(x, pa.int64()) for x in (zip(*known.joined, strict=True) if known.joined else ([], []))], names=["a", "b"])
+
+
+def links_within_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): links of ids within each block of each group; as few as tell its components.
+
+    Every class is compared with the centre first (estimate by the union's sketch, then exactly on whole sets); only
+    blocks that this leaves in several components are counted out.
+    """
 
+    def run(table: pa.Table) -> pa.Table:
+        sets, use = _sets_of(table)
+        sets, ids, keys = [sets[i] for i in use], table.column("rep").to_numpy()[use], table.column("key").to_numpy()[use]
+        known = Components()
+        centre = np.flatnonzero(keys == table.column("centre")[0].as_py())
+        if len(centre):
+            star_links(sets, ids, int(centre[0]), known)
+        if len({known.find(int(i)) for i in ids}) > 1:
+            every = np.arange(len(sets))
+            block_links(sets, np.array([known.find(int(i)) for i in ids]), every, every, known)
+        return _link_table(known)
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar on their whole sets."""
-    rows = pairs
-    for side in "ba":
-        rows = rows.join(sets.select(F.col("fp").alias(f"fp_{side}"), F.col("set").alias(f"set_{side}")), f"fp_{side}")
+    return rows.groupBy("centre", "block").applyInArrow(run, "a long, b long")
 
-    def test(batch: pa.RecordBatch) -> list[bool]:
-        each = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
-        return [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in each]
 
-    return _filtered(rows, test)
+def links_across_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): links of components between the blocks of groups that have several blocks and components."""
 
+    def run(table: pa.Table) -> pa.Table:
+        sets, use = _sets_of(table)
+        sets, component, block = [sets[i] for i in use], table.column("component").to_numpy()[use], table.column("block").to_numpy()[use]
+        known = Components()
+        if len(sets):
+            block_links(sets, component, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), known)
+        return _link_table(known)
 
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    each = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return each.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,17 +271,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where the group has none, and is kept then; an empty table gives an empty result.
     """
     made = scratch_table(sketches(docs), "sketches")
-    classes = made.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch_table(classes, "classes")
-    named = classes.filter("rep IS NOT NULL")
-    lists = scratch_table(inverted_lists(named), "lists")
-    sets = scratch_table(whole_sets(docs, lists), "sets")
-    links = scratch_table(verify(scratch_table(estimate(centre_pairs(lists), named), "pairs"), sets), "links")
-    labels = connected_components(_ends(links))
-    more = verify(scratch_table(estimate(cross_pairs(lists, labels), named), "pairs"), sets)
-    again = scratch_table(more, "links")
-    if not again.isEmpty():
-        labels = connected_components(_ends(links).union(_ends(again)))
+    classes = scratch_table(class_table(made), "classes")
+    lists = scratch_table(inverted_lists(made, classes.filter("rep IS NOT NULL")), "lists")
+    members = scratch_table(memberships(lists).join(classes, "key"), "members")
+    links = scratch_table(links_within_blocks(named_texts(docs, members)), "links")
+    labels = connected_components(links)
+    # Groups of several blocks whose blocks are in different components yet
+    wide = members.filter("blocks > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    wide = scratch_table(wide, "wide")
+    mixed = wide.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("centre")
+    if not mixed.isEmpty():
+        more = scratch_table(links_across_blocks(named_texts(docs, wide.join(mixed, "centre"))), "links")
+        labels = connected_components(links.union(more))
     groups = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     by_row = made.select("doc_id", "n", "fp").join(groups, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -8,9 +8,10 @@ a run of consecutive string starts with the same minimizer, about one for 16 byt
    and partition. Equal units of a batch are resolved there (pre-aggregation), so of copies one unit a batch moves.
 2. A partition orders its units. Equal units (same bytes) of a larger id are repeats as a whole. A minimizer with one
    unit's bytes only needs no more work; with several, their strings must be told apart.
-3. The strings of those units, of the smallest document that has each, are fetched and dealt by their hash; strings
-   that are equal within a batch are resolved there. Each partition sorts its suffixes (deep-shallow: multikey
-   quicksort, then blind tries), and in every group of equal strings all but the smallest document's are repeats.
+3. The bytes of those units, of the smallest document that has each, are fetched and dealt by minimizer (those of a
+   very frequent minimizer string by string, by hash). A partition takes their suffixes, leaves out those that can't
+   recur, and sorts the rest (deep-shallow: multikey quicksort, then blind tries); in every group of equal strings all
+   but the smallest document's are repeats.
 4. The runs of all steps come together by document, and its text is cut.
 
 Units are told apart by 96 bits of hash; strings by their bytes. A text crosses a shuffle once: both joins read the
@@ -37,8 +38,12 @@ from chalkline.sources.scratch import scratch_table
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
-#: Text that a task gathers before it packs its units; units and strings that a partition is meant to hold.
-BATCH_BYTES, PARTITION_UNITS, PARTITION_STRINGS = 32 << 20, 3_000_000, 1_000_000
+#: Text that a task gathers before it packs its units, text that it handles at a time, and units of a partition.
+BATCH_BYTES, PIECE_BYTES, PARTITION_UNITS = 8 << 20, 1 << 18, 500_000
+#: Different units of one minimizer above which their strings are dealt by their own hashes.
+HOT_UNITS = 20_000
+#: Bytes of a unit at most, and bytes around a minimizer that any string of it shares on one side.
+UNIT_BYTES, SIDE = LENGTH + SPAN - 1, GRAM + (LENGTH - GRAM) // 2
 _U = np.uint64
 
 
@@ -141,7 +146,7 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
         for batch in _gathered(batches, ["doc_id", "text"], BATCH_BYTES):
             ids = batch.column("doc_id").to_numpy()
             found = []
-            for chunk in C.text_chunks(batch.column("text")):
+            for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
                 of, *rest = units(chunk)
                 found.append((ids[of + chunk.first], *rest))
             if not found:
@@ -159,19 +164,21 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[p] : ends[p + 1]]
                 rows.append((p, 0, _pack(doc[own], at[own], count[own], low[own], high[own])))
+            del found, doc, at, count, anchor, whole, order, low, high
             for i in range(0, len(rows), 64):
                 yield _blob_batch(rows[i : i + 64])
+            C.release_memory()
 
     return texts.mapInArrow(run, _BLOBS)
 
 
-def _by_doc(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(ids, a list of start and number of strings for each id)."""
-    order = np.lexsort((at, doc))
-    doc, at, count = doc[order], at[order], count[order]
+def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(ids, for each id its rows of ``columns``, one after the other)."""
+    order = np.lexsort((columns[0], doc))
+    doc = doc[order]
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    flat = np.stack((at, count), axis=1).reshape(-1).astype(np.int32)
-    ends = np.append(first, len(doc)) * 2
+    flat = np.stack([c[order] for c in columns], axis=1).reshape(-1).astype(np.int32)
+    ends = np.append(first, len(doc)) * len(columns)
     return pa.array(doc[first]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
@@ -179,104 +186,199 @@ _RUNS = "kind int, doc_id long, runs array<int>"
 _REPEATED, _CONTESTED = 1, 2
 
 
-def _run_batch(kind: int, doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    ids, lists = _by_doc(doc, at, count)
+def _run_batch(kind: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Runs (start, number of strings) that are repeats, or contested runs with their partition after these."""
+    ids, lists = _by_doc(doc, *columns)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), ids, lists], names=["kind", "doc_id", "runs"])
 
 
 def judge_units(blobs: DataFrame, parts: int) -> DataFrame:
-    """Runs that repeat a smaller document as whole units, and runs whose strings must be told apart."""
+    """Runs that repeat a smaller document as whole units, and runs whose strings must be told apart.
+
+    The latter name the partition that holds all units of their minimizer, or -1 if these are very many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        part = 0
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            for part, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind:
                     yield _run_batch(_REPEATED, *_unpack(blob.as_buffer().to_pybytes()))
                 else:
                     doc, at, count, low, high = _unpack(blob.as_buffer().to_pybytes(), 5, 7)
                     keys = np.zeros((len(doc), 16), np.uint8)
                     keys[:, :5], keys[:, 8:15] = low, high
-                    held.append([doc, at.astype(np.int64), count.astype(np.int16), *keys.view("<u8").T])
+                    held.append([doc, at.astype(np.int32), count.astype(np.int8), *keys.view("<u8").T])
         if not held:
             return
         doc, at, count, anchor, whole = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((doc, whole, anchor))
         doc, at, count, anchor, whole = (x[order] for x in (doc, at, count, anchor, whole))
+        del order
         new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         new_unit = new_anchor | np.concatenate(([True], whole[1:] != whole[:-1]))
         first = np.maximum.accumulate(np.where(new_unit, np.arange(len(doc)), 0))
         repeat = doc > doc[first]
         yield _run_batch(_REPEATED, doc[repeat], at[repeat], count[repeat])
-        # Anchors with several units, not all first seen in one document
+        # Minimizers with several units, not all first seen in one document
         starts = np.flatnonzero(new_anchor)
+        sizes = np.diff(np.append(starts, len(doc)))
         low, high = np.minimum.reduceat(doc[first], starts), np.maximum.reduceat(doc[first], starts)
-        contested = np.repeat(low < high, np.diff(np.append(starts, len(doc)))) & ~repeat
-        yield _run_batch(_CONTESTED, doc[contested], at[contested], count[contested])
+        contested = np.repeat(low < high, sizes) & ~repeat
+        where = np.repeat(np.where(np.add.reduceat(new_unit, starts, dtype=np.int64) > HOT_UNITS, -1, part), sizes)
+        yield _run_batch(_CONTESTED, doc[contested], at[contested], count[contested], where[contested])
+        del doc, at, count, anchor, whole, first, repeat, contested, where
+        C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)
 
 
-def string_blobs(rows: DataFrame, parts: int) -> DataFrame:
-    """Packed strings of the contested runs by hash (kind 0), and starts known to be repeats (kind 1)."""
+def _window(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(data, length)[place] if len(place) else np.zeros((0, length), np.uint8)
+
+
+def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
+    """The bytes of contested runs, packed by the partition of their minimizer (kind 0).
+
+    Runs of very frequent minimizers are packed as single strings by their hashes (kind 2); those that an equal one of
+    the batch shows to be repeats are told so (kind 1).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, ["doc_id", "text", "runs"], BATCH_BYTES // 4):
+        for batch in _gathered(batches, ["doc_id", "text", "runs"], BATCH_BYTES // 2):
             ids = batch.column("doc_id").to_numpy()
-            runs, ends = batch.column("runs").values.to_numpy().reshape(-1, 2).astype(np.int64), batch.column("runs").offsets.to_numpy() // 2
-            found = []
-            for chunk in C.text_chunks(batch.column("text")):
-                a, b = int(ends[chunk.first]), int(ends[chunk.first + len(chunk)])
-                of = np.repeat(np.arange(len(chunk)), np.diff(ends[chunk.first : chunk.first + len(chunk) + 1]))
-                at, count = runs[a:b].T
-                starts = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                of = np.repeat(of, count)
-                inside = starts + LENGTH <= np.diff(chunk.offsets)[of]  # another text of a repeated id may be shorter
-                starts, of = starts[inside], of[inside]
-                place = starts + chunk.offsets[of]
-                rows = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)[place] if len(place) else np.zeros((0, LENGTH), np.uint8)
-                found.append((ids[of + chunk.first], starts, C.span_hashes(C.prefix_sums(chunk.data), place, place + LENGTH), rows))
-            if not found:
-                continue
-            doc, at, hashes, strings = (np.concatenate(x) for x in zip(*found, strict=True))
-            repeat = _later(hashes, doc)
+            runs, ends = batch.column("runs").values.to_numpy().reshape(-1, 3).astype(np.int64), batch.column("runs").offsets.to_numpy() // 3
+            held_units, held_strings = [], []
+            for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
+                own = ends[chunk.first : chunk.first + len(chunk) + 1]
+                at, count, part = runs[own[0] : own[-1]].T
+                of = np.repeat(np.arange(len(chunk)), np.diff(own))
+                fits = at + count + LENGTH - 1 <= np.diff(chunk.offsets)[of]  # another text of a repeated id may be shorter
+                at, count, part, of = at[fits], count[fits], part[fits], of[fits]
+                if not len(at):
+                    continue
+                sums, start = C.prefix_sums(chunk.data), at + chunk.offsets[of]
+                grams = start[:, None] + np.arange(SPAN)
+                anchor = np.argmin(C.span_hashes(sums, grams, grams + GRAM) >> _U(32), axis=1)
+                data = np.concatenate((chunk.data, np.zeros(UNIT_BYTES, np.uint8)))
+                unit = _window(data, start, UNIT_BYTES) * (np.arange(UNIT_BYTES) < (count + LENGTH - 1)[:, None])
+                usual = part >= 0
+                held_units.append((ids[of + chunk.first][usual], at[usual], count[usual], part[usual], anchor[usual], unit[usual]))
+                of, at, count, start = of[~usual], at[~usual], count[~usual], start[~usual]
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                of, at, start = np.repeat(of, count), np.repeat(at, count) + step, np.repeat(start, count) + step
+                held_strings.append((ids[of + chunk.first], at, C.span_hashes(sums, start, start + LENGTH), _window(chunk.data, start, LENGTH)))
             rows = []
-            if repeat.any():
-                rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], np.ones(int(repeat.sum())))))
-            doc, at, hashes, strings = doc[~repeat], at[~repeat], hashes[~repeat], strings[~repeat]
-            part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
-            order = np.argsort(part, kind="stable")
-            ends_of = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(ends_of)).tolist():
-                own = order[ends_of[p] : ends_of[p + 1]]
-                rows.append((p, 0, _pack(doc[own], at[own], np.ones(len(own)), strings[own])))
+            if held_units:
+                doc, at, count, part, anchor, unit = (np.concatenate(x) for x in zip(*held_units, strict=True))
+                rows += [(p, 0, _pack_bytes(doc[i], at[i], count[i], anchor[i], unit[i])) for p, i in _dealt(part)]
+                doc, at, hashes, strings = (np.concatenate(x) for x in zip(*held_strings, strict=True))
+                repeat = _later(hashes, doc)
+                if repeat.any():
+                    rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], np.ones(int(repeat.sum())))))
+                doc, at, hashes, strings = doc[~repeat], at[~repeat], hashes[~repeat], strings[~repeat]
+                part = (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+                rows += [(p, 2, _pack_bytes(doc[i], at[i], np.ones(len(i)), np.zeros(len(i)), strings[i])) for p, i in _dealt(part)]
             for i in range(0, len(rows), 64):
                 yield _blob_batch(rows[i : i + 64])
+            C.release_memory()
 
     return rows.mapInArrow(run, _BLOBS)
 
 
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, its rows) of all partitions that have any."""
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(part) else []
+    for i, start in enumerate(starts):
+        own = order[start : starts[i + 1] if i + 1 < len(starts) else None]
+        yield int(part[own[0]]), own
+
+
+def _pack_bytes(doc: np.ndarray, at: np.ndarray, count: np.ndarray, anchor: np.ndarray, rows: np.ndarray) -> bytes:
+    """As ``_pack``, with the rows (and the place of the minimizer in each) compressed: neighbours share most bytes."""
+    packed = zstandard.ZstdCompressor(level=1).compress(anchor.astype(np.uint8).tobytes() + np.ascontiguousarray(rows).tobytes())
+    head = _pack(doc, at, count)
+    return np.array([len(head)], "<i8").tobytes() + head + packed
+
+
+def _unpack_bytes(blob: bytes, width: int) -> list[np.ndarray]:
+    (length,) = np.frombuffer(blob, "<i8", 1).tolist()
+    columns = _unpack(blob[8 : 8 + length])
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + length :]), np.uint8)
+    n = len(columns[0])
+    return [*columns, body[:n].astype(np.int64), body[n:].reshape(n, width)]
+
+
+def shared_strings(doc: np.ndarray, at: np.ndarray, count: np.ndarray, anchor: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, string) of the strings of units that another document may have too.
+
+    A string holds its minimizer and at least half of the other bytes on one side of it. It can recur only where the
+    minimizer with that side recurs, so all strings of sides that occur in one document only are left out.
+    """
+    n = len(doc)
+    reach = count + LENGTH - 1
+    out = []
+    for right in (True, False):
+        begin = anchor if right else anchor - (SIDE - GRAM)
+        whole = (begin >= 0) & (begin + SIDE <= reach)
+        side = np.zeros((n, SIDE), np.uint8)
+        side[whole] = np.take_along_axis(unit[whole], begin[whole][:, None] + np.arange(SIDE), axis=1)
+        sums = C.prefix_sums(side.reshape(-1))
+        hashes = C.span_hashes(sums, np.arange(n) * SIDE, np.arange(1, n + 1) * SIDE)
+        rows = np.flatnonzero(whole)
+        order = rows[np.lexsort((doc[rows], hashes[rows]))]
+        starts = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        if not len(starts):
+            continue
+        several = np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts)
+        chosen = order[np.repeat(several, np.diff(np.append(starts, len(order))))]
+        # Strings start at 0 .. count - 1 of the unit; on the right side those with SIDE bytes from the minimizer on
+        last = np.minimum(count[chosen] - 1, anchor[chosen])
+        edge = anchor[chosen] - (LENGTH - SIDE)
+        lo, hi = (np.maximum(edge, 0), last) if right else (np.zeros(len(chosen), np.int64), np.minimum(edge - 1, last))
+        size = np.maximum(hi - lo + 1, 0)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        row, place = np.repeat(chosen, size), np.repeat(lo, size) + step
+        out.append((doc[row], at[row] + place, np.take_along_axis(unit[row], place[:, None] + np.arange(LENGTH), axis=1)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LENGTH), np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
     """Starts of strings that also start in a smaller document, from each partition's sorted suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        units, strings = [], []
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                if kind:
-                    yield _run_batch(_REPEATED, *_unpack(blob.as_buffer().to_pybytes()))
+                data = blob.as_buffer().to_pybytes()
+                if kind == 1:
+                    yield _run_batch(_REPEATED, *_unpack(data))
+                elif kind == 0:
+                    units.append(_unpack_bytes(data, UNIT_BYTES))
                 else:
-                    held.append(_unpack(blob.as_buffer().to_pybytes(), LENGTH))
-        if not held:
+                    doc, at, _, _, rows = _unpack_bytes(data, LENGTH)
+                    strings.append((doc, at, rows))
+        if units:
+            strings.append(shared_strings(*(np.concatenate(x) for x in zip(*units, strict=True))))
+            units.clear()
+        if not strings:
             return
-        doc, at, count, strings = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order, first = deep_shallow_sort(strings)
+        doc, at, rows = (np.concatenate(x) for x in zip(*strings, strict=True))
+        strings.clear()
+        if not len(doc):
+            return
+        order, first = deep_shallow_sort(rows)
         starts = np.flatnonzero(first)
         least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
         repeat = order[doc[order] > least]
-        yield _run_batch(_REPEATED, doc[repeat], at[repeat], count[repeat])
+        yield _run_batch(_REPEATED, doc[repeat], at[repeat], np.ones(len(repeat), np.int64))
+        del doc, at, rows, order, first
+        C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)
 
@@ -287,7 +389,7 @@ def cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, out = batch.column("runs"), []
-            for chunk in C.text_chunks(batch.column("text")):
+            for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
                 for i in range(len(chunk)):
                     data, pairs = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]], lists[chunk.first + i].values
                     n, removed, spans = len(data), 0, 0
@@ -318,10 +420,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * size // (16 * PARTITION_UNITS)))
     found = scratch_table(judge_units(unit_blobs(named, parts), parts), "runs")
     contested = found.filter(F.col("kind") == _CONTESTED).select("doc_id", "runs")
-    strings = contested.agg(F.sum(F.aggregate(F.transform(F.sequence(F.lit(2), F.size("runs"), F.lit(2)), lambda i: F.element_at("runs", i)), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-strings // PARTITION_STRINGS))
-    wanted = named.join(_collected(contested), "doc_id")
-    told = sort_strings(string_blobs(wanted, parts), parts)
+    told = sort_strings(contested_blobs(named.join(_collected(contested), "doc_id"), parts), parts)
     runs = found.filter(F.col("kind") == _REPEATED).select("doc_id", "runs").union(told.select("doc_id", "runs"))
     every = named.join(_collected(runs), "doc_id", "left")
     return cut(every.union(texts.filter("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<int>"))))
