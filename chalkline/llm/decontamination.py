@@ -135,22 +135,26 @@ def item_windows(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, Words]
         yield n, *w.short(n), w
 
 
-_FOUND = "n_words long, n_hit long, items array<string>"
+_FOUND = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType())}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``keep`` of every document with n_words, n_hit (words inside a window's occurrence) and its sorted items."""
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, prefix: str = "") -> DataFrame:
+    """``keep`` of every document with n_words, n_hit (words inside a window's occurrence) and its sorted items.
+
+    ``prefix`` is put before these three names, for tables that have such columns.
+    """
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(32)), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        return _by_broadcast(docs, [tuple(r) for r in own.collect()], keep, text)
-    return _by_join(docs, own, keep, text)
+        return _by_broadcast(docs, [tuple(r) for r in own.collect()], keep, text, prefix)
+    return _by_join(docs, own, keep, text, prefix)
 
 
-def _by_broadcast(docs: DataFrame, items: list[tuple], keep: list[str], text: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, items: list[tuple], keep: list[str], text: str, prefix: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     read, name = with_text(docs, keep, text)
-    schema = T.StructType([*pick(read, *keep).schema, *T._parse_datatype_string(_FOUND)])
+    names = [f"{prefix}{c}" for c in _FOUND]
+    schema = T.StructType([*pick(read, *keep).schema, *map(T.StructField, names, _FOUND.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
@@ -162,7 +166,7 @@ def _by_broadcast(docs: DataFrame, items: list[tuple], keep: list[str], text: st
                 n_words += np.bincount(w.of, minlength=len(chunk)).tolist()
                 n_hit += hit.tolist()
                 items += [sorted(x for x in f if x is not None) for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*keep, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*keep, *names])
 
     return read.mapInArrow(run, schema)
 
@@ -171,7 +175,7 @@ def _key(span: bytes) -> bytes:
     return hashlib.blake2b(span, digest_size=16).digest()
 
 
-def _by_join(docs: DataFrame, own: DataFrame, keep: list[str], text: str) -> DataFrame:
+def _by_join(docs: DataFrame, own: DataFrame, keep: list[str], text: str, prefix: str) -> DataFrame:
     """Both sides as tables; windows are compared by 128-bit digests of their words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +226,9 @@ def _by_join(docs: DataFrame, own: DataFrame, keep: list[str], text: str) -> Dat
     spans = scratch_table(candidates.mapInArrow(extend, "digest string, n int, at long, span binary"), "spans")
     hits = spans.join(items.groupBy("span").agg(F.collect_set("item_id").alias("ids")), "span")
     words = hits.select("digest", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy("digest").agg(F.count("word").alias("__hit"))
-    named = hits.select("digest", F.explode("ids").alias("id")).distinct().groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("__items"))
-    counted = _by_broadcast(docs.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))), [], [*keep, "__digest"], text)
+    named = hits.select("digest", F.explode("ids").alias("id")).distinct().groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("__listed"))
+    counted = _by_broadcast(docs.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))), [], [*keep, "__digest"], text, "__")
     found = words.join(named, "digest", "left").withColumnRenamed("digest", "__digest")
-    joined = counted.drop("n_hit", "items").join(found, "__digest", "left")
-    return joined.select(*(F.col(f"`{k}`") for k in keep), "n_words", F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    joined = counted.drop("__n_hit", "__items").join(found, "__digest", "left")
+    listed = F.coalesce("__listed", F.array().cast("array<string>"))
+    return joined.select(*(F.col(f"`{k}`") for k in keep), F.col("__n_words").alias(f"{prefix}n_words"), F.coalesce("__hit", F.lit(0)).cast("long").alias(f"{prefix}n_hit"), listed.alias(f"{prefix}items"))

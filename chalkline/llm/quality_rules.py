@@ -132,8 +132,8 @@ def host_verdicts(measured: DataFrame, host: str, rules: str, limits: HostRules)
     return hosts.withColumn("host_ok", ok)
 
 
-def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limits: HostRules = HostRules(), out: str = "rules") -> DataFrame:
-    """``keep`` of every document, the struct ``out`` of its counts, ``base_failed`` and ``kept``.
+def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limits: HostRules = HostRules(), out: str = "rules", failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+    """``keep`` of every document, the struct ``out`` of its counts, ``base_failed`` and ``kept`` (names to choose, where ``keep`` has them).
 
     The measured rows are written once, without texts; the join with the hosts' verdicts is on the host, small on one
     side, so Spark broadcasts that side while it is small and splits hot hosts otherwise. Where the text is one of
@@ -143,5 +143,6 @@ def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: st
     measured = scratch_table(rule_counts(docs, light, text, out), "rules")
     verdicts = host_verdicts(measured, host, out, limits).select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
     rows = measured if text not in keep else rule_counts(docs, list(dict.fromkeys([*keep, host])), text, out)
-    joined = rows.join(verdicts, rows[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left").withColumn("base_failed", base_failed(out, limits))
-    return joined.select(*(F.col(f"`{k}`") for k in keep), out, "base_failed", (~F.col("base_failed") & F.coalesce("__ok", F.lit(True))).alias("kept"))
+    joined = rows.join(verdicts, rows[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left")
+    base = base_failed(out, limits)
+    return joined.select(*(F.col(f"`{k}`") for k in keep), out, base.alias(failed), (~base & F.coalesce("__ok", F.lit(True))).alias(kept))

@@ -17,8 +17,8 @@ from chalkline.sources.tables import table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject, for themselves or for their host, go."""
     ship(spark)
-    judged = quality_rules.apply_rules(docs, docs.columns)
-    return judged.filter("kept").select(*docs.columns)
+    judged = quality_rules.apply_rules(docs, docs.columns, out="__rules", failed="__failed", kept="__kept")
+    return judged.filter("__kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     ship(spark)
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns, prefix="__")
+    return found.filter("__n_hit = 0").select(*docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,241 @@
+"""Every query of the subpackage against plain Python, on odd small tables and on the driver's smallest."""
+
+import json
+import random
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from chalkline.llm import decontamination, minhash, mixing, registry, sstable, suffix_dedup, suffix_sort, token_counts, toxicity
+from chalkline.sources.scratch import scratch_path
+from chalkline.sources.tables import table
+
+COLUMNS = {
+    "op1_word_pieces": ["doc_id", "n_words", "n_pieces", "n_unknown"],
+    "op5_token_tables": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op6_winnowing": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op8_bottom_k": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op9_deep_shallow": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op10_host_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+}
+
+
+def got(spark, name, folder, columns=None):
+    frame = registry.QUERIES[name](spark, folder)
+    return [tuple(r) for r in frame.select(*(columns or COLUMNS[name])).collect()]
+
+
+def rows_of(folder, *names):
+    return list(zip(*(pq.read_table(f"{folder}/documents.parquet", columns=[n]).column(0).to_pylist() for n in names), strict=True))
+
+
+def items_of(folder):
+    t = pq.read_table(f"{folder}/benchmark.parquet", columns=["item_id", "text"])
+    return list(zip(*(c.to_pylist() for c in t.columns), strict=True))
+
+
+def same(a, b):
+    assert Counter(a) == Counter(b)
+
+
+@pytest.fixture(params=["odd", "sf0.001"])
+def folder(request, odd, sf):
+    return odd[0] if request.param == "odd" else sf
+
+
+def test_word_pieces(spark, folder):
+    letters = {c: b for b, c in sstable._byte_letters().items()}
+    with open(registry.tokenizer_path(), encoding="utf-8") as f:
+        pieces = [bytes(letters[c] for c in t) for t in json.load(f)["model"]["vocab"] if all(c in letters for c in t)]
+    begin, within = {p for p in pieces if p[:1] == b" "}, {p for p in pieces if p[:1] != b" "}
+    rows = [r for r in rows_of(folder, "doc_id", "text") if len(r[1] or "") < 20_000]
+    known = {r[0]: r for r in got(spark, "op1_word_pieces", folder)}
+    same([known[d] for d, _ in rows], [(d, *brute.word_pieces(t, begin, within)) for d, t in rows])
+    automaton = token_counts.LongestMatch([b"ab", b"abcde", b"a"], [b"c", b"cd", b"x", b"de"])
+    assert [automaton.count(w) for w in (b"abcd", b"abcde", b"abcx", b"abq", b"acdde", b"acde", b"")] == [2, 1, 3, 0, 3, 0, 0]
+
+
+def test_source_mixture(spark, folder):
+    rows = rows_of(folder, "doc_id", "text", "source")
+    size, target = brute.targets(rows)
+    source = {d: s for d, _, s in rows}
+    result = got(spark, "op2_source_mixture", folder, ["doc_id", "size", "source_size", "target", "taken"])
+    same([(r[0], r[1], r[2]) for r in result], [(d, len(brute.words(t)), size[s]) for d, t, s in rows])
+    taken = defaultdict(int)
+    for d, n, _, t, k in result:
+        assert abs(t - float(target[source[d]])) <= 1e-6 * max(1, t) and 0 <= k <= 2 * n
+        taken[source[d]] += k
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    same(result, got(spark, "op2_source_mixture", folder, ["doc_id", "size", "source_size", "target", "taken"]))
+
+
+def test_mixture_slots_follow_the_shares(spark, sf):
+    _, mix = mixing.mix_sources(table(spark, sf, "documents"), block_words=64)
+    slots = sorted({(r.slot, r.sid) for r in mix.select("slot", "sid").collect() if r.slot is not None})
+    assert [s for s, _ in slots] == sorted({s for s, _ in slots})
+    half = len(slots) // 2
+    first, whole = Counter(s for _, s in slots[:half]), Counter(s for _, s in slots)
+    assert all(abs(first[s] - n / 2) < 6 for s, n in whole.items())
+    words = mix.groupBy("sid", "block").agg({"hi": "sum", "lo": "sum"}).collect()
+    assert max(r["sum(hi)"] - r["sum(lo)"] for r in words) == 64
+
+
+@pytest.mark.parametrize("name", ["op3_cotraining", "op4_char_nbsvm"])
+def test_scores_are_whole_and_in_range(spark, folder, name):
+    result = got(spark, name, folder, ["doc_id", "held_out", "score", "predicted"])
+    import zlib
+
+    same([(r[0], r[1]) for r in result], [(d, zlib.crc32(str(d).encode()) % 5 == 0) for d, _ in rows_of(folder, "doc_id", "text")])
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, _, s, p in result)
+
+
+def auc(pairs):
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op4_char_nbsvm", "toxic", 0.95), ("op3_cotraining", "quality", 0.85)])
+def test_held_out_accuracy(spark, name, label, least):
+    folder = "/root/testdata/sf0.01"
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pydict()
+    truth = dict(zip(labels["doc_id"], labels[label], strict=True))
+    scored = [(s, truth[d]) for d, h, s in got(spark, name, folder, ["doc_id", "held_out", "score"]) if h and truth.get(d) is not None]
+    assert len(scored) > 20 and auc(scored) >= least
+
+
+def encode_with(path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_tables(spark, folder):
+    same(got(spark, "op5_token_tables", folder), brute.token_rows(rows_of(folder, "doc_id", "text"), encode_with(registry.tokenizer_path())))
+
+
+def test_shards_are_searched(spark, sf):
+    path, encode = scratch_path(spark, "shards"), encode_with(registry.tokenizer_path())
+    manifest = sstable.write_tables(table(spark, sf, "documents"), path, registry.tokenizer_path(), 3)
+    readers = [sstable.open_shard(f) for (f,) in manifest.select("file").collect()]
+    assert len(readers) > 1
+    for doc_id, text in rows_of(sf, "doc_id", "text")[::23]:
+        found = [x for r in readers for x in r.lookup(doc_id)]
+        assert len(found) == 1 and found[0].tolist() == [*encode(text or ""), 0]
+    assert not any(r.lookup(10**12) for r in readers)
+
+
+def test_winnowing(spark, folder):
+    same(got(spark, "op6_winnowing", folder), brute.contaminated(rows_of(folder, "doc_id", "text"), items_of(folder)))
+
+
+def test_winnowing_by_join(spark, folder):
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"], broadcast_bytes=0)
+    expected = brute.contaminated(rows_of(folder, "doc_id", "text"), items_of(folder))
+    same([(r.doc_id, r.n_words, r.n_hit, len(r["items"]), brute.sha(",".join(r["items"]).encode())) for r in found.collect()], [x[:5] for x in expected])
+
+
+def test_secrets(spark, folder):
+    by_id = {r[0]: r for r in got(spark, "op7_markov_secrets", folder, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])}
+    for doc_id, text in rows_of(folder, "doc_id", "text"):
+        spans = brute.secrets(text)
+        listed = [f"{brute.KINDS[k]}:{a}:{b}" for a, k, b in spans]
+        assert by_id[doc_id][1:5] == (*(sum(k == i for _, k, _ in spans) for i in range(3)), brute.sha(",".join(listed).encode()))
+        every = [x for x in by_id[doc_id][5].split(",") if x]
+        assert [x for x in every if not x.startswith("random")] == listed
+        order = [(int(x.split(":")[1]), ["assign", "access", "hex", "random"].index(x.split(":")[0])) for x in every]
+        assert order == sorted(order)
+
+
+def test_markov_spans(spark, tmp_path):
+    from conftest import save
+
+    prose = "the quick answer of the committee was understandable and internationalization_of_configuration_settings was kept "
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    rows = [(i, prose * 3 + (key() if i % 2 else "com.example.project.settings.manager"), "a") for i in range(40)]
+    found = dict(got(spark, "op7_markov_secrets", save(tmp_path, rows), ["doc_id", "spans"]))
+    at = len(prose) * 3
+    assert not any(found[i] for i in range(0, 40, 2))
+    assert {found[i] for i in range(1, 40, 2)} <= {f"random:{at}:{at + 32}", ""}
+    assert sum(bool(found[i]) for i in range(1, 40, 2)) >= 18
+
+
+def test_near_groups(spark, folder):
+    expected = brute.near_groups(rows_of(folder, "doc_id", "text"))
+    same(got(spark, "op8_bottom_k", folder), [(d, *x) for d, x in expected.items()])
+
+
+def test_near_groups_in_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 4)
+    found = minhash.near_duplicates(table(spark, odd[0], "documents"))
+    same([tuple(r) for r in found.collect()], [(d, *x) for d, x in brute.near_groups(rows_of(odd[0], "doc_id", "text")).items()])
+
+
+def test_removed_repeats(spark, folder):
+    same(got(spark, "op9_deep_shallow", folder), brute.without_repeats(rows_of(folder, "doc_id", "text")))
+
+
+def test_removed_repeats_of_frequent_minimizers(spark, odd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_UNITS", 2)
+    found = suffix_dedup.remove_repeats(table(spark, odd[0], "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    same([(*r[:4], brute.sha(bytes(r[4]))) for r in found.collect()], brute.without_repeats(rows_of(odd[0], "doc_id", "text")))
+
+
+@pytest.mark.parametrize("shallow", [0, 1, 2])
+def test_deep_shallow_order(shallow):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (400, 24)).astype(np.uint8)
+    rows[100:200, :18] = rows[0, :18]
+    rows[200:300] = rows[rng.integers(0, 50, 100)]
+    order, first = suffix_sort.deep_shallow_sort(rows, shallow)
+    ordered = [rows[i].tobytes() for i in order]
+    assert ordered == sorted(r.tobytes() for r in rows) and sorted(order) == list(range(400))
+    assert first.tolist() == [i == 0 or ordered[i] != ordered[i - 1] for i in range(400)]
+
+
+def test_host_rules(spark, folder):
+    same(got(spark, "op10_host_rules", folder), brute.host_rules(rows_of(folder, "doc_id", "text", "source")))
+
+
+# --- repeated rows, null ids, empty tables -----------------------------------------------------------------------
+
+
+def test_repeated_rows_and_null_ids(spark, repeated):
+    folder, rows = repeated
+    pairs = [(d, t) for d, t, _ in rows]
+    tokens, expected = got(spark, "op5_token_tables", folder), brute.token_rows(pairs, encode_with(registry.tokenizer_path()))
+    same([(r[0], r[2], r[3]) for r in tokens], [(r[0], r[2], r[3]) for r in expected])
+    by_start = sorted(tokens, key=lambda r: r[1])
+    assert [r[1] for r in by_start] == np.cumsum([0, *(r[2] for r in by_start)]).tolist()[:-1]
+    same(got(spark, "op6_winnowing", folder), brute.contaminated(pairs, items_of(folder)))
+    same(got(spark, "op9_deep_shallow", folder), brute.without_repeats(pairs))
+    same(got(spark, "op10_host_rules", folder), brute.host_rules(rows))
+    size, target = brute.targets(rows)
+    taken = sum(r[0] for r in got(spark, "op2_source_mixture", folder, ["taken"]))
+    assert abs(taken - sum(target.values())) <= len(target)
+    for name in ("op1_word_pieces", "op3_cotraining", "op4_char_nbsvm", "op7_markov_secrets", "op8_bottom_k"):
+        same(got(spark, name, folder, ["doc_id"]), [(d,) for d, _ in pairs])
+
+
+def test_repeated_ids_in_near_groups(spark, repeated):
+    """An id with two texts links with the copies of both; a null id takes its group's smallest id."""
+    result = got(spark, "op8_bottom_k", repeated[0])
+    base = {r[2] for r in result if r[0] in (6, 7)}
+    assert base == {6}
+    assert {r[2:] for r in result if r[0] is None and r[1] > 100} == {(6, False)}
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert registry.QUERIES[name](spark, empty).count() == 0
+
+
+def test_training_reads_no_held_out_label(spark, odd):
+    docs, labels = table(spark, odd[0], "documents"), table(spark, odd[0], "labels")
+    kept = labels.filter(~toxicity.held_out())
+    a, b = toxicity.train(docs, labels, "toxic"), toxicity.train(docs, kept, "toxic")
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
