@@ -24,6 +24,7 @@ removal between them; a removal applies at its place in each); an empty table gi
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SPAN = LENGTH - GRAM + 1
 BATCH_BYTES, PIECE_BYTES, PARTITION_UNITS = 8 << 20, 1 << 18, 500_000
 #: Different units of one minimizer above which their strings are dealt by their own hashes.
 HOT_UNITS = 20_000
+#: Strings that a task sorts at a time, about.
+SORTED_STRINGS = 100_000
 #: Bytes of a unit at most, and bytes around a minimizer that any string of it shares on one side.
 UNIT_BYTES, SIDE = LENGTH + SPAN - 1, GRAM + (LENGTH - GRAM) // 2
 _U = np.uint64
@@ -312,40 +315,63 @@ def _unpack_bytes(blob: bytes, width: int) -> list[np.ndarray]:
     return [*columns, body[:n].astype(np.int64), body[n:].reshape(n, width)]
 
 
-def shared_strings(doc: np.ndarray, at: np.ndarray, count: np.ndarray, anchor: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, string) of the strings of units that another document may have too.
+def _flat(rows: np.ndarray, begin: np.ndarray, length: int, row: np.ndarray) -> np.ndarray:
+    """``length`` bytes of each ``row`` of ``rows`` from ``begin``."""
+    return _window(rows.reshape(-1), row * rows.shape[1] + begin, length)
+
+
+def shared_strings(doc: np.ndarray, at: np.ndarray, count: np.ndarray, anchor: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, start, string) of the strings of units that another document may have too, equal ones in the same part.
 
     A string holds its minimizer and at least half of the other bytes on one side of it. It can recur only where the
-    minimizer with that side recurs, so all strings of sides that occur in one document only are left out.
+    minimizer with that side recurs, so all strings of sides that occur in one document only are left out, and sides
+    can be told apart one after the other: parts hold whole sides, about SORTED_STRINGS strings.
     """
-    n = len(doc)
     reach = count + LENGTH - 1
-    out = []
     for right in (True, False):
         begin = anchor if right else anchor - (SIDE - GRAM)
-        whole = (begin >= 0) & (begin + SIDE <= reach)
-        side = np.zeros((n, SIDE), np.uint8)
-        side[whole] = np.take_along_axis(unit[whole], begin[whole][:, None] + np.arange(SIDE), axis=1)
-        sums = C.prefix_sums(side.reshape(-1))
-        hashes = C.span_hashes(sums, np.arange(n) * SIDE, np.arange(1, n + 1) * SIDE)
-        rows = np.flatnonzero(whole)
-        order = rows[np.lexsort((doc[rows], hashes[rows]))]
-        starts = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        rows = np.flatnonzero((begin >= 0) & (begin + SIDE <= reach))
+        hashes = row_hashes(lambda i, begin=begin: _flat(unit, begin[i], SIDE, i), rows)
+        order = np.lexsort((doc[rows], hashes))
+        rows, hashes = rows[order], hashes[order]
+        starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(rows) else np.zeros(0, np.int64)
         if not len(starts):
             continue
-        several = np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts)
-        chosen = order[np.repeat(several, np.diff(np.append(starts, len(order))))]
+        several = np.minimum.reduceat(doc[rows], starts) < np.maximum.reduceat(doc[rows], starts)
+        chosen = np.repeat(several, np.diff(np.append(starts, len(rows))))
+        rows, hashes = rows[chosen], hashes[chosen]
         # Strings start at 0 .. count - 1 of the unit; on the right side those with SIDE bytes from the minimizer on
-        last = np.minimum(count[chosen] - 1, anchor[chosen])
-        edge = anchor[chosen] - (LENGTH - SIDE)
-        lo, hi = (np.maximum(edge, 0), last) if right else (np.zeros(len(chosen), np.int64), np.minimum(edge - 1, last))
-        size = np.maximum(hi - lo + 1, 0)
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        row, place = np.repeat(chosen, size), np.repeat(lo, size) + step
-        out.append((doc[row], at[row] + place, np.take_along_axis(unit[row], place[:, None] + np.arange(LENGTH), axis=1)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LENGTH), np.uint8)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        last, edge = np.minimum(count[rows] - 1, anchor[rows]), anchor[rows] - (LENGTH - SIDE)
+        lo, hi = (np.maximum(edge, 0), last) if right else (np.zeros(len(rows), np.int64), np.minimum(edge - 1, last))
+        sizes = np.maximum(hi - lo + 1, 0)
+        before, first = np.cumsum(sizes) - sizes, 0
+        while first < len(rows):
+            end = int(np.searchsorted(before, before[first] + SORTED_STRINGS, side="left"))
+            end = int(np.searchsorted(hashes[first:], hashes[max(first, end - 1)], side="right")) + first  # to the end of its side
+            size = sizes[first:end]
+            place = np.repeat(lo[first:end] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            row = np.repeat(rows[first:end], size)
+            yield doc[row], at[row] + place, _flat(unit, place, LENGTH, row)
+            first = end
+
+
+def row_hashes(rows_at, index: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Hashes of the byte rows that ``rows_at`` gives for the numbers in ``index``, some at a time."""
+    out = np.zeros(len(index), np.uint64)
+    for i in range(0, len(index), step):
+        rows = rows_at(index[i : i + step])
+        n, width = rows.shape
+        out[i : i + n] = C.span_hashes(C.prefix_sums(rows.reshape(-1)), np.arange(n) * width, np.arange(1, n + 1) * width)
+    return out
+
+
+def hashed_strings(doc: np.ndarray, at: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings in parts of about SORTED_STRINGS, equal ones in the same part."""
+    parts = -(-len(doc) // SORTED_STRINGS)
+    part = row_hashes(lambda i: rows[i], np.arange(len(doc))) % _U(max(1, parts))
+    for p in range(parts):
+        own = part == p
+        yield doc[own], at[own], rows[own]
 
 
 def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
@@ -363,21 +389,22 @@ def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
                 else:
                     doc, at, _, _, rows = _unpack_bytes(data, LENGTH)
                     strings.append((doc, at, rows))
+        several = []
         if units:
-            strings.append(shared_strings(*(np.concatenate(x) for x in zip(*units, strict=True))))
-            units.clear()
-        if not strings:
-            return
-        doc, at, rows = (np.concatenate(x) for x in zip(*strings, strict=True))
+            several.append(shared_strings(*(np.concatenate(x) for x in zip(*units, strict=True))))
+        if strings:
+            several.append(hashed_strings(*(np.concatenate(x) for x in zip(*strings, strict=True))))
+        units.clear()
         strings.clear()
-        if not len(doc):
-            return
-        order, first = deep_shallow_sort(rows)
-        starts = np.flatnonzero(first)
-        least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
-        repeat = order[doc[order] > least]
-        yield _run_batch(_REPEATED, doc[repeat], at[repeat], np.ones(len(repeat), np.int64))
-        del doc, at, rows, order, first
+        for doc, at, rows in chain.from_iterable(several):
+            if not len(doc):
+                continue
+            order, first = deep_shallow_sort(rows)
+            starts = np.flatnonzero(first)
+            least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
+            repeat = order[doc[order] > least]
+            yield _run_batch(_REPEATED, doc[repeat], at[repeat], np.ones(len(repeat), np.int64))
+            del doc, at, rows, order, first
         C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)

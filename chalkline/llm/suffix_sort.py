@@ -84,7 +84,7 @@ class BlindTrie:
 def deep_shallow_sort(rows: np.ndarray, shallow: int = SHALLOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(order, first): the rows in byte order, and for each place whether it begins a group of equal rows."""
     n = len(rows)
-    order, group = multikey_quicksort(_words(rows), shallow)
+    order, group = multikey_quicksort(_words(rows[:, : 8 * shallow]), shallow)
     first = np.ones(n, bool)
     if n < 2:
         return order, first
