@@ -160,7 +160,7 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
             if repeat.any():
                 rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], count[repeat])))
             doc, at, count, anchor, whole = (x[~repeat] for x in (doc, at, count, anchor, whole))
-            part = ((anchor >> _U(32)) * _U(parts)) >> _U(32)
+            part = ((C.mix(anchor) >> _U(32)) * _U(parts)) >> _U(32)  # minimizers are small numbers, so they are hashed again
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             low, high = anchor.view(np.uint8).reshape(-1, 8)[:, :5], whole.view(np.uint8).reshape(-1, 8)[:, :7]
