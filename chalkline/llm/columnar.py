@@ -11,6 +11,8 @@ import pyarrow as pa
 WHITE = b" \t\n\v\f\r"
 #: Texts are handled in pieces of so many bytes at least (whole texts each), so that memory does not follow the batch.
 CHUNK_BYTES = 1 << 20
+#: Text after which a worker gives freed memory back.
+RELEASE_BYTES = 8 << 20
 
 
 @dataclass
@@ -43,6 +45,18 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         start, end = int(offsets[first]), int(offsets[last])
         yield Chunk(first, data[start:end], offsets[first : last + 1] - start)
         first = last
+        _used(end - start)
+
+
+_USED = [0]
+
+
+def _used(size: int) -> None:
+    """Release memory after each RELEASE_BYTES of text."""
+    _USED[0] += size
+    if _USED[0] >= RELEASE_BYTES:
+        _USED[0] = 0
+        release_memory()
 
 
 def release_memory() -> None:

@@ -85,7 +85,6 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), lists], names=["doc_id", "n", "fp", "sketch"])
-            C.release_memory()
 
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n int, fp binary, sketch array<long>")
 

@@ -25,6 +25,8 @@ from chalkline.sources.scratch import scratch_table
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
+#: Rejected hosts, in bytes, that are sent to all tasks at most.
+BROADCAST_BYTES = 8 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -111,7 +113,7 @@ def failures(rules: str, limits: HostRules) -> dict[str, F.Column]:
 
 
 def host_verdicts(measured: DataFrame, host: str, rules: str, limits: HostRules) -> DataFrame:
-    """A row for each host: documents, failure rates raw and shrunk, and ``host_ok``.
+    """A row for each host: documents, failure rates raw and shrunk, and ``host_ok``; a written table.
 
     ``measured`` is read twice, so it should be a written table. The hosts are summed with partial aggregates, so
     a host with a third of all rows sends one row a task. The prior of a rule has the mean and the variance of the
@@ -129,19 +131,22 @@ def host_verdicts(measured: DataFrame, host: str, rules: str, limits: HostRules)
         shrunk = (F.col(f"n_{k}") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
         hosts = hosts.withColumn(f"rate_{k}", rate).withColumn(f"shrunk_{k}", shrunk)
         ok = ok & (F.col(f"shrunk_{k}") <= limits.max_host_rate)
-    return hosts.withColumn("host_ok", ok)
+    return scratch_table(hosts.withColumn("host_ok", ok), "hosts")
 
 
 def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limits: HostRules = HostRules(), out: str = "rules", failed: str = "base_failed", kept: str = "kept") -> DataFrame:
     """``keep`` of every document, the struct ``out`` of its counts, ``base_failed`` and ``kept`` (names to choose, where ``keep`` has them).
 
-    The measured rows are written once, without texts; the join with the hosts' verdicts is on the host, small on one
-    side, so Spark broadcasts that side while it is small and splits hot hosts otherwise. Where the text is one of
+    The measured rows are written once, without texts. Rejected hosts are joined back: broadcast up to BROADCAST_BYTES,
+    which is checked, and by a shuffle join beyond, where Spark splits hot hosts. Where the text is one of
     ``keep``, it is measured again for the result instead of being written with the rows.
     """
     light = [k for k in dict.fromkeys([*keep, host]) if k != text]
     measured = scratch_table(rule_counts(docs, light, text, out), "rules")
-    verdicts = host_verdicts(measured, host, out, limits).select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
+    verdicts = host_verdicts(measured, host, out, limits).filter("NOT host_ok").select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
+    size = verdicts.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__host"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        verdicts = F.broadcast(verdicts)
     rows = measured if text not in keep else rule_counts(docs, list(dict.fromkeys([*keep, host])), text, out)
     joined = rows.join(verdicts, rows[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left")
     base = base_failed(out, limits)
