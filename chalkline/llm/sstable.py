@@ -65,7 +65,7 @@ class PieceEncoder:
     given to the tokenizer as one.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -44,7 +44,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     taken, _ = mixing.mix_sources(docs)
     copies = taken.groupBy("doc_id").agg(F.coalesce(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))), F.lit(0)).cast("int").alias("__n"))
     copies = copies.filter("__n > 0").withColumnRenamed("doc_id", "__id")
-    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    repeated = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__id"]))  # by shuffle at every size: a copy count for each document isn't bounded
     return repeated.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
