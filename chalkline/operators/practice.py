@@ -1,11 +1,16 @@
 """Practice: attempts, progress, grading, objectives and the checks of drafted questions."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
+from chalkline.sources.scratch import scratch_table
 
 MAX_SUBMITS = 3
+#: Classes and words of a block, about, and words that are looked up by broadcast.
+BLOCK_CLASSES, BLOCK_WORDS, HOT_WORDS = 1024, 1 << 20, 1000
 
 
 def set_progress(exercises: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -100,21 +105,89 @@ def recent_objectives(sets: DataFrame, last: int = 10) -> DataFrame:
 
 
 def similar_objectives(objectives: DataFrame, least: float = 0.72, common: int = 3) -> DataFrame:
-    """Pairs (a, b, jaccard) of objectives (id, words) with enough words in common and overlap of ``least``.
+    """Links (a, b, jaccard) of objectives (id, words) with enough words in common and overlap of ``least``.
+
+    Objectives of equal word sets are one class, named by its smallest id: a row links each other id with that one.
+    Of the classes there are as many links as tell which of them are connected, each counted on whole sets; a pair
+    without a row of its own is joined by others.
 
     Prefix filter: with words in order of rarity, such a pair shares one of the first (1 - least) * n + 1 words of
-    each, so only these are joined; the overlap is then counted on the whole sets.
+    each, and their sizes are in the same or adjacent bands. The classes of all lists of (word, band) with the same
+    smallest class are a group and come together in blocks of bounded size, with that class in each. Groups of
+    several blocks that this leaves in several parts are counted out block by block. Words are compared by 64-bit hashes.
     """
-    each = objectives.filter(F.size("words") >= common).select("id", F.explode("words").alias("w"))
-    df = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    n = F.size("ws")
-    lists = ordered.select("id", F.explode(F.slice("ws", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("x")).filter("x.df > 1").select("id", F.col("x.w").alias("w"))
-    pairs = lists.alias("l").join(lists.alias("r"), F.col("l.w") == F.col("r.w")).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    words = objectives.select("id", "words")
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("wa", "wb"))).withColumn("jaccard", X.jaccard(F.col("wa"), F.col("wb")))
-    return both.filter((F.col("common") >= common) & (F.col("jaccard") >= least)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    made = objectives.select("id", F.sort_array(F.array_distinct("words")).alias("words")).filter(F.size("words") >= common)
+    made = scratch_table(made.select("id", F.unhex(F.md5(F.array_join("words", " "))).alias("fp"), F.transform("words", lambda w: F.xxhash64(w)).alias("vs")), "word-sets")
+    classes = scratch_table(made.groupBy("fp").agg(F.min("id").alias("rep"), F.min("vs").alias("vs")).withColumn("key", F.xxhash64("fp")), "word-classes")
+    each = classes.select("key", F.size("vs").alias("n"), F.explode("vs").alias("v"))
+    counts = scratch_table(each.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "word-counts")
+    # The most frequent words would be long runs of a join by shuffle
+    hot = scratch_table(counts.orderBy(F.desc("df"), "v").limit(HOT_WORDS), "hot-words")
+    marked = each.join(F.broadcast(hot), "v", "left")
+    rare = marked.filter("df IS NULL").drop("df").join(counts.join(F.broadcast(hot.select("v")), "v", "left_anti"), "v")
+    placed = marked.filter("df IS NOT NULL").select("key", "n", "v", "df").union(rare.select("key", "n", "v", "df"))
+    ordered = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ws"))
+    ordered = scratch_table(ordered.withColumn("n", F.size("ws")).withColumn("take", (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")), "ordered-words")
+    band = F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int")
+    lists = ordered.select("key", "n", F.explode(F.slice("ws", 1, F.col("take"))).alias("x"), band.alias("band")).filter("x.df > 1")
+    lists = lists.select("key", "n", F.col("x.v").alias("v"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    centres = lists.groupBy("v", "band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    members = scratch_table(lists.join(centres, ["v", "band"]).select("centre", "key", "n").distinct(), "word-members")
+    sizes = members.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "centre").withColumn("block", F.explode(F.when(F.col("key") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    sets = ordered.select("key", "take", F.transform("ws", lambda x: x["v"]).alias("vs"))
+
+    def run(table: pa.Table) -> pa.Table:
+        return _block_links(table, least, common)
+
+    schema = "centre long, parts int, a long, b long, jaccard double"
+    first = scratch_table(dealt.join(sets, "key").groupBy("centre", "block").applyInArrow(run, schema), "word-links")
+    mixed = first.filter("parts > 1").select("centre").distinct()
+    wide = dealt.filter("blocks > 1").join(mixed, "centre").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    wide = wide.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).dropDuplicates(["centre", "i", "j", "key"])
+    across = wide.join(sets, "key").groupBy("centre", "i", "j").applyInArrow(run, schema)
+    links = first.union(across).filter("a IS NOT NULL").select("a", "b", "jaccard").distinct()
+    names = classes.select("key", "rep")
+    named = links.join(names.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
+    between = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    copies = made.join(classes.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return between.union(copies)
+
+
+def _block_links(table: pa.Table, least: float, common: int) -> pa.Table:
+    """Links of the classes of a block (key, take, vs): as few as tell its parts, and a row with their number."""
+    keys, take = table.column("key").to_numpy(), table.column("take").to_numpy()
+    lists = table.column("vs").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    at = [flat[offsets[i] : offsets[i + 1]] for i in range(len(keys))]
+    n = np.array([len(x) for x in at])
+    part, links, seen = list(range(len(keys))), [], {}
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for i in np.lexsort((keys, n)).tolist():
+        near: set[int] = set()
+        prefix = at[i][: take[i]].tolist()
+        for v in prefix:
+            near.update(seen.get(v, ()))
+            seen.setdefault(v, []).append(i)
+        mine = np.sort(at[i])
+        for j in sorted(near):
+            # Longer sets come later, so n[j] <= n[i]
+            if n[j] >= least * n[i] - 1e-9 and find(i) != find(j):
+                place = np.minimum(np.searchsorted(mine, at[j]), len(mine) - 1)
+                both = int(np.count_nonzero(mine[place] == at[j]))
+                if both >= common and both / (n[i] + n[j] - both) >= least:
+                    part[find(i)] = find(j)
+                    links.append((int(keys[i]), int(keys[j]), both / float(n[i] + n[j] - both)))
+    parts, centre = len({find(i) for i in range(len(keys))}), table.column("centre")[0].as_py()
+    a, b, jaccard = zip((None, None, None), *links, strict=True)
+    return pa.table([pa.array([centre] * len(a), pa.int64()), pa.array([parts] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(jaccard, pa.float64())], names=["centre", "parts", "a", "b", "jaccard"])
 
 
 def draft_reasons(prompt: Column, kind: Column, n_citations: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
 from chalkline.functions import text as X
 from chalkline.functions.time import epoch_micros, epoch_seconds
 from chalkline.operators import practice as P
@@ -75,7 +76,8 @@ def objective_history_window(spark, d):
 
 
 def near_duplicate_pairs(spark, d):
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 12))
+    ship(spark)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
     return P.similar_objectives(docs)
 
