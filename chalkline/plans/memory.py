@@ -30,7 +30,7 @@ def rolling_summary(spark, d):
 
 def sensitive_screen(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", X.is_sensitive(F.substring("text", 1, 2000)).alias("sensitive"))
+    return docs.select("doc_id", X.is_sensitive(F.col("text")).alias("sensitive"))
 
 
 _SAID = ["please answer in chinese", "my goal is to read: all of it. soon", "i am a beginner, step by step please", "nothing to note here", "brief answers and bilingual text"]
@@ -59,8 +59,8 @@ def key_normalisation(spark, d):
 def semantic_similarity(spark, d):
     ship(spark)
     t = table(spark, d, "conversations")
-    a = t.filter("turn = 0").select("conv_id", F.substring("text", 1, 200).alias("a"))
-    b = t.filter("turn = 1").select("conv_id", F.substring("text", 1, 200).alias("b"))
+    a = t.filter("turn = 0").select("conv_id", F.col("text").alias("a"))
+    b = t.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
     return a.join(b, "conv_id").select("conv_id", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 

@@ -88,7 +88,7 @@ def answer_ngram_keys(spark, d):
 
 def draft_reasons(spark, d):
     docs = table(spark, d, "documents")
-    prompt = F.concat(F.substring("text", 1, 90), F.when(F.col("doc_id") % 5 == 0, " ____ ").when(F.col("doc_id") % 7 == 0, " on page 12").when(F.col("doc_id") % 11 == 0, " in the picture").otherwise(""))
+    prompt = F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, " ____ ").when(F.col("doc_id") % 7 == 0, " on page 12").when(F.col("doc_id") % 11 == 0, " in the picture").otherwise(""))
     kind = F.when(F.col("doc_id") % 2 == 0, "fill_blank").otherwise("short_answer")
     return docs.select("doc_id", P.draft_reasons(prompt, kind, F.col("doc_id") % 4).alias("reason"))
 

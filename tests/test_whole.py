@@ -1,10 +1,12 @@
 """The whole job of queries whose SQL has a cut, or that have none: small fixtures against brute force."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from chalkline.operators import practice
+from chalkline.plans import memory as memory_queries
 from chalkline.plans import practice as practice_queries
 
 
@@ -56,3 +58,21 @@ def test_near_duplicate_links_are_few(spark, monkeypatch):
     monkeypatch.undo()
     found = practice.similar_objectives(spark.createDataFrame(rows, "id long, words array<string>").filter(F.col("id").between(100, 149))).collect()
     assert len(found) == 49
+
+
+def test_texts_are_judged_whole(spark, tmp_path):
+    prose = "some plain words of a lesson " * 100
+    documents = [(1, prose), (2, prose + "my password is x"), (3, prose + "call +44 20 7946 0958 now"), (4, None), (13, prose + "see page 12"), (15, "see ____ " + prose)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["sensitive"] for r in memory_queries.sensitive_screen(spark, str(tmp_path)).collect()}
+    assert found == {1: False, 2: True, 3: True, 4: False, 13: False, 15: False}
+    reasons = {r["doc_id"]: r["reason"] for r in practice_queries.draft_reasons(spark, str(tmp_path)).collect()}
+    assert reasons == {1: None, 2: "missing_blank_placeholder", 3: None, 4: "unreadable_ocr_prompt", 13: "unverified_page_reference", 15: "unexpected_blank_placeholder"}
+
+
+def test_turns_are_compared_whole(spark, tmp_path):
+    one, other = "the same opening " * 15 + "ends in one way", "the same opening " * 15 + "continues quite differently " * 9
+    spark.createDataFrame([(1, 0, "user", one), (1, 1, "tutor", other)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    words = len(set(one.split()) & set(other.split())) / len(set(one.split()) | set(other.split()))
+    [row] = memory_queries.semantic_similarity(spark, str(tmp_path)).collect()
+    assert row["similarity"] == round(max(words, SequenceMatcher(a=one, b=other.strip()).ratio()), 6) < 1
