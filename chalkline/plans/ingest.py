@@ -36,16 +36,15 @@ def snapshot_hash(spark, d):
 
 def snapshot_diff(spark, d):
     files = _files(spark, d).select("path", "checksum", "doc_id")
-    old = files.filter("doc_id % 7 <> 0")
     moved = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
     edited = F.when(F.col("doc_id") % 13 == 0, F.sha2(F.col("path"), 256)).otherwise(F.col("checksum"))
-    new = files.filter("doc_id % 5 <> 0").select(moved.alias("path"), edited.alias("checksum"))
-    return I.snapshot_diff(old, new)
+    new = files.select(moved.alias("path"), edited.alias("checksum"))
+    return I.snapshot_diff(files, new)
 
 
 def incremental_reuse(spark, d):
     files = _files(spark, d)
-    earlier = files.filter("doc_id % 3 <> 0").select("source", "checksum", F.col("doc_id").alias("reused"))
+    earlier = files.select("source", "checksum", F.col("doc_id").alias("reused"))
     found = I.reuse_latest(files.select("doc_id", "source", "checksum"), earlier, ["source", "checksum"], [F.desc("reused")], "reused")
     return found.select("doc_id", "reused")
 
@@ -62,8 +61,8 @@ def parser_dispatch(spark, d):
 
 
 def page_selection(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 2 = 0")
-    pages = docs.select(F.md5("source").alias("checksum"), F.lit(3).alias("page_count"), F.col("doc_id").alias("page"), F.substring("text", 1, 60).alias("text"), F.when(F.col("doc_id") % 4 == 0, F.substring("text", 1, 300)).alias("ocr_text"), (F.col("n_chars") * 20).alias("file_size"))
+    docs = table(spark, d, "documents")
+    pages = docs.select(F.md5("source").alias("checksum"), F.lit(3).alias("page_count"), F.col("doc_id").alias("page"), "text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("ocr_text"), (F.col("n_chars") * 20).alias("file_size"))
     overrides = pages.filter("page % 10 = 0").select("checksum", "page_count", "page", F.concat(F.lit("reviewed "), F.col("page")).alias("text"))
     return I.choose_pages(pages, overrides).select("page", "needs_ocr", F.md5("chosen").alias("chosen_md5"), "confidence")
 

@@ -20,7 +20,7 @@ def _same():
 
 
 def _attempts(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 4 <> 0 AND l_linenumber % 5 <> 4")
+    rows = table(spark, d, "lineitem")
     correct = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R")
     return rows.select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("exercise_id"), F.col("l_linenumber").alias("attempt_number"), F.when(F.col("l_tax") > 0.07, "give_up").otherwise("submit").alias("action"), correct.alias("correct"), epoch_seconds("l_shipdate").alias("created_at"))
 

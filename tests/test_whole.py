@@ -1,11 +1,14 @@
 """The whole job of queries whose SQL has a cut, or that have none: small fixtures against brute force."""
 
+import datetime
+import hashlib
 import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from chalkline.operators import practice
+from chalkline.operators import ingest, practice
+from chalkline.plans import ingest as ingest_queries
 from chalkline.plans import memory as memory_queries
 from chalkline.plans import practice as practice_queries
 
@@ -76,3 +79,39 @@ def test_turns_are_compared_whole(spark, tmp_path):
     words = len(set(one.split()) & set(other.split())) / len(set(one.split()) | set(other.split()))
     [row] = memory_queries.semantic_similarity(spark, str(tmp_path)).collect()
     assert row["similarity"] == round(max(words, SequenceMatcher(a=one, b=other.strip()).ratio()), 6) < 1
+
+
+def test_every_file_and_page_is_kept(spark, tmp_path):
+    text = "a page of a lesson " * 20
+    rows = [(i, "s", "en", f"{text}{i}", 400) for i in range(1, 41)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = {r["page"]: r["chosen_md5"] for r in ingest_queries.page_selection(spark, str(tmp_path)).collect()}
+    assert pages == {i: hashlib.md5((f"reviewed {i}" if i % 10 == 0 else t).encode()).hexdigest() for i, _, _, t, _ in rows}
+    assert {r["doc_id"]: r["reused"] for r in ingest_queries.incremental_reuse(spark, str(tmp_path)).collect()} == {i: i for i in range(1, 41)}
+    expected = {f"unit{i % 10}/{i}.md": "deleted" if i % 11 == 0 else "edited" if i % 13 == 0 else "unchanged" for i in range(1, 41)}
+    expected |= {f"moved/unit{i % 10}/{i}.md": "renamed" for i in (11, 22, 33)}
+    assert {r["path"]: r["change"] for r in ingest_queries.snapshot_diff(spark, str(tmp_path)).collect()} == expected
+
+
+def test_missing_files_and_sparse_pages(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, checksum string")
+    new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "3"), ("e", "4")], "path string, checksum string")
+    assert {r["path"]: r["change"] for r in ingest.snapshot_diff(old, new).collect()} == {"a": "unchanged", "b": "edited", "c": "deleted", "d": "renamed", "e": "added"}
+    found = ingest.reuse_latest(new, old.withColumn("reused", F.col("path")), ["checksum"], [F.desc("reused")], "reused")
+    assert {r["path"]: r["reused"] for r in found.collect()} == {"a": "a", "b": None, "d": "c", "e": None}
+    pages = [("k", 3, 1, "short", "much more by OCR", 99999), ("k", 3, 2, "short", None, 99999), ("k", 3, 3, "short", "much more by OCR", 99), ("k", 3, 4, "w " * 60, "w " * 90, 99999)]
+    chosen = ingest.choose_pages(spark.createDataFrame(pages, "checksum string, page_count int, page int, text string, ocr_text string, file_size long"))
+    assert {r["page"]: (r["needs_ocr"], r["chosen"], r["confidence"]) for r in chosen.collect()} == {1: (True, "much more by OCR", 0.7), 2: (True, "short", 0.95), 3: (False, "short", 0.95), 4: (False, "w " * 60, 0.95)}
+
+
+def test_every_attempt_counts(spark, tmp_path):
+    line = lambda order, part, number, flag, tax: (order, part, number, flag, tax, datetime.date(2024, 1, number))
+    rows = [line(4, 1, 1, "R", 0.0), line(4, 2, 2, "N", 0.0), line(5, 1, 4, "A", 0.08), line(5, 2, 5, "A", 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_tax double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["set_id"]: (r["total"], r["attempted"], r["completed"], r["correct"], r["next_exercise"], r["status"]) for r in practice_queries.set_progress(spark, str(tmp_path)).collect()}
+    assert found == {4: (2, 2, 1, 1, 2, "IN_PROGRESS"), 5: (2, 2, 2, 0, None, "COMPLETED")}
+    shown = {(r["set_id"], r["exercise_id"]): r["shown"] for r in practice_queries.release_policy(spark, str(tmp_path)).collect()}
+    assert shown == {(4, 1): "solution", (4, 2): "hint_1", (5, 1): "solution", (5, 2): "hint_1"}
+    exercises = spark.createDataFrame([(6, 1, 1), (6, 2, 2)], "set_id long, exercise_id long, ordinal long")
+    [row] = practice.set_progress(exercises, practice_queries._attempts(spark, str(tmp_path))).collect()
+    assert (row["attempted"], row["next_exercise"], row["mastery"], row["status"]) == (0, 1, None, "NOT_STARTED")
