@@ -262,6 +262,13 @@ def links_across_blocks(rows: DataFrame) -> DataFrame:
     return each.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def repeated_id_links(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every id with several sets is linked with the smallest id of each of their classes."""
+    several = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
+    each = made.filter("n > 0").select("doc_id", "fp").join(several, "doc_id").join(classes.select("fp", "rep"), "fp")
+    return each.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every document.
 
@@ -274,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch_table(class_table(made), "classes")
     lists = scratch_table(inverted_lists(made, classes.filter("rep IS NOT NULL")), "lists")
     members = scratch_table(memberships(lists).join(classes, "key"), "members")
-    links = scratch_table(links_within_blocks(named_texts(docs, members)), "links")
+    links = scratch_table(links_within_blocks(named_texts(docs, members)).union(repeated_id_links(made, classes)), "links")
     labels = connected_components(links)
     # Groups of several blocks whose blocks are in different components yet
     wide = members.filter("blocks > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
