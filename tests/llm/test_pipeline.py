@@ -5,7 +5,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
-from test_operators import encode_with, items_of
+from test_training_operators import encode_with, items_of
 
 from chalkline.llm import mixing, registry
 from chalkline.sources.tables import table
