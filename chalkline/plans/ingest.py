@@ -100,14 +100,14 @@ SQL = {
 SELECT doc_id, ordinal, md5(line) AS line_md5, CASE WHEN regexp_matches(line, '^#{1,6}\\s+.+$') THEN 'heading' ELSE 'line_range' END AS anchor_type FROM x WHERE trim(line) <> ''""",
     "token_counts": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+|[^\\s\\p{L}\\p{N}_\\p{M}]'))::BIGINT AS approximate, ceil(length(text) / 4)::BIGINT AS estimate FROM documents",
     "snapshot_hash": f"WITH {_F} SELECT source, sha256(string_agg(path || chr(0) || checksum || chr(10), '' ORDER BY path)) AS snapshot, count(*) AS n_files FROM f GROUP BY source",
-    "snapshot_diff": f"""WITH {_F}, o AS (SELECT path, checksum AS c0 FROM f WHERE doc_id % 7 <> 0),
-n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN doc_id % 13 = 0 THEN sha256(path) ELSE checksum END AS c1 FROM f WHERE doc_id % 5 <> 0),
+    "snapshot_diff": f"""WITH {_F}, o AS (SELECT path, checksum AS c0 FROM f),
+n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN doc_id % 13 = 0 THEN sha256(path) ELSE checksum END AS c1 FROM f),
 b AS (SELECT path, c0, c1 FROM o FULL JOIN n USING (path)), g AS (SELECT DISTINCT c0 AS c1, true AS moved FROM b WHERE b.c1 IS NULL)
 SELECT path, CASE WHEN b.c1 IS NULL THEN 'deleted' WHEN c0 IS NULL AND moved THEN 'renamed' WHEN c0 IS NULL THEN 'added' WHEN c0 = b.c1 THEN 'unchanged' ELSE 'edited' END AS change FROM b LEFT JOIN g ON b.c1 = g.c1""",
-    "incremental_reuse": f"WITH {_F}, e AS (SELECT source, checksum, max(doc_id) AS reused FROM f WHERE doc_id % 3 <> 0 GROUP BY ALL) SELECT f.doc_id, e.reused FROM f LEFT JOIN e USING (source, checksum)",
+    "incremental_reuse": f"WITH {_F}, e AS (SELECT source, checksum, max(doc_id) AS reused FROM f GROUP BY ALL) SELECT f.doc_id, e.reused FROM f LEFT JOIN e USING (source, checksum)",
     "next_version_sequence": "SELECT c_custkey AS o_custkey, (coalesce(max(o_orderkey % 9 + 1), 0) + 1)::BIGINT AS next_sequence FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "parser_dispatch": "SELECT page_id, CASE WHEN page_id % 9 = 0 OR html IS NULL THEN 'failed' WHEN page_id % 4 = 0 OR trim(html) = '' THEN 'quarantined' ELSE 'extracted' END AS status FROM pages",
-    "page_selection": """WITH p AS (SELECT doc_id AS page, left(text, 60) AS t, CASE WHEN doc_id % 4 = 0 THEN left(text, 300) END AS o, n_chars * 20 AS size FROM documents WHERE doc_id % 2 = 0),
+    "page_selection": """WITH p AS (SELECT doc_id AS page, text AS t, CASE WHEN doc_id % 4 = 0 THEN text END AS o, n_chars * 20 AS size FROM documents),
 q AS (SELECT *, length(trim(t)) < 80 AND size > 3 * 10240 AS needs_ocr, length(trim(coalesce(o, ''))) > length(trim(t)) AS more FROM p)
 SELECT page, needs_ocr, md5(CASE WHEN page % 10 = 0 THEN 'reviewed ' || page WHEN needs_ocr AND more THEN o ELSE t END) AS chosen_md5,
 CASE WHEN needs_ocr AND more AND page % 10 <> 0 THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM q""",

@@ -87,7 +87,7 @@ SELECT k AS c_nationkey, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS pl
     "rolling_summary": f"""WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Learner: ' ELSE 'Tutor: ' END || trim(left({_COMPACT.format("text")}, 320)) AS line FROM conversations),
 f AS (SELECT conv_id, line, min(turn) AS t FROM l GROUP BY ALL), j AS (SELECT conv_id, {_COMPACT.format("string_agg(line, chr(10) ORDER BY t)")} AS s FROM f GROUP BY conv_id)
 SELECT conv_id, md5(trim(right(s, 2000))) AS summary_md5, length(trim(right(s, 2000)))::BIGINT AS chars FROM j""",
-    "sensitive_screen": f"SELECT doc_id, regexp_matches(left(text, 2000), '{_SENSITIVE}') AS sensitive FROM documents",
+    "sensitive_screen": f"SELECT doc_id, coalesce(regexp_matches(text, '{_SENSITIVE}'), false) AS sensitive FROM documents",
     "fact_extraction": f"""WITH t AS (SELECT conv_id, turn, {"[" + ", ".join(f"'{s}'" for s in _SAID) + "]"}[(conv_id * 7 + turn) % 5 + 1] AS s FROM conversations WHERE role = 'user'),
 h AS (SELECT * FROM t WHERE turn % 2 = 0 OR regexp_matches(s, 'please answer|my goal|i am a beginner|step by step'))
 SELECT conv_id, turn, 'response_language' AS fact_key, CASE WHEN s LIKE '%in chinese%' THEN 'chinese' ELSE 'bilingual' END AS value FROM h WHERE s LIKE '%in chinese%' OR s LIKE '%bilingual%'

@@ -95,12 +95,11 @@ def draft_reasons(spark, d):
 
 _A = """ex AS (SELECT l_orderkey AS set_id, l_partkey AS exercise_id, min(l_linenumber)::BIGINT AS ordinal FROM lineitem GROUP BY ALL),
 tries AS (SELECT l_orderkey AS set_id, l_partkey AS exercise_id, l_linenumber AS attempt_number, CASE WHEN l_tax > 0.07::DOUBLE THEN 'give_up' ELSE 'submit' END AS action,
-  CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'R' END AS correct, epoch(l_shipdate)::BIGINT AS created_at FROM lineitem WHERE l_orderkey % 4 <> 0 AND l_linenumber % 5 <> 4)"""
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'R' END AS correct, epoch(l_shipdate)::BIGINT AS created_at FROM lineitem)"""
 _S = f"""{_A}, per AS (SELECT set_id, exercise_id, bool_or(coalesce(correct, false)) AS ok, bool_or(action = 'give_up' OR coalesce(NOT correct AND attempt_number >= 3, false)) AS closed, max(created_at) AS latest FROM tries GROUP BY ALL),
 j AS (SELECT ex.*, per.set_id IS NOT NULL AS tried, coalesce(ok, false) AS ok, coalesce(ok, false) OR coalesce(closed, false) AS done, latest FROM ex LEFT JOIN per USING (set_id, exercise_id)),
 s AS (SELECT set_id, count(*) AS total, count_if(tried)::BIGINT AS attempted, count_if(done)::BIGINT AS completed, count_if(ok)::BIGINT AS correct, (min({{'o': ordinal, 'e': exercise_id}}) FILTER (NOT done)).e AS next_exercise, max(latest) AS latest FROM j GROUP BY set_id),
 st AS (SELECT *, CASE WHEN completed > 0 THEN round(correct / completed, 3) END AS mastery, CASE WHEN completed = total THEN 'COMPLETED' WHEN latest IS NOT NULL THEN 'IN_PROGRESS' ELSE 'NOT_STARTED' END AS status FROM s)"""
-_W = "w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:12]) AS words FROM documents)"
 
 QUERIES = {f.__name__: f for f in (set_progress, plan_rollup, mastery_band, resume_order, attempt_replay, rubric_score, objective_grading, release_policy, objective_history_window, near_duplicate_pairs, answer_ngram_keys, draft_reasons)}
 
@@ -125,14 +124,12 @@ SELECT set_id, exercise_id, CASE WHEN ok OR gu OR n >= 3 THEN 'solution' WHEN n
     "objective_history_window": """WITH k AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY epoch(o_orderdate)::BIGINT DESC, o_orderkey DESC) AS n, o_orderpriority, o_orderstatus FROM orders QUALIFY n <= 3),
 u AS (SELECT key, n, 0 AS pos, o_orderpriority AS objective FROM k UNION ALL SELECT key, n, 1, o_orderstatus FROM k)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY n, pos) AS place, objective FROM u""",
-    "near_duplicate_pairs": f"""WITH {_W}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS c, len(a.words) + len(b.words) AS t FROM w a JOIN w b ON a.id < b.id AND len(a.words) >= 3 AND len(b.words) >= 3)
-SELECT a, b, round(c / (t - c), 6) AS jaccard FROM p WHERE c >= 3 AND c / (t - c) >= 0.72""",
     "answer_ngram_keys": """WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' is the ' || p_type), '[a-z]+') AS ws FROM part),
 g AS (SELECT p_partkey, ws, unnest(list_transform(range(2, 7), lambda n: list_transform(range(1, len(ws) - n + 2), lambda i: ws[i:i + n - 1]))) AS gs FROM t), h AS (SELECT p_partkey, unnest(gs) AS g FROM g),
 k AS (SELECT p_partkey, sha256(array_to_string(g, '')) AS k FROM h WHERE length(array_to_string(g, '')) >= 6 AND len(list_filter(g, lambda x: x NOT IN ('a', 'am', 'an', 'and', 'are', 'i', 'is', 'it', 'my', 'the', 'this', 'that', 'your'))) > 0
 UNION SELECT p_partkey, sha256(array_to_string(ws, '')) FROM t WHERE length(array_to_string(ws, '')) >= 8)
 SELECT p_partkey, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM k WHERE k.p_partkey = t.p_partkey), '') AS keys FROM t""",
-    "draft_reasons": """WITH p AS (SELECT doc_id, left(text, 90) || CASE WHEN doc_id % 5 = 0 THEN ' ____ ' WHEN doc_id % 7 = 0 THEN ' on page 12' WHEN doc_id % 11 = 0 THEN ' in the picture' ELSE '' END AS t, doc_id % 2 = 0 AS fill, doc_id % 4 AS c FROM documents),
+    "draft_reasons": """WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' ____ ' WHEN doc_id % 7 = 0 THEN ' on page 12' WHEN doc_id % 11 = 0 THEN ' in the picture' ELSE '' END AS t, doc_id % 2 = 0 AS fill, doc_id % 4 AS c FROM documents),
 q AS (SELECT *, len(regexp_extract_all(t, '\\p{L}')) AS l, len(regexp_extract_all(t, '\\S')) AS v, len(regexp_extract_all(t, '_{3,}')) AS b FROM p)
 SELECT doc_id, CASE WHEN length(t) < 20 OR l < 0.45 * v THEN 'unreadable_ocr_prompt' WHEN regexp_matches(t, '(?i)\\b(?:picture|photo|image|shown above)\\b') THEN 'unsupported_visual_claim' WHEN regexp_matches(t, '(?i)\\bpage\\s+\\d+') THEN 'unverified_page_reference'
 WHEN NOT fill AND b > 0 THEN 'unexpected_blank_placeholder' WHEN fill AND b = 0 THEN 'missing_blank_placeholder' WHEN b > 1 THEN 'multiple_blank_placeholders' WHEN c = 0 THEN 'invalid_citations' END AS reason FROM q""",

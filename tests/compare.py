@@ -1,8 +1,10 @@
 """Row comparison of Spark results with DuckDB's."""
 
 import math
+import numbers
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,9 +20,9 @@ def connect(sf_dir: str):
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def norm(v):
-        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float | np.floating) and math.isnan(v)):
             return "NULL"
-        return f"{float(v):.6f}" if isinstance(v, float | int) and not isinstance(v, bool) else str(v)
+        return f"{float(v):.6f}" if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(norm(v) for v in r) for r in frame.itertuples(index=False, name=None))
