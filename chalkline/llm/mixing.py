@@ -1,20 +1,26 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 1. Targets: sources share ``share`` times all words by weight; none gets more than ``max_epochs`` times its own
-   words, and the excess is shared again (water filling, solved exactly over the sources sorted by cap per weight).
+   words, and the excess is shared again by weight until none is above (water filling; a round is one aggregate
+   over a row for each source).
 2. Streams: the documents of a source stand in a shuffled order (by a digest of seed and id); their words form
-   one stream, repeated for further epochs, of which the mix takes as many words as the target says. The stream
-   is cut into blocks of ``block_words`` words.
-3. Schedule: slot n of the mix lies at the fractional part of n times the golden ratio; the sources' cumulative
-   shares map it to a source. Slots are ranked within their source, and the k-th one gets the source's block k.
-   Any stretch of the mix thus holds every source in close to its share. The few blocks that are left over when
-   the slots end follow after them.
-
-Running sums are taken in two levels (within buckets, then over the buckets' sums), so a source with a third of
-all rows is spread over thousands of window groups.
-
-Cases: null text has size 0 and is never taken; null source is a source, ordered last; null ids are shuffled like
-others; repeated rows count once each; a source without words has target 0; an empty table gives an empty mix.
+   one stream, repeated for further epochs, up to the target. The stream is cut into blocks of ``block_words`` words.
+3. Schedule: with N blocks to place, slot n lies at the golden-ratio point n * F' / F, where F is the least Fibonacci
+   number of N or more and F' the one before it (the best fractions of the golden ratio, so points are exact whole
+   numbers and no two meet). The sources' cumulative block counts map a point to a source; points beyond N are
+   empty slots. Slots are ranked within their source, and the k-th one takes the source's block k.
+4. The mix is the inner join of slots and blocks: a document is taken by the slots that its words fall into, in
+   their order, and nothing else takes it. Any stretch of the mix holds every source in close to its share, so a mix
+   that stops after ``n_slots`` slots does so, too.
+
+Running sums are taken in two levels (within buckets, then over the buckets' sums), so a source with a third of all
+rows is spread over thousands of window groups, and so are many sources. Sources, and the cells that point to them,
+are broadcast up to BROADCAST_BYTES, which is checked, and joined by shuffle beyond.
+
+Cases: null and empty text has size 0 and is never taken (its first_slot is null); a very long text is spread over
+many blocks, and so over tasks; null source is a source, ordered last; null ids are shuffled together by size;
+ties of digests are ordered by id, size and row; repeated rows count once each; a source without words has target
+0; an empty table gives an empty mix; only doc_id, source and text are read, so extra columns never clash.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +31,9 @@ from chalkline.sources.scratch import scratch_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-#: 1 / golden ratio, and the fractional part of 2**20 times that: long slot numbers are split, to keep all digits.
-_PHI = 0.6180339887498949
-_PHI_HIGH = 0.607787409740350972
-_CELLS = 4096
+BLOCK_WORDS = 1024
+#: Bytes of a table of sources that is broadcast, at most.
+BROADCAST_BYTES = 8 << 20
 
 
 def sizes(docs: DataFrame, text: str = "text") -> Column:
@@ -46,58 +51,68 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__before")
 
 
-def source_targets(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
-    """A row for each source: ``sid`` (its rank by code point, null last), size, weight and target.
+def _checked(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast if its ``size`` in bytes allows."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
-    Sources are the only rows that meet in one task here, a row each; documents are summed before.
-    """
+
+def source_targets(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
+    """A row for each source: ``sid`` (its rank by code point, null last), source_size, weight and target; a written table."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("sid") - 1) % len(weights) + 1).cast("int")).cast("double")
-    ranked = ranked.withColumn("weight", weight).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
-    total = F.lit(share) * F.sum("source_size").over(every)
-    capped_before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = (total - capped_before) / F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ranked = ranked.withColumn("__level", level)
-    free = F.col("__level") < F.col("cap") / F.col("weight")
-    target = F.when(free, F.max(F.when(free, F.col("__level"))).over(every) * F.col("weight")).otherwise(F.col("cap"))
-    return ranked.withColumn("target", F.least(target, F.col("cap"))).drop("__level", "cap")
-
-
-def golden_points(n: Column) -> Column:
-    """The fractional part of n times the inverse golden ratio."""
-    return F.pmod(F.floor(n / (1 << 20)) * F.lit(_PHI_HIGH) + F.pmod(n, F.lit(1 << 20)) * F.lit(_PHI), F.lit(1.0))
-
-
-def slots(targets: DataFrame, block_words: int) -> DataFrame:
-    """(slot, sid, block): the schedule, with as many slots as there are blocks to place.
-
-    Slots come from one row in two explosions (thousands, then thousands each), so they are made in parallel; a
-    slot finds its source by an equal join on one of ``_CELLS`` cells of [0, 1), then the bounds within the cell.
+    ordered = scratch_table(by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    ranked = running_sum(ordered, [], "part", [F.col("source").asc_nulls_last()], F.lit(1).cast("long"), "before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int")).cast("long")
+    ranked = ranked.select("source", "source_size", "part", (F.col("before") + 1).alias("sid"), weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
+    ranked = scratch_table(ranked, "ranked-sources")
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, spent, open_, words = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.sum("source_size")).first()
+        if n == capped or not open_:
+            break
+        level, capped = (share * (words or 0) - (spent or 0)) / open_, n
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return scratch_table(ranked.withColumn("target", target).drop("cap"), "targets")
+
+
+def golden_fractions(n: int) -> tuple[int, int]:
+    """The least Fibonacci number of ``n`` or more, and the one before it."""
+    before, number = 1, 2
+    while number < n:
+        before, number = number, before + number
+    return number, before
+
+
+def slots(targets: DataFrame, block_words: int, n_slots: int | None = None) -> DataFrame:
+    """(slot, sid, block): the schedule, up to slot ``n_slots``.
+
+    A slot finds its source by an equal join on cells of points, about four for each source, then the bounds within the
+    cell, so the rows that meet are at most about 1.25 for each slot, however sources are spread.
     """
-    ordered = Window.orderBy("sid")
-    words = F.sum("target").over(Window.partitionBy())
-    cum = targets.filter("target > 0").select("sid", "target", F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__to"), words.alias("__words"))
-    cum = cum.select("sid", ((F.col("__to") - F.col("target")) / F.col("__words")).alias("lo"), F.when(F.lead("sid").over(ordered).isNull(), 2.0).otherwise(F.col("__to") / F.col("__words")).alias("hi"))
-    cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.least(F.floor(F.col("hi") * _CELLS), F.lit(_CELLS - 1)))))
-    count = targets.agg(F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0)).alias("n"))
-    per = 1 << 13
-    firsts = count.filter("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / per))).alias("lot")).repartition("lot")
-    each = firsts.select("lot", F.explode(F.sequence(F.col("lot") * per, F.least(F.col("lot") * per + per, F.col("n")) - 1)).alias("slot"))
-    each = each.withColumn("x", golden_points(F.col("slot") + 1)).withColumn("cell", F.floor(F.col("x") * _CELLS))
-    placed = each.join(cells, "cell").filter("x >= lo AND x < hi").select("lot", "slot", "sid")
-    return running_sum(placed, ["sid"], "lot", [F.col("slot")], F.lit(1).cast("long"), "block").select("slot", "sid", "block")
+    blocks = F.ceil(F.round("target") / block_words).cast("long")
+    counted = targets.withColumn("blocks", blocks).filter("blocks > 0")
+    n, sources = counted.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count(F.lit(1))).first()
+    number, before = golden_fractions(n)
+    cells = max(4096, 4 * sources)
+    width = max(1, -(-n // cells))
+    bounds = running_sum(counted.select("sid", "part", "blocks"), [], "part", [F.col("sid")], F.col("blocks"), "lo").withColumn("hi", F.col("lo") + F.col("blocks"))
+    placed = bounds.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    each = targets.sparkSession.range(0, min(number, n_slots if n_slots is not None else number)).withColumnRenamed("id", "slot")
+    wide = "long" if number < 1 << 31 else "decimal(19,0)"
+    point = F.pmod(F.col("slot").cast(wide) * F.lit(before).cast(wide), F.lit(number).cast(wide)).cast("long")
+    each = each.withColumn("x", point).filter(F.col("x") < n).withColumn("cell", F.floor(F.col("x") / width))
+    found = each.join(_checked(placed, 32 * (sources + cells)), "cell").filter("x >= lo AND x < hi").select("slot", "sid", F.shiftright("slot", 13).alias("lot"))
+    return running_sum(found, ["sid"], "lot", [F.col("slot")], F.lit(1).cast("long"), "block").select("slot", "sid", "block")
 
 
 def streams(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
     """Every document with its source's row and ``start``, its place in the source's shuffled word stream."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    docs = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    size = targets.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    named = _checked(targets.withColumnRenamed("source", "__source").drop("part"), size)
+    docs = sized.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     docs = docs.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, 3))
-    row = Window.partitionBy("sid", "bucket").orderBy("digest", "doc_id", "size")
-    return running_sum(docs.withColumn("row", F.row_number().over(row)), ["sid"], "bucket", [F.col("digest"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
+    return running_sum(docs, ["sid"], "bucket", [F.col("digest"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "start").drop("digest", "bucket")
 
 
 def pieces(stream: DataFrame, block_words: int, max_epochs: int = 2) -> DataFrame:
@@ -110,21 +125,21 @@ def pieces(stream: DataFrame, block_words: int, max_epochs: int = 2) -> DataFram
     return each.withColumn("lo", lo - F.col("__from")).withColumn("hi", hi - F.col("__from")).drop("__from", "__to")
 
 
-def schedule(stream: DataFrame, targets: DataFrame, block_words: int = 1024, max_epochs: int = 2) -> DataFrame:
-    """The mix: a row for each part of a document, with its slot (null: after all slots, by block)."""
-    return pieces(stream, block_words, max_epochs).join(slots(targets, block_words), ["sid", "block"], "left")
+def schedule(stream: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = 2, n_slots: int | None = None) -> DataFrame:
+    """The mix: a row for each part of a document, with the slot that takes it."""
+    return pieces(stream, block_words, max_epochs).join(slots(targets, block_words, n_slots), ["sid", "block"])
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2, block_words: int = 1024, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(documents, mix). Documents: doc_id, source, size, source_size, target, taken. Mix: the rows of ``schedule``.
+def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2, block_words: int = BLOCK_WORDS, seed: str = "mix", n_slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, mix). Documents: row, doc_id, source, size, source_size, target, taken, first_slot. Mix: the rows of ``schedule``.
 
-    The texts are read once, to count words; all later steps use the written (doc_id, source, size).
+    The texts are read once, to count words; all later steps use the written (row, doc_id, source, size).
     """
     read = pick(docs, "doc_id", "source", "text")
-    sized = scratch_table(read.select("doc_id", "source", sizes(read).alias("size")), "sizes")
-    targets = scratch_table(source_targets(sized, share, weights, max_epochs), "targets")
+    sized = scratch_table(read.select("doc_id", "source", sizes(read).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    targets = source_targets(sized, share, weights, max_epochs)
     stream = scratch_table(streams(sized, targets, seed), "streams")
-    mix = scratch_table(schedule(stream, targets, block_words, max_epochs).select("slot", "sid", "source", "block", "bucket", "row", "doc_id", "epoch", "lo", "hi"), "mix")
-    taken = mix.groupBy("sid", "bucket", "row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    result = stream.join(taken, ["sid", "bucket", "row"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    mix = scratch_table(schedule(stream, targets, block_words, max_epochs, n_slots).select("slot", "sid", "block", "row", "doc_id", "epoch", "lo", "hi"), "mix")
+    taken = mix.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
+    result = stream.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     return result, mix

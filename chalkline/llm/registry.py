@@ -24,7 +24,7 @@ def op1_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_host_rules": op10_host_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LIST_OF_WEIGHTS = ", ".join(map(str, mixing.WEIGHTS))
+
+#: The mixture in SQL: water filling over sorted sources, shuffled streams, and the golden-ratio schedule of blocks.
+_MIXTURE = f"""WITH RECURSIVE sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source),
+weighted AS (SELECT *, ([{_LIST_OF_WEIGHTS}])[(sid - 1) % {len(mixing.WEIGHTS)} + 1] AS weight, 2 * source_size AS cap FROM sources),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted WINDOW o AS (ORDER BY cap / weight, sid)),
+level AS (SELECT max(level) AS level FROM levels WHERE level < cap / weight),
+targets AS (SELECT source, source_size, sid, least(cap::DOUBLE, coalesce(l.level * weight, cap)) AS target, ceil(round(least(cap::DOUBLE, coalesce(l.level * weight, cap))) / {mixing.BLOCK_WORDS})::BIGINT AS blocks FROM weighted, level l),
+bounds AS (SELECT sid, blocks, sum(blocks) OVER (ORDER BY sid)::BIGINT - blocks AS lo FROM targets),
+total AS (SELECT sum(blocks)::BIGINT AS n FROM targets),
+fib(b, f) AS (SELECT 1::BIGINT, 2::BIGINT UNION ALL SELECT f, b + f FROM fib, total WHERE f < n),
+golden AS (SELECT max(f) AS f, arg_max(b, f) AS b FROM fib),
+points AS (SELECT r.range AS slot, r.range * b % f AS x FROM golden, range((SELECT f FROM golden)) r),
+slots AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM points JOIN bounds ON x >= lo AND x < lo + blocks),
+placed AS (SELECT s.*, t.sid, source_size, target, coalesce(sum(size) OVER (PARTITION BY t.sid ORDER BY md5(concat_ws(':', 'mix', doc_id::VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS row FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+epochs AS (SELECT *, e * source_size + start AS a, least(e * source_size + start + size, round(target)::BIGINT) AS z FROM placed, (SELECT unnest([0, 1]) AS e) WHERE size > 0),
+parts AS (SELECT row, sid, unnest(range(a // {mixing.BLOCK_WORDS}, (z - 1) // {mixing.BLOCK_WORDS} + 1)) AS block, a, z FROM epochs WHERE z > a),
+taken AS (SELECT row, sum(least((block + 1) * {mixing.BLOCK_WORDS}, z) - greatest(block * {mixing.BLOCK_WORDS}, a))::BIGINT AS taken, min(slot) AS first_slot FROM parts JOIN slots USING (sid, block) GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM placed LEFT JOIN taken USING (row)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE}

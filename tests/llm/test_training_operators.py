@@ -74,8 +74,8 @@ def test_source_mixture(spark, folder):
 
 def test_mixture_slots_follow_the_shares(spark, sf):
     _, mix = mixing.mix_sources(table(spark, sf, "documents"), block_words=64)
-    slots = sorted({(r.slot, r.sid) for r in mix.select("slot", "sid").collect() if r.slot is not None})
-    assert [s for s, _ in slots] == sorted({s for s, _ in slots})
+    slots = sorted({(r.slot, r.sid) for r in mix.select("slot", "sid").collect()})
+    assert len(slots) == len({s for s, _ in slots})
     half = len(slots) // 2
     first, whole = Counter(s for _, s in slots[:half]), Counter(s for _, s in slots)
     assert all(abs(first[s] - n / 2) < 6 for s, n in whole.items())
@@ -83,6 +83,48 @@ def test_mixture_slots_follow_the_shares(spark, sf):
     assert max(r["sum(hi)"] - r["sum(lo)"] for r in words) == 64
 
 
+def test_mixture_is_what_the_schedule_takes(spark, sf):
+    docs = table(spark, sf, "documents")
+    found, mix = mixing.mix_sources(docs, block_words=64)
+    last = mix.agg({"slot": "max"}).first()[0]
+    cut, part = mixing.mix_sources(docs, block_words=64, n_slots=last // 2)
+    assert part.agg({"slot": "max"}).first()[0] < last // 2
+    by_source = lambda f: {r["source"]: r["n"] for r in f.groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    whole, half = by_source(found), by_source(cut)
+    assert all(abs(half[s] - n / 2) <= 6 * 64 for s, n in whole.items())
+    # Of a document, what the slots before the end say, and nothing without a slot
+    expected = Counter()
+    for r in mix.filter(f"slot < {last // 2}").collect():
+        expected[r.doc_id] += r.hi - r.lo
+    assert {r.doc_id: r.taken for r in cut.collect() if r.taken} == dict(expected)
+    none, _ = mixing.mix_sources(docs, n_slots=0)
+    assert none.agg({"taken": "sum"}).first()[0] == 0 and none.count() == docs.count()
+
+
+def test_golden_points_are_a_permutation():
+    for n in (0, 1, 2, 3, 100, 6765):
+        number, before = mixing.golden_fractions(n)
+        assert number >= max(n, 2) and sorted(i * before % number for i in range(number)) == list(range(number))
+
+
+def test_many_sources(spark, tmp_path, monkeypatch):
+    """A source for every other document, joined by shuffle."""
+    from conftest import save
+
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(0, 40), f"s{i // 2:03}" if i < 300 else "hot") for i in range(450)]
+    folder = save(tmp_path, rows)
+    small = got(spark, "op2_source_mixture", folder, ["doc_id", "size", "source_size", "target", "taken", "first_slot"])
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    same(small, got(spark, "op2_source_mixture", folder, ["doc_id", "size", "source_size", "target", "taken", "first_slot"]))
+    size, target = brute.targets(rows)
+    source, taken = {d: s for d, _, s in rows}, defaultdict(int)
+    for r in small:
+        assert abs(r[3] - float(target[source[r[0]]])) < 1e-6
+        taken[source[r[0]]] += r[4]
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
 @pytest.mark.parametrize("name", ["op3_cotraining", "op4_char_nbsvm"])
 def test_scores_are_whole_and_in_range(spark, folder, name):
     result = got(spark, name, folder, ["doc_id", "held_out", "score", "predicted"])
