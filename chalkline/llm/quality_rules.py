@@ -1,12 +1,16 @@
 """Quality rules with verdicts on hosts.
 
-Every document is measured in one vectorised pass; its rule failures are then summed by host, the hosts' failure
-rates are shrunk towards an empirical beta prior (fitted to all hosts by the method of moments), and the verdict
-on a host is joined back to its documents. A host with few documents thus needs more evidence than a large one.
-
-Cases: a null or empty text has no words and fails the rule on length; a null host is a host of its own, compared
-null-safely; repeated rows each count and each get a verdict; an empty table gives an empty result; columns of the
-input other than those named are not read.
+Every document is measured in one vectorised pass; its rule failures are then summed by host. The prior of a rule is a
+beta distribution fitted to the hosts' failures as beta-binomial counts, by moments weighted with documents, so the
+noise of small hosts isn't taken for difference between hosts. A host's rate is shrunk towards it, and the host is
+rejected for a rule if its posterior rate lies above a limit by ``certainty`` standard deviations: a host with few
+documents needs more evidence than a large one. The limit is ``max_host_rate``, or ``above_prior`` above the corpus
+rate where that is more, so a rule that all hosts fail alike rejects none. Verdicts are joined back to the documents.
+
+Cases: a null or empty text has no words and fails the rule on length; a very long text is measured whole, in a chunk
+of its own; a null host is a host of its own, compared null-safely; ties don't occur (a host at the limit stays);
+repeated rows each count and each get a verdict; an empty table gives an empty result; columns of the input other
+than those named are not read, and the three result columns have names to choose, for tables that have them.
 """
 
 from collections.abc import Iterator
@@ -38,9 +42,11 @@ class HostRules:
     max_repeat_pct: int = 20
     max_symbols_per_char: float = 0.1
     max_dup_line_share: float = 0.3
-    max_host_rate: float = 0.5
+    max_host_rate: float = 0.3
+    above_prior: float = 0.25
+    certainty: float = 2.0
     #: The prior counts as so many documents at least and at most.
-    prior_strength: tuple[float, float] = (2.0, 1e4)
+    prior_strength: tuple[float, float] = (1.0, 1e4)
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -115,39 +121,54 @@ def failures(rules: str, limits: HostRules) -> dict[str, F.Column]:
 def host_verdicts(measured: DataFrame, host: str, rules: str, limits: HostRules) -> DataFrame:
     """A row for each host: documents, failure rates raw and shrunk, and ``host_ok``; a written table.
 
-    ``measured`` is read twice, so it should be a written table. The hosts are summed with partial aggregates, so
-    a host with a third of all rows sends one row a task. The prior of a rule has the mean and the variance of the
-    hosts' rates; where they don't vary, it has the largest strength.
+    ``measured`` should be a written table, as it is read twice. The hosts are summed with partial aggregates, so
+    a host with a third of all rows sends one row a task.
     """
     failed = failures(rules, limits)
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(c).alias(f"n_{k}") for k, c in failed.items()))
-    rates = {k: F.col(f"n_{k}") / F.col("n_docs") for k in failed}
-    moments = hosts.agg(*(f for k, r in rates.items() for f in (F.avg(r).alias(f"mean_{k}"), F.var_pop(r).alias(f"var_{k}")))).first()
-    low, high = limits.prior_strength
+    counted = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(c).alias(f"n_{k}") for k, c in failed.items()))
+    hosts = scratch_table(counted, "host-counts")
+    n = F.col("n_docs")
+    sums = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n_docs").alias("n"), F.sum(n.cast("double") * n).alias("nn"), *(f for k in failed for f in (F.sum(f"n_{k}").alias(f"k_{k}"), F.sum(F.col(f"n_{k}").cast("double") * F.col(f"n_{k}") / n).alias(f"kk_{k}")))).first()
     ok = F.lit(True)
-    for k, rate in rates.items():
-        mean, var = moments[f"mean_{k}"] or 0.0, moments[f"var_{k}"] or 0.0
-        strength = min(max(mean * (1 - mean) / var - 1, low), high) if var > 0 else high
-        shrunk = (F.col(f"n_{k}") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-        hosts = hosts.withColumn(f"rate_{k}", rate).withColumn(f"shrunk_{k}", shrunk)
-        ok = ok & (F.col(f"shrunk_{k}") <= limits.max_host_rate)
+    for k in failed:
+        mean, strength = beta_prior(sums["h"], sums["n"] or 0, sums["nn"] or 0.0, sums[f"k_{k}"] or 0, sums[f"kk_{k}"] or 0.0, limits.prior_strength)
+        total = n + F.lit(strength)
+        shrunk = (F.col(f"n_{k}") + F.lit(mean * strength)) / total
+        limit = max(limits.max_host_rate, mean + limits.above_prior)
+        hosts = hosts.withColumn(f"rate_{k}", F.col(f"n_{k}") / n).withColumn(f"shrunk_{k}", shrunk)
+        ok = ok & (shrunk - limits.certainty * F.sqrt(shrunk * (1 - shrunk) / (total + 1)) <= limit)
     return scratch_table(hosts.withColumn("host_ok", ok), "hosts")
 
 
+def beta_prior(hosts: int, n: int, nn: float, k: int, kk: float, bounds: tuple[float, float]) -> tuple[float, float]:
+    """(mean, strength) of the beta prior from sums over hosts of documents, their squares, failures, failures squared over documents.
+
+    The moments of beta-binomial counts, weighted by documents: what the rates vary beyond binomial noise is the
+    share rho of the prior's variance, and 1 / rho - 1 its strength.
+    """
+    low, high = bounds
+    if not n:
+        return 0.0, high
+    mean = k / n
+    noise, spread = hosts - 1, n - nn / n
+    if mean <= 0 or mean >= 1 or spread <= noise:
+        return mean, high
+    rho = ((kk - n * mean * mean) / (mean * (1 - mean)) - noise) / (spread - noise)
+    return mean, high if rho <= 1 / (1 + high) else max(low, 1 / rho - 1)
+
+
 def apply_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limits: HostRules = HostRules(), out: str = "rules", failed: str = "base_failed", kept: str = "kept") -> DataFrame:
     """``keep`` of every document, the struct ``out`` of its counts, ``base_failed`` and ``kept`` (names to choose, where ``keep`` has them).
 
-    The measured rows are written once, without texts. Rejected hosts are joined back: broadcast up to BROADCAST_BYTES,
-    which is checked, and by a shuffle join beyond, where Spark splits hot hosts. Where the text is one of
-    ``keep``, it is measured again for the result instead of being written with the rows.
+    The measured rows are written once (with the text, where that is one of ``keep``), so no text is measured twice.
+    Rejected hosts are joined back: broadcast up to BROADCAST_BYTES, which is checked, and by a shuffle join beyond,
+    where Spark splits hot hosts.
     """
-    light = [k for k in dict.fromkeys([*keep, host]) if k != text]
-    measured = scratch_table(rule_counts(docs, light, text, out), "rules")
+    measured = scratch_table(rule_counts(docs, list(dict.fromkeys([*keep, host])), text, out), "rules")
     verdicts = host_verdicts(measured, host, out, limits).filter("NOT host_ok").select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
     size = verdicts.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__host"), F.lit(0)) + 64), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         verdicts = F.broadcast(verdicts)
-    rows = measured if text not in keep else rule_counts(docs, list(dict.fromkeys([*keep, host])), text, out)
-    joined = rows.join(verdicts, rows[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left")
+    joined = measured.join(verdicts, measured[f"`{host}`"].eqNullSafe(verdicts["__host"]), "left")
     base = base_failed(out, limits)
     return joined.select(*(F.col(f"`{k}`") for k in keep), out, base.alias(failed), (~base & F.coalesce("__ok", F.lit(True))).alias(kept))

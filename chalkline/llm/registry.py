@@ -118,4 +118,28 @@ parts AS (SELECT row, sid, unnest(range(a // {mixing.BLOCK_WORDS}, (z - 1) // {m
 taken AS (SELECT row, sum(least((block + 1) * {mixing.BLOCK_WORDS}, z) - greatest(block * {mixing.BLOCK_WORDS}, a))::BIGINT AS taken, min(slot) AS first_slot FROM parts JOIN slots USING (sid, block) GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM placed LEFT JOIN taken USING (row)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE}
+_LIMITS = quality_rules.HostRules()
+_RULES = ("short", "repeats", "symbols", "dup_lines")
+_FAILS = "[" + ", ".join(f"n_{k}" for k in _RULES) + "]"
+
+#: The rules and the hosts' posterior rates in SQL.
+_HOST_RULES = f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT row, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t)),
+g AS (SELECT row, i, w, lead(w, 4) OVER o IS NOT NULL AS whole, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS gram FROM w WINDOW o AS (PARTITION BY row ORDER BY i)),
+r AS (SELECT row, i, w, whole AND count(*) FILTER (whole) OVER (PARTITION BY row, gram) > 1 AS often FROM g),
+h AS (SELECT row, length(w) AS n, bool_or(often) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM r),
+words AS (SELECT row, count(*) AS n_words, sum(n)::BIGINT AS word_chars, count_if(hit)::BIGINT AS n_repeat_words FROM h GROUP BY row),
+l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY row),
+m AS (SELECT doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN words USING (row) LEFT JOIN dup USING (row)),
+f AS (SELECT *, n_words < {_LIMITS.min_words} AS short, 100 * n_repeat_words > {_LIMITS.max_repeat_pct} * n_words AS repeats, n_symbols > {_LIMITS.max_symbols_per_char}::DOUBLE * word_chars AS symbols, n_dup_lines > {_LIMITS.max_dup_line_share}::DOUBLE * n_lines AS dup_lines FROM m),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count_if({k})::DOUBLE AS n_{k}" for k in _RULES)} FROM f GROUP BY source),
+each AS (SELECT source, n, unnest({_FAILS}) AS k, unnest(range({len(_RULES)})) AS rule FROM hosts),
+sums AS (SELECT rule, count(*) AS h, sum(n) AS n, sum(n * n) AS nn, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk FROM each GROUP BY rule),
+rho AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND n - nn / n > h - 1 THEN ((kk - n * mean * mean) / (mean * (1 - mean)) - (h - 1)) / (n - nn / n - (h - 1)) ELSE 0 END AS rho FROM sums),
+prior AS (SELECT rule, mean, CASE WHEN rho <= 1.0::DOUBLE / (1 + {_LIMITS.prior_strength[1]}::DOUBLE) THEN {_LIMITS.prior_strength[1]}::DOUBLE ELSE greatest({_LIMITS.prior_strength[0]}::DOUBLE, 1 / rho - 1) END AS strength FROM rho),
+post AS (SELECT source, n + strength + 1 AS total, (k + mean * strength) / (n + strength) AS p, greatest({_LIMITS.max_host_rate}::DOUBLE, mean + {_LIMITS.above_prior}::DOUBLE) AS most FROM each JOIN prior USING (rule)),
+verdicts AS (SELECT source, bool_and(p - {_LIMITS.certainty}::DOUBLE * sqrt(p * (1 - p) / total) <= most) AS ok FROM post GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND ok AS kept FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op10_host_rules": _HOST_RULES}

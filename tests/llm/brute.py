@@ -153,11 +153,18 @@ def host_rules(rows):
         fails[host].append((c[0] < 10, 100 * c[4] > 20 * c[0], c[2] > 0.1 * c[1], c[3] > 0.3 * c[5]))
     bad = set()
     for k in range(4):
-        rate = {h: sum(f[k] for f in x) / len(x) for h, x in fails.items()}
-        mean = sum(rate.values()) / max(1, len(rate))
-        var = sum((r - mean) ** 2 for r in rate.values()) / max(1, len(rate))
-        strength = min(max(mean * (1 - mean) / var - 1, 2.0), 1e4) if var > 0 else 1e4
-        bad |= {h for h, x in fails.items() if (sum(f[k] for f in x) + mean * strength) / (len(x) + strength) > 0.5}
+        n, fail = {h: len(x) for h, x in fails.items()}, {h: sum(f[k] for f in x) for h, x in fails.items()}
+        total = sum(n.values())
+        mean, strength = sum(fail.values()) / max(1, total), 1e4
+        noise, spread = len(n) - 1, total - sum(x * x for x in n.values()) / max(1, total)
+        if 0 < mean < 1 and spread > noise:
+            seen = sum(n[h] * (fail[h] / n[h] - mean) ** 2 for h in n) / (mean * (1 - mean))
+            rho = (seen - noise) / (spread - noise)
+            strength = 1e4 if rho <= 1 / (1 + 1e4) else max(1.0, 1 / rho - 1)
+        for h in n:
+            a, b = fail[h] + mean * strength, n[h] - fail[h] + (1 - mean) * strength
+            if a / (a + b) - 2 * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5 > max(0.3, mean + 0.25):
+                bad.add(h)
     return [(r[0], *c[:5], b, not b and r[2] not in bad) for r, c, b in zip(rows, own, base, strict=True)]
 
 

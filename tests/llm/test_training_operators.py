@@ -243,6 +243,26 @@ def test_host_rules(spark, folder):
     same(got(spark, "op10_host_rules", folder), brute.host_rules(rows_of(folder, "doc_id", "text", "source")))
 
 
+def test_hosts_fall(spark, tmp_path):
+    """Hosts whose documents fail often lose their good documents too; a small host needs more evidence."""
+    from conftest import save
+
+    rng = random.Random(6)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    noisy = lambda: " ".join("#" + w for w in good().split())
+    hosts = {"bad": (30, 10), "good": (2, 58), "one": (1, 0), "few": (2, 1), None: (25, 3), **{f"h{i}": (0, 6) for i in range(30)}}
+    rows, n = [], 0
+    for host, (fails, passes) in hosts.items():
+        for text in [*(noisy() for _ in range(fails)), *(good() for _ in range(passes))]:
+            rows.append((n, text, host))
+            n += 1
+    result = got(spark, "op10_host_rules", save(tmp_path, rows))
+    same(result, brute.host_rules(rows))
+    kept = Counter(host for (_, _, host), r in zip(rows, sorted(result), strict=True) if r[-1])
+    assert not any(r[-2] for r in result)
+    assert "bad" not in kept and None not in kept and kept["good"] == 60 and kept["one"] == 1 and kept["few"] == 3 and kept["h3"] == 6
+
+
 # --- repeated rows, null ids, empty tables -----------------------------------------------------------------------
 
 
