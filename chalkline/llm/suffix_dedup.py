@@ -4,22 +4,27 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 all moved: every string of LENGTH bytes has a minimizer (the smallest hash of its GRAM-byte substrings), and a unit is
 a run of consecutive string starts with the same minimizer, about one for 16 bytes.
 
-1. Units are found where the texts are read and dealt by their minimizer, as packed arrays: a few rows for each task
-   and partition. Equal units of a batch are resolved there (pre-aggregation), so of copies one unit a batch moves.
-2. A partition orders its units. Equal units (same bytes) of a larger id are repeats as a whole. A minimizer with one
-   unit's bytes only needs no more work; with several, their strings must be told apart.
-3. The bytes of those units, of the smallest document that has each, are fetched and dealt by minimizer (those of a
-   very frequent minimizer string by string, by hash). A partition takes their suffixes, leaves out those that can't
-   recur, and sorts the rest (deep-shallow: multikey quicksort, then blind tries); in every group of equal strings all
-   but the smallest document's are repeats.
+1. Units are found where the texts are read, and their minimizers dealt by hash as packed arrays: a few rows for each
+   task and partition. Of equal units of a batch (found by hash, then compared byte for byte) one moves on, the others
+   are repeats. A minimizer with several different units in a batch is frequent: its units don't move in this step,
+   only a mark does.
+2. A partition finds the minimizers that recur in other documents. All others can't hold a repeat, whatever their
+   hash met: hashes deal and filter here, they decide nothing.
+3. The bytes of the units of recurring minimizers are fetched and dealt by minimizer (those of frequent minimizers
+   string by string, by the strings' hashes). A partition sorts its units (deep-shallow: multikey quicksort, then blind
+   tries); of equal ones all but the smallest document's are repeats as a whole. Of the different units that are
+   left it takes the suffixes that may recur and sorts these in the same way; in every group of equal strings all but
+   the smallest document's are repeats.
 4. The runs of all steps come together by document, and its text is cut.
 
-Units are told apart by 96 bits of hash; strings by their bytes. A text crosses a shuffle once: both joins read the
-same exchange.
+A repeat is thus decided by bytes, in a sorted order or by direct comparison. Pre-filters can't lose one: equal bytes
+have equal hashes. A text crosses a shuffle once: both joins read the same exchange.
 
-Cases: null and empty texts have no bytes; a text shorter than LENGTH loses nothing; a null doc_id is neither smaller
-nor larger than others, so nothing is removed there or because of it; rows that repeat a doc_id are one document (no
-removal between them; a removal applies at its place in each); an empty table gives an empty result.
+Cases: null and empty texts have no bytes; a text shorter than LENGTH loses nothing; a very long text is handled whole,
+its units are spread over all partitions; ties (equal strings of one document) are no repeats of each other; a null
+doc_id is neither smaller nor larger than others, so nothing is removed there or because of it; rows that repeat a
+doc_id are one document (no removal between them; a removal applies at its place in each); an empty table gives an
+empty result; only doc_id and text are read, so extra columns never clash.
 """
 
 import hashlib
@@ -41,8 +46,8 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Text that a task gathers before it packs its units, text that it handles at a time, and units of a partition.
 BATCH_BYTES, PIECE_BYTES, PARTITION_UNITS = 8 << 20, 1 << 18, 500_000
-#: Different units of one minimizer above which their strings are dealt by their own hashes.
-HOT_UNITS = 20_000
+#: Units of one minimizer above which their strings are dealt by their own hashes: of all batches, of one batch.
+HOT_UNITS, HOT_BATCH = 20_000, 16
 #: Strings that a task sorts at a time, about.
 SORTED_STRINGS = 100_000
 #: Bytes of a unit at most, and bytes around a minimizer that any string of it shares on one side.
@@ -124,13 +129,20 @@ def _unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
     return out
 
 
-def _later(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For rows in order of ``doc``: has an equal key occurred in a smaller document?"""
+def _verified(keys: np.ndarray, doc: np.ndarray, rows_at) -> np.ndarray:
+    """For rows in order of ``doc``: is a row of a smaller document with an equal key equal in bytes, too?
+
+    ``rows_at`` gives the byte rows of numbers; a row is compared with the first of its key.
+    """
     order = np.argsort(keys, kind="stable")
     same = np.concatenate(([False], keys[order][1:] == keys[order][:-1]))
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))]
     out = np.zeros(len(keys), bool)
-    out[order] = doc[order] > doc[order][first]
+    for i in range(0, len(keys), 1 << 14):
+        own, ahead = order[i : i + (1 << 14)], first[i : i + (1 << 14)]
+        later = doc[own] > doc[ahead]
+        own, ahead = own[later], ahead[later]
+        out[own] = (rows_at(own) == rows_at(ahead)).all(axis=1)
     return out
 
 
@@ -142,32 +154,54 @@ def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
 
 
+def _unit_rows(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The units' bytes, with zeros after their end and their number of strings as the last byte."""
+    reach = count + LENGTH - 1
+    rows = _window(data, start, UNIT_BYTES + 1) * (np.arange(UNIT_BYTES + 1) < reach[:, None])
+    rows[:, -1] = count
+    return rows
+
+
 def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
-    """Packed units by partition (kind 0), and runs that are known to be repeats (kind 1, any partition)."""
+    """Packed units by partition (kind 0), runs that are repeats (kind 1) and runs of frequent minimizers (kind 3).
+
+    A unit of 0 strings among those of kind 0 marks a frequent minimizer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, ["doc_id", "text"], BATCH_BYTES):
             ids = batch.column("doc_id").to_numpy()
-            found = []
+            found, pieces, base = [], [], 0
             for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
-                of, *rest = units(chunk)
-                found.append((ids[of + chunk.first], *rest))
+                of, at, *rest = units(chunk)
+                found.append((ids[of + chunk.first], at, *rest, at + chunk.offsets[of] + base))
+                pieces.append(chunk.data)
+                base += len(chunk.data)
             if not found:
                 continue
-            doc, at, count, anchor, whole = (np.concatenate(x) for x in zip(*found, strict=True))
-            repeat = _later(C.mix(anchor + whole), doc)
+            doc, at, count, anchor, whole, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            data = np.concatenate((*pieces, np.zeros(UNIT_BYTES + 1, np.uint8)))
+            repeat = _verified(C.mix(anchor + whole), doc, lambda i: _unit_rows(data, start[i], count[i]))
             rows = []
             if repeat.any():
                 rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], count[repeat])))
-            doc, at, count, anchor, whole = (x[~repeat] for x in (doc, at, count, anchor, whole))
+            doc, at, count, anchor = (x[~repeat] for x in (doc, at, count, anchor))
+            del found, pieces, data, start, whole
+            several, of, times = np.unique(anchor, return_inverse=True, return_counts=True)
+            hot = times[of] >= HOT_BATCH
+            if hot.any():
+                rows.append((int(ids[0]) % parts, 3, _pack(doc[hot], at[hot], count[hot])))
+            marked = several[times >= HOT_BATCH]
+            none = np.zeros(len(marked), np.int64)
+            doc, at, count, anchor = (np.concatenate(x) for x in ((doc[~hot], none), (at[~hot], none), (count[~hot], none), (anchor[~hot], marked)))
             part = ((C.mix(anchor) >> _U(32)) * _U(parts)) >> _U(32)  # minimizers are small numbers, so they are hashed again
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            low, high = anchor.view(np.uint8).reshape(-1, 8)[:, :5], whole.view(np.uint8).reshape(-1, 8)[:, :7]
+            low = anchor.view(np.uint8).reshape(-1, 8)[:, :5]
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[p] : ends[p + 1]]
-                rows.append((p, 0, _pack(doc[own], at[own], count[own], low[own], high[own])))
-            del found, doc, at, count, anchor, whole, order, low, high
+                rows.append((p, 0, _pack(doc[own], at[own], count[own], low[own])))
+            del doc, at, count, anchor, order, low, several, of, times
             for i in range(0, len(rows), 64):
                 yield _blob_batch(rows[i : i + 64])
             C.release_memory()
@@ -196,43 +230,42 @@ def _run_batch(kind: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBat
 
 
 def judge_units(blobs: DataFrame, parts: int) -> DataFrame:
-    """Runs that repeat a smaller document as whole units, and runs whose strings must be told apart.
+    """Runs that are known to be repeats, and runs of minimizers that recur in other documents.
 
-    The latter name the partition that holds all units of their minimizer, or -1 if these are very many.
+    The latter name the partition of their minimizer, or -1 if it is frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         part = 0
         for batch in batches:
-            for part, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                if kind:
+            for p, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+                if kind == 1:
                     yield _run_batch(_REPEATED, *_unpack(blob.as_buffer().to_pybytes()))
+                elif kind == 3:
+                    doc, at, count = _unpack(blob.as_buffer().to_pybytes())
+                    yield _run_batch(_CONTESTED, doc, at, count, np.full(len(doc), -1))
                 else:
-                    doc, at, count, low, high = _unpack(blob.as_buffer().to_pybytes(), 5, 7)
-                    keys = np.zeros((len(doc), 16), np.uint8)
-                    keys[:, :5], keys[:, 8:15] = low, high
-                    held.append([doc, at.astype(np.int32), count.astype(np.int8), *keys.view("<u8").T])
+                    part = p
+                    doc, at, count, low = _unpack(blob.as_buffer().to_pybytes(), 5)
+                    keys = np.zeros((len(doc), 8), np.uint8)
+                    keys[:, :5] = low
+                    held.append([doc, at.astype(np.int32), count.astype(np.int8), keys.view("<u8")[:, 0]])
         if not held:
             return
-        doc, at, count, anchor, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, at, count, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((doc, whole, anchor))
-        doc, at, count, anchor, whole = (x[order] for x in (doc, at, count, anchor, whole))
+        order = np.argsort(anchor, kind="stable")
+        doc, at, count, anchor = (x[order] for x in (doc, at, count, anchor))
         del order
-        new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new_unit = new_anchor | np.concatenate(([True], whole[1:] != whole[:-1]))
-        first = np.maximum.accumulate(np.where(new_unit, np.arange(len(doc)), 0))
-        repeat = doc > doc[first]
-        yield _run_batch(_REPEATED, doc[repeat], at[repeat], count[repeat])
-        # Minimizers with several units, not all first seen in one document
-        starts = np.flatnonzero(new_anchor)
+        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         sizes = np.diff(np.append(starts, len(doc)))
-        low, high = np.minimum.reduceat(doc[first], starts), np.maximum.reduceat(doc[first], starts)
-        contested = np.repeat(low < high, sizes) & ~repeat
-        where = np.repeat(np.where(np.add.reduceat(new_unit, starts, dtype=np.int64) > HOT_UNITS, -1, part), sizes)
-        yield _run_batch(_CONTESTED, doc[contested], at[contested], count[contested], where[contested])
-        del doc, at, count, anchor, whole, first, repeat, contested, where
+        hot = (np.minimum.reduceat(count, starts) == 0) | (sizes > HOT_UNITS)
+        recurs = hot | (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
+        use = np.repeat(recurs, sizes) & (count > 0)
+        where = np.repeat(np.where(hot, -1, part), sizes)
+        yield _run_batch(_CONTESTED, doc[use], at[use], count[use], where[use])
+        del doc, at, count, anchor, use, where
         C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)
@@ -245,8 +278,8 @@ def _window(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
 def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
     """The bytes of contested runs, packed by the partition of their minimizer (kind 0).
 
-    Runs of very frequent minimizers are packed as single strings by their hashes (kind 2); those that an equal one of
-    the batch shows to be repeats are told so (kind 1).
+    Runs of frequent minimizers are packed as single strings by their hashes (kind 2). Units and strings that an equal
+    one of the batch, compared byte for byte, shows to be repeats are told so (kind 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +298,8 @@ def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
                 sums, start = C.prefix_sums(chunk.data), at + chunk.offsets[of]
                 grams = start[:, None] + np.arange(SPAN)
                 anchor = np.argmin(C.span_hashes(sums, grams, grams + GRAM) >> _U(32), axis=1)
-                data = np.concatenate((chunk.data, np.zeros(UNIT_BYTES, np.uint8)))
-                unit = _window(data, start, UNIT_BYTES) * (np.arange(UNIT_BYTES) < (count + LENGTH - 1)[:, None])
+                data = np.concatenate((chunk.data, np.zeros(UNIT_BYTES + 1, np.uint8)))
+                unit = _unit_rows(data, start, count)
                 usual = part >= 0
                 held_units.append((ids[of + chunk.first][usual], at[usual], count[usual], part[usual], anchor[usual], unit[usual]))
                 of, at, count, start = of[~usual], at[~usual], count[~usual], start[~usual]
@@ -276,9 +309,13 @@ def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
             rows = []
             if held_units:
                 doc, at, count, part, anchor, unit = (np.concatenate(x) for x in zip(*held_units, strict=True))
+                repeat = _verified(row_hashes(lambda i, unit=unit: unit[i], np.arange(len(unit))), doc, lambda i, unit=unit: unit[i])
+                if repeat.any():
+                    rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], count[repeat])))
+                doc, at, count, part, anchor, unit = (x[~repeat] for x in (doc, at, count, part, anchor, unit))
                 rows += [(p, 0, _pack_bytes(doc[i], at[i], count[i], anchor[i], unit[i])) for p, i in _dealt(part)]
                 doc, at, hashes, strings = (np.concatenate(x) for x in zip(*held_strings, strict=True))
-                repeat = _later(hashes, doc)
+                repeat = _verified(hashes, doc, lambda i, strings=strings: strings[i])
                 if repeat.any():
                     rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], np.ones(int(repeat.sum())))))
                 doc, at, hashes, strings = doc[~repeat], at[~repeat], hashes[~repeat], strings[~repeat]
@@ -374,6 +411,16 @@ def hashed_strings(doc: np.ndarray, at: np.ndarray, rows: np.ndarray) -> Iterato
         yield doc[own], at[own], rows[own]
 
 
+def _repeated_rows(doc: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Numbers of the rows that are equal to a row of a smaller document, by sorting all of them."""
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    order, first = deep_shallow_sort(rows)
+    starts = np.flatnonzero(first)
+    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
+    return order[doc[order] > least]
+
+
 def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
     """Starts of strings that also start in a smaller document, from each partition's sorted suffixes."""
 
@@ -385,13 +432,20 @@ def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
                 if kind == 1:
                     yield _run_batch(_REPEATED, *_unpack(data))
                 elif kind == 0:
-                    units.append(_unpack_bytes(data, UNIT_BYTES))
+                    units.append(_unpack_bytes(data, UNIT_BYTES + 1))
                 else:
                     doc, at, _, _, rows = _unpack_bytes(data, LENGTH)
                     strings.append((doc, at, rows))
         several = []
         if units:
-            several.append(shared_strings(*(np.concatenate(x) for x in zip(*units, strict=True))))
+            doc, at, count, anchor, unit = (np.concatenate(x) for x in zip(*units, strict=True))
+            units.clear()
+            repeat = _repeated_rows(doc, unit)
+            yield _run_batch(_REPEATED, doc[repeat], at[repeat], count[repeat])
+            rest = np.ones(len(doc), bool)
+            rest[repeat] = False
+            several.append(shared_strings(*(x[rest] for x in (doc, at, count, anchor, unit))))
+            del doc, at, count, anchor, unit, rest
         if strings:
             several.append(hashed_strings(*(np.concatenate(x) for x in zip(*strings, strict=True))))
         units.clear()
@@ -399,12 +453,9 @@ def sort_strings(blobs: DataFrame, parts: int) -> DataFrame:
         for doc, at, rows in chain.from_iterable(several):
             if not len(doc):
                 continue
-            order, first = deep_shallow_sort(rows)
-            starts = np.flatnonzero(first)
-            least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
-            repeat = order[doc[order] > least]
+            repeat = _repeated_rows(doc, rows)
             yield _run_batch(_REPEATED, doc[repeat], at[repeat], np.ones(len(repeat), np.int64))
-            del doc, at, rows, order, first
+            del doc, at, rows
         C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)
@@ -443,8 +494,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes) of every document."""
     texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.filter("doc_id IS NOT NULL")
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * size // (16 * PARTITION_UNITS)))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (16 * PARTITION_UNITS)))
     found = scratch_table(judge_units(unit_blobs(named, parts), parts), "runs")
     contested = found.filter(F.col("kind") == _CONTESTED).select("doc_id", "runs")
     told = sort_strings(contested_blobs(named.join(_collected(contested), "doc_id"), parts), parts)

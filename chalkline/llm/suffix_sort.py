@@ -90,7 +90,14 @@ def deep_shallow_sort(rows: np.ndarray, shallow: int = SHALLOW_WORDS) -> tuple[n
         return order, first
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, n))
-    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+    # Groups whose rows are all equal to their first need no trie
+    ahead = order[np.repeat(starts, sizes)]
+    for i in range(0, n, 1 << 16):
+        first[i : i + (1 << 16)] = (rows[order[i : i + (1 << 16)]] != rows[ahead[i : i + (1 << 16)]]).any(axis=1)
+    mixed = np.logical_or.reduceat(first, starts)
+    first[starts] = True
+    for start, size in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+        first[start + 1 : start + size] = True
         members = order[start : start + size].tolist()
         trie = BlindTrie(rows[members[0]].tobytes(), members[0])
         for row in members[1:]:
