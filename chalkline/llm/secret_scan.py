@@ -1,16 +1,34 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order Markov chains over characters are trained from labelled samples: random strings (values that the
-patterns find, and seeded strings over common key alphabets) and identifiers (the sample's other tokens of eight characters,
-and names put together from common words). A token is reported when its log-likelihood ratio is high in total and
-for each character. The counts of a bounded sample (``sample_docs``) are summed by Spark; scoring covers every text.
-
-Cases: null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty result; with
-no sampled tokens the seeded strings and names alone train the models; other columns are not read.
+Two first-order Markov chains over characters are trained from labelled samples. Random strings are the keys and
+digests that the patterns find, and SEEDED drawn strings over the usual key alphabets, so that a corpus without keys has
+a model too; ordinary identifiers are all other tokens of MIN_WORD to MIN_TOKEN - 1 characters, and the
+names of Python's own library, for the same reason. Transitions are counted over all
+documents (a task yields a bounded table of counts, which Spark sums). A token of MIN_TOKEN characters or more
+outside the patterns' spans is reported when its log-likelihood ratio is high in total and for each character.
+
+Cases: null and empty texts have no spans; a very long text takes time in proportion to its length, however dense in
+spans it is (sorted sweeps, and one count of code points); ties (spans of one start) are ordered by kind; repeated
+rows are scanned each and count each in training; an empty table gives an empty result; only ``keep`` and text are
+read, and the result's column ``spans`` must not be one of ``keep``.
 """
 
+import argparse
+import builtins
+import collections
+import datetime
+import functools
 import itertools
+import json
+import logging
+import os
+import pathlib
+import random
 import re
+import string
+import threading
+import unittest
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +50,14 @@ _STATE = np.zeros(256, np.int64)
 _STATE[list(_TOKEN_BYTES)] = np.arange(len(_TOKEN_BYTES))
 N_STATES = len(_TOKEN_BYTES) + 1
 MIN_TOKEN, MIN_WORD = 20, 8
+#: Drawn strings in training, and the alphabets of keys (fixed values: digits by base, letters and digits, URL-safe base 64).
+SEEDED = 4000
+ALPHABETS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _TOKEN_BYTES[:62], _TOKEN_BYTES[:64], _TOKEN_BYTES[26:62])
 MIN_LLR, MIN_MEAN_LLR = 15.0, 0.6
 
+#: Modules whose names are a labelled sample of ordinary identifiers in every corpus.
+IDENTIFIERS_OF = (builtins, argparse, collections, datetime, functools, itertools, json, logging, os, pathlib, random, re, string, threading, unittest)
+
 Span = tuple[int, int, int]
 
 
@@ -50,6 +74,23 @@ def base_spans(text: bytes, hex_runs: list[tuple[int, int]], upper_runs: list[tu
     return sorted(found)
 
 
+def outside(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """The tokens (sorted) that no span (sorted by start) touches."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    found = []
+    for a, b in tokens:
+        i = bisect_right(ends, a)  # the first union of spans that ends after the token's begin
+        if i == len(ends) or starts[i] >= b:
+            found.append((a, b))
+    return found
+
+
 def scan(chunk: C.Chunk) -> Iterator[tuple[int, bytes, list[Span], list[tuple[int, int]]]]:
     """(text index, text, pattern spans, long tokens outside them) of the texts of a chunk that have any."""
     by_text: dict[int, tuple[list, list, list]] = {}
@@ -65,7 +106,7 @@ def scan(chunk: C.Chunk) -> Iterator[tuple[int, bytes, list[Span], list[tuple[in
         hexes, uppers, tokens = by_text.get(i, ([], [], []))
         text = chunk.text(i)
         spans = base_spans(text, hexes, uppers, bool(separated[i]))
-        free = [(a, b) for a, b in tokens if not any(s < b and a < e for s, _, e in spans)]
+        free = outside(tokens, spans)
         if spans or free:
             yield i, text, spans, free
 
@@ -76,11 +117,14 @@ def transitions(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_transitions(chunk: C.Chunk, secret: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The transitions of all tokens of MIN_WORD characters or more that no secret touches."""
+    """The transitions of the tokens of MIN_WORD to MIN_TOKEN - 1 characters that no secret touches.
+
+    Longer ones are what is to be told apart: they have no label, so they teach nothing.
+    """
     starts, ends, _ = C.runs(chunk, _TOKEN)
     sums = np.zeros(len(secret) + 1, np.int64)
     np.cumsum(secret, out=sums[1:])
-    use = (ends - starts >= MIN_WORD) & (sums[ends] == sums[starts])
+    use = (ends - starts >= MIN_WORD) & (ends - starts < MIN_TOKEN) & (sums[ends] == sums[starts])
     starts, sizes = starts[use], (ends - starts)[use]
     place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     states = _STATE[chunk.data[place]]
@@ -89,34 +133,27 @@ def _word_transitions(chunk: C.Chunk, secret: np.ndarray) -> tuple[np.ndarray, n
     return before, states
 
 
-def seeded_counts(strings: int = 4000) -> np.ndarray:
-    """Counts of both chains from seeded random strings (0) and from names of common words (1)."""
+def seeded_counts(strings: int = SEEDED) -> np.ndarray:
+    """Counts of both chains: those of drawn random strings (0), and of the names of Python's own library (1)."""
     rng = np.random.Generator(np.random.PCG64(7))
     counts = np.zeros((2, N_STATES, N_STATES))
-    for alphabet in (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _TOKEN_BYTES[:62], _TOKEN_BYTES[:64], _TOKEN_BYTES[26:62]):
-        for _ in range(strings // 5):
+    for alphabet in ALPHABETS:
+        for _ in range(strings // len(ALPHABETS)):
             word = np.frombuffer(alphabet, np.uint8)[rng.integers(0, len(alphabet), int(rng.integers(20, 45)))].tobytes()
             np.add.at(counts[0], transitions(word), 1)
-    words = "get set user name file path list item count total value index text page data table column row key map node tree code time date start end max min first last next read write open close load save new old test main local remote server client request response error message".split()
-    for a, b, c in itertools.islice(itertools.product(words, repeat=3), 0, None, 37):
-        for name in (f"{a}_{b}_{c}", f"{a}.{b}.{c}", f"{a}-{b}-{c}", a + b.title() + c.title(), f"{a}/{b}/{c}".upper()):
-            np.add.at(counts[1], transitions(name.encode()), 1)
+    for module in IDENTIFIERS_OF:
+        for name in dir(module):
+            np.add.at(counts[1], transitions(f"{module.__name__}.{name}".encode()), 1)
     return counts
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000) -> np.ndarray:
-    """Log-likelihood ratios of all transitions, random against ordinary.
-
-    The sample takes documents whose hashed id falls below ``sample_docs`` / (rows of the table).
-    """
-    rows = docs.count()
-    share = 1.0 if rows <= sample_docs else sample_docs / rows
-    taken = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+def train(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Log-likelihood ratios of all transitions, random against ordinary, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, N_STATES, N_STATES), np.int64)
         for batch in batches:
-            for chunk in C.text_chunks(batch.column("text")):
+            for chunk in C.text_chunks(batch.column(0)):
                 secret = np.zeros(len(chunk.data), bool)
                 for i, text, spans, _ in scan(chunk):
                     for a, k, b in spans:
@@ -127,7 +164,7 @@ def train(docs: DataFrame, sample_docs: int = 20_000) -> np.ndarray:
         label, a, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (label, a, b, counts[label, a, b])], names=["label", "a", "b", "n"])
 
-    summed = taken.mapInArrow(run, "label long, a long, b long, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
+    summed = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "label long, a long, b long, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n"))
     counts = seeded_counts()
     for label, a, b, n in summed.collect():
         counts[label, a, b] += n
@@ -138,7 +175,7 @@ def train(docs: DataFrame, sample_docs: int = 20_000) -> np.ndarray:
 def find_secrets(docs: DataFrame, keep: list[str], model: np.ndarray | None = None, min_llr: float = MIN_LLR, min_mean_llr: float = MIN_MEAN_LLR) -> DataFrame:
     """``keep`` of every document and its ``spans``, ordered by start and kind; places are code points, end exclusive."""
     if model is None:
-        model = train(docs.select("doc_id", "text"))
+        model = train(docs)
     ratios = docs.sparkSession.sparkContext.broadcast(model)
     read = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text"))
     schema = T.StructType([*read.drop("__text").schema, *T._parse_datatype_string("spans array<struct<kind:string,start:bigint,end:bigint>>")])
@@ -149,13 +186,17 @@ def find_secrets(docs: DataFrame, keep: list[str], model: np.ndarray | None = No
         for batch in batches:
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for chunk in C.text_chunks(batch.column("__text")):
+                points = np.zeros(len(chunk.data) + 1, np.int32)  # code points that begin before each byte
+                np.cumsum((chunk.data & 0xC0) != 0x80, out=points[1:])
                 for i, text, spans, free in scan(chunk):
                     for a, b in free:
                         total = float(llr[transitions(text[a:b])].sum())
                         if total >= min_llr and total >= min_mean_llr * (b - a):
                             spans.append((a, 3, b))
-                    place = lambda at, text=text: len(text[:at].decode("utf-8", "replace"))
-                    out[chunk.first + i] = [{"kind": KINDS[k], "start": place(a), "end": place(b)} for a, k, b in sorted(spans)]
+                    place = points[chunk.offsets[i] : chunk.offsets[i + 1] + 1] - points[chunk.offsets[i]]
+                    spans.sort()
+                    at, ends = (place[[s[n] for s in spans]].tolist() for n in (0, 2))
+                    out[chunk.first + i] = [{"kind": KINDS[s[1]], "start": a, "end": b} for s, a, b in zip(spans, at, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*keep, "spans"])
 
     return read.mapInArrow(run, schema)
