@@ -6,11 +6,18 @@ Both are logistic regressions. In each round either view labels the unlabelled d
 and the other view learns from them. At last both are calibrated on labelled documents that neither has seen, and a
 regression on the calibrated values of both gives the score of every document.
 
-The views are fitted on bounded samples: about ``train_docs`` labelled and ``pool_docs`` unlabelled documents at most,
-by hashed id. Every whole text of the table is scored. Documents whose hashed id falls in the held-out fold teach
-nothing. Cases: null and empty texts have all content features 0; null source or language is a value of its own; null
-labels teach nothing; repeated labels count as bad if one is; with one class only the score is its share for all; an
-empty table gives an empty result.
+The features of all documents are written once. Labelled rows are a bounded sample (about ``train_docs``, by hashed id);
+the unlabelled ones are all others: in every round either view scores all of them, the most certain are chosen over all
+of them (by a histogram that Spark sums), and the regressions' sums over all labelled and pseudo-labelled rows are
+taken in the tasks and added up in two steps, so the driver gets a few rows of fixed size. Which rows a view has taught
+follows from the models and cuts of the earlier rounds, so no state is written.
+
+Documents whose hashed id falls in the held-out fold teach nothing. Cases: null and empty texts have all content
+features 0; a very long text is measured whole; null source or language is a value of its own; null labels teach
+nothing; repeated labels count as bad if one is; repeated rows are scored each, one of them (the smallest features)
+stands for its id among labelled rows; documents of one certainty (a bin of 1/128 of a logit) are taken or left together;
+with one class only the score is its share for all; an empty table gives an empty result; only doc_id, text, source,
+lang and n_chars are read, so extra columns never clash.
 """
 
 from collections.abc import Iterator
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm import columnar as C
-from chalkline.llm.toxicity import held_out
+from chalkline.llm.toxicity import held_out, sampled
+from chalkline.sources.scratch import scratch_table
 
 SHAPES, STATS = 256, 8
 TEXT_DIM, META_DIM = SHAPES + STATS, 64 + 16 + 2
@@ -106,8 +114,19 @@ class Logistic:
                 break
         return cls(mean, scale, w)
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features with a one for the intercept."""
+        return np.hstack((np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))))
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return self.standard(x) @ self.weights
+
+    def stepped(self, sums: np.ndarray, l2: float = 1.0) -> "Logistic":
+        """A Newton step further, by the sums of ``newton_sums``."""
+        ridge = np.full(len(self.weights), l2)
+        ridge[-1] = 1e-6
+        step = np.linalg.solve(sums[:, 1:] + np.diag(ridge), sums[:, 0] - ridge * self.weights)
+        return Logistic(self.mean, self.scale, self.weights + step)
 
 
 @dataclass
@@ -128,81 +147,168 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, share: float = 0.05, certain: float = 0.95) -> tuple[Logistic, Logistic]:
-    """Both views after ``rounds``; y is 0 or 1, or -1 where unknown.
+#: Logits from the least certain one that counts, in bins.
+BINS_PER_LOGIT, MAX_LOGIT = 128, 30.0
+#: Rows of sums that reach the driver in a step.
+SUMS = 8
 
-    In a round a view passes on up to ``share`` of the pool's documents of either class, those it is most certain of and
-    at least ``certain``.
-    """
-    views, labels = (text, meta), [y.copy(), y.copy()]
-    models = [Logistic.fit(v[y >= 0], y[y >= 0]) for v in views]
-    most = max(1, int(share * (y < 0).sum()))
-    for _ in range(rounds):
+
+@dataclass
+class Lesson:
+    """A round's models, and the certainty (as a logit) from which teacher 0 or 1 passes on the labels 0 and 1."""
+
+    models: tuple[Logistic, Logistic]
+    cuts: np.ndarray  # by teacher and label
+
+
+def taught(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, lessons: list[Lesson]) -> list[np.ndarray]:
+    """Labels of both views' training: the known one, or what the other view was the first to be certain of, or -1."""
+    labels = [y.copy(), y.copy()]
+    for lesson in lessons:
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = sigmoid(models[teacher].logit(views[teacher]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                open_ = np.flatnonzero((labels[pupil] < 0) & (sure >= certain))
-                labels[pupil][open_[np.argsort(-sure[open_], kind="stable")[:most]]] = label
-        models = [Logistic.fit(v[l >= 0], l[l >= 0]) for v, l in zip(views, labels, strict=True)]
-    return models[0], models[1]
+            logit = lesson.models[teacher].logit(views[teacher])
+            open_ = labels[pupil] < 0
+            labels[pupil][open_ & (logit >= lesson.cuts[teacher][1])] = 1
+            labels[pupil][open_ & (-logit >= lesson.cuts[teacher][0])] = 0
+    return labels
 
 
-def _sampled(n: int, bound: int) -> Column:
-    share = 1.0 if n <= bound else bound / n
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float16).reshape(-1, TEXT_DIM + META_DIM).astype(np.float32)
+    return rows[:, :TEXT_DIM], rows[:, TEXT_DIM:]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 20_000, pool_docs: int = 20_000) -> Combined:
-    """Fit the views on bounded samples; a fifth of the labelled sample calibrates them."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    n_known, n_docs = known.count(), docs.count()
-    known = known.filter(_sampled(n_known, train_docs))
-    wanted = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", *meta_columns())
-    labelled = wanted.join(F.broadcast(known), "doc_id")  # about train_docs rows of two numbers at most
-    pool = wanted.filter(_sampled(n_docs, pool_docs)).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").withColumn("y", F.lit(-1))
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int").alias("fold")
-    rows = labelled.unionByName(pool).withColumn("fold", fold)
+def feature_table(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, y (-1 unknown), fold, teaches (may the row train?) and x (both views) of every row; a written table."""
+    number = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int").alias("fold")
+    rows = docs.select("doc_id", "text", *meta_columns()).join(F.broadcast(known), "doc_id", "left")  # about train_docs rows of two numbers at most
+    rows = rows.select("doc_id", "text", "m_source", "m_lang", "m_length", F.coalesce("y", F.lit(-1)).alias("y"), number, (F.col("doc_id").isNotNull() & ~held_out()).alias("teaches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [text_view(c) for c in C.text_chunks(batch.column("text"))]
-            x = np.hstack((np.concatenate(parts) if parts else np.zeros((0, TEXT_DIM), np.float32), meta_view(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "fold", "x"])
+            x = np.hstack((np.concatenate(parts) if parts else np.zeros((0, TEXT_DIM), np.float32), meta_view(batch))).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "fold", "teaches")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "fold", "teaches", "x"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return scratch_table(rows.mapInArrow(run, f"doc_id {kind}, y int, fold int, teaches boolean, x binary"), "features")
+
+
+def certain_counts(pool: DataFrame, models: tuple[Logistic, Logistic], lessons: list[Lesson], certain: float) -> np.ndarray:
+    """Open documents by teacher, label and bin of certainty, over the whole pool."""
+    least = float(np.log(certain / (1 - certain)))
+    bins = int(np.ceil((MAX_LOGIT - least) * BINS_PER_LOGIT))
+    shared = pool.sparkSession.sparkContext.broadcast((models, lessons))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, lessons = shared.value
+        counts = np.zeros((2, 2, bins), np.int64)
+        for batch in batches:
+            views = _features(batch)
+            labels = taught(views, np.full(batch.num_rows, -1), lessons)
+            for teacher, pupil in ((0, 1), (1, 0)):
+                logit = models[teacher].logit(views[teacher])[labels[pupil] < 0]
+                for label, sure in ((1, logit), (0, -logit)):
+                    at = np.floor((np.minimum(sure[sure >= least], MAX_LOGIT) - least) * BINS_PER_LOGIT).astype(np.int64)
+                    np.add.at(counts[teacher, label], np.minimum(at, bins - 1), 1)
+        teacher, label, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (teacher, label, at, counts[teacher, label, at])], names=["teacher", "label", "bin", "n"])
+
+    out = np.zeros((2, 2, bins), np.int64)
+    for teacher, label, at, n in pool.mapInArrow(run, "teacher long, label long, bin long, n long").groupBy("teacher", "label", "bin").agg(F.sum("n")).collect():
+        out[teacher, label, at] = n
+    return out
+
+
+def cuts_of(counts: np.ndarray, most: int, certain: float) -> np.ndarray:
+    """By teacher and label: the lowest certainty above which ``most`` open documents lie at most (the highest bin at least)."""
+    least = float(np.log(certain / (1 - certain)))
+    cuts = np.full(counts.shape[:2], np.inf)
+    for place in np.ndindex(counts.shape[:2]):
+        filled = np.flatnonzero(counts[place])
+        if len(filled):
+            above = np.cumsum(counts[place][::-1])[::-1]
+            fits = np.flatnonzero(above <= most)
+            cuts[place] = least + min(int(fits[0]) if len(fits) else len(above), int(filled[-1])) / BINS_PER_LOGIT
+    return cuts
+
+
+def newton_sums(rows: DataFrame, models: tuple[Logistic, Logistic], lessons: list[Lesson]) -> list[np.ndarray]:
+    """For both views the gradient and curvature sums over all rows that are labelled or taught, as one matrix."""
+    sizes = [len(m.weights) for m in models]
+    shared = rows.sparkSession.sparkContext.broadcast((models, lessons))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, lessons = shared.value
+        sums = [np.zeros((k, k + 1)) for k in sizes]
+        for batch in batches:
+            views = _features(batch)
+            for view, model, label, total in zip(views, models, taught(views, batch.column("y").to_numpy().copy(), lessons), sums, strict=True):
+                use = label >= 0
+                z = model.standard(view[use])
+                p = sigmoid(z @ model.weights)
+                total[:, 0] += z.T @ (label[use] - p)
+                total[:, 1:] += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(s.tobytes() for s in sums)], pa.binary())], names=["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sum(k * (k + 1) for k in sizes))
+        for batch in batches:
+            for part in batch.column("sums"):
+                total += np.frombuffer(part.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    sample = rows.mapInArrow(run, "y int, fold int, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, TEXT_DIM + META_DIM)
+    parts = rows.mapInArrow(run, "sums binary").repartition(SUMS).mapInArrow(add, "sums binary").collect()
+    total = np.sum([np.frombuffer(bytes(r[0])) for r in parts], axis=0)
+    return [m.reshape(k, k + 1) for m, k in zip(np.split(total, [sizes[0] * (sizes[0] + 1)]), sizes, strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 20_000, rounds: int = 4, share: float = 0.05, certain: float = 0.95, steps: int = 3) -> tuple[Combined, DataFrame]:
+    """(the model, the features of all rows). A fifth of the labelled sample calibrates the views.
+
+    In a round a view passes on up to ``share`` of the unlabelled documents to either class, those it is most certain of
+    and at least ``certain``; both regressions then take ``steps`` Newton steps on.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    known = known.filter(sampled(known.count(), train_docs))
+    features = feature_table(docs, known)
+    sample = features.filter("y >= 0 AND teaches").groupBy("doc_id").agg(F.min(F.struct("y", "fold", "x")).alias("r")).select("r.*").toArrow().combine_chunks()
     y, fold = sample.column("y").to_numpy(), sample.column("fold").to_numpy()
     good, bad = int((y == 1).sum()), int((y == 0).sum())
     empty = Logistic(np.zeros(1), np.ones(1), np.zeros(2))
-    checks = (y >= 0) & (fold == 1)
-    learn = ~checks
-    if any(len(set(y[part & (y >= 0)].tolist())) < 2 for part in (checks, learn)):
-        return Combined(empty, empty, empty, empty, empty, (good + 1) / (good + bad + 2))
-    text, meta = x[:, :TEXT_DIM], x[:, TEXT_DIM:]
-    text_model, meta_model = cotrain(text[learn], meta[learn], y[learn])
+    checks = fold == 1
+    if any(len(set(y[part].tolist())) < 2 for part in (checks, ~checks)):
+        return Combined(empty, empty, empty, empty, empty, (good + 1) / (good + bad + 2)), features
+    views = _features(sample)
+    models = tuple(Logistic.fit(v[~checks], y[~checks]) for v in views)
+    pool = features.filter("y < 0 AND teaches")
+    rows = features.filter("teaches AND NOT (y >= 0 AND fold = 1)")
+    most, lessons = max(1, int(share * pool.count())), []
+    for _ in range(rounds):
+        lessons.append(Lesson(models, cuts_of(certain_counts(pool, models, lessons, certain), most, certain)))
+        for _ in range(steps):
+            models = tuple(m.stepped(s) for m, s in zip(models, newton_sums(rows, models, lessons), strict=True))
     known_y = y[checks].astype(float)
-    calibrate = [Logistic.fit(m.logit(v[checks])[:, None], known_y) for m, v in ((text_model, text), (meta_model, meta))]
-    model = Combined(text_model, meta_model, *calibrate, empty)
-    model.join = Logistic.fit(model.views(text[checks], meta[checks]), known_y)
-    return model
+    calibrate = [Logistic.fit(m.logit(v[checks])[:, None], known_y) for m, v in zip(models, views, strict=True)]
+    model = Combined(*models, *calibrate, empty)
+    model.join = Logistic.fit(model.views(views[0][checks], views[1][checks]), known_y)
+    return model, features
 
 
-def score(docs: DataFrame, model: Combined) -> DataFrame:
-    """doc_id, text_score, meta_score and score (of good quality, 0 to 1) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    read = docs.select("doc_id", "text", *meta_columns())
+def score(features: DataFrame, model: Combined) -> DataFrame:
+    """doc_id, text_score, meta_score and score (of good quality, 0 to 1) of every row of ``feature_table``."""
+    shared = features.sparkSession.sparkContext.broadcast(model)
     names = ["text_score", "meta_score", "score"]
-    schema = T.StructType([read.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in names)])
+    schema = T.StructType([features.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            parts = [text_view(c) for c in C.text_chunks(batch.column("text"))]
-            if model.share is not None or not parts:
+            if model.share is not None or not batch.num_rows:
                 values = [np.full(batch.num_rows, model.share or 0.0)] * 3
             else:
-                views = model.views(np.concatenate(parts), meta_view(batch))
+                views = model.views(*_features(batch))
                 values = [sigmoid(views[:, 0]), sigmoid(views[:, 1]), sigmoid(model.join.logit(views))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, values)], names=["doc_id", *names])
 
-    return read.mapInArrow(run, schema)
+    return features.select("doc_id", "x").mapInArrow(run, schema)

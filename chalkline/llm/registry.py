@@ -34,11 +34,10 @@ def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    documents = table(spark, sf_dir, "documents")
-    model = cotraining.train(documents, table(spark, sf_dir, "labels"))
+    model, features = cotraining.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
     score = F.col("score")
-    return cotraining.score(documents, model).select("doc_id", held_out, "text_score", "meta_score", "score", (score >= 0.5).cast("int").alias("predicted"), (score >= 0.5).alias("kept"))
+    return cotraining.score(features, model).select("doc_id", held_out, "text_score", "meta_score", "score", (score >= 0.5).cast("int").alias("predicted"), (score >= 0.5).alias("kept"))
 
 
 def op4_char_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

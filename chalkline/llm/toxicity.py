@@ -3,12 +3,15 @@
 A feature is the presence of a character n-gram (lower case, white space as one kind of space) in a text, hashed to
 2**BITS places. Its value is the log-count ratio of the toxic and other training texts; logistic regression on the
 ``n_features`` places with the most significant ratios gives the weights, so a score is a sum over a text's distinct
-n-grams. Training takes at most about ``train_docs`` labelled rows (by hashed id); counting is summed by Spark, and
-the regression fits the bounded sample's selected features. Every whole text of the table is scored.
-
-Cases: an empty or null text scores the intercept; unlabelled and null-labelled rows train nothing; repeated labels
-of a document count as toxic if one is; with one class only, its share is the score of all; an empty table gives an
-empty result; other columns are not read.
+n-grams. Training takes at most about ``train_docs`` labelled rows (by hashed id), whose texts are written once;
+counting is summed by Spark, and the regression fits the bounded sample's selected features. Every whole text of the
+table is scored.
+
+Cases: an empty or null text scores the intercept; a very long text is scored whole, by its distinct n-grams;
+unlabelled and null-labelled rows train nothing; repeated labels of a document count as toxic if one is; of repeated
+rows of an id the smallest text trains, and each is scored; places with ratios of the same strength are taken by
+number; with one class only, its share is the score of all; an empty table gives an empty result; other columns than
+doc_id and text are not read, and the result's column ``score`` must not be one of ``keep``.
 """
 
 from collections.abc import Iterator
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm import columnar as C
+from chalkline.sources.scratch import scratch_table
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -56,14 +60,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def sampled(n: int, bound: int, doc_id: str = "doc_id") -> Column:
+    """About ``bound`` of ``n`` rows, by hashed id; 2**62 places, so that a small share of many rows isn't none."""
+    places = 1 << 62
+    return F.pmod(F.xxhash64(doc_id), F.lit(places)) < F.lit(places if n <= bound else places * bound // n)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, train_docs: int) -> DataFrame:
     """(text, y) of about ``train_docs`` labelled rows at most, none held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    n = known.count()
-    share = 1.0 if n <= train_docs else train_docs / n
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # At most about train_docs rows of two numbers, so its size is bounded.
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    known = known.filter(sampled(known.count(), train_docs))
+    # At most about train_docs rows of two numbers, so its size is bounded. An id that repeats counts with one text.
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return scratch_table(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "training-rows")
 
 
 def _counts(rows: DataFrame) -> np.ndarray:

@@ -148,6 +148,98 @@ def test_held_out_accuracy(spark, name, label, least):
     assert len(scored) > 20 and auc(scored) >= least
 
 
+def fitted(x, y, w=None, steps=12, l2=1.0, like=None):
+    """Newton's logistic regression in plain steps: (mean, scale, weights)."""
+    mean, scale = (x.mean(0), x.std(0) + 1e-6) if like is None else like[:2]
+    z = np.hstack((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))))
+    w = np.zeros(z.shape[1]) if w is None else w
+    ridge = np.array([l2] * (z.shape[1] - 1) + [1e-6])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-6)[:, None]) + np.diag(ridge), z.T @ (y - p) - ridge * w)
+    return mean, scale, w
+
+
+def logits(model, x):
+    return np.hstack((np.clip((x - model[0]) / model[1], -8, 8), np.ones((len(x), 1)))) @ model[2]
+
+
+def test_cotraining_by_hand(spark):
+    """Every score against a local version that keeps all labels in arrays."""
+    from chalkline.llm import cotraining
+
+    folder = "/root/testdata/sf0.01"
+    model, features = cotraining.train(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    rows = sorted(features.collect(), key=lambda r: r.doc_id)
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(float)
+    views = x[:, : cotraining.TEXT_DIM], x[:, cotraining.TEXT_DIM :]
+    y, fold, teaches = (np.array([r[n] for r in rows]) for n in ("y", "fold", "teaches"))
+    learn, checks, pool = (y >= 0) & teaches & (fold != 1), (y >= 0) & teaches & (fold == 1), (y < 0) & teaches
+    models = [fitted(v[learn], y[learn]) for v in views]
+    label, most, least = [np.where(learn, y, -1) for _ in views], int(0.05 * pool.sum()), np.log(0.95 / 0.05)
+    for _ in range(4):
+        for teacher, pupil in ((0, 1), (1, 0)):
+            at = logits(models[teacher], views[teacher])
+            before = label[pupil].copy()
+            for value, sure in ((1, at), (0, -at)):
+                open_ = np.flatnonzero(pool & (before < 0) & (sure >= least))
+                bins = np.floor((np.minimum(sure[open_], 30) - least) * 128)
+                taken = [b for b in sorted(set(bins)) if (bins >= b).sum() <= most] or [max(bins, default=np.inf)]
+                label[pupil][open_[bins >= taken[0]]] = value
+        models = [fitted(v[k >= 0], k[k >= 0], m[2], 3, like=m) for v, k, m in zip(views, label, models, strict=True)]
+    ends = [fitted(logits(m, v)[checks][:, None], y[checks]) for m, v in zip(models, views, strict=True)]
+    both = np.stack([logits(c, logits(m, v)[:, None]) for c, m, v in zip(ends, models, views, strict=True)], 1)
+    expected = 1 / (1 + np.exp(-logits(fitted(both[checks], y[checks]), both)))
+    found = {r.doc_id: r.score for r in cotraining.score(features, model).collect()}
+    assert (label[0] >= 0).sum() > learn.sum() and (label[1] >= 0).sum() > learn.sum()
+    # Features are added up in another order, so a document at the edge of a bin may fall to the other side
+    assert np.mean(np.abs(np.array([found[r.doc_id] for r in rows]) - expected) < 1e-3) > 0.99
+
+
+def test_toxicity_by_hand(spark, monkeypatch):
+    """Scores against dictionaries of n-grams and a plain regression on the same places."""
+    folder = "/root/testdata/sf0.001"
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pydict()
+    known = {d: t for d, t in zip(labels["doc_id"], labels["toxic"], strict=True) if t is not None and __import__("zlib").crc32(str(d).encode()) % 5}
+    from chalkline.llm import columnar
+
+    def grams(text):
+        plain = "".join(" " if c in " \t\n\v\f\r" else c.lower() if c.isascii() else c for c in text or "")
+        return {plain[i : i + n] for n in toxicity.GRAMS for i in range(len(plain) - n + 1)}
+
+    def places(text):
+        names = sorted(grams(text))
+        data = np.frombuffer("".join(names).encode(), np.uint8)
+        ends = np.cumsum([len(g.encode()) for g in names])
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if names else ends
+        return set((columnar.span_hashes(columnar.prefix_sums(data), starts, ends) >> np.uint64(64 - toxicity.BITS)).tolist()) if names else set()
+
+    rows = rows_of(folder, "doc_id", "text")
+    of = {d: places(t) for d, t in rows}
+    counts = [Counter(p for d, y in known.items() if y == k for p in of[d]) for k in (0, 1)]
+    n = [sum(y == k for y in known.values()) for k in (0, 1)]
+    ratio = lambda p: np.log((counts[1][p] + 1) / (n[1] + 2)) - np.log((counts[0][p] + 1) / (n[0] + 2))
+    strength = {p: abs(ratio(p)) / (1 / (counts[1][p] + 1) + 1 / (counts[0][p] + 1)) ** 0.5 for p in counts[0] | counts[1] if counts[0][p] + counts[1][p] >= 3}
+    chosen = sorted(sorted(strength, key=lambda p: (-strength[p], p))[:4096])
+    x = np.array([[ratio(p) * (p in of[d]) for p in chosen] for d in known])
+    y, w, b = np.array(list(known.values())), np.zeros(len(chosen)), 0.0
+    for _ in range(40):
+        s = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+        k = s * (1 - s) + 1e-9
+        z = np.hstack((x, np.ones((len(x), 1))))
+        h = z.T @ (z * k[:, None]) / len(x) + np.diag([1e-4] * len(chosen) + [1e-12])
+        step = np.linalg.solve(h, np.append(x.T @ (y - s) / len(x) - 1e-4 * w, (y - s).mean()))
+        w, b = w + step[:-1], b + step[-1]
+    weights = dict(zip(chosen, w, strict=True))
+    monkeypatch.setattr(toxicity._logistic, "__defaults__", (20_000,))  # steps: to the optimum
+    found = dict(got(spark, "op4_char_nbsvm", folder, ["doc_id", "score"]))
+    model = toxicity.train(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    assert np.flatnonzero(model[0]).tolist() == [p for p in chosen if ratio(p)]
+    expected = {d: 1 / (1 + np.exp(-b - sum(weights[p] * ratio(p) for p in of[d] if p in weights))) for d, _ in rows}
+    print(sorted(abs(found[d] - expected[d]) for d in expected)[-8:])
+    assert np.mean([abs(found[d] - expected[d]) < 0.02 for d in expected]) > 0.99
+
+
 def encode_with(path):
     from tokenizers import Tokenizer
 
@@ -206,6 +298,44 @@ def test_markov_spans(spark, tmp_path):
     assert sum(bool(found[i]) for i in range(1, 40, 2)) >= 18
 
 
+def test_added_spans_by_labels(spark, tmp_path):
+    """Precision and recall of the added spans: drawn keys of several alphabets against identifiers, in prose of the corpus."""
+    from conftest import save
+
+    rng, folder = random.Random(12), "/root/testdata/sf0.001"
+    prose = [t for _, t in rows_of(folder, "doc_id", "text") if t]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    words = sorted({w.strip(".,").lower() for t in prose for w in t.split() if w.isascii() and w.strip(".,").isalpha()})
+    identifier = lambda: rng.choice("._-/").join(rng.choice(words) for _ in range(rng.randint(4, 7)))
+    rows, truth = [], {}
+    for i in range(400):
+        token = "".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(24, 44))).strip("-_") if i % 2 else identifier()
+        if len(token) >= 20:
+            rows.append((i, f"{prose[i % len(prose)]}\n{token} end", "a"))
+            truth[i] = i % 2 == 1, len(prose[i % len(prose)]) + 1, len(token)
+    found = dict(got(spark, "op7_markov_secrets", save(tmp_path, rows), ["doc_id", "spans"]))
+    said = {i: f"random:{at}:{at + n}" in found[i].split(",") for i, (_, at, n) in truth.items()}
+    right = sum(said[i] and truth[i][0] for i in truth)
+    precision, recall = right / max(1, sum(said.values())), right / sum(t[0] for t in truth.values())
+    print(f"precision {precision:.3f} recall {recall:.3f}")
+    assert precision >= 0.95 and recall >= 0.9
+
+
+def test_long_text_dense_in_keys():
+    """Time in proportion to the length."""
+    import time
+
+    text = ("token: abcdef123 日本 " + "0123456789abcdef" * 2 + " Zx9Qw8Er7Ty6Ui5Op4As3 ") * 40_000
+    import pyarrow as pa
+
+    from chalkline.llm import columnar, secret_scan
+
+    began = time.time()
+    [chunk] = columnar.text_chunks(pa.array([text]))
+    [(_, _, spans, free)] = secret_scan.scan(chunk)
+    assert len(spans) == 80_000 and len(free) == 40_000 and time.time() - began < 20
+
+
 def test_near_groups(spark, folder):
     expected = brute.near_groups(rows_of(folder, "doc_id", "text"))
     same(got(spark, "op8_bottom_k", folder), [(d, *x) for d, x in expected.items()])
@@ -223,6 +353,7 @@ def test_removed_repeats(spark, folder):
 
 def test_removed_repeats_of_frequent_minimizers(spark, odd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_UNITS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCH", 2)
     found = suffix_dedup.remove_repeats(table(spark, odd[0], "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     same([(*r[:4], brute.sha(bytes(r[4]))) for r in found.collect()], brute.without_repeats(rows_of(odd[0], "doc_id", "text")))
 
