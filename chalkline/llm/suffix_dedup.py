@@ -56,10 +56,10 @@ _U = np.uint64
 
 
 def units(chunk: C.Chunk) -> tuple[np.ndarray, ...]:
-    """(text index, first string start within the text, strings, minimizer hash, hash of the unit's bytes)."""
+    """(text index, first string start within the text, strings, minimizer's place in the unit, its hash, hash of the unit's bytes)."""
     n = len(chunk.data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     sums = C.prefix_sums(chunk.data)
     at = np.arange(n - GRAM + 1)
     hashes = C.span_hashes(sums, at, at + GRAM)
@@ -81,7 +81,8 @@ def units(chunk: C.Chunk) -> tuple[np.ndarray, ...]:
     ended[:-1] = changed[1:] | ~valid[1:]
     last = np.flatnonzero(valid & ended)
     of = np.searchsorted(chunk.offsets, first, side="right") - 1
-    return of, first - chunk.offsets[of], last - first + 1, hashes[least[first].astype(np.int64)], C.span_hashes(sums, first, last + LENGTH)
+    anchor = least[first].astype(np.int64)
+    return of, first - chunk.offsets[of], last - first + 1, anchor - first, hashes[anchor], C.span_hashes(sums, first, last + LENGTH)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str], least: int) -> Iterator[pa.RecordBatch]:
@@ -154,6 +155,11 @@ def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
 
 
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of hashes, which are hashed again: minimizers are small numbers."""
+    return (((C.mix(hashes) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+
+
 def _unit_rows(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The units' bytes, with zeros after their end and their number of strings as the last byte."""
     reach = count + LENGTH - 1
@@ -173,8 +179,8 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             found, pieces, base = [], [], 0
             for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
-                of, at, *rest = units(chunk)
-                found.append((ids[of + chunk.first], at, *rest, at + chunk.offsets[of] + base))
+                of, at, count, _, anchor, whole = units(chunk)
+                found.append((ids[of + chunk.first], at, count, anchor, whole, at + chunk.offsets[of] + base))
                 pieces.append(chunk.data)
                 base += len(chunk.data)
             if not found:
@@ -194,7 +200,7 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
             marked = several[times >= HOT_BATCH]
             none = np.zeros(len(marked), np.int64)
             doc, at, count, anchor = (np.concatenate(x) for x in ((doc[~hot], none), (at[~hot], none), (count[~hot], none), (anchor[~hot], marked)))
-            part = ((C.mix(anchor) >> _U(32)) * _U(parts)) >> _U(32)  # minimizers are small numbers, so they are hashed again
+            part = _part(anchor, parts)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             low = anchor.view(np.uint8).reshape(-1, 8)[:, :5]
@@ -209,44 +215,61 @@ def unit_blobs(texts: DataFrame, parts: int) -> DataFrame:
     return texts.mapInArrow(run, _BLOBS)
 
 
-def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(ids, for each id its rows of ``columns``, one after the other)."""
-    order = np.lexsort((columns[0], doc))
-    doc = doc[order]
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    flat = np.stack([c[order] for c in columns], axis=1).reshape(-1).astype(np.int32)
-    ends = np.append(first, len(doc)) * len(columns)
-    return pa.array(doc[first]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+def _merged(row: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(rows, for each its runs): runs of a row that follow one another or overlap are one; those of frequent minimizers (negative) apart."""
+    order = np.lexsort((at, count < 0, row))
+    row, at, hot, end = row[order], at[order], count[order] < 0, (at + np.abs(count))[order]
+    other = np.concatenate(([True], (row[1:] != row[:-1]) | (hot[1:] != hot[:-1]))) if len(row) else np.zeros(0, bool)
+    # Ends may lie within earlier runs of the row: their running maximum, by a step that no end exceeds
+    step = np.cumsum(other) * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + step) - step
+    new = other.copy()
+    new[1:] |= at[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    ends = np.maximum.reduceat(end, starts) if len(starts) else end
+    row, at, count = row[starts], at[starts], (ends - at[starts]) * np.where(hot[starts], -1, 1)
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+    flat = np.stack((at, count), axis=1).reshape(-1).astype(np.int32)
+    return row[first], pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(row)), pa.int32()), pa.array(flat))
 
 
 _RUNS = "kind int, doc_id long, runs array<int>"
 _REPEATED, _CONTESTED = 1, 2
 
 
-def _run_batch(kind: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Runs (start, number of strings) that are repeats, or contested runs with their partition after these."""
-    ids, lists = _by_doc(doc, *columns)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), ids, lists], names=["kind", "doc_id", "runs"])
+def _run_batch(kind: int, doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Runs (start, number of strings) by document."""
+    ids, lists = _merged(doc, at.astype(np.int64), count.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists], names=["kind", "doc_id", "runs"])
 
 
-def judge_units(blobs: DataFrame, parts: int) -> DataFrame:
-    """Runs that are known to be repeats, and runs of minimizers that recur in other documents.
+def collected(runs: DataFrame) -> DataFrame:
+    """The runs of each kind and document together, merged: what repeats is contiguous, so little is left."""
 
-    The latter name the partition of their minimizer, or -1 if it is frequent.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            pairs = lists.flatten().to_numpy().reshape(-1, 2).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()) // 2)
+            rows, merged = _merged(row, pairs[:, 0], pairs[:, 1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("kind", "doc_id")), merged], names=["kind", "doc_id", "runs"])
+
+    return runs.groupBy("kind", "doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(run, _RUNS)
+
+
+def judge_units(blobs: DataFrame, parts: int) -> DataFrame:
+    """Runs that are known to be repeats, and runs of minimizers that recur in other documents, negative if these are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        part = 0
         for batch in batches:
-            for p, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind == 1:
                     yield _run_batch(_REPEATED, *_unpack(blob.as_buffer().to_pybytes()))
                 elif kind == 3:
                     doc, at, count = _unpack(blob.as_buffer().to_pybytes())
-                    yield _run_batch(_CONTESTED, doc, at, count, np.full(len(doc), -1))
+                    yield _run_batch(_CONTESTED, doc, at, -count)
                 else:
-                    part = p
                     doc, at, count, low = _unpack(blob.as_buffer().to_pybytes(), 5)
                     keys = np.zeros((len(doc), 8), np.uint8)
                     keys[:, :5] = low
@@ -263,9 +286,9 @@ def judge_units(blobs: DataFrame, parts: int) -> DataFrame:
         hot = (np.minimum.reduceat(count, starts) == 0) | (sizes > HOT_UNITS)
         recurs = hot | (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
         use = np.repeat(recurs, sizes) & (count > 0)
-        where = np.repeat(np.where(hot, -1, part), sizes)
-        yield _run_batch(_CONTESTED, doc[use], at[use], count[use], where[use])
-        del doc, at, count, anchor, use, where
+        sign = np.repeat(np.where(hot, -1, 1), sizes)
+        yield _run_batch(_CONTESTED, doc[use], at[use], count[use] * sign[use])
+        del doc, at, count, anchor, use, sign
         C.release_memory()
 
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(run, _RUNS)
@@ -285,27 +308,28 @@ def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, ["doc_id", "text", "runs"], BATCH_BYTES // 2):
             ids = batch.column("doc_id").to_numpy()
-            runs, ends = batch.column("runs").values.to_numpy().reshape(-1, 3).astype(np.int64), batch.column("runs").offsets.to_numpy() // 3
+            runs, ends = batch.column("runs").values.to_numpy().reshape(-1, 2).astype(np.int64), batch.column("runs").offsets.to_numpy() // 2
             held_units, held_strings = [], []
             for chunk in C.text_chunks(batch.column("text"), PIECE_BYTES):
                 own = ends[chunk.first : chunk.first + len(chunk) + 1]
-                at, count, part = runs[own[0] : own[-1]].T
-                of = np.repeat(np.arange(len(chunk)), np.diff(own))
-                fits = at + count + LENGTH - 1 <= np.diff(chunk.offsets)[of]  # another text of a repeated id may be shorter
-                at, count, part, of = at[fits], count[fits], part[fits], of[fits]
-                if not len(at):
+                run_at, size = runs[own[0] : own[-1]].T
+                run_of = np.repeat(np.arange(len(chunk)), np.diff(own))
+                fits = run_at + np.abs(size) + LENGTH - 1 <= np.diff(chunk.offsets)[run_of]  # another text of a repeated id may be shorter
+                run_at, size, run_of = run_at[fits], size[fits], run_of[fits]
+                if not len(run_at):
                     continue
-                sums, start = C.prefix_sums(chunk.data), at + chunk.offsets[of]
-                grams = start[:, None] + np.arange(SPAN)
-                anchor = np.argmin(C.span_hashes(sums, grams, grams + GRAM) >> _U(32), axis=1)
-                data = np.concatenate((chunk.data, np.zeros(UNIT_BYTES + 1, np.uint8)))
-                unit = _unit_rows(data, start, count)
-                usual = part >= 0
-                held_units.append((ids[of + chunk.first][usual], at[usual], count[usual], part[usual], anchor[usual], unit[usual]))
-                of, at, count, start = of[~usual], at[~usual], count[~usual], start[~usual]
+                # The runs' bytes, one after the other, have the units that they are made of
+                lengths = np.abs(size) + LENGTH - 1
+                offsets = np.concatenate(([0], np.cumsum(lengths)))
+                data = chunk.data[np.repeat(run_at + chunk.offsets[run_of] - offsets[:-1], lengths) + np.arange(offsets[-1])]
+                of, at, count, anchor, minimizer, _ = units(C.Chunk(0, data, offsets))
+                start, doc, at, usual = at + offsets[of], ids[run_of[of] + chunk.first], at + run_at[of], size[of] > 0
+                padded = np.concatenate((data, np.zeros(UNIT_BYTES + 1, np.uint8)))
+                held_units.append((doc[usual], at[usual], count[usual], _part(minimizer[usual], parts), anchor[usual], _unit_rows(padded, start[usual], count[usual])))
+                doc, at, count, start = doc[~usual], at[~usual], count[~usual], start[~usual]
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                of, at, start = np.repeat(of, count), np.repeat(at, count) + step, np.repeat(start, count) + step
-                held_strings.append((ids[of + chunk.first], at, C.span_hashes(sums, start, start + LENGTH), _window(chunk.data, start, LENGTH)))
+                doc, at, start = np.repeat(doc, count), np.repeat(at, count) + step, np.repeat(start, count) + step
+                held_strings.append((doc, at, C.span_hashes(C.prefix_sums(data), start, start + LENGTH), _window(data, start, LENGTH)))
             rows = []
             if held_units:
                 doc, at, count, part, anchor, unit = (np.concatenate(x) for x in zip(*held_units, strict=True))
@@ -319,7 +343,7 @@ def contested_blobs(rows: DataFrame, parts: int) -> DataFrame:
                 if repeat.any():
                     rows.append((int(ids[0]) % parts, 1, _pack(doc[repeat], at[repeat], np.ones(int(repeat.sum())))))
                 doc, at, hashes, strings = doc[~repeat], at[~repeat], hashes[~repeat], strings[~repeat]
-                part = (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+                part = _part(hashes, parts)
                 rows += [(p, 2, _pack_bytes(doc[i], at[i], np.ones(len(i)), np.zeros(len(i)), strings[i])) for p, i in _dealt(part)]
             for i in range(0, len(rows), 64):
                 yield _blob_batch(rows[i : i + 64])
@@ -486,21 +510,17 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _collected(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes) of every document."""
     texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.filter("doc_id IS NOT NULL")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (16 * PARTITION_UNITS)))
-    found = scratch_table(judge_units(unit_blobs(named, parts), parts), "runs")
+    found = scratch_table(collected(judge_units(unit_blobs(named, parts), parts)), "runs")
     contested = found.filter(F.col("kind") == _CONTESTED).select("doc_id", "runs")
-    told = sort_strings(contested_blobs(named.join(_collected(contested), "doc_id"), parts), parts)
-    runs = found.filter(F.col("kind") == _REPEATED).select("doc_id", "runs").union(told.select("doc_id", "runs"))
-    every = named.join(_collected(runs), "doc_id", "left")
+    told = sort_strings(contested_blobs(named.join(contested, "doc_id"), parts), parts)
+    runs = collected(found.filter(F.col("kind") == _REPEATED).union(told)).select("doc_id", "runs")
+    every = named.join(runs, "doc_id", "left")
     return cut(every.union(texts.filter("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<int>"))))
 
 
