@@ -115,11 +115,16 @@ class Logistic:
         return cls(mean, scale, w)
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        """Standardised features with a one for the intercept."""
-        return np.hstack((np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))))
+        """Standardised features (four-byte numbers) with a one for the intercept."""
+        out = np.ones((len(x), x.shape[1] + 1), np.float32)
+        inner = out[:, :-1]
+        np.subtract(x, self.mean.astype(np.float32), out=inner)
+        inner *= (1 / self.scale).astype(np.float32)
+        np.clip(inner, -8, 8, out=inner)
+        return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.standard(x) @ self.weights
+        return self.standard(x) @ self.weights.astype(np.float32)
 
     def stepped(self, sums: np.ndarray, l2: float = 1.0) -> "Logistic":
         """A Newton step further, by the sums of ``newton_sums``."""
@@ -162,14 +167,18 @@ class Lesson:
 
 
 def taught(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, lessons: list[Lesson]) -> list[np.ndarray]:
-    """Labels of both views' training: the known one, or what the other view was the first to be certain of, or -1."""
+    """Labels of both views' training: the known one, or what the other view was the first to be certain of, or -1.
+
+    ``views`` are standardised; all models of a view share the means and scales of its first one.
+    """
     labels = [y.copy(), y.copy()]
-    for lesson in lessons:
-        for teacher, pupil in ((0, 1), (1, 0)):
-            logit = lesson.models[teacher].logit(views[teacher])
-            open_ = labels[pupil] < 0
-            labels[pupil][open_ & (logit >= lesson.cuts[teacher][1])] = 1
-            labels[pupil][open_ & (-logit >= lesson.cuts[teacher][0])] = 0
+    if lessons:
+        logits = [z @ np.stack([lesson.models[v].weights for lesson in lessons], axis=1).astype(np.float32) for v, z in enumerate(views)]
+        for k, lesson in enumerate(lessons):
+            for teacher, pupil in ((0, 1), (1, 0)):
+                logit, open_ = logits[teacher][:, k], labels[pupil] < 0
+                labels[pupil][open_ & (logit >= lesson.cuts[teacher][1])] = 1
+                labels[pupil][open_ & (-logit >= lesson.cuts[teacher][0])] = 0
     return labels
 
 
@@ -204,10 +213,10 @@ def certain_counts(pool: DataFrame, models: tuple[Logistic, Logistic], lessons:
         models, lessons = shared.value
         counts = np.zeros((2, 2, bins), np.int64)
         for batch in batches:
-            views = _features(batch)
+            views = tuple(m.standard(v) for m, v in zip(models, _features(batch), strict=True))
             labels = taught(views, np.full(batch.num_rows, -1), lessons)
             for teacher, pupil in ((0, 1), (1, 0)):
-                logit = models[teacher].logit(views[teacher])[labels[pupil] < 0]
+                logit = (views[teacher] @ models[teacher].weights.astype(np.float32))[labels[pupil] < 0].astype(float)
                 for label, sure in ((1, logit), (0, -logit)):
                     at = np.floor((np.minimum(sure[sure >= least], MAX_LOGIT) - least) * BINS_PER_LOGIT).astype(np.int64)
                     np.add.at(counts[teacher, label], np.minimum(at, bins - 1), 1)
@@ -242,12 +251,12 @@ def newton_sums(rows: DataFrame, models: tuple[Logistic, Logistic], lessons: lis
         models, lessons = shared.value
         sums = [np.zeros((k, k + 1)) for k in sizes]
         for batch in batches:
-            views = _features(batch)
+            views = tuple(m.standard(v) for m, v in zip(models, _features(batch), strict=True))
             for view, model, label, total in zip(views, models, taught(views, batch.column("y").to_numpy().copy(), lessons), sums, strict=True):
-                use = label >= 0
-                z = model.standard(view[use])
-                p = sigmoid(z @ model.weights)
-                total[:, 0] += z.T @ (label[use] - p)
+                use = np.flatnonzero(label >= 0)
+                z = view[use]
+                p = sigmoid(z @ model.weights.astype(np.float32))
+                total[:, 0] += z.T @ (label[use] - p).astype(np.float32)
                 total[:, 1:] += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(s.tobytes() for s in sums)], pa.binary())], names=["sums"])
 
@@ -309,6 +318,6 @@ def score(features: DataFrame, model: Combined) -> DataFrame:
             else:
                 views = model.views(*_features(batch))
                 values = [sigmoid(views[:, 0]), sigmoid(views[:, 1]), sigmoid(model.join.logit(views))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, values)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.float64()) for v in values)], names=["doc_id", *names])
 
     return features.select("doc_id", "x").mapInArrow(run, schema)
