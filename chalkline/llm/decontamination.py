@@ -6,13 +6,15 @@ an item, or a whole item that is shorter. Of the GRAM-word hashes in every windo
 of fewer words have their own hash of all words as fingerprint. Fingerprints of documents and benchmark are joined,
 and a hit is extended to its window and compared word for word.
 
-A benchmark up to ``broadcast_bytes`` of text is sent to the tasks, which match their texts in one pass without a
-shuffle. A larger one is joined: fingerprints, then the windows of the documents that share one; both sides are
-distinct and grouped by text, so copies are matched once and a frequent fingerprint costs a row for each text.
-
-Cases: null and empty texts have no words and are clean; an item without words matches nothing; a null item_id marks
-words but is not listed; repeated rows and items count once each in a document's items; an empty benchmark leaves all
-documents clean; other columns are not read.
+A benchmark of up to MAX_WORDS words and BROADCAST_BYTES of text is indexed once, on the driver, as arrays (about 30
+bytes a window and the text), and sent to the workers, which match their texts in one pass without a shuffle. A
+larger one is joined: fingerprints, then the windows of the documents that share one; both sides are distinct and
+grouped by text, so copies are matched once and a frequent fingerprint costs a row for each text.
+
+Cases: null and empty texts have no words and are clean; a very long text is matched whole; an item without words
+matches nothing; a null item_id marks words but is not listed; ties don't occur; repeated rows and items count once
+each in a document's items; an empty benchmark leaves all documents clean; other columns than those named are not
+read, and ``prefix`` keeps the result's names apart from those of ``keep``.
 """
 
 import hashlib
@@ -32,7 +34,9 @@ from chalkline.sources.scratch import scratch_table
 
 WINDOW, GRAM = 10, 5
 SELECT = WINDOW - GRAM + 1
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES, MAX_WORDS = 8 << 20, 1_000_000
+#: Words of an item, A-Z not lowered yet.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = np.array([b > 127 or chr(b).isdigit() or chr(b).islower() for b in range(256)])
 _BITS = 20
 
@@ -98,31 +102,62 @@ class Lookup:
         return at[np.isin(hashes[at], self.values)]
 
 
+@dataclass
+class Windows:
+    """The windows of one length: their fingerprints, and sorted hashes with the item and the first word of each."""
+
+    marks: Lookup
+    hashes: np.ndarray
+    item: np.ndarray
+    chunk: np.ndarray
+    first: np.ndarray
+
+
 class Index:
-    """The windows of a benchmark: fingerprints by window length, and the items of each window."""
+    """The windows of a benchmark as arrays, by length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
-        prints: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.items: dict[bytes, set[str | None]] = defaultdict(set)
-        for item_id, text in items:
-            for chunk in C.text_chunks(pa.array([text], pa.string())):
-                for n, first, mark, w in item_windows(words_of(chunk)):
-                    prints[n].append(mark)
-                    for i in first.tolist():
-                        self.items[w.span(i, n)].add(item_id)
-        self.lookups = {n: Lookup(np.concatenate(x)) for n, x in sorted(prints.items())}
+        self.ids = [i for i, _ in items]
+        self.words: list[Words] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        for chunk in C.text_chunks(pa.array([t for _, t in items], pa.string())):
+            w = words_of(chunk)
+            size = np.bincount(w.of, minlength=len(chunk))
+            for n in np.unique(size[size > 0].clip(max=WINDOW)).tolist():
+                first, marks = w.fingerprints() if n == WINDOW else w.short(n)
+                own = size[w.of[first]] >= n if n == WINDOW else size[w.of[first]] == n
+                first, marks = first[own], marks[own]
+                found[n].append((marks, C.gram_hashes(w.hashes, n)[first], w.of[first] + chunk.first, np.full(len(first), len(self.words)), first))
+            self.words.append(Words(w.data, w.starts, w.ends, w.of, np.zeros(0, np.uint64), w.n_texts))
+        self.windows: dict[int, Windows] = {}
+        for n, parts in sorted(found.items()):
+            marks, hashes, item, chunk, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.windows[n] = Windows(Lookup(marks), hashes[order], *(x[order].astype(np.int32) for x in (item, chunk, first)))
+
+    def items(self, n: int, value: np.uint64, span: bytes) -> set[str | None]:
+        """The items that have the window ``span``: those of its hash, compared word for word."""
+        of = self.windows[n]
+        lo, hi = np.searchsorted(of.hashes, value, "left"), np.searchsorted(of.hashes, value, "right")
+        return {self.ids[of.item[k]] for k in range(lo, hi) if self.words[of.chunk[k]].span(int(of.first[k]), n) == span}
 
     def match(self, w: Words) -> tuple[np.ndarray, list[set[str | None]]]:
         """Words hit in each text, and the items that occur in it."""
         change = np.zeros(len(w.starts) + 1, np.int64)
         found: list[set[str | None]] = [set() for _ in range(w.n_texts)]
-        for n, lookup in self.lookups.items():
+        for n, windows in self.windows.items():
             first, marks = w.fingerprints() if n == WINDOW else w.short(n)
-            for i in first[lookup.among(marks)].tolist():
-                if items := self.items.get(w.span(i, n)):
-                    change[i] += 1
-                    change[i + n] -= 1
-                    found[w.of[i]] |= items
+            first = first[windows.marks.among(marks)]
+            if len(first):
+                hashes, known = C.gram_hashes(w.hashes, n)[first], {}
+                for i, value in zip(first.tolist(), hashes, strict=True):
+                    key = w.span(i, n)
+                    if key not in known:
+                        known[key] = self.items(n, value, key)
+                    if known[key]:
+                        change[i] += 1
+                        change[i + n] -= 1
+                        found[w.of[i]] |= known[key]
         return np.bincount(w.of[np.cumsum(change[:-1]) > 0], minlength=w.n_texts), found
 
 
@@ -144,20 +179,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     ``prefix`` is put before these three names, for tables that have such columns.
     """
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(32)), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
+    size, words = own.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(32)), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(ITEM_WORD))), F.lit(0))).first()
+    if size <= broadcast_bytes and words <= MAX_WORDS:
         return _by_broadcast(docs, [tuple(r) for r in own.collect()], keep, text, prefix)
     return _by_join(docs, own, keep, text, prefix)
 
 
 def _by_broadcast(docs: DataFrame, items: list[tuple], keep: list[str], text: str, prefix: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
     read, name = with_text(docs, keep, text)
     names = [f"{prefix}{c}" for c in _FOUND]
     schema = T.StructType([*pick(read, *keep).schema, *map(T.StructField, names, _FOUND.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = shared.value
         for batch in batches:
             n_words, n_hit, items = [], [], []
             for chunk in C.text_chunks(batch.column(name)):
