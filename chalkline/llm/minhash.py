@@ -6,7 +6,8 @@ A document's set holds its distinct five-word shingles; its sketch the K smalles
    sets are one class from here on, so copies cost no pairs.
 2. Inverted lists of retained values. Two sets with similarity of 0.75 or more share at least ``_needed`` values of
    their sketches: all values are in a sketch that is the whole set, and otherwise each of the union's K smallest
-   is shared with that probability, so fewer than SHARED of K occur about once in 10**7 pairs at 0.75 exactly. Hence
+   is shared with that probability, so fewer than SHARED of K occur less than once in 10**15 pairs at 0.75 exactly
+   (and ever more rarely above it), as rarely as two of the 64-bit hashes meet. Hence
    such a pair also shares one of the ``kept - needed + 1`` rarest values of either sketch (prefix filter, order by
    frequency over all classes), and only these enter the lists. Passages that many documents share are thus left
    out unless they make up most of a document.
@@ -14,8 +15,9 @@ A document's set holds its distinct five-word shingles; its sketch the K smalles
    together in blocks of bounded size, each with the centre. A class is compared with the centre first: the sketch
    of their union estimates the similarity and filters, and whole sets verify. Blocks that are left with several
    components are counted out exactly on whole sets.
-4. Links are contracted to components. Groups of several blocks that still hold several components are counted out
-   block by block. No pair is moved and nothing is capped, so no link between components is lost.
+4. Links are contracted to components. Groups of several blocks that still hold several components are compared block
+   by block: by their sketches, and only the texts of classes that have a candidate in another component move and are
+   counted out exactly. No pair is moved and nothing is capped, so no link between components is lost.
 """
 
 import hashlib
@@ -34,13 +36,13 @@ from chalkline.sources.scratch import scratch_table
 SHINGLE = 5
 K = 64
 #: Values of K that a pair's sketches share at least, for sets larger than a sketch can hold.
-SHARED = 28
+SHARED = 18
 #: Similarity in hundredths.
 LEAST = 75
 #: Bits of the map of wanted ids (4 MB).
 BITMAP_BITS = 25
 #: Classes and hashes of a block, about.
-BLOCK_CLASSES, BLOCK_VALUES = 1024, 1 << 20
+BLOCK_CLASSES, BLOCK_VALUES = 512, 1 << 20
 
 
 def _needed(n: int) -> int:
@@ -191,12 +193,12 @@ def star_links(sets: list[np.ndarray], component: np.ndarray, centre: int, known
                 known.join(int(component[i]), int(component[centre]))
 
 
-def block_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, known: Components) -> None:
-    """Compare all sets of ``left`` with those of ``right``, exactly: intersections are matrix products over shared hashes."""
-    n, sizes = len(sets), np.array([len(s) for s in sets])
+def common_values(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``: matrix products over shared hashes."""
+    n = len(sets)
     _, which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.where(df > 1, np.cumsum(df > 1) - 1, -1)[which]
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     row, column = row[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -206,6 +208,25 @@ def block_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray,
         part = np.zeros((n, width), np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
         common += part[left] @ part[right].T
+    return common
+
+
+def sketch_candidates(sketches: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs (of ``left`` and ``right``) of different components whose sketches share what those of similar sets do."""
+    needed = np.array([_needed(int(n)) for n in sizes])
+    enough = common_values(sketches, left, right) >= np.maximum(needed[left][:, None], needed[right][None, :])
+    return enough & (component[left][:, None] != component[right][None, :])
+
+
+def block_links(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, known: Components) -> None:
+    """Link the sets of ``left`` with those of ``right``: sketches filter, and whole sets of the candidates are counted out."""
+    sizes = np.array([len(s) for s in sets])
+    maybe = sketch_candidates([s[:K] for s in sets], sizes, component, left, right)
+    left, right = left[maybe.any(axis=1)], right[maybe.any(axis=0)]
+    if not len(left):
+        return
+    used = np.union1d(left, right)
+    common = common_values([sets[i] for i in used], np.searchsorted(used, left), np.searchsorted(used, right))
     linked = 100 * common >= LEAST * (sizes[left][:, None] + sizes[right][None, :] - common)
     for i, j in np.argwhere(linked & (component[left][:, None] != component[right][None, :])).tolist():
         known.join(int(component[left[i]]), int(component[right[j]]))
@@ -257,9 +278,26 @@ def links_across_blocks(rows: DataFrame) -> DataFrame:
             block_links(sets, component, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), known)
         return _link_table(known)
 
+    return rows.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def candidates_across_blocks(rows: DataFrame) -> DataFrame:
+    """The rows (centre, key, n, block, blocks, component, sketch) that have a candidate in another block, for each pair (i, j) of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists, block = table.column("sketch").combine_chunks(), table.column("block").to_numpy()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        found = np.zeros(0, np.int64)
+        if block.min() < block.max():
+            left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+            maybe = sketch_candidates([flat[ends[i] : ends[i + 1]] for i in range(len(block))], table.column("n").to_numpy(), table.column("component").to_numpy(), left, right)
+            found = np.concatenate((left[maybe.any(axis=1)], right[maybe.any(axis=0)]))
+        return table.select(["centre", "i", "j", "key", "block", "component", "rep", "fp"]).take(pa.array(found))
+
     each = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
     each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return each.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
+    return each.groupBy("centre", "i", "j").applyInArrow(run, "centre long, i int, j int, key long, block int, component long, rep long, fp binary")
 
 
 def repeated_id_links(made: DataFrame, classes: DataFrame) -> DataFrame:
@@ -288,7 +326,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wide = scratch_table(wide, "wide")
     mixed = wide.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("centre")
     if not mixed.isEmpty():
-        more = scratch_table(links_across_blocks(named_texts(docs, wide.join(mixed, "centre"))), "links")
+        own = made.select(F.col("doc_id").alias("rep"), "fp", "sketch").dropDuplicates(["rep", "fp"])
+        near = scratch_table(candidates_across_blocks(wide.join(mixed, "centre").join(own, ["rep", "fp"])), "candidates")
+        more = scratch_table(links_across_blocks(named_texts(docs, near)), "links")
         labels = connected_components(links.union(more))
     groups = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     by_row = made.select("doc_id", "n", "fp").join(groups, "fp", "left")
