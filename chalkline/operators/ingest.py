@@ -1,9 +1,11 @@
 """Incremental ingestion: parsers as rows, chunks, snapshots, versions and reuse."""
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,55 +73,77 @@ def choose_pages(pages: DataFrame, overrides: DataFrame | None = None) -> DataFr
     return pages.withColumn("needs_ocr", sparse).withColumn("chosen", chosen).withColumn("confidence", F.when(ocr & F.col("reviewed").isNull(), 0.7).otherwise(0.95))
 
 
-def coalesce_chunks(rows: DataFrame, target: int = 1000, overlap: int = 200) -> DataFrame:
-    """Merge fragments (doc_id, ordinal, line, anchor_type, anchor_value, chunk_class) to chunks of ``target`` characters.
+def chunk_windows(sizes: list[int], target: int, overlap: int, joined: str, starts: list[int]) -> list[tuple[int, int, str, bool]]:
+    """(first, end, text, carries) of the chunks of one segment, whose fragments stand in ``joined`` at ``starts``.
 
-    Type, class, and (on pages and slides) place are boundaries, found natively; only the greedy fold within a segment,
-    which carries the last ``overlap`` characters on, runs in Python, a document's segment at a time. A fragment is
-    never split.
+    A chunk is a window of the joined text: its own fragments, and before them up to ``overlap`` characters that the
+    chunk before ended with. It ends before the fragment that would take its length beyond ``target``.
     """
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    before = lambda c: F.lag(c).over(order)
-    visual = F.col("anchor_type").isin("page", "slide") & (before("anchor_value") != F.col("anchor_value"))
-    starts = (before("anchor_type") != F.col("anchor_type")) | (before("chunk_class") != F.col("chunk_class")) | visual
-    segments = rows.withColumn("segment", F.sum(F.when(starts, 1).otherwise(0)).over(order))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ordinal")
-        out, parts, anchors, size = [], [], [], 0
-
-        def close() -> None:
-            text = " ".join(parts).strip()
-            places = list(dict.fromkeys(anchors))
-            out.append((text, places[0] if len(places) == 1 else f"{places[0]}-{places[-1]}"[:120]))
-
-        for line, anchor in zip(part["line"], part["anchor_value"], strict=True):
-            line = line.strip()
-            if not line:
-                continue
-            if parts and size + len(line) + 1 > target:
-                close()
-                carry = out[-1][0][-overlap:]
-                parts, anchors, size = ([carry], [out[-1][1]], len(carry)) if carry else ([], [], 0)
-            size += len(line) + (1 if parts else 0)
-            parts.append(line)
-            anchors.append(anchor)
-        if parts:
-            close()
-        first = part.iloc[0]
-        return pd.DataFrame([(first["doc_id"], first["segment"], i, t, first["anchor_type"], a, first["chunk_class"]) for i, (t, a) in enumerate(out)], columns=["doc_id", "segment", "part", "text", "anchor_type", "anchor_value", "chunk_class"])
-
-    schema = "doc_id long, segment long, part long, text string, anchor_type string, anchor_value string, chunk_class string"
-    chunks = segments.withColumn("segment", F.col("segment").cast("long")).groupBy("doc_id", "segment").applyInPandas(fold, schema)
-    chunks = chunks.withColumn("chunk", (F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1).cast("long"))
-    return chunks.withColumn("token_count", X.approximate_tokens(F.col("text"))).drop("segment", "part")
+    found, first, carried = [], 0, 0
+    while first < len(sizes):
+        begin = starts[first] - (carried + 1 if carried else 0)
+        end = first + 1
+        while end < len(sizes) and starts[end] + sizes[end] - begin <= target:
+            end += 1
+        text = joined[begin : starts[end - 1] + sizes[end - 1]].strip()
+        found.append((first, end, text, carried > 0))
+        first, carried = end, min(overlap, len(text))
+    return found
+
+
+def coalesce_chunks(docs: DataFrame, pieces: str = "pieces", target: int = 1000, overlap: int = 200) -> DataFrame:
+    """Chunks of ``target`` characters of (doc_id, pieces), where pieces is an array of (line, anchor_type, anchor_value, chunk_class).
+
+    Type, class, and (on pages and slides) place are boundaries. Everything happens on the row, so nothing is shuffled; a
+    fragment is never split. A chunk's place is its first and last distinct anchor, of which the chunk before it that
+    it carries text from counts as one.
+    """
+    names = ["chunk", "text", "anchor_type", "anchor_value", "chunk_class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kept = [(p["line"].strip(), p["anchor_type"], p["anchor_value"], p["chunk_class"]) for p in own or () if p["line"].strip()]
+                segments = itertools.groupby(kept, key=lambda p: (p[1], p[3], p[2] if p[1] in ("page", "slide") else None))
+                chunk = 0
+                for (kind, named, _), members in segments:
+                    lines, _, anchors, _ = zip(*members, strict=True)
+                    sizes = list(map(len, lines))
+                    starts = list(itertools.accumulate((n + 1 for n in sizes[:-1]), initial=0))
+                    place = ""
+                    for first, end, text, carries in chunk_windows(sizes, target, overlap, " ".join(lines), starts):
+                        seen = list(dict.fromkeys([*([place] if carries else []), *anchors[first:end]]))
+                        place = seen[0] if len(seen) == 1 else f"{seen[0]}-{seen[-1]}"[:120]
+                        rows.append((doc_id, chunk, text, kind, place, named))
+                        chunk += 1
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.string()) for c in columns[2:])], names=["doc_id", *names])
+
+    read = docs.select("doc_id", F.col(pieces))
+    schema = T.StructType([read.schema["doc_id"], T.StructField("chunk", T.LongType()), *(T.StructField(c, T.StringType()) for c in names[1:])])
+    return read.mapInArrow(run, schema).withColumn("token_count", X.approximate_tokens(F.col("text")))
+
+
+def line_pieces(text: Column, chunk_class: Callable[[Column], Column]) -> Column:
+    """The non-blank lines of a text as pieces for ``coalesce_chunks``; headings of Markdown are anchors of their own."""
+    lines = F.transform(F.split(text, r"\R"), lambda line, i: F.struct(line.alias("line"), (i + 1).cast("string").alias("n"), F.regexp_extract(line, r"^(#{1,6})\s+(.+)$", 2).alias("h")))
+    kept = F.filter(lines, lambda x: F.trim(x["line"]) != "")
+    return F.transform(kept, lambda x: F.struct(x["line"].alias("line"), F.when(x["h"] != "", "heading").otherwise("line_range").alias("anchor_type"), F.when(x["h"] != "", F.trim(x["h"])).otherwise(x["n"]).alias("anchor_value"), chunk_class(x["line"]).alias("chunk_class")))
 
 
 def snapshot_hash(entries: DataFrame, keys: list[str], path: str = "path", checksum: str = "checksum") -> DataFrame:
-    """A digest of each group's sorted (path, checksum) entries, so every change shows; order doesn't."""
+    """A digest of each group's sorted (path, checksum) entries, so every change shows; order doesn't.
+
+    Two levels: entries are hashed, sorted by path, in 4,096 buckets of their path's digest, and the buckets' digests in
+    order. A group with a third of all files is thus spread over the buckets.
+    """
+    bucket = F.substring(F.sha2(F.col(path), 256), 1, 3).alias("bucket")
     entry = F.collect_list(F.struct(F.col(path).alias("p"), F.col(checksum).alias("c")))
     body = F.array_join(F.transform(F.array_sort(entry), lambda e: F.concat(e["p"], F.lit("\0"), e["c"], F.lit("\n"))), "")
-    return entries.groupBy(*keys).agg(F.sha2(body, 256).alias("snapshot"), F.count(F.lit(1)).alias("n_files"))
+    parts = entries.groupBy(*keys, bucket).agg(F.sha2(body, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda e: e["digest"]), "")
+    return parts.groupBy(*keys).agg(F.sha2(whole, 256).alias("snapshot"), F.sum("n").alias("n_files"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, on: str = "path", checksum: str = "checksum") -> DataFrame:
@@ -150,28 +174,6 @@ def mode_offset(pairs: DataFrame, key: str, offset: str = "offset", position: st
     return best.filter(F.col("support") >= support)
 
 
-def outline_page_ranges(nodes: DataFrame, doc: str = "doc", last_page: str = "last_page") -> DataFrame:
-    """(ordinal, page_start, page_end): a node ends before the next one of its depth or less on a later page.
-
-    Nodes of a document are gathered sorted, and each looks ahead in that array: no self-join.
-    """
-    gathered = Window.partitionBy(doc)
-    all_nodes = F.array_sort(F.collect_list(F.struct("ordinal", "depth", "page_start")).over(gathered))
-    marked = nodes.withColumn("__all", all_nodes)
-    after = F.filter("__all", lambda n: (n["ordinal"] > F.col("ordinal")) & (n["depth"] <= F.col("depth")) & (n["page_start"] > F.col("page_start")))
-    end = F.when(F.size(after) > 0, F.element_at(after, 1)["page_start"] - 1).otherwise(F.col(last_page))
-    return marked.withColumn("page_end", end).drop("__all")
-
-
-def outline_parents(nodes: DataFrame, doc: str = "doc") -> DataFrame:
-    """``parent``: the ordinal of the nearest earlier node of a smaller depth, null for roots."""
-    before = Window.partitionBy(doc).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct("ordinal", "depth")).over(before)
-    marked = nodes.withColumn("__e", earlier)
-    parents = F.filter("__e", lambda n: n["depth"] < F.col("depth"))
-    return marked.withColumn("parent", F.when(F.size(parents) > 0, F.element_at(parents, -1)["ordinal"])).drop("__e")
-
-
 def artifact_key(checksum: Column) -> Column:
     return F.concat(F.lit("artifacts/sha256/"), F.substring(checksum, 1, 2), F.lit("/"), checksum)
 

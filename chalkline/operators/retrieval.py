@@ -4,13 +4,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
+from chalkline.sources.scratch import scratch_table
 
-#: Query vectors that are sent to the tasks at a time; more of them are handled in further blocks.
-QUERY_BLOCK = 4096
+#: Query vectors that are sent to the tasks at a time, about; more of them are handled in further blocks.
+QUERY_BLOCK = 1 << 16
 MIN_SCORE, SURE_SCORE = 0.2, 0.5
 MAX_CHUNKS, MAX_TOKENS, LEAST_LEFT = 5, 3500, 32
 
@@ -26,47 +28,68 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, ranked_access: boo
     """(qid, cid, score, recall_rank): the ``k`` most similar chunks of every query by cosine, ties by cid.
 
     ``queries`` (qid, qvec) and ``chunks`` (cid, cvec); with ``ranked_access`` also qrank and crank, and only chunks of
-    a rank up to the query's are compared (before the cut). Queries go out in blocks of bounded size; a task
-    multiplies matrices and keeps ``k`` rows for each query and batch, so only those are shuffled. Null vectors match
-    nothing. Scores are rounded to six digits before ranking.
+    a rank up to the query's are compared (before the cut). Queries are dealt to blocks of about ``block`` by hash; one
+    block at a time is sent to the tasks as a matrix and dropped when its results are written, so the driver never
+    holds more. A task keeps ``k`` rows for each query over all of its batches, so only those are shuffled. Null
+    vectors match nothing. Scores are rounded to six digits before ranking.
     """
-    wanted = ["qid", "qvec", *(["qrank"] if ranked_access else [])]
-    rows = queries.filter("qvec IS NOT NULL").select(*wanted).orderBy("qid").collect() if queries.count() else []
+    spark = chunks.sparkSession
+    wanted = queries.filter("qvec IS NOT NULL").select("qid", F.col("qvec").cast("array<double>").alias("qvec"), *(["qrank"] if ranked_access else []))
     stored = chunks.filter("cvec IS NOT NULL").select("cid", "cvec", *(["crank"] if ranked_access else []))
-    parts = []
-    for at in range(0, max(len(rows), 1), block):
-        part = rows[at : at + block]
-        ids = np.array([r["qid"] for r in part], np.int64)
-        vectors = _matrix(pa.array([list(map(float, r["qvec"])) for r in part], pa.list_(pa.float64())))
-        ranks = np.array([r["qrank"] for r in part], np.int64) if ranked_access else None
-        parts.append(_block_topk(stored, ids, vectors, ranks, k))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.union(more)
+    blocks = max(1, -(-wanted.count() // block))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    return found.withColumn("recall_rank", F.row_number().over(order).cast("long")).filter(F.col("recall_rank") <= k)
-
-
-def _block_topk(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray | None, k: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors, ranks))
+    found = None
+    for b in range(blocks):
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        rows = part.toArrow().combine_chunks()
+        vectors = _matrix(_whole(rows.column("qvec")))
+        shared = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), vectors, rows.column("qrank").to_numpy() if ranked_access else None))
+        best = _block_topk(stored, shared, k).withColumn("recall_rank", F.row_number().over(order).cast("long")).filter(F.col("recall_rank") <= k)
+        if blocks == 1:
+            return best
+        best = scratch_table(best, "block")
+        shared.destroy()
+        found = best if found is None else found.union(best)
+    return found
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
+
+
+def _block_topk(chunks: DataFrame, shared: Broadcast, k: int, step: int = 1024) -> DataFrame:
+    """The ``k`` best chunks of a block's queries in each task."""
+
+    def merge(held: tuple, cid: np.ndarray, scores: np.ndarray) -> tuple:
+        scores, cid = np.hstack((held[0], scores)), np.hstack((held[1], np.broadcast_to(cid, scores.shape)))
+        order = np.lexsort((cid, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(cid, order, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, ranks = shared.value
+        held = {at: (np.zeros((len(ids[at : at + step]), 0)), np.zeros((len(ids[at : at + step]), 0), np.int64)) for at in range(0, len(ids), step)}
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            cid = batch.column("cid").to_numpy()
-            scores = np.round(vectors @ _matrix(batch.column("cvec")).T, 6)
-            if ranks is not None:
-                scores = np.where(batch.column("crank").to_numpy()[None, :] <= ranks[:, None], scores, -np.inf)
-            order = np.lexsort((np.broadcast_to(cid, scores.shape), -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1)
-            keep = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], order.shape)[keep]), pa.array(cid[order][keep]), pa.array(best[keep] + 0.0)], names=["qid", "cid", "score"])
+            if batch.num_rows:
+                cid, stored = batch.column("cid").to_numpy(), _matrix(batch.column("cvec")).T
+                for at in held:
+                    scores = np.round(vectors[at : at + step] @ stored, 6)
+                    if ranks is not None:
+                        scores = np.where(batch.column("crank").to_numpy()[None, :] <= ranks[at : at + step, None], scores, -np.inf)
+                    held[at] = merge(held[at], cid, scores)
+        for at, (scores, cid) in held.items():
+            keep = np.isfinite(scores)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[at : at + step, None], scores.shape)[keep]), pa.array(cid[keep]), pa.array(scores[keep] + 0.0)], names=["qid", "cid", "score"])
 
     return chunks.mapInArrow(run, "qid long, cid long, score double")
 
 
+def best(candidates: DataFrame, limit: int, score: str = "rescored") -> DataFrame:
+    """The ``limit`` best of each query by score, ties in their order of recall."""
+    order = Window.partitionBy("qid").orderBy(F.desc(score), "recall_rank")
+    return candidates.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= limit)
+
+
 def rescore(candidates: DataFrame, query: str = "query", text: str = "text", path: str = "path") -> DataFrame:
     """``rescored``: similarity, plus 0.05 for each query word in the text and 0.35 for a common scope; six digits."""
     hits = X.keyword_hits(F.col(query), F.col(text))
@@ -75,10 +98,11 @@ def rescore(candidates: DataFrame, query: str = "query", text: str = "text", pat
     return candidates.withColumn("hits", hits).withColumn("rescored", F.round(raised, 6))
 
 
-def cap_per_source(candidates: DataFrame, source: str, cap: int | None = None, score: str = "score") -> DataFrame:
-    """At most ``cap`` (2 if not set) candidates of a source for a query, best first."""
+def cap_per_source(candidates: DataFrame, source: str, cap: int | None = None, score: str = "score", query: str = "query") -> DataFrame:
+    """At most ``cap`` candidates of a source for a query, best first; if not set, 5 where the query names a scope, else 2."""
     order = Window.partitionBy("qid", source).orderBy(F.desc(score), "recall_rank")
-    return candidates.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= (cap or 2)).drop("__n")
+    most = F.lit(cap) if cap is not None else F.when(F.size(X.scopes(F.col(query))) > 0, MAX_CHUNKS).otherwise(2)
+    return candidates.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).drop("__n")
 
 
 def diversify_pages(candidates: DataFrame, source: str, anchor: str, is_page: Column, score: str = "score") -> DataFrame:

@@ -26,8 +26,9 @@ def token_counts(spark, d):
 
 def coalesce_chunks(spark, d):
     ship(spark)
-    rows = I.fragments(_files(spark, d)).withColumn("chunk_class", F.when(F.col("line").contains("?"), "exercise_question").otherwise("content"))
-    return I.coalesce_chunks(rows).select("doc_id", "chunk", "anchor_value", "chunk_class", "token_count")
+    pieces = I.line_pieces(F.col("text"), lambda line: F.when(line.contains("?"), "exercise_question").otherwise("content"))
+    found = I.coalesce_chunks(table(spark, d, "documents").select("doc_id", pieces.alias("pieces")))
+    return found.select("doc_id", "chunk", F.md5("text").alias("text_md5"), "anchor_value", "chunk_class", "token_count")
 
 
 def snapshot_hash(spark, d):
@@ -72,34 +73,32 @@ def mode_page_offset(spark, d):
     return I.mode_offset(pairs, "l_suppkey")
 
 
-def _nodes(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("source", F.col("doc_id").alias("ordinal"), (F.col("n_chars") % 4).alias("depth"), F.floor(F.col("doc_id") / 3).alias("page_start"), F.lit(1_000_000).cast("long").alias("last_page"))
-
-
-def outline_page_range(spark, d):
-    return I.outline_page_ranges(_nodes(spark, d), "source").select("ordinal", "page_start", F.col("page_end").cast("long").alias("page_end"))
-
-
-def outline_parents(spark, d):
-    return I.outline_parents(_nodes(spark, d), "source").select("ordinal", "depth", "parent")
-
-
 def artifact_keys(spark, d):
     files = _files(spark, d)
     return files.select("doc_id", I.artifact_key(F.col("checksum")).alias("artifact"), I.outline_id(F.col("source"), F.col("path")).alias("outline_id"))
 
 
 _F = "f AS (SELECT doc_id, source, lang, text, 'unit' || (doc_id % 10) || '/' || doc_id || '.md' AS path, sha256(text) AS checksum FROM documents)"
-_NODES = "n AS (SELECT source, doc_id AS ordinal, n_chars % 4 AS depth, doc_id // 3 AS page_start FROM documents)"
 
-QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, page_selection, mode_page_offset, outline_page_range, outline_parents, artifact_keys)}
+QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, page_selection, mode_page_offset, artifact_keys)}
 
 SQL = {
     "fragment_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ordinal FROM l)
 SELECT doc_id, ordinal, md5(line) AS line_md5, CASE WHEN regexp_matches(line, '^#{1,6}\\s+.+$') THEN 'heading' ELSE 'line_range' END AS anchor_type FROM x WHERE trim(line) <> ''""",
     "token_counts": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+|[^\\s\\p{L}\\p{N}_\\p{M}]'))::BIGINT AS approximate, ceil(length(text) / 4)::BIGINT AS estimate FROM documents",
-    "snapshot_hash": f"WITH {_F} SELECT source, sha256(string_agg(path || chr(0) || checksum || chr(10), '' ORDER BY path)) AS snapshot, count(*) AS n_files FROM f GROUP BY source",
+    "coalesce_chunks": """WITH RECURSIVE l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, CASE WHEN contains(raw, '?') THEN 'exercise_question' ELSE 'content' END AS class,
+  CASE WHEN regexp_matches(raw, '^#{1,6}\\s+.+$') THEN trim(regexp_extract(raw, '^(#{1,6})\\s+(.+)$', 2)) ELSE n::VARCHAR END AS anchor, regexp_matches(raw, '^#{1,6}\\s+.+$') AS heading FROM l WHERE trim(raw) <> ''),
+s AS (SELECT *, coalesce(lag(class) OVER w <> class OR lag(heading) OVER w <> heading, true) AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, 0::BIGINT AS chunk, class, line AS text, [anchor] AS seen FROM s WHERE i = 1
+UNION ALL SELECT s.doc_id, s.i, CASE WHEN starts OR length(r.text) + 1 + length(line) > 1000 THEN chunk + 1 ELSE chunk END, s.class,
+  CASE WHEN starts THEN line WHEN length(r.text) + 1 + length(line) > 1000 THEN right(trim(r.text), 200) || ' ' || line ELSE r.text || ' ' || line END,
+  CASE WHEN starts THEN [anchor] WHEN length(r.text) + 1 + length(line) > 1000 THEN list_append([CASE WHEN len(seen) = 1 THEN seen[1] ELSE left(seen[1] || '-' || seen[-1], 120) END], anchor) WHEN list_contains(seen, anchor) THEN seen ELSE list_append(seen, anchor) END
+  FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+e AS (SELECT doc_id, chunk, max_by(class, i) AS class, trim(max_by(text, i)) AS text, max_by(seen, i) AS seen FROM r GROUP BY ALL)
+SELECT doc_id, chunk, md5(text) AS text_md5, CASE WHEN len(seen) = 1 THEN seen[1] ELSE left(seen[1] || '-' || seen[-1], 120) END AS anchor_value, class AS chunk_class, len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+|[^\\s\\p{L}\\p{N}_\\p{M}]'))::BIGINT AS token_count FROM e""",
+    "snapshot_hash": f"""WITH {_F}, b AS (SELECT source, left(sha256(path), 3) AS bucket, sha256(string_agg(path || chr(0) || checksum || chr(10), '' ORDER BY path)) AS digest, count(*) AS n FROM f GROUP BY ALL)
+SELECT source, sha256(string_agg(digest, '' ORDER BY bucket)) AS snapshot, sum(n)::BIGINT AS n_files FROM b GROUP BY source""",
     "snapshot_diff": f"""WITH {_F}, o AS (SELECT path, checksum AS c0 FROM f),
 n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN doc_id % 13 = 0 THEN sha256(path) ELSE checksum END AS c1 FROM f),
 b AS (SELECT path, c0, c1 FROM o FULL JOIN n USING (path)), g AS (SELECT DISTINCT c0 AS c1, true AS moved FROM b WHERE b.c1 IS NULL)
@@ -113,7 +112,5 @@ SELECT page, needs_ocr, md5(CASE WHEN page % 10 = 0 THEN 'reviewed ' || page WHE
 CASE WHEN needs_ocr AND more AND page % 10 <> 0 THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM q""",
     "mode_page_offset": """WITH c AS (SELECT l_suppkey, l_partkey % 6 AS o, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, o AS offset, n AS support FROM c WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f) = 1""",
-    "outline_page_range": f"""WITH {_NODES} SELECT a.ordinal, a.page_start, coalesce((SELECT arg_min(b.page_start, b.ordinal) FROM n b WHERE b.source = a.source AND b.ordinal > a.ordinal AND b.depth <= a.depth AND b.page_start > a.page_start) - 1, 1000000)::BIGINT AS page_end FROM n a""",
-    "outline_parents": f"WITH {_NODES} SELECT a.ordinal, a.depth, (SELECT max(b.ordinal) FROM n b WHERE b.source = a.source AND b.ordinal < a.ordinal AND b.depth < a.depth) AS parent FROM n a",
     "artifact_keys": f"WITH {_F} SELECT doc_id, 'artifacts/sha256/' || left(checksum, 2) || '/' || checksum AS artifact, 'ol_' || left(sha256(source || '|' || path), 24) AS outline_id FROM f",
 }

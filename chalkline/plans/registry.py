@@ -1,7 +1,7 @@
 """All queries of the library, and the SQL of those that SQL can express."""
 
-from chalkline.plans import catalog, ingest, memory, ops, practice, retrieval
+from chalkline.plans import access, catalog, ingest, memory, ops, outline, practice, retrieval
 
-MODULES = (retrieval, ingest, catalog, practice, memory, ops)
+MODULES = (retrieval, access, ingest, outline, catalog, practice, memory, ops)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -26,7 +26,7 @@ def _described(found: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     """Candidates with the query's text and the chunk's text, path, source and page."""
     path = F.concat(F.lit("Unit 0"), F.col("doc_id") % 10, F.lit("/week_"), F.col("doc_id") % 7, F.lit("_"), F.col("source"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), "text", path.alias("path"), "source", (F.col("doc_id") % 3).alias("page"))
-    bench = table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("qid"), F.concat(F.col("text"), F.lit(" unit "), F.col("item_id") % 10).alias("query"))
+    bench = table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("qid"), F.concat(F.col("text"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit(" unit "), F.col("item_id") % 10)).otherwise("")).alias("query"))
     return found.join(bench, "qid").join(docs, "cid")
 
 
@@ -42,7 +42,7 @@ p AS (SELECT q.vec_id AS qid, c.vec_id AS cid, round(list_dot_product(q.e, c.e),
   (q.vec_id % 80 // 20) AS qrank, c.vec_id % 4 AS crank FROM n q, n c WHERE q.vec_id % 20 = 0),
 top AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS recall_rank FROM p QUALIFY recall_rank <= {K})"""
 _DESCRIBED = f"""{_TOP},
-cand AS (SELECT top.*, b.text || ' unit ' || (b.item_id % 10) AS query, d.text, d.source, d.doc_id % 3 AS page,
+cand AS (SELECT top.*, b.item_id, b.text || CASE WHEN b.item_id % 2 = 1 THEN ' unit ' || (b.item_id % 10) ELSE '' END AS query, d.text, d.source, d.doc_id % 3 AS page,
   'Unit 0' || (d.doc_id % 10) || '/week_' || (d.doc_id % 7) || '_' || d.source AS path
   FROM top JOIN benchmark b ON b.item_id * 20 = top.qid JOIN documents d ON d.doc_id = top.cid)"""
 _SCOPES = "list_distinct(list_transform(regexp_extract_all(lower({0}), '(?:^|[^a-z0-9])((?:unit|week)[\\s_/-]*\\d+)', 1), lambda x: x[1:4] || ':' || regexp_extract(x, '(\\d+)$', 1)::BIGINT))"
@@ -121,7 +121,7 @@ SQL = {
     "lexical_rescore": f"""WITH {_DESCRIBED}, h AS (SELECT *, len(list_filter(list_distinct(regexp_split_to_array(lower(query), '\\s+')), lambda w: length(w) >= 3 AND contains(lower(text), w)))::BIGINT AS hits FROM cand)
 SELECT qid, cid, hits, round(score + 0.05::DOUBLE * hits + CASE WHEN list_has_any({_SCOPES.format("query")}, {_SCOPES.format("path")}) THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END, 6) AS rescored FROM h""",
     "scope_extract": f"SELECT doc_id, array_to_string(list_sort({_SCOPES.format("'Unit 0' || (doc_id % 10) || '/week_' || (doc_id % 7) || ' unit-' || (doc_id % 13)")}), ',') AS scopes FROM documents",
-    "source_cap_rerank": f"WITH {_DESCRIBED} SELECT qid, cid, source, score FROM cand QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, recall_rank) <= 2",
+    "source_cap_rerank": f"WITH {_DESCRIBED} SELECT qid, cid, source, score FROM cand QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, recall_rank) <= CASE WHEN item_id % 2 = 0 THEN 2 ELSE 5 END",
     "page_diversify": f"""WITH {_DESCRIBED}, m AS (SELECT *, NOT (page > 0 AND row_number() OVER (PARTITION BY qid, source, page ORDER BY score DESC, recall_rank) = 1) AS repeated FROM cand)
 SELECT qid, cid, repeated, row_number() OVER (PARTITION BY qid ORDER BY repeated, score DESC, recall_rank) AS place FROM m""",
     "substantive_preference": f"""WITH {_DESCRIBED}, m AS (SELECT *, max(length(text)) OVER (PARTITION BY qid) AS longest FROM cand)

@@ -50,9 +50,16 @@ def test_snapshot_hash_ignores_order_and_sees_changes(spark):
     assert all(base != make(x) for x in others)
 
 
+def pieces(spark, rows):
+    by = {}
+    for doc_id, _, *piece in rows:
+        by.setdefault(doc_id, []).append(tuple(piece))
+    return spark.createDataFrame(list(by.items()), "doc_id long, pieces array<struct<line:string,anchor_type:string,anchor_value:string,chunk_class:string>>")
+
+
 def test_chunks_keep_boundaries(spark):
     rows = [(1, 0, "A?", "slide", "3", "exercise_question"), (1, 1, "B?", "slide", "4", "exercise_question"), (1, 2, "C", "slide", "5", "exercise_solution"), (1, 3, "D", "page", "6", "assessment"), (2, 0, "Page one title", "page", "1", "content"), (2, 1, "Page one body", "page", "1", "content"), (2, 2, "Page two body", "page", "2", "content")]
-    found = ingest.coalesce_chunks(spark.createDataFrame(rows, "doc_id long, ordinal int, line string, anchor_type string, anchor_value string, chunk_class string")).orderBy("doc_id", "chunk").collect()
+    found = ingest.coalesce_chunks(pieces(spark, rows)).orderBy("doc_id", "chunk").collect()
     assert [(r["anchor_value"], r["chunk_class"]) for r in found if r["doc_id"] == 1] == [("3", "exercise_question"), ("4", "exercise_question"), ("5", "exercise_solution"), ("6", "assessment")]
     assert [(r["anchor_value"], r["text"]) for r in found if r["doc_id"] == 2] == [("1", "Page one title Page one body"), ("2", "Page two body")]
     assert all(r["token_count"] > 0 for r in found)
@@ -60,7 +67,7 @@ def test_chunks_keep_boundaries(spark):
 
 def test_chunks_carry_an_overlap(spark):
     rows = [(1, i, "x" * 300 + str(i), "line_range", str(i), "content") for i in range(6)]
-    found = ingest.coalesce_chunks(spark.createDataFrame(rows, "doc_id long, ordinal int, line string, anchor_type string, anchor_value string, chunk_class string")).orderBy("chunk").collect()
+    found = ingest.coalesce_chunks(pieces(spark, rows)).orderBy("chunk").collect()
     assert len(found) > 1 and found[1]["text"].startswith(found[0]["text"][-200:])
 
 
