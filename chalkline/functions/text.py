@@ -1,5 +1,6 @@
 """Text functions as Spark columns; Python only where Unicode normalisation or sequence matching needs it."""
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -52,6 +53,11 @@ def normal_key(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_")), 1, 255)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -119,14 +125,35 @@ def clean_unicode(text: pd.Series) -> pd.Series:
     return text.map(clean)
 
 
+def matching_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The matching-blocks ratio of two strings, or its upper bound where that is ``least`` at most."""
+    matcher = SequenceMatcher(a=a, b=b)
+    for bound in (matcher.real_quick_ratio, matcher.quick_ratio):
+        if (value := bound()) <= least:
+            return value
+    return matcher.ratio()
+
+
+def text_similarity(a: str | None, b: str | None) -> float:
+    """As ``similarity``, of two values in Python."""
+    left, right = (" ".join((x or "").split()).casefold() for x in (a, b))
+    x, y = (set(re.findall(r"\w+", t)) for t in (left, right))
+    overlap = len(x & y) / len(x | y) if x | y else 0.0
+    return 1.0 if left == right else max(overlap, matching_ratio(left, right, overlap))
+
+
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two strings."""
-    return pd.Series([SequenceMatcher(a=x or "", b=y or "").ratio() for x, y in zip(a, b, strict=True)])
+def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The matching-blocks ratio of two strings, computed only where quick bounds leave it above ``least``."""
+    return pd.Series([matching_ratio(x or "", y or "", z) for x, y, z in zip(a, b, least, strict=True)])
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The larger of word overlap and sequence ratio; 1 for equal texts."""
+    """The larger of word overlap and sequence ratio; 1 for equal texts.
+
+    The ratio is quadratic in the length, so it runs only where bounds by the characters in common exceed the overlap.
+    """
     left, right = F.lower(compact(a)), F.lower(compact(b))
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1)))
-    return F.when(left == right, 1.0).otherwise(F.greatest(jaccard(words(left), words(right)), sequence_ratio(left, right)))
+    overlap = jaccard(words(left), words(right))
+    return F.when(left == right, 1.0).otherwise(F.greatest(overlap, F.least(sequence_ratio(left, right, overlap), F.lit(1.0))))

@@ -1,43 +1,65 @@
 """Retrieval quality and release gates."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.sources.scratch import scratch_table
 
-def inverse_frequency(tokens: DataFrame, n_docs: int) -> DataFrame:
-    """ln((N + 1) / (1 + df)) + 1 of each token of (doc_id, token)."""
-    df = tokens.select("doc_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.round(F.ln(F.lit(n_docs + 1.0) / (F.col("df") + 1)) + 1, 6))
 
+def term_counts(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, token, tf) as a written table, so that texts are split once."""
+    return scratch_table(tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
 
-def tfidf_scores(queries: DataFrame, tokens: DataFrame, idf: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` documents of each query (qid, token) by cosine of normalised TF-IDF vectors: an equi-join on tokens."""
-    weigh = lambda rows, key: rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    d, q = weigh(tokens, "doc_id"), weigh(queries, "qid")
+
+def inverse_frequency(terms: DataFrame, n_docs: Column) -> DataFrame:
+    """(token, df, idf): ln((N + 1) / (1 + df)) + 1 of each token of ``term_counts``."""
+    df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("idf", F.round(F.ln((n_docs + F.lit(1.0)) / (F.col("df") + 1)) + 1, 6))
+
+
+def tfidf_scores(queries: DataFrame, terms: DataFrame, n_docs: Column, k: int) -> DataFrame:
+    """Top ``k`` documents of each query (qid, token) by cosine of normalised TF-IDF vectors: an equi-join on tokens.
+
+    Only the documents' terms that some query has meet the queries; lengths are sums over all terms of a document.
+    """
+    idf = scratch_table(inverse_frequency(terms, n_docs).select("token", "idf"), "idf")
+    d = terms.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    q = scratch_table(queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token").select("qid", "token", (F.col("tf") * F.col("idf")).alias("qw")), "query-terms")
     norm = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    scores = q.select("qid", "token", F.col("w").alias("qw")).join(d.select("doc_id", "token", "w"), "token").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    met = terms.join(q.select("token").distinct(), "token", "left_semi").join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    scores = met.join(q, "token").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
     scores = scores.join(norm, "doc_id").join(qnorm, "qid").select("qid", "doc_id", F.round(F.col("s") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked.filter(F.col("rank") <= k)
 
 
-def retrieval_metrics(ranked: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
-    """Recall, MRR, abstention precision, recall and F1 over (qid, doc_id, rank) and expected (qid, doc_id)."""
-    hit = ranked.join(expected, ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+def retrieval_cases(ranked: DataFrame, expected: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(qid, answerable, answered, first, cited) over (qid, doc_id, rank, score) and expected (qid, doc_id).
+
+    A query without a score of ``least`` abstains; ``first`` is the rank of its first expected document, ``cited`` whether that is 1.
+    """
+    hit = ranked.join(expected.distinct(), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("first"))
     answerable = expected.select("qid").distinct().withColumn("answerable", F.lit(True))
-    found = ranked.select("qid").distinct().withColumn("answered", F.lit(True))
-    each = queries.select("qid").join(answerable, "qid", "left").join(found, "qid", "left").join(hit, "qid", "left")
-    each = each.select("qid", F.coalesce("answerable", F.lit(False)).alias("answerable"), F.coalesce("answered", F.lit(False)).alias("answered"), "first")
-    abstained, should = ~F.col("answered"), ~F.col("answerable")
-    sums = each.agg(
-        F.avg(F.when(F.col("answerable"), F.col("first").isNotNull().cast("double"))).alias("recall"),
-        F.avg(F.when(F.col("answerable"), F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr"),
-        F.count_if(abstained & should).alias("tp"), F.count_if(abstained).alias("n_abstained"), F.count_if(should).alias("n_should"),
+    top = ranked.groupBy("qid").agg((F.max("score") >= least).alias("answered"))
+    each = queries.select("qid").join(answerable, "qid", "left").join(top, "qid", "left").join(hit, "qid", "left")
+    no = F.lit(False)
+    return each.select("qid", F.coalesce("answerable", no).alias("answerable"), F.coalesce("answered", no).alias("answered"), "first", F.coalesce(F.col("first") == 1, no).alias("cited"))
+
+
+def retrieval_metrics(ranked: DataFrame, expected: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """Recall, MRR, citation precision, and abstention precision, recall and F1 of ``retrieval_cases``."""
+    answerable, abstained = F.col("answerable"), ~F.col("answered")
+    sums = retrieval_cases(ranked, expected, queries, least).agg(
+        F.avg(F.when(answerable, F.col("first").isNotNull().cast("double"))).alias("recall"),
+        F.avg(F.when(answerable, F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr"),
+        F.avg(F.when(answerable & F.col("answered"), F.col("cited").cast("double"))).alias("citation_precision"),
+        F.count_if(abstained & ~answerable).alias("tp"), F.count_if(abstained).alias("n_abstained"), F.count_if(~answerable).alias("n_should"),
     )
-    precision, recall = F.col("tp") / F.nullif(F.col("n_abstained"), F.lit(0)), F.col("tp") / F.nullif(F.col("n_should"), F.lit(0))
-    f1 = F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
-    return sums.select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round(f1, 6).alias("abstention_f1"))
+    precision, recall = (F.col("tp") / F.greatest(F.col(n), F.lit(1)) for n in ("n_abstained", "n_should"))
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).otherwise(0.0)
+    named = {"recall": F.col("recall"), "mrr": F.col("mrr"), "citation_precision": F.col("citation_precision"), "abstention_precision": precision, "abstention_recall": recall, "abstention_f1": f1}
+    return sums.select(*(F.round(c, 6).alias(k) for k, c in named.items()))
 
 
 def nearest_rank(values: DataFrame, key: str, value: str, q: float) -> DataFrame:

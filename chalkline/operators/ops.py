@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions.time import epoch_micros, epoch_seconds
+from chalkline.operators.folds import ordered_fold
 
 
 def queue_depth(events: DataFrame, topic: str, processed: Column, dead: Column) -> DataFrame:
@@ -23,10 +24,68 @@ def first_delivery(events: DataFrame, key: list[str], order: list[str]) -> DataF
 
 
 def over_limit(hits: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """Windows of fixed length (epoch-aligned) in which a key hit more than ``limit`` times."""
-    window = (F.floor(epoch_seconds(F.col(ts)) / seconds) * seconds).alias("window_start")
-    counts = hits.groupBy(key, window).agg(F.count(F.lit(1)).alias("hits"))
-    return counts.filter(F.col("hits") > limit)
+    """(key, window_start, hits): windows in which a key hit more than ``limit`` times; a window starts at the first hit after the last one."""
+
+    def step(state: dict, row: dict) -> list[tuple]:
+        closed = []
+        if state and row["__at"] >= state["start"] + seconds:
+            closed = [(state["start"], state["n"])] if state["n"] > limit else []
+            state.clear()
+        if not state:
+            state.update(start=row["__at"], n=0)
+        state["n"] += 1
+        return closed
+
+    rows = hits.select(key, epoch_seconds(F.col(ts)).alias("__at"))
+    return ordered_fold(rows, [key], [F.col("__at")], "window_start bigint, hits bigint", dict, step, lambda state: [(state["start"], state["n"])] if state and state["n"] > limit else [])
+
+
+def circuit(calls: DataFrame, key: str, at: str, order: list[str], failed: str, threshold: int = 3, reset: int = 30) -> DataFrame:
+    """(key, call, outcome) of calls (call_id): ok, failed, or rejected while the circuit is open.
+
+    It opens with the ``threshold``-th consecutive failure and lets calls through again, with the count at zero, when ``reset``
+    seconds have passed.
+    """
+
+    def step(state: dict, row: dict) -> list[tuple]:
+        if state.get("opened") is not None:
+            if row[at] - state["opened"] < reset:
+                return [(row["call_id"], "rejected")]
+            state.clear()
+        if not row[failed]:
+            state.clear()
+            return [(row["call_id"], "ok")]
+        state["failures"] = state.get("failures", 0) + 1
+        if state["failures"] >= threshold:
+            state["opened"] = row[at]
+        return [(row["call_id"], "failed")]
+
+    return ordered_fold(calls.select(key, "call_id", at, failed), [key], [F.col(c) for c in order], "call_id bigint, outcome string", dict, step)
+
+
+def job_states(jobs: DataFrame, events: DataFrame, now: int) -> DataFrame:
+    """(job_id, status, closes_event) of jobs (job_id, submitted, count) at ``now`` by their events (job_id, at, action: ready, cancel).
+
+    The first end counts. A job has five minutes, eight if it asks for more than ten; what comes later than that finds
+    it failed. A cancelled or failed job closes its queued event.
+    """
+    deadline = F.col("submitted") + F.when(F.col("count") > 10, 480).otherwise(300)
+    ends = events.groupBy("job_id").agg(F.min(F.struct("at", "action")).alias("e"))
+    joined = jobs.join(ends, "job_id", "left").withColumn("deadline", deadline)
+    status = F.when(F.col("e.at") < F.col("deadline"), F.when(F.col("e.action") == "cancel", "cancelled").otherwise("ready")).when(F.lit(now) >= F.col("deadline"), "failed").otherwise("running")
+    return joined.select("job_id", status.alias("status"), status.isin("cancelled", "failed").alias("closes_event"))
+
+
+def oldest_unclaimed(queue: DataFrame, topic: str, order: list[str], limit: int) -> DataFrame:
+    """(topic, place, ...): the ``limit`` oldest unclaimed events of each topic, first in first out."""
+    place = F.row_number().over(Window.partitionBy(topic).orderBy(*order))
+    return queue.filter("claimed_at IS NULL").withColumn("place", place.cast("long")).filter(F.col("place") <= limit)
+
+
+def trace_states(events: DataFrame, trace: str, order: list[str], state: str, terminal: tuple[str, ...] = ("completed", "failed", "cancelled", "abstained")) -> DataFrame:
+    """(trace, state, n): the first terminal state of each trace, else open, and the events up to then."""
+    first = F.min(F.when(F.col(state).isin(*terminal), F.struct(*order, F.col(state).alias("s"))))
+    return events.groupBy(trace).agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select(trace, F.coalesce("f.s", F.lit("open")).alias("state"), "n")
 
 
 def error_ratio(events: DataFrame, ts: str, failed: Column, seconds: int) -> DataFrame:

@@ -190,22 +190,6 @@ def _block_links(table: pa.Table, least: float, common: int) -> pa.Table:
     return pa.table([pa.array([centre] * len(a), pa.int64()), pa.array([parts] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(jaccard, pa.float64())], names=["centre", "parts", "a", "b", "jaccard"])
 
 
-def draft_reasons(prompt: Column, kind: Column, n_citations: Column) -> Column:
-    """The first check that a drafted question fails, or null; the checks run in this order."""
-    text = F.coalesce(prompt, F.lit(""))
-    letters, visible = F.regexp_count(text, F.lit(r"(?U)\p{L}")), F.regexp_count(text, F.lit(r"\S"))
-    blanks = F.regexp_count(text, F.lit("_{3,}"))
-    return F.coalesce(
-        F.when((F.length(text) < 20) | (letters < 0.45 * visible), "unreadable_ocr_prompt"),
-        F.when(F.rlike(text, F.lit(r"(?i)\b(?:picture|photo|image|shown above)\b")), "unsupported_visual_claim"),
-        F.when(F.rlike(text, F.lit(r"(?i)\bpage\s+\d+")), "unverified_page_reference"),
-        F.when((kind != "fill_blank") & (blanks > 0), "unexpected_blank_placeholder"),
-        F.when((kind == "fill_blank") & (blanks == 0), "missing_blank_placeholder"),
-        F.when(blanks > 1, "multiple_blank_placeholders"),
-        F.when(n_citations == 0, "invalid_citations"),
-    )
-
-
 def split_answer(rows: DataFrame, visible: list[str], protected: list[str]) -> tuple[DataFrame, DataFrame]:
     """What a learner may see, and the protected rest, by exercise."""
     return rows.select("exercise_id", *visible), rows.select("exercise_id", *protected)

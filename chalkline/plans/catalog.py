@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
+from chalkline.functions import text as X
 from chalkline.operators import catalog as K
 from chalkline.sources.tables import table
 
@@ -12,7 +14,32 @@ def _books(spark, d):
 
 
 def facet_counts(spark, d):
-    return K.facets(_books(spark, d), [("level",), ("level", "subject"), ("level", "subject", "grade")])
+    books = K.with_publishers(_books(spark, d).withColumn("publisher_id", F.col("book_id") % 30), _publishers(spark, d))
+    return K.facets(books, [("level",), ("level", "subject"), ("level", "subject", "grade"), ("publisher",)])
+
+
+def _publishers(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher_id"), F.col("s_name").alias("publisher"))
+
+
+def books_with_publishers(spark, d):
+    return K.with_publishers(_books(spark, d).withColumn("publisher_id", F.col("book_id") % 30), _publishers(spark, d)).select("book_id", "title", "publisher")
+
+
+def outline_of_book(spark, d):
+    k = F.col("o_orderkey")
+    bindings = table(spark, d, "lineitem").select(F.col("l_partkey").alias("book_id"), F.col("l_orderkey").alias("run_id"), (F.col("l_orderkey") % 5).alias("version_id"))
+    runs = table(spark, d, "orders").select(k.alias("run_id"), (F.col("o_custkey") % 5).alias("active_version"), (F.col("o_custkey") % 40).alias("course_id"))
+    courses = spark.range(40).select(F.col("id").alias("course_id"), (F.col("id") % 5).alias("active_version"))
+    versions = spark.range(5).select(F.col("id").alias("version_id"), F.when(F.col("id") != 3, "published").otherwise("ready").alias("status"))
+    outlines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("book_id"), (F.col("l_suppkey") % 5).alias("version_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("outline_id"), F.floor(F.col("l_orderkey") / 7).alias("created_at"))
+    books = table(spark, d, "part").select(F.col("p_partkey").alias("book_id"), F.when(F.col("p_size") % 4 != 0, "published").otherwise("draft").alias("lifecycle"))
+    return K.outline_of(outlines, bindings, runs, courses, versions, books)
+
+
+def catalog_files(spark, d):
+    files = table(spark, d, "pages").select("page_id", _path(F.col("page_id")).alias("path"))
+    return K.public_view(K.catalog_files(files, series="社")).select("page_id")
 
 
 def _chain(spark, d):
@@ -62,7 +89,8 @@ def upsert_rows(spark, d):
 
 
 def identity_key(spark, d):
-    fields = {"education_level": F.lower("level"), "subject": F.lower("subject"), "title": F.lower("title"), "grade": F.col("grade").cast("string"), "editor": F.lit(None).cast("string"), "publisher": F.lit(""), "series": F.lower("edition"), "start_grade": F.lit(""), "term": F.lit("")}
+    ship(spark)
+    fields = {"education_level": X.nfkc_casefold("level"), "subject": X.nfkc_casefold("subject"), "title": X.nfkc_casefold("title"), "grade": F.col("grade").cast("string"), "editor": F.lit(None).cast("string"), "publisher": F.lit(""), "series": X.nfkc_casefold("edition"), "start_grade": F.lit(""), "term": F.lit("")}
     return _books(spark, d).select("book_id", K.identity_key(fields, "catalog").alias("stable_key"))
 
 
@@ -85,11 +113,16 @@ _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"  # noqa:
 _PICK = lambda i, by: f"{_LIST(_PATH[i])}[(page_id // {by}) % {len(_PATH[i])} + 1]"
 _G = "MAP {'一': '1', '二': '2', '三': '3', '四': '4', '五': '5', '六': '6', '七': '7', '八': '8', '九': '9'}"
 
-QUERIES = {f.__name__: f for f in (facet_counts, published_semi_join, book_search_ilike, keyset_page, multiway_course_join, citation_resolve_ordered, insert_if_absent_anti, upsert_rows, identity_key, path_parse_issues)}
+QUERIES = {f.__name__: f for f in (facet_counts, books_with_publishers, outline_of_book, catalog_files, published_semi_join, book_search_ilike, keyset_page, multiway_course_join, citation_resolve_ordered, insert_if_absent_anti, upsert_rows, identity_key, path_parse_issues)}
 
 SQL = {
-    "facet_counts": f"""WITH {_B} SELECT CASE WHEN grouping(subject) = 1 THEN 'level' WHEN grouping(grade) = 1 THEN 'level+subject' ELSE 'level+subject+grade' END AS family, level, subject, grade, count(*) AS n
-FROM b GROUP BY GROUPING SETS ((level), (level, subject), (level, subject, grade))""",
+    "facet_counts": f"""WITH {_B}, w AS (SELECT b.*, s_name AS publisher FROM b JOIN supplier ON s_suppkey = book_id % 30)
+SELECT CASE WHEN grouping(level) = 1 THEN 'publisher' WHEN grouping(subject) = 1 THEN 'level' WHEN grouping(grade) = 1 THEN 'level+subject' ELSE 'level+subject+grade' END AS family, level, subject, grade, publisher, count(*) AS n
+FROM w GROUP BY GROUPING SETS ((level), (level, subject), (level, subject, grade), (publisher))""",
+    "books_with_publishers": f"WITH {_B} SELECT book_id, title, s_name AS publisher FROM b JOIN supplier ON s_suppkey = book_id % 30",
+    "outline_of_book": """WITH l AS (SELECT DISTINCT l_partkey AS book_id, l_orderkey % 5 AS version_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 5 = o_custkey % 5 AND o_custkey % 5 = o_custkey % 40 % 5 AND l_orderkey % 5 <> 3)
+SELECT l_partkey AS book_id, l_suppkey % 5 AS version_id, arg_max(l_orderkey * 10 + l_linenumber, {'a': l_orderkey // 7, 'b': l_orderkey * 10 + l_linenumber}) AS outline_id FROM lineitem JOIN l ON l.book_id = l_partkey AND l.version_id = l_suppkey % 5 JOIN part ON p_partkey = l_partkey WHERE p_size % 4 <> 0 GROUP BY ALL""",
+    "catalog_files": f"SELECT page_id FROM (SELECT page_id, {_PICK(0, 1)} AS l, {_PICK(2, 8)} AS series FROM pages) WHERE l <> '大学' AND contains(series, '社')",
     "published_semi_join": f"WITH {_B}, {_C} SELECT book_id, title FROM b WHERE EXISTS (SELECT 1 FROM live JOIN v USING (version_id) WHERE live.book_id = b.book_id AND status = 'published')",
     "book_search_ilike": f"WITH {_B} SELECT book_id, title, grade FROM b WHERE grade = 3 AND (title ILIKE '%An%' OR edition ILIKE '%An%' OR subject ILIKE '%An%')",
     "keyset_page": f"WITH {_B} SELECT book_id, title, edition FROM b WHERE (title, coalesce(edition, ''), book_id) > ('g', '', 0) ORDER BY title, coalesce(edition, ''), book_id LIMIT 51",

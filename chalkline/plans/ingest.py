@@ -61,6 +61,18 @@ def parser_dispatch(spark, d):
     return I.dispatch(files).select("page_id", "status")
 
 
+def mime_sniff(spark, d):
+    k = F.col("page_id") % 5
+    path = F.concat(F.lit("a.b/file"), "page_id", F.when(k == 0, ".PDF").when(k == 1, ".md").when(k == 2, ".docx").otherwise(""))
+    content = F.encode(F.concat(F.when(k == 3, "%PDF-1.7 ").otherwise(""), "html"), "utf-8")
+    return table(spark, d, "pages").select("page_id", I.sniff_mime(path, content).alias("mime"))
+
+
+def fake_embeddings(spark, d):
+    v = X.fake_embedding(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, 16), 6).alias("last"), F.round(X.dot(v, v), 6).alias("norm"))
+
+
 def page_selection(spark, d):
     docs = table(spark, d, "documents")
     pages = docs.select(F.md5("source").alias("checksum"), F.lit(3).alias("page_count"), F.col("doc_id").alias("page"), "text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("ocr_text"), (F.col("n_chars") * 20).alias("file_size"))
@@ -80,7 +92,7 @@ def artifact_keys(spark, d):
 
 _F = "f AS (SELECT doc_id, source, lang, text, 'unit' || (doc_id % 10) || '/' || doc_id || '.md' AS path, sha256(text) AS checksum FROM documents)"
 
-QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, page_selection, mode_page_offset, artifact_keys)}
+QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, mime_sniff, fake_embeddings, page_selection, mode_page_offset, artifact_keys)}
 
 SQL = {
     "fragment_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ordinal FROM l)
@@ -106,6 +118,9 @@ SELECT path, CASE WHEN b.c1 IS NULL THEN 'deleted' WHEN c0 IS NULL AND moved THE
     "incremental_reuse": f"WITH {_F}, e AS (SELECT source, checksum, max(doc_id) AS reused FROM f GROUP BY ALL) SELECT f.doc_id, e.reused FROM f LEFT JOIN e USING (source, checksum)",
     "next_version_sequence": "SELECT c_custkey AS o_custkey, (coalesce(max(o_orderkey % 9 + 1), 0) + 1)::BIGINT AS next_sequence FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "parser_dispatch": "SELECT page_id, CASE WHEN page_id % 9 = 0 OR html IS NULL THEN 'failed' WHEN page_id % 4 = 0 OR trim(html) = '' THEN 'quarantined' ELSE 'extracted' END AS status FROM pages",
+    "mime_sniff": "SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 4 THEN 'text/plain' ELSE 'application/pdf' END AS mime FROM pages",
+    "fake_embeddings": """WITH h AS (SELECT item_id, sha256(text) AS h FROM benchmark), r AS (SELECT item_id, list_transform(range(16), lambda i: ('0x' || substr(h, i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM r)
+SELECT item_id, round(v[1] / n, 6) AS first, round(v[16] / n, 6) AS last, 1.0::DOUBLE AS norm FROM n""",
     "page_selection": """WITH p AS (SELECT doc_id AS page, text AS t, CASE WHEN doc_id % 4 = 0 THEN text END AS o, n_chars * 20 AS size FROM documents),
 q AS (SELECT *, length(trim(t)) < 80 AND size > 3 * 10240 AS needs_ocr, length(trim(coalesce(o, ''))) > length(trim(t)) AS more FROM p)
 SELECT page, needs_ocr, md5(CASE WHEN page % 10 = 0 THEN 'reviewed ' || page WHEN needs_ocr AND more THEN o ELSE t END) AS chosen_md5,

@@ -1,7 +1,9 @@
 """Telemetry and queue queries over ``events``, and the evaluation of retrieval."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
 from chalkline.functions.time import epoch_seconds
 from chalkline.operators import evaluation as V
 from chalkline.operators import ops as O
@@ -25,7 +27,30 @@ def idempotent_dedup(spark, d):
 
 
 def fixed_window_rate(spark, d):
-    return O.over_limit(_e(spark, d).withColumn("route", F.col("user_id") % 5), "route", "ts", 3600, 2)
+    ship(spark)
+    return O.over_limit(_e(spark, d), "user_id", "ts", 86400, 1)
+
+
+def circuit_breaker(spark, d):
+    ship(spark)
+    calls = _e(spark, d).select((F.col("user_id") % 50).alias("route"), F.col("event_id").alias("call_id"), epoch_seconds("ts").alias("at"), F.col("event_type").isin("error", "view").alias("failed"))
+    return O.circuit(calls, "route", "at", ["at", "call_id"], "failed", reset=86400)
+
+
+def job_deadlines(spark, d):
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 1000).alias("submitted"), (F.col("o_custkey") % 20).alias("count"))
+    events = table(spark, d, "lineitem").filter("l_linenumber >= 3").select(F.col("l_orderkey").alias("job_id"), (F.col("l_orderkey") % 1000 + F.col("l_partkey") % 700).alias("at"), F.when(F.col("l_returnflag") == "R", "cancel").otherwise("ready").alias("action"))
+    return O.job_states(jobs, events, 1100)
+
+
+def oldest_unclaimed(spark, d):
+    queue = _e(spark, d).withColumn("claimed_at", F.when(F.col("value") < 60, F.col("ts")))
+    return O.oldest_unclaimed(queue, "event_type", ["ts", "event_id"], 10).select("event_type", "place", "event_id")
+
+
+def trace_states(spark, d):
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("value") < 5, "abstained").otherwise("streaming")
+    return O.trace_states(_e(spark, d).withColumn("state", state), "user_id", ["ts", "event_id"], "state")
 
 
 def error_ratio_10m(spark, d):
@@ -58,13 +83,21 @@ def failure_islands(spark, d):
     return O.failure_islands(marked, "route", ["ts", "event_id"], F.col("event_type").isin("error", "view"), 3)
 
 
-def _tokens(spark, d):
+def _words(column):
+    return F.regexp_extract_all(F.lower(column), F.lit("([a-z]{3,})"), F.lit(1))
+
+
+def _term_counts(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("token"))
+    return V.term_counts(docs.select("doc_id", F.explode(_words("text")).alias("token")), "doc_id")
+
+
+def _n_docs(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
 
 
 def tfidf_idf(spark, d):
-    return V.inverse_frequency(_tokens(spark, d), table(spark, d, "documents").count())
+    return V.inverse_frequency(_term_counts(spark, d), _n_docs(spark, d))
 
 
 def _bench(spark, d):
@@ -73,19 +106,34 @@ def _bench(spark, d):
 
 
 def _ranked(spark, d):
-    queries = _bench(spark, d).select("qid", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("token"))
-    return V.tfidf_scores(queries, _tokens(spark, d), tfidf_idf(spark, d).select("token", "idf"), 5)
+    queries = _bench(spark, d).select("qid", F.explode(_words("text")).alias("token"))
+    return V.tfidf_scores(queries, _term_counts(spark, d), _n_docs(spark, d), 5)
 
 
 def tfidf_top5(spark, d):
     return _ranked(spark, d)
 
 
+_PASSAGE = 8
+
+
+def _expected(spark, d):
+    """Documents that hold the first eight words of an item one after the other, as benchmark passages planted in a corpus do."""
+    items = _bench(spark, d).select("qid", F.array_join(F.slice(_words("text"), 1, _PASSAGE), " ").alias("gram"), F.size(_words("text")).alias("n")).filter(F.col("n") >= _PASSAGE).drop("n")
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(_words("text")).alias("pos", "word"))
+    next_ = [F.lead("word", k).over(Window.partitionBy("doc_id").orderBy("pos")) for k in range(1, _PASSAGE)]
+    grams = words.withColumns({f"w{k}": w for k, w in enumerate(next_)}).filter(f"w{_PASSAGE - 2} IS NOT NULL")
+    grams = grams.select("doc_id", F.concat_ws(" ", "word", *(f"w{k}" for k in range(_PASSAGE - 1))).alias("gram"))
+    return grams.join(items, "gram").select("qid", "doc_id").distinct()
+
+
 def recall_mrr(spark, d):
-    """Expected documents are those of the same id as the item, for items of even id."""
-    ranked = _ranked(spark, d).filter("score >= 0.2")
-    firsts = ranked.filter("rank = 1 AND qid % 4 <> 1").select("qid", "doc_id")
-    return V.retrieval_metrics(ranked, firsts, _bench(spark, d))
+    """The ranking of all items, held against the documents in which their passages are planted."""
+    return V.retrieval_metrics(_ranked(spark, d), _expected(spark, d), _bench(spark, d), 0.2)
+
+
+def recall_cases(spark, d):
+    return V.retrieval_cases(_ranked(spark, d), _expected(spark, d), _bench(spark, d), 0.2).select("qid", "answerable", "answered", "first", "cited")
 
 
 def nearest_rank_p95(spark, d):
@@ -112,16 +160,34 @@ dw AS (SELECT doc_id, token, count(*) * any_value(idf) AS w FROM t JOIN idf USIN
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY ALL), qn AS (SELECT qid, sqrt(sum(w * w)) AS n FROM qw GROUP BY ALL),
 sc AS (SELECT qid, doc_id, round(sum(qw.w * dw.w) / any_value(dn.n * qn.n), 6) AS score FROM qw JOIN dw USING (token) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY ALL),
 rk AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 5)"""
+_CASES = f"""dl AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]{{3,}}'), ' ') || ' ' AS t FROM documents), il AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM benchmark),
+x AS (SELECT item_id AS qid, doc_id FROM il JOIN dl ON len(w) >= {_PASSAGE} AND contains(t, ' ' || array_to_string(w[1:{_PASSAGE}], ' ') || ' ')),
+cases AS (SELECT b.item_id AS qid, EXISTS (SELECT 1 FROM x WHERE x.qid = b.item_id) AS answerable, EXISTS (SELECT 1 FROM rk WHERE rk.qid = b.item_id AND score >= 0.2) AS answered, (SELECT min(rk.rank) FROM rk JOIN x ON rk.qid = x.qid AND rk.doc_id = x.doc_id WHERE rk.qid = b.item_id) AS first,
+  EXISTS (SELECT 1 FROM rk JOIN x ON rk.qid = x.qid AND rk.doc_id = x.doc_id WHERE rk.qid = b.item_id AND rk.rank = 1) AS cited FROM benchmark b)"""
 _BOUNDS = "[0.0, 5.0, 20.0, 50.0, 75.0, 100.0]"
 _OK = ", ".join(f"'{a}>{b}'" for a, b in _ALLOWED)
 
-QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, nearest_rank_p95, golden_gate, revenue_by_segment)}
+QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, circuit_breaker, job_deadlines, oldest_unclaimed, trace_states, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, recall_cases, nearest_rank_p95, golden_gate, revenue_by_segment)}
 
 SQL = {
     "outbox_depth": "SELECT event_type, count_if(user_id % 3 <> 0 AND NOT (user_id % 3 = 1 AND value > 50))::BIGINT AS pending, count_if(user_id % 3 = 1 AND value > 50)::BIGINT AS dead_letter FROM events GROUP BY event_type",
     "retry_dead_letter": "SELECT user_id, count_if(event_type = 'error')::BIGINT AS failures, CASE WHEN count_if(event_type = 'error') >= 3 THEN 'dead_letter' WHEN count_if(event_type <> 'error') > 0 THEN 'done' ELSE 'queued' END AS state FROM events GROUP BY user_id",
     "idempotent_dedup": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
-    "fixed_window_rate": "SELECT user_id % 5 AS route, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS window_start, count(*) AS hits FROM events GROUP BY ALL HAVING count(*) > 2",
+    "fixed_window_rate": """WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS tm, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) AS n FROM events),
+f AS (SELECT user_id, n, tm AS start FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, CASE WHEN e.tm >= start + 86400 THEN e.tm ELSE start END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, start AS window_start, count(*) AS hits FROM f GROUP BY ALL HAVING count(*) > 1""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT user_id % 50 AS route, event_id, floor(epoch(ts))::BIGINT AS tm, event_type IN ('error', 'view') AS failed, row_number() OVER (PARTITION BY user_id % 50 ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+f AS (SELECT route, event_id, n, CASE WHEN failed THEN 1 ELSE 0 END AS k, NULL::BIGINT AS opened, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS outcome FROM e WHERE n = 1
+UNION ALL SELECT e.route, e.event_id, e.n, CASE WHEN opened IS NOT NULL AND tm - opened < 86400 THEN k WHEN NOT failed THEN 0 WHEN opened IS NOT NULL THEN 1 ELSE k + 1 END,
+  CASE WHEN opened IS NOT NULL AND tm - opened < 86400 THEN opened WHEN failed AND opened IS NULL AND k + 1 >= 3 THEN tm END, CASE WHEN opened IS NOT NULL AND tm - opened < 86400 THEN 'rejected' WHEN failed THEN 'failed' ELSE 'ok' END FROM f JOIN e ON e.route = f.route AND e.n = f.n + 1)
+SELECT route, event_id AS call_id, outcome FROM f""",
+    "job_deadlines": """WITH e AS (SELECT l_orderkey AS k, min({'a': l_orderkey % 1000 + l_partkey % 700, 'b': CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'ready' END}) AS e FROM lineitem WHERE l_linenumber >= 3 GROUP BY l_orderkey),
+j AS (SELECT o_orderkey, o_orderkey % 1000 + CASE WHEN o_custkey % 20 > 10 THEN 480 ELSE 300 END AS deadline, e FROM orders LEFT JOIN e ON k = o_orderkey),
+s AS (SELECT o_orderkey AS job_id, CASE WHEN e.a < deadline THEN CASE WHEN e.b = 'cancel' THEN 'cancelled' ELSE 'ready' END WHEN 1100 >= deadline THEN 'failed' ELSE 'running' END AS status FROM j)
+SELECT job_id, status, status IN ('cancelled', 'failed') AS closes_event FROM s""",
+    "oldest_unclaimed": "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place, event_id FROM events WHERE value >= 60 QUALIFY place <= 10",
+    "trace_states": """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN value < 5 THEN 'abstained' END AS s FROM events)
+SELECT user_id, coalesce(arg_min(s, {'a': ts, 'b': event_id}) FILTER (s IS NOT NULL), 'open') AS state, count(*) AS n FROM s GROUP BY user_id""",
     "error_ratio_10m": "SELECT (floor(epoch(ts) / 600) * 600)::BIGINT AS window_start, count(*) AS n, count_if(event_type = 'error')::BIGINT AS errors, round(avg((event_type = 'error')::INT), 6) AS ratio FROM events GROUP BY ALL",
     "histogram_quantile": f"""WITH b AS (SELECT unnest({_BOUNDS})::DOUBLE AS hi, unnest(range(6)) AS i), c AS (SELECT event_type, i, hi, count_if(value <= hi OR (i > 0 AND false))::DOUBLE AS c FROM events, b GROUP BY ALL),
 n AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT event_type, i, hi, CASE WHEN i = 0 THEN 0 ELSE c END AS c, lag(hi) OVER w AS lo, lag(CASE WHEN i = 0 THEN 0 ELSE c END) OVER w AS p FROM c WINDOW w AS (PARTITION BY event_type ORDER BY i)),
@@ -136,10 +202,10 @@ SELECT user_id, session, count(*) AS n_events, floor(epoch(min(ts)))::BIGINT AS
 SELECT route, island, count(*) AS failures FROM m WHERE failed GROUP BY ALL HAVING count(*) >= 3""",
     "tfidf_idf": f"WITH {_T} SELECT token, df, idf FROM idf",
     "tfidf_top5": f"WITH {_R} SELECT qid, doc_id, score, rank FROM rk",
-    "recall_mrr": f"""WITH {_R}, r AS (SELECT * FROM rk WHERE score >= 0.2), x AS (SELECT qid, doc_id FROM r WHERE rank = 1 AND qid % 4 <> 1),
-e AS (SELECT b.item_id AS qid, EXISTS (SELECT 1 FROM x WHERE x.qid = b.item_id) AS answerable, EXISTS (SELECT 1 FROM r WHERE r.qid = b.item_id) AS answered, (SELECT min(r.rank) FROM r JOIN x ON r.qid = x.qid AND r.doc_id = x.doc_id WHERE r.qid = b.item_id) AS f FROM benchmark b),
-s AS (SELECT avg(CASE WHEN answerable THEN (f IS NOT NULL)::INT END) AS recall, avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / f, 0) END) AS mrr, count_if(NOT answered AND NOT answerable) AS tp, count_if(NOT answered) AS na, count_if(NOT answerable) AS ns FROM e)
-SELECT round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(coalesce(2 * (tp / nullif(na, 0)) * (tp / nullif(ns, 0)) / nullif(tp / nullif(na, 0) + tp / nullif(ns, 0), 0), 0.0), 6)::DOUBLE AS abstention_f1 FROM s""",
+    "recall_cases": f"WITH {_R}, {_CASES} SELECT qid, answerable, answered, first, cited FROM cases",
+    "recall_mrr": f"""WITH {_R}, {_CASES}, s AS (SELECT avg(CASE WHEN answerable THEN (first IS NOT NULL)::INT END) AS recall, avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first, 0) END) AS mrr, avg(CASE WHEN answerable AND answered THEN cited::INT END) AS precision,
+  count_if(NOT answered AND NOT answerable) AS tp, count_if(NOT answered) AS na, count_if(NOT answerable) AS ns FROM cases), p AS (SELECT *, tp / greatest(na, 1) AS ap, tp / greatest(ns, 1) AS ar FROM s)
+SELECT round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(precision, 6) AS citation_precision, round(ap, 6) AS abstention_precision, round(ar, 6) AS abstention_recall, round(CASE WHEN ap + ar > 0 THEN 2 * ap * ar / (ap + ar) ELSE 0 END, 6)::DOUBLE AS abstention_f1 FROM p""",
     "nearest_rank_p95": "SELECT event_type, quantile_disc(value, 0.95) AS percentile FROM events GROUP BY event_type",
     "golden_gate": """WITH r AS (SELECT count(*) AS n, round(avg((quality = 1)::INT), 6) AS groundedness, round(avg((toxic = 1)::INT), 6) AS duplicates, round(1 - avg((quality = 1 OR toxic = 0)::INT), 6) AS invalid FROM labels)
 SELECT *, n >= 20 AND groundedness >= 0.95 AND duplicates <= 0.02 AND invalid <= 0.05 AS passes FROM r""",

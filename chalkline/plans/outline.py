@@ -91,10 +91,10 @@ SELECT book, first, tail - 1 AS last FROM t WHERE first < tail AND tail <= {_PAG
     "toc_line_kinds": f"WITH {_L} SELECT doc_id, CASE WHEN regexp_matches(line, '(\\.{{5}}|…) ?\\d+$') AND NOT regexp_matches(line, '^ ?[…]') THEN 'toc' WHEN line LIKE 'Module%' THEN 'parent' WHEN line LIKE 'Lesson%' THEN 'heading' ELSE 'text' END AS kind FROM l",
     "toc_records": f"""WITH {_L}, k AS (SELECT *, regexp_extract(line, '(\\d+)$', 1) AS p, line LIKE 'Module%' AS parent, line LIKE 'Lesson%' AS heading, {_TITLE.format("regexp_replace(line, ' ?(\\.{5}|…+) \\d+$', '')")} AS title
   FROM l WHERE (book % 4 <> 3 OR NOT regexp_matches(line, '[0-9]$')) AND NOT regexp_matches(line, '^ …')),
-t AS (SELECT *, NOT parent AND NOT heading AND p::INT <= {_PAGES} AS toc FROM k WHERE parent OR heading OR p::INT <= {_PAGES}), c AS (SELECT *, toc AND title LIKE 'Unit %' AS child FROM t),
+t AS (SELECT *, NOT parent AND NOT heading AND TRY_CAST(p AS INT) <= {_PAGES} AS toc FROM k WHERE parent OR heading OR TRY_CAST(p AS INT) <= {_PAGES}), c AS (SELECT *, toc AND title LIKE 'Unit %' AS child FROM t),
 w AS (SELECT *, max(CASE WHEN parent THEN n END) OVER b AS pn, max(CASE WHEN toc AND NOT child THEN n END) OVER b AS tn FROM c WINDOW b AS (PARTITION BY book, page ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 q AS (SELECT w.*, CASE WHEN child AND pn IS NOT NULL AND (tn IS NULL OR pn > tn) THEN pn END AS own FROM w),
-z AS (SELECT q.*, x.title AS ptitle, row_number() OVER (PARTITION BY q.book, q.page, own ORDER BY q.n) AS nth, CASE WHEN q.toc THEN CASE WHEN q.p::INT + q.book % 3 <= {_PAGES} THEN q.p::INT + q.book % 3 ELSE q.p::INT END END AS anchor FROM q LEFT JOIN c x ON x.book = q.book AND x.page = q.page AND x.n = own),
+z AS (SELECT q.*, x.title AS ptitle, row_number() OVER (PARTITION BY q.book, q.page, own ORDER BY q.n) AS nth, CASE WHEN q.toc THEN CASE WHEN TRY_CAST(q.p AS INT) + q.book % 3 <= {_PAGES} THEN TRY_CAST(q.p AS INT) + q.book % 3 ELSE TRY_CAST(q.p AS INT) END END AS anchor FROM q LEFT JOIN c x ON x.book = q.book AND x.page = q.page AND x.n = own),
 e AS (SELECT book, page AS ap, n, 0 AS part, ptitle AS title, anchor AS page, 0 AS depth, 'toc' AS source FROM z WHERE own IS NOT NULL AND nth = 1 UNION ALL SELECT book, page, n, 1, title, anchor, CASE WHEN own IS NULL THEN 0 ELSE 1 END, 'toc' FROM z WHERE toc
 UNION ALL SELECT book, page, n, 1, trim(line), page, 0, 'heading' FROM z WHERE heading),
 o AS (SELECT book, source, title, page, depth, min(ap * 1000 + n * 10 + part) AS place FROM e GROUP BY ALL), u AS (SELECT *, count(*) FILTER (source = 'toc') OVER (PARTITION BY book) AS nt, count(*) FILTER (source = 'heading') OVER (PARTITION BY book) AS nh FROM o)

@@ -47,10 +47,13 @@ def resume_order(spark, d):
     return P.resume_order(sets, cursors).select("user_id", "set_id", "place")
 
 
-def attempt_replay(spark, d):
+def _requests(spark, d):
     e = table(spark, d, "events")
-    requests = e.select(F.col("event_id").alias("request_id"), "user_id", (F.col("event_id") % 3).alias("exercise_id"), epoch_micros("ts").alias("at"), (F.col("event_id") % 50).alias("key"), F.floor(F.col("value") / 400).cast("long").alias("digest"), F.when(F.col("event_type") == "error", "give_up").otherwise("submit").alias("action"), (F.col("event_type") == "purchase").alias("correct"))
-    return P.replay_attempts(requests).select("request_id", "outcome")
+    return e.select(F.col("event_id").alias("request_id"), "user_id", (F.col("event_id") % 3).alias("exercise_id"), epoch_micros("ts").alias("at"), (F.col("event_id") % 50).alias("key"), F.floor(F.col("value") / 400).cast("long").alias("digest"), F.when(F.col("event_type") == "error", "give_up").otherwise("submit").alias("action"), (F.col("event_type") == "purchase").alias("correct"))
+
+
+def attempt_replay(spark, d):
+    return P.replay_attempts(_requests(spark, d)).select("request_id", "outcome")
 
 
 def rubric_score(spark, d):
@@ -86,13 +89,6 @@ def answer_ngram_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.answer_keys(F.concat_ws(" ", "p_name", F.lit("is the"), "p_type")), ",").alias("keys"))
 
 
-def draft_reasons(spark, d):
-    docs = table(spark, d, "documents")
-    prompt = F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, " ____ ").when(F.col("doc_id") % 7 == 0, " on page 12").when(F.col("doc_id") % 11 == 0, " in the picture").otherwise(""))
-    kind = F.when(F.col("doc_id") % 2 == 0, "fill_blank").otherwise("short_answer")
-    return docs.select("doc_id", P.draft_reasons(prompt, kind, F.col("doc_id") % 4).alias("reason"))
-
-
 _A = """ex AS (SELECT l_orderkey AS set_id, l_partkey AS exercise_id, min(l_linenumber)::BIGINT AS ordinal FROM lineitem GROUP BY ALL),
 tries AS (SELECT l_orderkey AS set_id, l_partkey AS exercise_id, l_linenumber AS attempt_number, CASE WHEN l_tax > 0.07::DOUBLE THEN 'give_up' ELSE 'submit' END AS action,
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'R' END AS correct, epoch(l_shipdate)::BIGINT AS created_at FROM lineitem)"""
@@ -101,7 +97,7 @@ j AS (SELECT ex.*, per.set_id IS NOT NULL AS tried, coalesce(ok, false) AS ok, c
 s AS (SELECT set_id, count(*) AS total, count_if(tried)::BIGINT AS attempted, count_if(done)::BIGINT AS completed, count_if(ok)::BIGINT AS correct, (min({{'o': ordinal, 'e': exercise_id}}) FILTER (NOT done)).e AS next_exercise, max(latest) AS latest FROM j GROUP BY set_id),
 st AS (SELECT *, CASE WHEN completed > 0 THEN round(correct / completed, 3) END AS mastery, CASE WHEN completed = total THEN 'COMPLETED' WHEN latest IS NOT NULL THEN 'IN_PROGRESS' ELSE 'NOT_STARTED' END AS status FROM s)"""
 
-QUERIES = {f.__name__: f for f in (set_progress, plan_rollup, mastery_band, resume_order, attempt_replay, rubric_score, objective_grading, release_policy, objective_history_window, near_duplicate_pairs, answer_ngram_keys, draft_reasons)}
+QUERIES = {f.__name__: f for f in (set_progress, plan_rollup, mastery_band, resume_order, attempt_replay, rubric_score, objective_grading, release_policy, objective_history_window, near_duplicate_pairs, answer_ngram_keys)}
 
 SQL = {
     "set_progress": f"WITH {_S} SELECT set_id, total, attempted, completed, correct, next_exercise, latest, mastery, status FROM st",
@@ -129,8 +125,4 @@ g AS (SELECT p_partkey, ws, unnest(list_transform(range(2, 7), lambda n: list_tr
 k AS (SELECT p_partkey, sha256(array_to_string(g, '')) AS k FROM h WHERE length(array_to_string(g, '')) >= 6 AND len(list_filter(g, lambda x: x NOT IN ('a', 'am', 'an', 'and', 'are', 'i', 'is', 'it', 'my', 'the', 'this', 'that', 'your'))) > 0
 UNION SELECT p_partkey, sha256(array_to_string(ws, '')) FROM t WHERE length(array_to_string(ws, '')) >= 8)
 SELECT p_partkey, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM k WHERE k.p_partkey = t.p_partkey), '') AS keys FROM t""",
-    "draft_reasons": """WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' ____ ' WHEN doc_id % 7 = 0 THEN ' on page 12' WHEN doc_id % 11 = 0 THEN ' in the picture' ELSE '' END AS t, doc_id % 2 = 0 AS fill, doc_id % 4 AS c FROM documents),
-q AS (SELECT *, len(regexp_extract_all(t, '\\p{L}')) AS l, len(regexp_extract_all(t, '\\S')) AS v, len(regexp_extract_all(t, '_{3,}')) AS b FROM p)
-SELECT doc_id, CASE WHEN length(t) < 20 OR l < 0.45 * v THEN 'unreadable_ocr_prompt' WHEN regexp_matches(t, '(?i)\\b(?:picture|photo|image|shown above)\\b') THEN 'unsupported_visual_claim' WHEN regexp_matches(t, '(?i)\\bpage\\s+\\d+') THEN 'unverified_page_reference'
-WHEN NOT fill AND b > 0 THEN 'unexpected_blank_placeholder' WHEN fill AND b = 0 THEN 'missing_blank_placeholder' WHEN b > 1 THEN 'multiple_blank_placeholders' WHEN c = 0 THEN 'invalid_citations' END AS reason FROM q""",
 }

@@ -4,6 +4,8 @@ Every multi-stage operator cuts its lineage here: a lost executor costs the task
 stage that reads a scratch table never goes back to the stages before it.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _LOCAL_ROOT:
         _LOCAL_ROOT[context.applicationId] = tempfile.mkdtemp(prefix="chalkline-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[context.applicationId], ignore_errors=True)
     return f"file://{_LOCAL_ROOT[context.applicationId]}"
 
 
@@ -39,6 +42,9 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application; DataFrames that read them can't be used any more."""
+    """Delete all scratch tables of this application; DataFrames that read them can't be used any more.
+
+    For the end of a job: the tables live as long as DataFrames may read them, so no operator can drop its own.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/chalkline/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,9 +22,11 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     from chalkline.deploy import ship
+    from chalkline.sources.scratch import drop_scratch
 
     ship(session)
     yield session
+    drop_scratch(session)
 
 
 @pytest.fixture(scope="session")

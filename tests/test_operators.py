@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
 from chalkline.operators import catalog, ingest, memory, ops, practice, retrieval
+from chalkline.sources import office, roots
 from chalkline.streaming import events as stream_events
 
 
@@ -157,3 +158,36 @@ def test_stream_delivers_once(spark, sf, tmp_path):
     counts = []
     stream_events.run_available(stream_events.deliver_once(stream, "ts", ["event_id"], "1 day"), str(tmp_path / "check"), lambda b, n: counts.append(b.count()))
     assert sum(counts) == events.count()
+
+
+def test_office_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    a, w = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def archive(parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    slide = lambda *ts: f'<s xmlns:a="{a}">' + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in ts) + "</s>"
+    body = f'<d xmlns:w="{w}"><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Unit 1</w:t></w:r></w:p><w:p><w:r><w:t>Hello </w:t></w:r><w:r><w:t>there</w:t></w:r></w:p><w:p/></d>'
+    files = [("a.pptx", bytearray(archive({"ppt/slides/slide10.xml": slide("Last"), "ppt/slides/slide2.xml": slide("What is it?", " ")}))), ("b.docx", bytearray(archive({"word/document.xml": body}))), ("c.docx", bytearray(b"broken"))]
+    rows = office.office_paragraphs(spark.createDataFrame(files, "path string, content binary")).collect()
+    found = sorted((r["path"], r["ordinal"], r["line"] or "", r["anchor_type"], r["anchor_value"], r["chunk_class"]) for r in rows)
+    assert found == [("a.pptx", 0, "What is it?", "slide", "2", "exercise_question"), ("a.pptx", 1, "Last", "slide", "10", "content"), ("b.docx", 0, "Unit 1", "heading", "Unit 1", "content"), ("b.docx", 1, "Hello there", "line_range", "2", "content"), ("c.docx", 0, "", "line_range", "1", "content")]
+
+
+def test_roots_and_reports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "file").write_text("x")
+    assert roots.checked_root(str(tmp_path / "in"), str(tmp_path)) == str((tmp_path / "in").resolve())
+    for bad in ("in", str(tmp_path / "none"), str(tmp_path / "file"), str(tmp_path / "in" / ".." / "..")):
+        with pytest.raises(ValueError):
+            roots.checked_root(bad, str(tmp_path))
+    roots.write_report(spark.range(3), str(tmp_path / "report"))
+    with pytest.raises(Exception, match="exists"):
+        roots.write_report(spark.range(3), str(tmp_path / "report"))
