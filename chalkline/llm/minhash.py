@@ -313,7 +313,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Cases: null, empty and blank texts have no set and link with nothing; a text of fewer than five words has one
     shingle, so it links with equal texts only; rows that repeat a doc_id are one document, which has the links of
     each of its texts; a null doc_id never stands for a group: such a row takes the group's smallest id, or null
-    where the group has none, and is kept then; an empty table gives an empty result.
+    where the group has none, and is kept then; a very long text has a set of all its shingles, and a sketch like
+    others; of equal counts of values (ties) the smaller class is a group's centre; an empty table gives an empty
+    result; only doc_id and text are read, so extra columns never clash.
     """
     made = scratch_table(sketches(docs), "sketches")
     classes = scratch_table(class_table(made), "classes")

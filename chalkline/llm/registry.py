@@ -10,16 +10,18 @@ from chalkline.llm import cotraining, decontamination, minhash, mixing, quality_
 from chalkline.sources.tables import table
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """The installed file of a public tokenizer."""
-    import public_tokenizers
+#: The public tokenizer of the queries, by name: workers find its file where they run.
+TOKENIZER = "byte_bpe_50k.json"
 
-    return public_tokenizers.path(name)
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The installed file of a public tokenizer on this machine."""
+    return sstable.tokenizer_file(name)
 
 
 def op1_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path())
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], TOKENIZER)
 
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sstable.token_tables(table(spark, sf_dir, "documents"), tokenizer_path())
+    return sstable.token_tables(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +143,34 @@ post AS (SELECT source, n + strength + 1 AS total, (k + mean * strength) / (n +
 verdicts AS (SELECT source, bool_and(p - {_LIMITS.certainty}::DOUBLE * sqrt(p * (1 - p) / total) <= most) AS ok FROM post GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND ok AS kept FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source"""
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op10_host_rules": _HOST_RULES}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WINDOW = decontamination.WINDOW
+
+#: Windows of all lengths that items have, joined as texts.
+_WINDOWS = f"""WITH b AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+l AS (SELECT item_id, w, least({_WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0), i AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM l), win AS (SELECT DISTINCT item_id, n, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM i),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT row, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n), g AS (SELECT row, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM p),
+hit AS (SELECT DISTINCT row, g.n, pos, item_id FROM g JOIN win ON g.n = win.n AND g.gram = win.gram), c AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS word FROM hit) GROUP BY row),
+f AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (row) LEFT JOIN f USING (row)"""
+
+#: All pairs that share a shingle, counted on whole sets, and what is reachable.
+_NEAR = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < {minhash.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {minhash.SHINGLE} + 2), lambda i: array_to_string(w[i:i + {minhash.SHINGLE} - 1], ' ')) END AS gs FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, unnest(gs) AS v FROM g), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {minhash.LEAST} * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON a = d.doc_id"""
+
+_BYTES = suffix_dedup.LENGTH
+
+#: Every string of LENGTH bytes (by a 64-bit hash) with the smallest document that has it.
+_REPEATS = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT row, doc_id, unnest(list_transform(range(0, n - {_BYTES} + 1), lambda i: hash(array_slice(b, i + 1, i + {_BYTES})))) AS k, unnest(range(0, n - {_BYTES} + 1)) AS i FROM d WHERE n >= {_BYTES}),
+f AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)), s AS (SELECT row, i FROM p JOIN f USING (k) WHERE least < doc_id), r AS (SELECT row, i, coalesce(i > lag(i) OVER (PARTITION BY row ORDER BY i) + {_BYTES}, true) AS new FROM s),
+k AS (SELECT row, i, sum(new::INT) OVER (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r), u AS (SELECT row, min(i) AS a, max(i) + {_BYTES} AS z FROM k GROUP BY row, run),
+x AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS y FROM u), t AS (SELECT row, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(CASE WHEN a > y THEN hex(array_slice(b, y + 1, a)) ELSE '' END, '' ORDER BY a) AS head FROM x JOIN d USING (row) GROUP BY row)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 0) < n THEN hex(array_slice(b, coalesce(last, 0) + 1, n)) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN t USING (row)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op6_winnowing": _WINDOWS, "op8_bottom_k": _NEAR, "op9_deep_shallow": _REPEATS, "op10_host_rules": _HOST_RULES}

@@ -14,6 +14,11 @@ ids and the ids as little-endian unsigned 32-bit integers. ``lookup`` reads foot
 The Spark job encodes where the texts are read and moves only compressed ids: documents go by identifier range to
 shards (bounds from the identifiers alone), each task sorts its shard's rows with Spark's external sort and streams
 them into a file under a name of its attempt, which is then renamed; a repeated task writes the same bytes again.
+
+Cases: a null or empty text has the end id alone; a very long text is encoded whole and is one entry of one block;
+documents of one identifier (ties) follow one another in any order, each with ids of its own, and so do those without
+an identifier, which come first; one identifier is never split over shards, so it costs one shard; an empty table gives
+no shard and an empty result; only doc_id and text are read, so extra columns never clash.
 """
 
 import bisect
@@ -55,6 +60,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+def tokenizer_file(name: str) -> str:
+    """A path as it is, or the file of an installed public tokenizer of that name on the machine that asks."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer, words at a time, with a bounded cache.
 
@@ -122,7 +137,7 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each tokenizer file in a Python worker."""
-    return PieceEncoder(path)
+    return PieceEncoder(tokenizer_file(path))
 
 
 # --- file format ---------------------------------------------------------------------------------------------

@@ -9,8 +9,10 @@ byte-level BPE file these are its tokens with a leading space and all others; wo
 Words are runs of letters, digits and non-ASCII characters; every other visible ASCII character is a word.
 
 Distinct words of a piece of text are counted once and kept in a bounded cache. Cases: null and empty texts have no
-words; a word that the vocabulary can't spell counts as one unknown piece; repeated rows each count; an empty table
-gives an empty result; other columns are not read.
+words; a very long text is counted whole, in time in proportion to it; a word that the vocabulary can't spell counts
+as one unknown piece; ties don't occur (the longest match is one); repeated rows each count, those without an id too;
+an empty table gives an empty result; only ``keep`` and text are read, and n_words, n_pieces and n_unknown must not be
+among ``keep``.
 """
 
 import json
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm import columnar as C
+from chalkline.llm.sstable import tokenizer_file
 
 _LETTER = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -93,7 +96,7 @@ def byte_bpe_automaton(path: str) -> LongestMatch:
     from chalkline.llm.sstable import _byte_letters
 
     letters = {c: b for b, c in _byte_letters().items()}
-    with open(path, encoding="utf-8") as f:
+    with open(tokenizer_file(path), encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     pieces = [bytes(letters[c] for c in token) for token in vocabulary if all(c in letters for c in token)]
     return LongestMatch((p for p in pieces if p[:1] == b" "), (p for p in pieces if p[:1] != b" "), b" ")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
 from chalkline.llm import decontamination, minhash, mixing, quality_rules, sstable
-from chalkline.llm.registry import tokenizer_path
+from chalkline.llm.registry import TOKENIZER
 from chalkline.sources.scratch import scratch_table
 from chalkline.sources.tables import table
 
@@ -69,7 +69,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row for each row of the mixture; rows of one id (its epochs) follow one another in any order, those without an id are first.
     """
     ship(spark)
-    return sstable.token_tables(docs, tokenizer_path())
+    return sstable.token_tables(docs, TOKENIZER)
 
 
 STAGES = [
