@@ -101,7 +101,7 @@ def slots(targets: DataFrame, block_words: int, n_slots: int | None = None) -> D
     wide = "long" if number < 1 << 31 else "decimal(19,0)"
     point = F.pmod(F.col("slot").cast(wide) * F.lit(before).cast(wide), F.lit(number).cast(wide)).cast("long")
     each = each.withColumn("x", point).filter(F.col("x") < n).withColumn("cell", F.floor(F.col("x") / width))
-    found = each.join(_checked(placed, 32 * (sources + cells)), "cell").filter("x >= lo AND x < hi").select("slot", "sid", F.shiftright("slot", 13).alias("lot"))
+    found = each.join(_checked(placed, 32 * (sources + cells)), "cell").filter("x >= lo AND x < hi").select("slot", "sid", F.shiftright("slot", max(4, number.bit_length() // 2)).alias("lot"))  # as many lots as slots of a lot
     return running_sum(found, ["sid"], "lot", [F.col("slot")], F.lit(1).cast("long"), "block").select("slot", "sid", "block")
 
 

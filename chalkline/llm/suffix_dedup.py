@@ -512,7 +512,9 @@ def cut(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes) of every document."""
-    texts = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = pick(docs, "doc_id", "text")
+    if dict(texts.dtypes)["doc_id"] != "bigint":  # a cast of its own type would keep the joins' exchanges of texts from being one
+        texts = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.filter("doc_id IS NOT NULL")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (16 * PARTITION_UNITS)))
