@@ -121,6 +121,24 @@ def ambiguous_colour(prompt: Column, source: Column) -> Column:
     return (F.size(colours) >= 2) & V.has(prompt, *COLOUR_ASKED)
 
 
+# A question for a quantity, and what an item says about it, by language.
+QUANTITY = r"(?i)(?<![A-Za-z])(How many [A-Za-z]+(?: [A-Za-z]+)?\?)"
+QUANTITY_ITEM = {"zh": "英语问句“{}”用于询问数量。", "en": 'The English question "{}" asks for a quantity.', "bilingual": '英语问句“{}”用于询问数量 / The question "{}" asks for a quantity.'}
+
+
+def quantity_items(chunks: DataFrame, known: DataFrame, language: str) -> DataFrame:
+    """(job_id, chunk_id, quote, prompt): a true statement about the first question for a quantity of a job's English chunks.
+
+    chunks (job_id, place, chunk_id, text, path); known (job_id, key) are the keys of expressions asked before, which
+    are left out. For jobs that ask for one true/false item and have used up their other drafts.
+    """
+    quotes = chunks.filter(F.contains("path", F.lit("/英语/"))).select("job_id", "place", "chunk_id", F.posexplode(F.regexp_extract_all("text", F.lit(QUANTITY), F.lit(1))).alias("nth", "quote"))
+    keyed = quotes.select("*", F.explode_outer(X.answer_keys(F.col("quote"))).alias("key"))
+    asked = keyed.join(known.select("job_id", "key", F.lit(True).alias("asked")).distinct(), ["job_id", "key"], "left").groupBy("job_id", "place", "nth", "chunk_id", "quote").agg(F.bool_or(F.coalesce("asked", F.lit(False))).alias("asked"))
+    first = asked.filter(~F.col("asked")).groupBy("job_id").agg(F.min(F.struct("place", "nth", "chunk_id", "quote")).alias("q"))
+    return first.select("job_id", "q.chunk_id", "q.quote", F.replace(F.lit(QUANTITY_ITEM[language]), F.lit("{}"), F.col("q.quote")).alias("prompt"))
+
+
 def whole_answer_key(answer: Column) -> Column:
     """A digest of an expression of 8 characters or more that isn't a single ASCII word; else ''."""
     words = V.found(F.lower(answer), r"(\w+)")

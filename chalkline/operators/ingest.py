@@ -27,7 +27,7 @@ def scan_files(spark, root: str, include: list[str] | None = None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     rows = files.select(relative.alias("relative_path"), F.sha2("content", 256).alias("checksum"), F.col("length").alias("size_bytes"), sniff_mime(F.col("path"), F.col("content")).alias("mime"))
-    rows = rows.filter(~F.col("relative_path").rlike(r"(^|/)(\.|__MACOSX/|Thumbs\.db$)"))
+    rows = rows.filter("mime <> 'application/octet-stream'").filter(~F.col("relative_path").rlike(r"(^|/)(\.|__MACOSX/|Thumbs\.db$)"))
     if include is not None:
         rows = rows.filter(F.col("relative_path").isin(include))
     return rows
@@ -91,6 +91,12 @@ def chunk_windows(sizes: list[int], target: int, overlap: int, joined: str, star
     return found
 
 
+def page_fragments(pages: DataFrame) -> DataFrame:
+    """The non-blank lines of chosen page texts (``choose_pages``), anchored to their pages, with the page's confidence."""
+    lines = pages.select("page", "confidence", F.posexplode(F.split("chosen", r"\R")).alias("ordinal", "line")).filter(F.trim("line") != "")
+    return lines.select("page", "ordinal", "line", F.lit("page").alias("anchor_type"), F.col("page").cast("string").alias("anchor_value"), "confidence")
+
+
 def coalesce_chunks(docs: DataFrame, pieces: str = "pieces", target: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks of ``target`` characters of (doc_id, pieces), where pieces is an array of (line, anchor_type, anchor_value, chunk_class).
 

@@ -140,3 +140,17 @@ def backfill(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataF
 
 def text_digest(text: Column) -> Column:
     return F.sha2(X.compact(text), 256)
+
+
+def approval_rows(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """(table, key, candidate_id) to insert for approved candidates (candidate_id, review, stable_key, publisher, level, subject).
+
+    A candidate fans out to eight tables, each by its natural key: publisher and programme are shared, the others are the
+    book's. Rows of one key are one (of the smallest candidate), and keys that exist (table, key) are left out.
+    """
+    c = F.col
+    book = c("stable_key")
+    keys = {"publisher": F.lower(X.compact(c("publisher"))), "book": book, "programme": F.concat_ws("/", "level", "subject"), "source_root": F.concat(F.lit("root:"), book), "course": F.concat(F.lit("course:"), book), "course_run": F.concat(F.lit("run:"), book), "book_course_binding": F.concat(F.lit("binding:"), book), "outbox_event": F.concat(F.lit("ingest:"), book)}
+    fan = F.array(*(F.struct(F.lit(t).alias("table"), k.alias("key")) for t, k in keys.items()))
+    rows = candidates.filter("review = 'approved'").select("candidate_id", F.explode(fan).alias("r")).select("r.*", "candidate_id").filter("key IS NOT NULL")
+    return rows.groupBy("table", "key").agg(F.min("candidate_id").alias("candidate_id")).join(existing.select("table", "key"), ["table", "key"], "left_anti")

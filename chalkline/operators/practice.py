@@ -9,6 +9,19 @@ from chalkline.functions import text as X
 from chalkline.sources.scratch import scratch_table
 
 MAX_SUBMITS = 3
+# Hints by kind of question, for the first and the second wrong answer, in English and Chinese.
+HINTS_EN = {
+    "multiple_choice": ("Review the cited textbook section before choosing an option.", "Compare each option with the wording and examples in the cited section."),
+    "true_false": ("Find the relevant statement in the cited textbook section.", "Check whether every part of the statement agrees with the cited section."),
+    "fill_blank": ("Look at the context around the blank and the cited section.", "Check the grammar and exact term used in the cited textbook section."),
+    "short_answer": ("Review the visible rubric and the cited textbook section.", "Address each visible rubric criterion with evidence from the cited section."),
+}
+HINTS_ZH = {
+    "multiple_choice": ("先阅读引用的教材段落后再选择选项。", "逐一对照选项与教材中的表述和例子。"),
+    "true_false": ("在引用的教材段落中找到相关表述。", "检查题目中的每一部分是否都与教材一致。"),
+    "fill_blank": ("结合空格前后的语境及引用的教材段落思考。", "检查语法并寻找教材使用的准确词语。"),
+    "short_answer": ("对照可见的评分标准和引用的教材段落。", "尝试用教材证据逐项回应评分标准。"),
+}
 #: Classes and words of a block, about, and words that are looked up by broadcast.
 BLOCK_CLASSES, BLOCK_WORDS, HOT_WORDS = 1024, 1 << 20, 1000
 
@@ -96,6 +109,21 @@ def release_policy(n_submits: Column, gave_up: Column, correct: Column) -> Colum
     return F.when(correct | released, "solution").when(n_submits >= 2, "hint_2").when(n_submits == 1, "hint_1").otherwise("none")
 
 
+def hint(kind: Column, language: Column, submitted_wrong: Column) -> Column:
+    """The hint after the first or second wrong answer, in the question's language (both where it is bilingual); else null."""
+
+    def of(table: dict) -> Column:
+        entries = F.create_map(*(x for k, hints in table.items() for x in (F.lit(k), F.array(*map(F.lit, hints)))))
+        return F.when(submitted_wrong.between(1, 2), F.try_element_at(F.try_element_at(entries, kind), submitted_wrong.cast("int")))
+
+    return F.when(language == "zh", of(HINTS_ZH)).when(language == "en", of(HINTS_EN)).otherwise(F.concat(of(HINTS_ZH), F.lit(" / "), of(HINTS_EN)))
+
+
+def outcome(action: Column, provisional: Column, correct: Column) -> Column:
+    """What a learner is told of an attempt."""
+    return F.when(action == "give_up", "gave_up").when(provisional, "provisional").when(correct, "correct").otherwise("incorrect")
+
+
 def recent_objectives(sets: DataFrame, last: int = 10) -> DataFrame:
     """Objectives of each key's last sets, flattened in order: (key, place, objective)."""
     order = Window.partitionBy("key").orderBy(F.desc("created_at"), F.desc("set_id"))

@@ -153,8 +153,8 @@ def validate_citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def traces(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """A row for each query: ids and scores of its candidates by rank, ids of its evidence by citation."""
+    """A row for each query: ids and scores of its candidates by rank, ids of its evidence by citation, and the policy's limits."""
     ranked = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("recall_rank", "cid", "score"))).alias("c"))
     chosen = evidence.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("citation", "cid"))).alias("e"))
     joined = ranked.join(chosen, "qid", "left")
-    return joined.select("qid", F.col("c.cid").alias("candidate_ids"), F.col("c.score").alias("scores"), F.coalesce(F.col("e.cid"), F.array().cast("array<bigint>")).alias("evidence_ids"))
+    return joined.select("qid", F.col("c.cid").alias("candidate_ids"), F.col("c.score").alias("scores"), F.coalesce(F.col("e.cid"), F.array().cast("array<bigint>")).alias("evidence_ids"), F.lit(MIN_SCORE).alias("min_score"), F.lit(MAX_CHUNKS).alias("max_chunks"), F.lit(MAX_TOKENS).alias("max_tokens"))

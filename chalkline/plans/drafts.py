@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.functions import text as X
 from chalkline.operators import evidence as E
 from chalkline.operators import objectives as J
 from chalkline.operators import validation as V
@@ -109,6 +110,15 @@ def display_excerpts(spark, d):
     return docs.select("doc_id", F.md5(E.display_excerpt(marked)).alias("excerpt_md5"), F.size(E.display_fragments(marked)).cast("long").alias("n_fragments"))
 
 
+def quantity_items(spark, d):
+    docs = table(spark, d, "documents")
+    words = F.array(*map(F.lit, ("apples", "red pens", "cats")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" How many "), F.element_at(words, (F.col("n_chars") % 3 + 1).cast("int")), F.lit("? Three."))).otherwise(""))
+    chunks = docs.select(F.floor(F.col("doc_id") / 10).alias("job_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("chunk_id"), text.alias("text"), F.when(F.col("doc_id") % 4 != 1, "小学/英语/x").otherwise("小学/数学/x").alias("path"))
+    known = chunks.select("job_id").distinct().filter("job_id % 2 = 0").select("job_id", F.explode(X.answer_keys(F.lit("How many apples?"))).alias("key"))
+    return E.quantity_items(chunks, known, "en")
+
+
 def ambiguous_colours(spark, d):
     p = table(spark, d, "part")
     return p.select("p_partkey", E.ambiguous_colour(F.concat(F.lit("What color is the "), "p_type", F.lit("?")), F.concat_ws(" and ", "p_name", F.when(F.col("p_size") % 2 == 0, "a Green one"), F.when(F.col("p_size") % 3 == 0, "red"))).alias("ambiguous"))
@@ -129,7 +139,7 @@ _LIT = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"  # no
 _COL = lambda i: "[" + ", ".join(_LIT(c[i]) for c in CASES) + "]"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
-QUERIES = {f.__name__: f for f in (draft_reasons, draft_batches, question_fingerprints, grounding_repair, rubric_rescale, usable_facts, cloze_prompts, display_excerpts, ambiguous_colours, whole_answer_keys, objective_tokens)}
+QUERIES = {f.__name__: f for f in (draft_reasons, draft_batches, question_fingerprints, grounding_repair, rubric_rescale, usable_facts, cloze_prompts, display_excerpts, quantity_items, ambiguous_colours, whole_answer_keys, objective_tokens)}
 
 SQL = {
     "draft_reasons": f"""WITH {_B}, c AS (SELECT *, t || {_COL(0)}[k + 1] AS p, {_COL(1)}[k + 1] AS kind, {_COL(2)}[k + 1] AS a, {_COL(4)}[k + 1] AS code, lower(t || {_COL(3)}[k + 1]) AS s FROM b)
@@ -165,6 +175,8 @@ r AS (SELECT *, CASE WHEN n = 3 THEN 'unknown_citation' WHEN NOT contains(lower(
   CASE WHEN len(regexp_extract_all(quote, '[\\p{L}\\p{N}_\\p{M}]+')) < 3 THEN 'short_quote' WHEN regexp_matches(quote, '[�¢§®©]|\\b[A-Za-z]{8,}\\d+[A-Za-z]*\\b') THEN 'ocr_garbage' END AS b FROM q),
 g AS (SELECT *, min(doc_id) FILTER (a IS NULL AND b IS NULL) OVER (PARTITION BY batch, o) AS good FROM r)
 SELECT doc_id AS place, coalesce(a, CASE WHEN doc_id > good THEN 'duplicate_objective' END, b) AS reason FROM g""",
+    "quantity_items": """WITH c AS (SELECT doc_id, doc_id // 10 AS job_id, ['apples', 'red pens', 'cats'][n_chars % 3 + 1] AS w FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 1), u AS (SELECT *, 'How many ' || w || '?' AS quote FROM c WHERE NOT job_id % 2 = 0)
+SELECT job_id, min(doc_id) AS chunk_id, arg_min(quote, doc_id) AS quote, 'The English question "' || arg_min(quote, doc_id) || '" asks for a quantity.' AS prompt FROM u GROUP BY job_id""",
     "ambiguous_colours": """WITH s AS (SELECT p_partkey, lower(concat_ws(' and ', p_name, CASE WHEN p_size % 2 = 0 THEN 'a Green one' END, CASE WHEN p_size % 3 = 0 THEN 'red' END)) AS s FROM part)
 SELECT p_partkey, len(list_distinct(regexp_extract_all(s, '\\b(red|blue|green|yellow|black|white|pink|purple|orange|brown|grey|gray)\\b'))) >= 2 AS ambiguous FROM s""",
     "whole_answer_keys": """WITH a AS (SELECT p_partkey, lower(CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_name END) AS a FROM part), w AS (SELECT *, regexp_extract_all(a, '\\w+') AS ws FROM a)

@@ -73,11 +73,19 @@ def fake_embeddings(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, 16), 6).alias("last"), F.round(X.dot(v, v), 6).alias("norm"))
 
 
+def page_fragments(spark, d):
+    return I.page_fragments(_pages(spark, d)).select("page", F.col("ordinal").cast("long").alias("ordinal"), F.md5("line").alias("line_md5"), "anchor_type", "anchor_value", "confidence")
+
+
 def page_selection(spark, d):
+    return _pages(spark, d).select("page", "needs_ocr", F.md5("chosen").alias("chosen_md5"), "confidence")
+
+
+def _pages(spark, d):
     docs = table(spark, d, "documents")
     pages = docs.select(F.md5("source").alias("checksum"), F.lit(3).alias("page_count"), F.col("doc_id").alias("page"), "text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).alias("ocr_text"), (F.col("n_chars") * 20).alias("file_size"))
     overrides = pages.filter("page % 10 = 0").select("checksum", "page_count", "page", F.concat(F.lit("reviewed "), F.col("page")).alias("text"))
-    return I.choose_pages(pages, overrides).select("page", "needs_ocr", F.md5("chosen").alias("chosen_md5"), "confidence")
+    return I.choose_pages(pages, overrides)
 
 
 def mode_page_offset(spark, d):
@@ -92,7 +100,7 @@ def artifact_keys(spark, d):
 
 _F = "f AS (SELECT doc_id, source, lang, text, 'unit' || (doc_id % 10) || '/' || doc_id || '.md' AS path, sha256(text) AS checksum FROM documents)"
 
-QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, mime_sniff, fake_embeddings, page_selection, mode_page_offset, artifact_keys)}
+QUERIES = {f.__name__: f for f in (fragment_lines, token_counts, coalesce_chunks, snapshot_hash, snapshot_diff, incremental_reuse, next_version_sequence, parser_dispatch, mime_sniff, fake_embeddings, page_fragments, page_selection, mode_page_offset, artifact_keys)}
 
 SQL = {
     "fragment_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ordinal FROM l)
@@ -121,6 +129,9 @@ SELECT path, CASE WHEN b.c1 IS NULL THEN 'deleted' WHEN c0 IS NULL AND moved THE
     "mime_sniff": "SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 4 THEN 'text/plain' ELSE 'application/pdf' END AS mime FROM pages",
     "fake_embeddings": """WITH h AS (SELECT item_id, sha256(text) AS h FROM benchmark), r AS (SELECT item_id, list_transform(range(16), lambda i: ('0x' || substr(h, i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM r)
 SELECT item_id, round(v[1] / n, 6) AS first, round(v[16] / n, 6) AS last, 1.0::DOUBLE AS norm FROM n""",
+    "page_fragments": """WITH p AS (SELECT doc_id AS page, text AS t, CASE WHEN doc_id % 4 = 0 THEN text END AS o, n_chars * 20 AS size FROM documents),
+q AS (SELECT page, length(trim(t)) < 80 AND size > 3 * 10240 AND length(trim(coalesce(o, ''))) > length(trim(t)) AND page % 10 <> 0 AS ocr, CASE WHEN page % 10 = 0 THEN 'reviewed ' || page ELSE t END AS c FROM p),
+l AS (SELECT page, ocr, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS ordinal FROM q) SELECT page, ordinal, md5(line) AS line_md5, 'page' AS anchor_type, page::VARCHAR AS anchor_value, CASE WHEN ocr THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM l WHERE trim(line) <> ''""",
     "page_selection": """WITH p AS (SELECT doc_id AS page, text AS t, CASE WHEN doc_id % 4 = 0 THEN text END AS o, n_chars * 20 AS size FROM documents),
 q AS (SELECT *, length(trim(t)) < 80 AND size > 3 * 10240 AS needs_ocr, length(trim(coalesce(o, ''))) > length(trim(t)) AS more FROM p)
 SELECT page, needs_ocr, md5(CASE WHEN page % 10 = 0 THEN 'reviewed ' || page WHEN needs_ocr AND more THEN o ELSE t END) AS chosen_md5,

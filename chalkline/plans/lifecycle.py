@@ -78,6 +78,13 @@ def catalog_staging(spark, d):
     return L.stage_catalog(c, before).select("root", "n_candidates", "needs_review", "state")
 
 
+def catalog_approval(spark, d):
+    p = table(spark, d, "part")
+    c = p.select(F.col("p_partkey").alias("candidate_id"), F.when(F.col("p_size") % 3 != 0, "approved").otherwise("pending").alias("review"), F.concat("p_name", F.lit("/"), "p_brand").alias("stable_key"), F.concat(F.lit(" "), F.upper("p_brand")).alias("publisher"), F.col("p_type").alias("level"), (F.col("p_size") % 4).cast("string").alias("subject"))
+    existing = p.filter("p_partkey % 5 = 0").select(F.lit("book").alias("table"), F.concat("p_name", F.lit("/"), "p_brand").alias("key")).distinct()
+    return L.approval_rows(c, existing)
+
+
 def due_scans(spark, d):
     k = F.col("c_custkey")
     courses = table(spark, d, "customer").select(k.alias("course_id"), (k % 300).alias("root_id"))
@@ -117,7 +124,7 @@ _V = """e AS (SELECT user_id % 6 AS course_id, user_id % 42 AS version_id, CASE
 b AS (SELECT *, lag(action) OVER (PARTITION BY course_id, version_id ORDER BY tm, event_id) AS before FROM e), k AS (SELECT * FROM b WHERE action = 'build' OR (action = 'ready' AND before = 'build') OR (action = 'publish' AND before = 'ready') OR (action = 'rollback' AND before = 'publish')),
 v AS (SELECT course_id, version_id, CASE arg_max(action, {'a': tm, 'b': event_id}) WHEN 'build' THEN 'building' WHEN 'ready' THEN 'ready' WHEN 'publish' THEN 'published' ELSE 'rolled_back' END AS status, max(tm) FILTER (action = 'publish') AS published_at FROM k GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (embed_feed, version_sources, vector_upsert, drop_orphans, ingestion_stats, version_states, active_versions, publication_bindings, catalog_staging, due_scans, insert_or_compare, artifacts_to_put, bulk_delete, backfill_column)}
+QUERIES = {f.__name__: f for f in (embed_feed, version_sources, vector_upsert, drop_orphans, ingestion_stats, version_states, active_versions, publication_bindings, catalog_staging, catalog_approval, due_scans, insert_or_compare, artifacts_to_put, bulk_delete, backfill_column)}
 
 SQL = {
     "embed_feed": f"WITH {_S} SELECT version_id, doc_id AS chunk_id, source || '.pdf' AS path, (row_number() OVER (PARTITION BY version_id, source ORDER BY doc_id) - 1) // 32 AS batch FROM documents JOIN m ON source = source_id WHERE n_chars % 4 <> 3",
@@ -132,6 +139,9 @@ SELECT course_id, max(version_id) FILTER (n = 1) AS active, max(version_id) FILT
     "publication_bindings": f"""WITH {_S} SELECT DISTINCT l_partkey AS book_id, version_id, source_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN m ON version_id = o_custkey % 3
 WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 3 = version_id AND 'src' || (p_size % 20) = source_id)""",
     "catalog_staging": "SELECT source AS root, count(*) AS n_candidates, count_if(n_chars % 9 = 0)::BIGINT AS needs_review, CASE WHEN source LIKE '%1' THEN 'reused' ELSE 'new' END AS state FROM documents GROUP BY source",
+    "catalog_approval": """WITH c AS (SELECT p_partkey AS id, p_name || '/' || p_brand AS k, lower(p_brand) AS pub, p_type || '/' || (p_size % 4) AS prog FROM part WHERE p_size % 3 <> 0),
+r AS (SELECT 'publisher' AS t, pub AS key, id FROM c UNION ALL SELECT 'programme', prog, id FROM c UNION ALL SELECT 'book', k, id FROM c WHERE k NOT IN (SELECT p_name || '/' || p_brand FROM part WHERE p_partkey % 5 = 0)
+UNION ALL SELECT u.t, u.p || ':' || k, id FROM c, (VALUES ('source_root', 'root'), ('course', 'course'), ('course_run', 'run'), ('book_course_binding', 'binding'), ('outbox_event', 'ingest')) u(t, p)) SELECT t AS "table", key, min(id) AS candidate_id FROM r GROUP BY ALL""",
     "due_scans": f"""SELECT c_custkey AS course_id, o_orderkey AS run_id, 'scan:' || c_custkey || ':scheduled:' || ({_NOW} // 3600) AS idempotency_key FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 <> 0
 WHERE c_custkey % 300 % 4 <> 0 AND (c_custkey % 300 % 5 = 0 OR c_custkey % 300 * 60 >= 3600) AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'view' AND value <= 40 AND value >= 10)""",
     "insert_or_compare": "SELECT c_custkey AS k, CASE WHEN s_suppkey IS NULL THEN 'inserted' WHEN s_suppkey % 3 = 0 THEN 'unchanged' ELSE 'conflict' END AS outcome FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",

@@ -79,8 +79,7 @@ def state_transition_violations(spark, d):
 
 
 def failure_islands(spark, d):
-    marked = _e(spark, d).withColumn("route", F.col("user_id") % 7)
-    return O.failure_islands(marked, "route", ["ts", "event_id"], F.col("event_type").isin("error", "view"), 3)
+    return O.failure_islands(_e(spark, d), "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "view"), 3)
 
 
 def _words(column):
@@ -198,8 +197,8 @@ s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id R
 SELECT user_id, session, count(*) AS n_events, floor(epoch(min(ts)))::BIGINT AS first_s, floor(epoch(max(ts)))::BIGINT AS last_s FROM s GROUP BY ALL""",
     "retention_cleanup": "SELECT event_type, count(*) AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY GROUP BY event_type",
     "state_transition_violations": f"""WITH l AS (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, event_type FROM events) SELECT event_id, f AS "from", event_type FROM l WHERE f IS NOT NULL AND f || '>' || event_type NOT IN ({_OK})""",
-    "failure_islands": """WITH m AS (SELECT user_id % 7 AS route, event_type IN ('error', 'view') AS failed, sum((event_type NOT IN ('error', 'view'))::INT) OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events)
-SELECT route, island, count(*) AS failures FROM m WHERE failed GROUP BY ALL HAVING count(*) >= 3""",
+    "failure_islands": """WITH m AS (SELECT user_id, event_type IN ('error', 'view') AS failed, sum((event_type NOT IN ('error', 'view'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events)
+SELECT user_id, island, count(*) AS failures FROM m WHERE failed GROUP BY ALL HAVING count(*) >= 3""",
     "tfidf_idf": f"WITH {_T} SELECT token, df, idf FROM idf",
     "tfidf_top5": f"WITH {_R} SELECT qid, doc_id, score, rank FROM rk",
     "recall_cases": f"WITH {_R}, {_CASES} SELECT qid, answerable, answered, first, cited FROM cases",

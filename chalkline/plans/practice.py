@@ -6,6 +6,7 @@ from chalkline.deploy import ship
 from chalkline.functions import text as X
 from chalkline.functions.time import epoch_micros, epoch_seconds
 from chalkline.operators import practice as P
+from chalkline.operators.components import connected_components
 from chalkline.sources.tables import table
 
 
@@ -73,16 +74,33 @@ def release_policy(spark, d):
     return rows.select("set_id", "exercise_id", P.release_policy(F.col("n"), F.col("gave_up"), F.col("ok")).alias("shown"))
 
 
+def attempt_feedback(spark, d):
+    kinds, languages = F.array(*map(F.lit, P.HINTS_EN)), F.array(*map(F.lit, ("zh", "en", "bilingual")))
+    of = lambda values, n: F.element_at(values, (F.col("l_partkey") % n + 1).cast("int"))
+    rows = _attempts(spark, d).withColumn("l_partkey", F.col("exercise_id"))
+    wrong = F.when((F.col("action") == "submit") & ~F.col("correct"), F.col("attempt_number"))
+    told = P.outcome(F.col("action"), F.col("correct").isNull(), F.col("correct"))
+    return rows.select("set_id", "exercise_id", "attempt_number", told.alias("outcome"), P.hint(of(kinds, 4), of(languages, 3), wrong).alias("hint"))
+
+
 def objective_history_window(spark, d):
     sets = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("set_id"), epoch_seconds("o_orderdate").alias("created_at"), F.array(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("objectives"))
     return P.recent_objectives(sets, 3)
 
 
+def _word_sets(spark, d):
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
+
+
 def near_duplicate_pairs(spark, d):
     ship(spark)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
-    return P.similar_objectives(docs)
+    return P.similar_objectives(_word_sets(spark, d))
+
+
+def near_duplicate_groups(spark, d):
+    labels = connected_components(near_duplicate_pairs(spark, d).select("a", "b")).withColumnRenamed("node", "id")
+    return _word_sets(spark, d).filter(F.size("words") >= 3).select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def answer_ngram_keys(spark, d):
@@ -97,7 +115,9 @@ j AS (SELECT ex.*, per.set_id IS NOT NULL AS tried, coalesce(ok, false) AS ok, c
 s AS (SELECT set_id, count(*) AS total, count_if(tried)::BIGINT AS attempted, count_if(done)::BIGINT AS completed, count_if(ok)::BIGINT AS correct, (min({{'o': ordinal, 'e': exercise_id}}) FILTER (NOT done)).e AS next_exercise, max(latest) AS latest FROM j GROUP BY set_id),
 st AS (SELECT *, CASE WHEN completed > 0 THEN round(correct / completed, 3) END AS mastery, CASE WHEN completed = total THEN 'COMPLETED' WHEN latest IS NOT NULL THEN 'IN_PROGRESS' ELSE 'NOT_STARTED' END AS status FROM s)"""
 
-QUERIES = {f.__name__: f for f in (set_progress, plan_rollup, mastery_band, resume_order, attempt_replay, rubric_score, objective_grading, release_policy, objective_history_window, near_duplicate_pairs, answer_ngram_keys)}
+_HINTS = lambda name: "[" + ", ".join("[" + ", ".join(f"'{h}'" for h in hints) + "]" for hints in getattr(P, name).values()) + "][exercise_id % 4 + 1][w]"
+
+QUERIES = {f.__name__: f for f in (set_progress, plan_rollup, mastery_band, resume_order, attempt_replay, rubric_score, objective_grading, release_policy, attempt_feedback, objective_history_window, near_duplicate_pairs, near_duplicate_groups, answer_ngram_keys)}
 
 SQL = {
     "set_progress": f"WITH {_S} SELECT set_id, total, attempted, completed, correct, next_exercise, latest, mastery, status FROM st",
@@ -117,9 +137,15 @@ SELECT l_orderkey, score, score >= 0.5 AS passes FROM g""",
 SELECT p_partkey, kind, CASE kind WHEN 'multiple_choice' THEN answer = expected WHEN 'fill_blank' THEN lower(answer) IN (lower(trim(expected)), 'small') END AS correct FROM r""",
     "release_policy": f"""WITH {_A}, g AS (SELECT set_id, exercise_id, count_if(action = 'submit') AS n, bool_or(action = 'give_up') AS gu, bool_or(coalesce(correct, false)) AS ok FROM tries GROUP BY ALL)
 SELECT set_id, exercise_id, CASE WHEN ok OR gu OR n >= 3 THEN 'solution' WHEN n >= 2 THEN 'hint_2' WHEN n = 1 THEN 'hint_1' ELSE 'none' END AS shown FROM g""",
+    "attempt_feedback": f"""WITH {_A}, h AS (SELECT *, CASE WHEN action = 'submit' AND NOT correct AND attempt_number BETWEEN 1 AND 2 THEN attempt_number END AS w FROM tries),
+t AS (SELECT *, {_HINTS("HINTS_ZH")} AS zh, {_HINTS("HINTS_EN")} AS en FROM h)
+SELECT set_id, exercise_id, attempt_number, CASE WHEN action = 'give_up' THEN 'gave_up' WHEN correct IS NULL THEN 'provisional' WHEN correct THEN 'correct' ELSE 'incorrect' END AS outcome, CASE exercise_id % 3 WHEN 0 THEN zh WHEN 1 THEN en ELSE zh || ' / ' || en END AS hint FROM t""",
     "objective_history_window": """WITH k AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY epoch(o_orderdate)::BIGINT DESC, o_orderkey DESC) AS n, o_orderpriority, o_orderstatus FROM orders QUALIFY n <= 3),
 u AS (SELECT key, n, 0 AS pos, o_orderpriority AS objective FROM k UNION ALL SELECT key, n, 1, o_orderstatus FROM k)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY n, pos) AS place, objective FROM u""",
+    "near_duplicate_groups": """WITH RECURSIVE w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM documents), s AS (SELECT id, len(ws) AS n, unnest(ws) AS v FROM w WHERE len(ws) >= 3),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n + y.n) AS t FROM s x JOIN s y ON x.v = y.v AND x.id < y.id GROUP BY ALL), l AS (SELECT a, b FROM c WHERE c >= 3 AND c / (t - c) >= 0.72), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT id, least(id, coalesce((SELECT min(b) FROM r WHERE r.a = id), id)) AS component FROM w WHERE len(ws) >= 3""",
     "answer_ngram_keys": """WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' is the ' || p_type), '[a-z]+') AS ws FROM part),
 g AS (SELECT p_partkey, ws, unnest(list_transform(range(2, 7), lambda n: list_transform(range(1, len(ws) - n + 2), lambda i: ws[i:i + n - 1]))) AS gs FROM t), h AS (SELECT p_partkey, unnest(gs) AS g FROM g),
 k AS (SELECT p_partkey, sha256(array_to_string(g, '')) AS k FROM h WHERE length(array_to_string(g, '')) >= 6 AND len(list_filter(g, lambda x: x NOT IN ('a', 'am', 'an', 'and', 'are', 'i', 'is', 'it', 'my', 'the', 'this', 'that', 'your'))) > 0

@@ -103,7 +103,7 @@ def citation_validate(spark, d):
 def retrieval_trace(spark, d):
     found = R.traces(_top(spark, d), _evidence(spark, d))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return found.select("qid", joined("candidate_ids").alias("candidates"), joined("evidence_ids").alias("evidence"))
+    return found.select("qid", joined("candidate_ids").alias("candidates"), joined("evidence_ids").alias("evidence"), "min_score", "max_chunks", "max_tokens")
 
 
 _BUDGET = f"""{_DESCRIBED},
@@ -133,5 +133,5 @@ OR list_has_any({_TERMS.format("query")}, {_TERMS.format("path || ' ' || text")}
 SELECT qid, position, citation, cid FROM cl SEMI JOIN ev USING (qid, citation, cid) QUALIFY row_number() OVER (PARTITION BY qid, citation ORDER BY position) = 1""",
     "retrieval_trace": f"""WITH {_BUDGET}, c AS (SELECT qid, string_agg(cid::VARCHAR, ',' ORDER BY recall_rank) AS candidates FROM top GROUP BY qid),
 e AS (SELECT qid, string_agg(cid::VARCHAR, ',' ORDER BY citation) AS evidence FROM ev GROUP BY qid)
-SELECT qid, candidates, coalesce(evidence, '') AS evidence FROM c LEFT JOIN e USING (qid)""",
+SELECT qid, candidates, coalesce(evidence, '') AS evidence, 0.2::DOUBLE AS min_score, 5 AS max_chunks, 3500 AS max_tokens FROM c LEFT JOIN e USING (qid)""",
 }
