@@ -4,7 +4,8 @@ import random
 
 from conftest import save
 
-from chalkline.llm import components, registry
+from chalkline.llm import registry
+from chalkline.operators import components
 
 
 def test_repeated_id_that_is_not_the_smallest(spark, tmp_path):
