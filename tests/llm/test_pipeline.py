@@ -49,8 +49,8 @@ def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-def test_repeated_rows(spark, repeated, tmp_path):
-    """Repeated rows of one id and text become one, null ids stay, and the counts of all stages hold."""
+def test_repeated_rows(spark, tmp_path):
+    """Repeated rows of one id and text become one, and null ids stay."""
     from conftest import save
 
     base = " ".join(f"word{i}" for i in range(60))
@@ -61,8 +61,3 @@ def test_repeated_rows(spark, repeated, tmp_path):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, folder)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, base), (None, base), (None, base), (9, None), (10, "")])
-    docs = table(spark, repeated[0], "documents")
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs.count()
-        docs = stage(spark, docs, repeated[0])
-        assert docs.count() <= (2 * before if name == "mixture" else before)
