@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
-from chalkline.llm import cotraining, decontamination, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, token_counts, toxicity
+from chalkline.llm import cotraining, decontamination, divergence, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, token_counts, toxicity
 from chalkline.sources.tables import table
 
 
@@ -85,6 +85,11 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_word_pieces": op1_word_pieces,
     "op2_source_mixture": op2_source_mixture,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bottom_k": op8_bottom_k,
     "op9_deep_shallow": op9_deep_shallow,
     "op10_host_rules": op10_host_rules,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _LIST_OF_WEIGHTS = ", ".join(map(str, mixing.WEIGHTS))
@@ -173,4 +179,20 @@ k AS (SELECT row, i, sum(new::INT) OVER (PARTITION BY row ORDER BY i ROWS UNBOUN
 x AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS y FROM u), t AS (SELECT row, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(CASE WHEN a > y THEN hex(array_slice(b, y + 1, a)) ELSE '' END, '' ORDER BY a) AS head FROM x JOIN d USING (row) GROUP BY row)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 0) < n THEN hex(array_slice(b, coalesce(last, 0) + 1, n)) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN t USING (row)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op6_winnowing": _WINDOWS, "op8_bottom_k": _NEAR, "op9_deep_shallow": _REPEATS, "op10_host_rules": _HOST_RULES}
+_SCALE = f"{divergence.SCALE}::HUGEINT"
+
+#: Every kept term with every source of its language, and the pairs of these.
+_DIVERGENCE = f"""WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("text")} AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM t),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM t),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL), n AS (SELECT lang, source, sum(c)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS k, (1 + {_SCALE} * (coalesce(c.c, 0) + 1) // (coalesce(n.n, 0) + v))::HUGEINT AS p FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n USING (lang, source)),
+q AS (SELECT lang, term, (1 + {_SCALE} * (c + 1) // (n + v))::HUGEINT AS q FROM kept JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE k > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op6_winnowing": _WINDOWS, "op8_bottom_k": _NEAR, "op9_deep_shallow": _REPEATS, "op10_host_rules": _HOST_RULES, "op12_source_divergence": _DIVERGENCE}
