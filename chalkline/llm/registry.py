@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
-from chalkline.llm import cotraining, decontamination, divergence, minhash, mixing, quality_rules, secret_scan, sstable, suffix_dedup, token_counts, toxicity
+from chalkline.llm import cotraining, decontamination, divergence, minhash, mixing, ngram_join, quality_rules, secret_scan, sstable, suffix_dedup, token_counts, toxicity, turn_trie
 from chalkline.sources.tables import table
 
 
@@ -85,11 +85,21 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_word_pieces": op1_word_pieces,
     "op2_source_mixture": op2_source_mixture,
@@ -101,7 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bottom_k": op8_bottom_k,
     "op9_deep_shallow": op9_deep_shallow,
     "op10_host_rules": op10_host_rules,
+    "op11_turn_trie": op11_turn_trie,
     "op12_source_divergence": op12_source_divergence,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _LIST_OF_WEIGHTS = ", ".join(map(str, mixing.WEIGHTS))
@@ -161,13 +173,21 @@ hit AS (SELECT DISTINCT row, g.n, pos, item_id FROM g JOIN win ON g.n = win.n AN
 f AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (row) LEFT JOIN f USING (row)"""
 
-#: All pairs that share a shingle, counted on whole sets, and what is reachable.
-_NEAR = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(w) < {minhash.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {minhash.SHINGLE} + 2), lambda i: array_to_string(w[i:i + {minhash.SHINGLE} - 1], ' ')) END AS gs FROM d WHERE len(w) > 0),
+
+
+def _near(shingle: int, least: int, columns: str) -> str:
+    """All pairs that share a shingle, counted on whole sets, and what is reachable."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {shingle} + 2), lambda i: array_to_string(w[i:i + {shingle} - 1], ' ')) END AS gs FROM d WHERE len(w) > 0),
 s AS (SELECT DISTINCT doc_id, unnest(gs) AS v FROM g), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {minhash.LEAST} * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {least} * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON a = d.doc_id"""
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, {columns} FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON a = d.doc_id"""
+
+
+_COMPONENT = "coalesce(component, d.doc_id) AS component_id"
+_NEAR = _near(minhash.SHINGLE, minhash.LEAST, f"{_COMPONENT}, coalesce(component, d.doc_id) = d.doc_id AS kept")
+_SIMILAR = _near(ngram_join.SHINGLE, ngram_join.LEAST, _COMPONENT)
 
 _BYTES = suffix_dedup.LENGTH
 
@@ -179,6 +199,17 @@ k AS (SELECT row, i, sum(new::INT) OVER (PARTITION BY row ORDER BY i ROWS UNBOUN
 x AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS y FROM u), t AS (SELECT row, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(CASE WHEN a > y THEN hex(array_slice(b, y + 1, a)) ELSE '' END, '' ORDER BY a) AS head FROM x JOIN d USING (row) GROUP BY row)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 0) < n THEN hex(array_slice(b, coalesce(last, 0) + 1, n)) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN t USING (row)"""
 
+#: Nodes by lists of turn numbers; crc32 from its table of 256 entries.
+_TRIE = f"""WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS id, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+bits(i, x, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, xor(x >> 1, (x & 1) * 3988292384), k + 1 FROM bits WHERE k < 8), crc AS (SELECT list(x ORDER BY i) AS tab FROM bits WHERE k = 8),
+h AS (SELECT c, c - c % {turn_trie.FAMILY} AS b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % {turn_trie.OPENINGS} AS h FROM (SELECT DISTINCT c FROM t), crc),
+r AS (SELECT h.c, 0 AS part, t.i, id, n FROM h JOIN t ON t.c = b WHERE t.i <= h UNION ALL SELECT h.c, 1, t.i, id, n FROM h JOIN t ON t.c = h.c WHERE t.i > h),
+s AS (SELECT h.c, coalesce(list(id ORDER BY part, i) FILTER (id IS NOT NULL), []) AS ids, coalesce(list(n ORDER BY part, i) FILTER (id IS NOT NULL), []) AS ns FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+p AS (SELECT c, ids, ns, unnest(range(0, len(ids) + 1)) AS d FROM s), g AS (SELECT ids[1:d] AS pre, d, min(c) AS c, count(*) AS n, any_value(CASE WHEN d > 0 THEN ns[d] ELSE 0 END) AS len, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ids) = d), '') AS ends FROM p GROUP BY ALL),
+k AS (SELECT pre[1:d - 1] AS pre, count(*) AS k FROM g WHERE d > 0 GROUP BY ALL), f AS (SELECT g.*, coalesce(k, 0) AS k FROM g LEFT JOIN k USING (pre)),
+u AS (SELECT pre[1:e] AS pre, (k = 0)::INT AS leaf, (n - 1) * len AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f)), v AS (SELECT pre, sum(leaf)::BIGINT AS leaves, sum(saved)::BIGINT AS saved FROM u GROUP BY pre)
+SELECT f.c AS conv_id, f.d AS depth, CASE WHEN f.d > 0 THEN up.c END AS parent_conv_id, f.n AS n_convs, f.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(f.ends) AS ends_sha256 FROM f JOIN v USING (pre) LEFT JOIN g up ON f.d > 0 AND up.pre = f.pre[1:f.d - 1]"""
+
 _SCALE = f"{divergence.SCALE}::HUGEINT"
 
 #: Every kept term with every source of its language, and the pairs of these.
@@ -195,4 +226,4 @@ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FR
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= {divergence.TOP}"""
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op6_winnowing": _WINDOWS, "op8_bottom_k": _NEAR, "op9_deep_shallow": _REPEATS, "op10_host_rules": _HOST_RULES, "op12_source_divergence": _DIVERGENCE}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixture": _MIXTURE, "op6_winnowing": _WINDOWS, "op8_bottom_k": _NEAR, "op9_deep_shallow": _REPEATS, "op10_host_rules": _HOST_RULES, "op11_turn_trie": _TRIE, "op12_source_divergence": _DIVERGENCE, "op13_ngram_join": _SIMILAR}
