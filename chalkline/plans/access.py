@@ -25,8 +25,12 @@ def _chunks(spark, d):
     )
 
 
+def _allowed(chunks):
+    return A.payload_filter(chunks, F.lit(1), F.lit(1), rank=2, sources=[1, 5, 7, 11, 13, 17, 19], scopes=("unit:1", "week:3"), pages=(1, 90), classes=("content", "exercise_question"))
+
+
 def _filtered(spark, d):
-    return A.payload_filter(_chunks(spark, d), F.lit(1), F.lit(1), rank=2, sources=[1, 5, 7, 11, 13, 17, 19], scopes=("unit:1", "week:3"), pages=(1, 90), classes=("content", "exercise_question"))
+    return _allowed(_chunks(spark, d))
 
 
 def payload_filter(spark, d):
@@ -42,6 +46,12 @@ def scoped_topk(spark, d):
     return R.dense_topk(retrieval._queries(spark, d), _filtered(spark, d), 5)
 
 
+def vector_index_scoped(spark, d):
+    """As ``scoped_topk``, by the index, whose scan has the payload's filters."""
+    index, probes = retrieval._index(spark, _chunks(spark, d))
+    return index.search(retrieval._queries(spark, d).drop("qrank"), 5, probes, exact=True, where=_allowed)
+
+
 def indexed_count(spark, d):
     return A.payload_filter(_chunks(spark, d), F.lit(1), F.lit(1), rank=1, version=F.lit(3)).agg(F.count(F.lit(1)).alias("total_indexed"))
 
@@ -121,12 +131,13 @@ _TRAIL = f"""{retrieval._TOP}, b AS (SELECT item_id * 20 AS qid, text FROM bench
 k AS (SELECT qid, text, qid % 60 <> 0 AND qid % 80 <> 0 AS listed FROM b)"""
 _PR = f"pr AS (SELECT c_custkey AS principal, c_custkey % 5 AS tenant_id, {_LIST(['learner', 'instructor', 'admin', 'learner'])}[c_custkey % 4 + 1] AS role, [c_custkey % 30, c_custkey % 17 + 30] AS courses FROM customer), co AS (SELECT o_orderkey % 45 AS course_id, o_orderkey % 45 % 5 AS tenant_id, bool_or(o_orderkey % 45 % 7 = 0 AND o_orderpriority = '1-URGENT') AS open FROM orders GROUP BY ALL)"
 
-QUERIES = {f.__name__: f for f in (payload_filter, version_filter, scoped_topk, indexed_count, access_recheck, withheld_solutions, rescored_cut, course_authorised, course_previews, citation_trailer, citations_read, practice_sources)}
+QUERIES = {f.__name__: f for f in (payload_filter, version_filter, scoped_topk, vector_index_scoped, indexed_count, access_recheck, withheld_solutions, rescored_cut, course_authorised, course_previews, citation_trailer, citations_read, practice_sources)}
 
 SQL = {
     "payload_filter": f"WITH {_F} SELECT cid, access_label, chunk_class, page FROM f",
     "version_filter": f"WITH {_C} SELECT cid, access_label FROM c WHERE tenant_id = 0 AND course_id = 2 AND version_id = 2 AND access_label IN ('public', 'enrolled')",
     "scoped_topk": f"WITH {retrieval._TOP}, {_F} SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS recall_rank FROM p SEMI JOIN f USING (cid) QUALIFY recall_rank <= 5",
+    "vector_index_scoped": f"WITH {retrieval._TOP}, {_F} SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS recall_rank FROM p SEMI JOIN f USING (cid) QUALIFY recall_rank <= 5",
     "indexed_count": f"WITH {_C} SELECT count(*) AS total_indexed FROM c WHERE tenant_id = 1 AND course_id = 1 AND version_id = 3 AND access_label IN ('public', 'enrolled')",
     "access_recheck": f"WITH {retrieval._TOP}, {_C} SELECT qid, cid, access_label FROM top JOIN c USING (cid) WHERE coalesce({_RANK} - 1, 1) <= qid // 20 % 4",
     "withheld_solutions": f"""WITH {retrieval._TOP}, {_C} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY recall_rank) AS citation, cid, chunk_class FROM top JOIN c USING (cid)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from chalkline.deploy import ship
 from chalkline.functions import text as X
 from chalkline.operators import retrieval as R
+from chalkline.operators import vector_index as I
+from chalkline.sources.scratch import scratch_path
 from chalkline.sources.tables import table
 
 K = 15
@@ -59,6 +61,37 @@ def acl_filtered_topk(spark, d):
     return R.dense_topk(_queries(spark, d), _chunks(spark, d), 10, ranked_access=True)
 
 
+#: One cell in so many is searched before the bounds are looked at; the recall that probes are chosen for.
+PROBED, RECALL = 3, 0.95
+
+
+def _index(spark: SparkSession, chunks: DataFrame) -> tuple[I.VectorIndex, int]:
+    """The chunks' index and the number of cells that a query is sent to."""
+    ship(spark)
+    index = I.VectorIndex.build(chunks, scratch_path(spark, "index"))
+    return index, max(1, -(-index.cells.count() // PROBED))
+
+
+def vector_index_topk(spark, d):
+    """The exact search of the index, which starts from the nearest cells."""
+    index, probes = _index(spark, _chunks(spark, d))
+    return index.search(_queries(spark, d).drop("qrank"), K, probes, exact=True)
+
+
+def vector_index_ranked(spark, d):
+    """As ``acl_filtered_topk``, by the index."""
+    index, probes = _index(spark, _chunks(spark, d))
+    return index.search(_queries(spark, d), 10, probes, exact=True)
+
+
+def vector_index_recall(spark, d):
+    """Recall of the nearest cells alone against the search of all rows, and whether it is enough."""
+    index, _ = _index(spark, _chunks(spark, d))
+    queries = _queries(spark, d).drop("qrank")
+    measured = I.recall(index.search(queries, K, index.probes_for(K, RECALL)), R.dense_topk(queries, _chunks(spark, d), K))
+    return measured.select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def lexical_rescore(spark, d):
     return R.rescore(_described(_top(spark, d), spark, d)).select("qid", "cid", "hits", "rescored")
 
@@ -113,11 +146,14 @@ s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY qid ORDER BY score DESC,
 ev AS (SELECT qid, cid, citation, used, CASE WHEN tokens <= 1500 - used THEN text ELSE left(text, (1500 - used) * 4) END AS text
   FROM s WHERE citation <= 5 AND (tokens <= 1500 - used OR 1500 - used >= 32))"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, acl_filtered_topk, lexical_rescore, scope_extract, source_cap_rerank, page_diversify, substantive_preference, evidence_lexical_gate, evidence_budget, citation_validate, retrieval_trace)}
+QUERIES = {f.__name__: f for f in (dense_topk, acl_filtered_topk, vector_index_topk, vector_index_ranked, vector_index_recall, lexical_rescore, scope_extract, source_cap_rerank, page_diversify, substantive_preference, evidence_lexical_gate, evidence_budget, citation_validate, retrieval_trace)}
 
 SQL = {
     "dense_topk": f"WITH {_TOP} SELECT qid, cid, score, recall_rank FROM top",
     "acl_filtered_topk": f"WITH {_TOP} SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS recall_rank FROM p WHERE crank <= qrank QUALIFY recall_rank <= 10",
+    "vector_index_topk": f"WITH {_TOP} SELECT qid, cid, score, recall_rank FROM top",
+    "vector_index_ranked": f"WITH {_TOP} SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS recall_rank FROM p WHERE crank <= qrank QUALIFY recall_rank <= 10",
+    "vector_index_recall": "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "lexical_rescore": f"""WITH {_DESCRIBED}, h AS (SELECT *, len(list_filter(list_distinct(regexp_split_to_array(lower(query), '\\s+')), lambda w: length(w) >= 3 AND contains(lower(text), w)))::BIGINT AS hits FROM cand)
 SELECT qid, cid, hits, round(score + 0.05::DOUBLE * hits + CASE WHEN list_has_any({_SCOPES.format("query")}, {_SCOPES.format("path")}) THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END, 6) AS rescored FROM h""",
     "scope_extract": f"SELECT doc_id, array_to_string(list_sort({_SCOPES.format("'Unit 0' || (doc_id % 10) || '/week_' || (doc_id % 7) || ' unit-' || (doc_id % 13)")}), ',') AS scopes FROM documents",
