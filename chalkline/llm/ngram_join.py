@@ -1,18 +1,19 @@
 """Similarity join of documents on three-word shingles, with prefix filters under several global orders of the shingles.
 
 Two sets with a similarity of LEAST hundredths share all but ``p - 1`` members of either, ``p = n - ceil(LEAST n / 100) + 1``.
-So under any order of all shingles their first ``p + e`` members share ``e + 1`` at least.
+So under any order of all shingles their first ``2 p`` members share ``p + 1`` at least.
 
 1. One pass over the texts gives sizes, 128-bit fingerprints of whole sets, and each set's first members by hash (the
    first order). Equal sets are one class from here on, so copies cost no pairs.
 2. The same argument on these members, ordered from the rarest (the second order): similar sets share one of the first
    ``p``, and only these are looked up. Passages of many documents drop out unless they make up most of a document.
 3. The classes of all lists with the same centre are a group, dealt in blocks of bounded size, each with the centre. In
-   a block, pairs must share enough first members under each of ORDERS; what passes all orders is verified on whole
+   a block, pairs must share enough first members under the first order, and only the texts of classes that have such a
+   partner move. There pairs must share enough under each of ORDERS, and what passes all orders is verified on whole
    sets. The centre is compared first, and only blocks that this leaves in several components are counted out.
 4. Links are contracted. Groups of several blocks that still hold several components are dealt anew: classes of the
    group's largest component meet those of the others, and these meet each other, but never the largest itself; first
-   by their first members under all orders, then the candidates by their texts. Nothing is capped and no pair is moved.
+   by their first members, then the candidates by their texts. Nothing is capped and no pair is moved.
 """
 
 from collections.abc import Iterator
@@ -31,8 +32,6 @@ from chalkline.sources.scratch import scratch_table
 SHINGLE = 3
 #: Similarity in hundredths.
 LEAST = 90
-#: Members beyond ``p`` that lists hold.
-EXTRA = 16
 #: Salts of the orders by hash; the first is the order of the lists that are looked up.
 ORDERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Classes and shingles of a block, about.
@@ -57,8 +56,8 @@ def shingle_sets(chunk: C.Chunk) -> Iterator[np.ndarray]:
 
 
 def first_members(s: np.ndarray, order: int) -> np.ndarray:
-    """The first ``p + EXTRA`` members of a sorted set under the order of this salt, or all."""
-    k = prefix_size(len(s)) + EXTRA
+    """The first ``2 p`` members of a sorted set under the order of this salt, or all."""
+    k = 2 * prefix_size(len(s))
     if k >= len(s):
         return s
     if not order:
@@ -69,7 +68,7 @@ def first_members(s: np.ndarray, order: int) -> np.ndarray:
 def least_shared(n: np.ndarray) -> np.ndarray:
     """Members that the lists of sets of ``n`` share with those of similar sets, at least."""
     p = n - -(-LEAST * n // 100) + 1
-    return np.minimum(n, p + EXTRA) - p + 1
+    return np.minimum(n, 2 * p) - p + 1
 
 
 def as_lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -150,11 +149,14 @@ def link(sets: list[np.ndarray], names: np.ndarray, left: np.ndarray, right: np.
         known.join(int(names[left[a[i]]]), int(names[right[b[j]]]))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    joined = column.combine_chunks()
+    return joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
+
+
 def _sets_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """The sets of the rows' texts, and which rows hold the class that they name (a repeated id may have other texts)."""
-    column = table.column("text").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    sets = [s for chunk in C.text_chunks(column) for s in shingle_sets(chunk)]
+    sets = [s for chunk in C.text_chunks(_whole(table.column("text"))) for s in shingle_sets(chunk)]
     right = [len(s) > 0 and fingerprint(s) == fp for s, fp in zip(sets, table.column("fp").to_pylist(), strict=True)]
     return sets, np.flatnonzero(right)
 
@@ -199,20 +201,25 @@ def meeting_blocks(wide: DataFrame) -> DataFrame:
     return each.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "n", "rep", "fp", "component")
 
 
-def _sides(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    block = table.column("block").to_numpy()
+    return np.flatnonzero(block == table.column("i")[0].as_py()), np.flatnonzero(block == table.column("j")[0].as_py())
+
 
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """The rows (centre, i, j, key, block, n, component, rep, fp, members) that have a partner of another component.
 
-def candidates_across_blocks(rows: DataFrame) -> DataFrame:
-    """The rows of ``meeting_blocks`` (with ``firsts``, the first members under all orders) that have a candidate in another component."""
+    A partner is in the other one of the blocks i and j (or in the same, if they are one) and shares enough first members.
+    """
     names = ["centre", "i", "j", "key", "block", "component", "rep", "fp"]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        firsts = [[np.array(x, np.int64).view(np.uint64) for x in row] for row in table.column("firsts").to_pylist()]
-        left, right = _sides(table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py())
+        lists = _whole(table.column("members"))
+        flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        first = [flat[ends[i] : ends[i + 1]] for i in range(table.num_rows)]
+        left, right = _sides(table)
         component = table.column("component").to_numpy()
-        maybe = maybe_similar([[f[o] for f in firsts] for o in range(len(ORDERS))], table.column("n").to_numpy().astype(np.int64), left, right)
+        maybe = maybe_similar([first], table.column("n").to_numpy().astype(np.int64), left, right)
         maybe &= component[left][:, None] != component[right][None, :]
         found = np.unique(np.concatenate((left[maybe.any(axis=1)], right[maybe.any(axis=0)])))
         return table.select(names).take(pa.array(found, pa.int64()))
@@ -220,29 +227,15 @@ def candidates_across_blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("centre", "i", "j").applyInArrow(run, "centre long, i int, j int, key long, block int, component long, rep long, fp binary")
 
 
-def firsts_of(rows: DataFrame) -> DataFrame:
-    """(rep, fp, firsts) of named texts: the first members under every order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, use = _sets_of(pa.Table.from_batches([batch]))
-            lists = [first_members(sets[i], o) for i in use for o in ORDERS]
-            outer = pa.array(np.arange(0, len(lists) + 1, len(ORDERS)), pa.int32())
-            at = pa.array(use, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), batch.column("fp").take(at), pa.ListArray.from_arrays(outer, as_lists(lists))], names=["rep", "fp", "firsts"])
-
-    return rows.select("rep", "fp", "text").mapInArrow(run, "rep long, fp binary, firsts array<array<long>>").dropDuplicates(["rep", "fp"])
-
-
 def links_across_blocks(rows: DataFrame) -> DataFrame:
     """(a, b): links of components between the blocks that meet."""
 
     def run(table: pa.Table) -> pa.Table:
         sets, use = _sets_of(table)
-        sets, component, block = [sets[i] for i in use], table.column("component").to_numpy()[use], table.column("block").to_numpy()[use]
+        sets, component = [sets[i] for i in use], table.column("component").to_numpy()[use]
         known = Components()
         if len(sets):
-            link(sets, component, *_sides(block, table.column("i")[0].as_py(), table.column("j")[0].as_py()), known)
+            link(sets, component, *_sides(table.take(pa.array(use))), known)
         return _link_table(known)
 
     return rows.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
@@ -262,13 +255,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = scratch_table(class_table(made), "classes")
     lists = scratch_table(lookups(made, classes.filter("rep IS NOT NULL")), "lists")
     members = scratch_table(groups_of(lists).join(classes, "key"), "members")
-    links = scratch_table(links_within_blocks(named_texts(docs, members)).union(repeated_id_links(made, classes)), "links")
+    first = made.select(F.col("doc_id").alias("rep"), "fp", "members").dropDuplicates(["rep", "fp"])
+    own = members.join(first, ["rep", "fp"]).withColumns({"i": F.col("block"), "j": F.col("block"), "component": F.col("key")})
+    near = scratch_table(with_candidates(own), "candidates")
+    links = scratch_table(links_within_blocks(named_texts(docs, near)).union(repeated_id_links(made, classes)), "links")
     labels = connected_components(links)
     wide = members.filter("blocks > 1").drop("block", "blocks").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     meet = scratch_table(meeting_blocks(wide.withColumn("component", F.coalesce("component", "rep"))), "meeting")
     if not meet.isEmpty():
-        firsts = scratch_table(firsts_of(named_texts(docs, meet.select("rep", "fp").distinct())), "firsts")
-        near = scratch_table(candidates_across_blocks(meet.join(firsts, ["rep", "fp"])), "candidates")
+        near = scratch_table(with_candidates(meet.join(first, ["rep", "fp"])), "candidates")
         more = scratch_table(links_across_blocks(named_texts(docs, near)), "links")
         labels = connected_components(links.union(more))
     groups = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))

@@ -181,3 +181,73 @@ def word_pieces(text, begin, within):
             at, count, vocabulary = end, count + 1, within
         n, total, unknown = n + 1, total + max(1, count), unknown + (count == 0)
     return n, total, unknown
+
+
+def similar_groups(rows, size=3, least=90):
+    """doc_id -> (set size, component); rows of an id are one document."""
+    sets = defaultdict(set)
+    for doc_id, text in rows:
+        w = words((text or "").translate(LOWER))
+        sets[doc_id].add(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)) if w))
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    each = sorted((d, s) for d, all_ in sets.items() for s in all_ if s)
+    for i, (a, x) in enumerate(each):
+        for b, y in each[i + 1 :]:
+            if 100 * min(len(x), len(y)) >= least * max(len(x), len(y)) and 100 * len(x & y) >= least * len(x | y):
+                ra, rb = sorted((find(a), find(b)))
+                up[rb] = ra
+    return {d: (max(map(len, all_)), find(d)) for d, all_ in sets.items()}
+
+
+def trie(rows):
+    """Nodes of rows (conv_id, turn, role, text): (conv_id, depth, parent, members, children, leaves, saved, ends)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((turn is not None, turn or 0), role, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest(), text))
+    own = {c: [(r, t) for _, r, _, t in sorted(x)] for c, x in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(own):
+        h, base = zlib.crc32(str(c).encode()) % 6, int(abs(c) - abs(c) % 100) * (1 if c >= 0 else -1)
+        turns = tuple(own.get(base, [])[:h] + own[c][h:])
+        ends[turns].append(c)
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    kids, leaves, saved = Counter(k[:-1] for k in members if k), Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not kids[k]
+            saved[k[:d]] += (len(m) - 1) * (len(k[-1][1]) if k else 0)
+    return [(m[0], len(k), members[k[:-1]][0] if k else None, len(m), kids[k], leaves[k], saved[k], sha(",".join(map(str, ends.get(k, []))).encode())) for k, m in members.items()]
+
+
+def divergence(rows, least=3, scale=10**9, top=200):
+    """(lang, source, part, item, value, rank) of rows (text, lang, source)."""
+    docs, counts = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        terms = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+        counts[lang or "", source or ""].update(terms)
+        docs[lang or ""].update(set(terms))
+    out = []
+    for (lang, source), own in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        sides = {s: c for (g, s), c in counts.items() if g == lang}
+
+        def p(c, kept=kept):
+            n = sum(c[t] for t in kept) + len(kept)
+            return {t: 1 + scale * (c[t] + 1) // n for t in kept}
+
+        mine, f = p(own), lambda a, b: (a - b) ** 2 // b
+        whole = p(sum(sides.values(), Counter()))
+        parts = {"pair": [(s, sum(f(mine[t], q[t]) for t in kept)) for s, c in sides.items() if s != source for q in [p(c)]], "term": [(t, f(mine[t], whole[t])) for t in kept if own[t] and mine[t] > whole[t]]}
+        for part, items in parts.items():
+            ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+            out += [(lang, source, part, item, value, i + 1) for i, (item, value) in enumerate(ranked) if part == "pair" or i < top]
+    return out
