@@ -115,16 +115,16 @@ class Logistic:
         return cls(mean, scale, w)
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        """Standardised features (four-byte numbers) with a one for the intercept."""
-        out = np.ones((len(x), x.shape[1] + 1), np.float32)
+        """Standardised features with a one for the intercept."""
+        out = np.ones((len(x), x.shape[1] + 1))
         inner = out[:, :-1]
-        np.subtract(x, self.mean.astype(np.float32), out=inner)
-        inner *= (1 / self.scale).astype(np.float32)
+        np.subtract(x, self.mean, out=inner)
+        inner /= self.scale
         np.clip(inner, -8, 8, out=inner)
         return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.standard(x) @ self.weights.astype(np.float32)
+        return self.standard(x) @ self.weights
 
     def stepped(self, sums: np.ndarray, l2: float = 1.0) -> "Logistic":
         """A Newton step further, by the sums of ``newton_sums``."""
@@ -152,15 +152,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-#: Logits from the least certain one that counts, in bins.
-BINS_PER_LOGIT, MAX_LOGIT = 128, 30.0
+#: Certainties are compared as whole bins of logits, which are the same however a processor adds up.
+BINS_PER_LOGIT, MAX_LOGIT = 128, 30
 #: Rows of sums that reach the driver in a step.
 SUMS = 8
 
 
+def certainty(logit: np.ndarray) -> np.ndarray:
+    """The bin of a logit."""
+    return np.floor(np.minimum(logit, MAX_LOGIT) * BINS_PER_LOGIT)
+
+
+def least_certain(share: float) -> int:
+    """The first bin that lies above the logit of ``share`` as a whole."""
+    return int(np.ceil(np.log(share / (1 - share)) * BINS_PER_LOGIT))
+
+
 @dataclass
 class Lesson:
-    """A round's models, and the certainty (as a logit) from which teacher 0 or 1 passes on the labels 0 and 1."""
+    """A round's models, and the bin of certainty from which teacher 0 or 1 passes on the labels 0 and 1."""
 
     models: tuple[Logistic, Logistic]
     cuts: np.ndarray  # by teacher and label
@@ -173,17 +183,17 @@ def taught(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, lessons: list[Le
     """
     labels = [y.copy(), y.copy()]
     if lessons:
-        logits = [z @ np.stack([lesson.models[v].weights for lesson in lessons], axis=1).astype(np.float32) for v, z in enumerate(views)]
+        logits = [z @ np.stack([lesson.models[v].weights for lesson in lessons], axis=1) for v, z in enumerate(views)]
         for k, lesson in enumerate(lessons):
             for teacher, pupil in ((0, 1), (1, 0)):
                 logit, open_ = logits[teacher][:, k], labels[pupil] < 0
-                labels[pupil][open_ & (logit >= lesson.cuts[teacher][1])] = 1
-                labels[pupil][open_ & (-logit >= lesson.cuts[teacher][0])] = 0
+                labels[pupil][open_ & (certainty(logit) >= lesson.cuts[teacher][1])] = 1
+                labels[pupil][open_ & (certainty(-logit) >= lesson.cuts[teacher][0])] = 0
     return labels
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float16).reshape(-1, TEXT_DIM + META_DIM).astype(np.float32)
+    rows = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float16).reshape(-1, TEXT_DIM + META_DIM).astype(float)
     return rows[:, :TEXT_DIM], rows[:, TEXT_DIM:]
 
 
@@ -205,8 +215,8 @@ def feature_table(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def certain_counts(pool: DataFrame, models: tuple[Logistic, Logistic], lessons: list[Lesson], certain: float) -> np.ndarray:
     """Open documents by teacher, label and bin of certainty, over the whole pool."""
-    least = float(np.log(certain / (1 - certain)))
-    bins = int(np.ceil((MAX_LOGIT - least) * BINS_PER_LOGIT))
+    least = least_certain(certain)
+    bins = MAX_LOGIT * BINS_PER_LOGIT - least + 1
     shared = pool.sparkSession.sparkContext.broadcast((models, lessons))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +226,9 @@ def certain_counts(pool: DataFrame, models: tuple[Logistic, Logistic], lessons:
             views = tuple(m.standard(v) for m, v in zip(models, _features(batch), strict=True))
             labels = taught(views, np.full(batch.num_rows, -1), lessons)
             for teacher, pupil in ((0, 1), (1, 0)):
-                logit = (views[teacher] @ models[teacher].weights.astype(np.float32))[labels[pupil] < 0].astype(float)
-                for label, sure in ((1, logit), (0, -logit)):
-                    at = np.floor((np.minimum(sure[sure >= least], MAX_LOGIT) - least) * BINS_PER_LOGIT).astype(np.int64)
-                    np.add.at(counts[teacher, label], np.minimum(at, bins - 1), 1)
+                logit = (views[teacher] @ models[teacher].weights)[labels[pupil] < 0]
+                for label, sure in ((1, certainty(logit)), (0, certainty(-logit))):
+                    np.add.at(counts[teacher, label], (sure[sure >= least] - least).astype(np.int64), 1)
         teacher, label, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (teacher, label, at, counts[teacher, label, at])], names=["teacher", "label", "bin", "n"])
 
@@ -231,14 +240,14 @@ def certain_counts(pool: DataFrame, models: tuple[Logistic, Logistic], lessons:
 
 def cuts_of(counts: np.ndarray, most: int, certain: float) -> np.ndarray:
     """By teacher and label: the lowest certainty above which ``most`` open documents lie at most (the highest bin at least)."""
-    least = float(np.log(certain / (1 - certain)))
+    least = least_certain(certain)
     cuts = np.full(counts.shape[:2], np.inf)
     for place in np.ndindex(counts.shape[:2]):
         filled = np.flatnonzero(counts[place])
         if len(filled):
             above = np.cumsum(counts[place][::-1])[::-1]
             fits = np.flatnonzero(above <= most)
-            cuts[place] = least + min(int(fits[0]) if len(fits) else len(above), int(filled[-1])) / BINS_PER_LOGIT
+            cuts[place] = least + min(int(fits[0]) if len(fits) else len(above), int(filled[-1]))
     return cuts
 
 
@@ -255,8 +264,8 @@ def newton_sums(rows: DataFrame, models: tuple[Logistic, Logistic], lessons: lis
             for view, model, label, total in zip(views, models, taught(views, batch.column("y").to_numpy().copy(), lessons), sums, strict=True):
                 use = np.flatnonzero(label >= 0)
                 z = view[use]
-                p = sigmoid(z @ model.weights.astype(np.float32))
-                total[:, 0] += z.T @ (label[use] - p).astype(np.float32)
+                p = sigmoid(z @ model.weights)
+                total[:, 0] += z.T @ (label[use] - p)
                 total[:, 1:] += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(s.tobytes() for s in sums)], pa.binary())], names=["sums"])
 

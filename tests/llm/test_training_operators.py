@@ -176,24 +176,25 @@ def test_cotraining_by_hand(spark):
     y, fold, teaches = (np.array([r[n] for r in rows]) for n in ("y", "fold", "teaches"))
     learn, checks, pool = (y >= 0) & teaches & (fold != 1), (y >= 0) & teaches & (fold == 1), (y < 0) & teaches
     models = [fitted(v[learn], y[learn]) for v in views]
-    label, most, least = [np.where(learn, y, -1) for _ in views], int(0.05 * pool.sum()), np.log(0.95 / 0.05)
+    label, most, least = [np.where(learn, y, -1) for _ in views], int(0.05 * pool.sum()), np.ceil(128 * np.log(0.95 / 0.05))
     for _ in range(4):
         for teacher, pupil in ((0, 1), (1, 0)):
             at = logits(models[teacher], views[teacher])
             before = label[pupil].copy()
             for value, sure in ((1, at), (0, -at)):
-                open_ = np.flatnonzero(pool & (before < 0) & (sure >= least))
-                bins = np.floor((np.minimum(sure[open_], 30) - least) * 128)
+                bins = np.floor(np.minimum(sure, 30) * 128)
+                open_ = np.flatnonzero(pool & (before < 0) & (bins >= least))
+                bins = bins[open_]
                 taken = [b for b in sorted(set(bins)) if (bins >= b).sum() <= most] or [max(bins, default=np.inf)]
                 label[pupil][open_[bins >= taken[0]]] = value
         models = [fitted(v[k >= 0], k[k >= 0], m[2], 3, like=m) for v, k, m in zip(views, label, models, strict=True)]
     ends = [fitted(logits(m, v)[checks][:, None], y[checks]) for m, v in zip(models, views, strict=True)]
     both = np.stack([logits(c, logits(m, v)[:, None]) for c, m, v in zip(ends, models, views, strict=True)], 1)
     expected = 1 / (1 + np.exp(-logits(fitted(both[checks], y[checks]), both)))
-    found = {r.doc_id: r.score for r in cotraining.score(features, model).collect()}
     assert (label[0] >= 0).sum() > learn.sum() and (label[1] >= 0).sum() > learn.sum()
-    # Features are added up in another order, so a document at the edge of a bin may fall to the other side
-    assert np.mean(np.abs(np.array([found[r.doc_id] for r in rows]) - expected) < 1e-3) > 0.99
+    found = {r.doc_id: r.score for r in cotraining.score(features, model).collect()}
+    # Sums come in another order, here and with other kernels of a processor, but labels are passed on by whole bins
+    np.testing.assert_allclose([found[r.doc_id] for r in rows], expected, atol=1e-6)
 
 
 def test_toxicity_by_hand(spark, monkeypatch):
