@@ -1,12 +1,13 @@
 """Similarity join of documents on three-word shingles, with prefix filters under several global orders of the shingles.
 
 Two sets with a similarity of LEAST hundredths share all but ``p - 1`` members of either, ``p = n - ceil(LEAST n / 100) + 1``.
-So under any order of all shingles their first ``2 p`` members share ``p + 1`` at least.
+So under any order of all shingles, of the first ``2 p`` members of a set ``p + 1`` are in the other, and ``p + 1`` of the
+smaller set's are among the other's first (see ``least_shared``).
 
 1. One pass over the texts gives sizes, 128-bit fingerprints of whole sets, and each set's first members by hash (the
    first order). Equal sets are one class from here on, so copies cost no pairs.
 2. The same argument on these members, ordered from the rarest (the second order): similar sets share one of the first
-   ``p``, and only these are looked up. Passages of many documents drop out unless they make up most of a document.
+   of these, and only they are looked up. Passages of many documents drop out unless they make up most of a document.
 3. The classes of all lists with the same centre are a group, dealt in blocks of bounded size, each with the centre. In
    a block, pairs must share enough first members under the first order, and only the texts of classes that have such a
    partner move. There pairs must share enough under each of ORDERS, and what passes all orders is verified on whole
@@ -66,9 +67,13 @@ def first_members(s: np.ndarray, order: int) -> np.ndarray:
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
-    """Members that the lists of sets of ``n`` share with those of similar sets, at least."""
-    p = n - -(-LEAST * n // 100) + 1
-    return np.minimum(n, 2 * p) - p + 1
+    """Members that the lists of sets of ``n`` share with those of any similar set, at least.
+
+    The list that ends first under the order has all of the other set's members up to there, so ``p + 1`` of it are in
+    both lists, or all that the sets share if it is whole. Its ``p`` is that of a set of LEAST hundredths of ``n`` at least.
+    """
+    exact = -(-LEAST * n // 100)
+    return np.minimum(exact, exact - -(-LEAST * exact // 100) + 2)
 
 
 def as_lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -93,13 +98,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def lookups(made: DataFrame, classes: DataFrame) -> DataFrame:
-    """(v, key, n, alone): the ``p`` rarest first members of each class that others share; ``alone`` counts unshared ones."""
+    """(v, key, n, alone): the rarest first members of each class that others share; ``alone`` counts unshared ones."""
     named = made.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"]).dropDuplicates(["fp", "doc_id"]).select("key", "n", "members")
     values = named.select("key", F.explode("members").alias("v"))
     shared = values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v")
     each = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).join(named.select("key", "n", F.size("members").alias("k")), "key")
-    p = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1
-    each = each.withColumn("alone", F.col("k") - F.size("vs")).withColumn("take", (p - F.col("alone")).cast("int")).filter("take > 0")
+    part = lambda n: -F.floor(n * -LEAST / 100)
+    exact = part(F.col("n"))
+    needed = F.least(exact, exact - part(exact) + 2)
+    each = each.withColumn("alone", F.col("k") - F.size("vs")).withColumn("take", (F.col("k") - needed + 1 - F.col("alone")).cast("int")).filter("take > 0")
     return each.select("key", "n", "alone", F.explode(F.slice("vs", 1, F.col("take"))).alias("x")).select(F.col("x.v").alias("v"), "key", "n", "alone")
 
 
