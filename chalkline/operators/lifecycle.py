@@ -1,10 +1,15 @@
 """Content versions and their upkeep: embed feed, ingestion statistics, publication, staging, scheduled scans, upserts."""
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
+from chalkline.operators.folds import ordered_fold
 from chalkline.operators.ingest import snapshot_hash
+from chalkline.operators.machines import run_machine
+from chalkline.sources.scratch import scratch_table
 
 EMBED_BATCH = 32
 
@@ -53,29 +58,91 @@ def ingestion_stats(files: DataFrame, group: str) -> DataFrame:
     )
 
 
-def version_states(events: DataFrame) -> DataFrame:
-    """(course_id, version_id, status, published_at): the last state of each version from its events (action build, ready, publish, rollback; at, seq).
+#: States of a version, and what each action does to those that it changes. A rollback is the course's to decide.
+VERSION_STATES = ("none", "building", "ready", "published", "rolled_back")
+_BUILD, _READY, _PUBLISH = {0: 1, 2: 1, 4: 1}, {1: 2}, {2: 3}
+
+
+def _possible(moves: dict[int, int], maybe: bool = False) -> dict[int, int]:
+    """An action on sets of states (as bits); with ``maybe`` it may also be refused."""
+    out = {}
+    for states in range(1 << len(VERSION_STATES)):
+        after = 0
+        for s in range(len(VERSION_STATES)):
+            if states >> s & 1:
+                after |= 1 << moves.get(s, s) | (maybe and 1 << s)
+        out[states] = after
+    return out
+
+
+#: The machine over sets of states that a version may be in, whatever the course decides on rollbacks.
+POSSIBLE = {"build": _possible(_BUILD), "ready": _possible(_READY), "publish": _possible(_PUBLISH), "rollback": _possible({3: 4}, maybe=True)}
+
 
-    Only a ready version is published and only a published one rolled back; other events count as refused.
+def version_history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(course_id, version_id, status, published_at) of every version, and (course_id, active, previous) of every course.
+
+    events: course_id, version_id, action (build, ready, publish, rollback), at, seq (which tells equal times apart). A build
+    starts a version that isn't published; what was built gets ready; a ready version is published and is the course's
+    active one then. Only the active version is rolled back, and only if another is published: the one that was published
+    last (of equal times the larger version) is active again. Refused events change nothing. ``published_at`` is the time
+    of the last accepted publication, ``previous`` what a rollback restores.
+
+    A machine over sets of states runs over all versions first, in ranges of events; what no decision of the course can
+    change is settled there. Left for a fold in the order of each course are publications and rollbacks that may be
+    accepted, and the events of versions that may have been rolled back.
     """
-    order = Window.partitionBy("course_id", "version_id").orderBy("at", "seq")
-    allowed = {"ready": ("build",), "publish": ("ready",), "rollback": ("publish",)}
-    before = F.lag("action").over(order)
-    ok = F.col("action") == "build"
-    for action, earlier in allowed.items():
-        ok = ok | ((F.col("action") == action) & before.isin(*earlier))
-    held = events.withColumn("ok", F.coalesce(ok, F.lit(False))).filter("ok")
-    name = F.create_map(*(F.lit(x) for kv in {"build": "building", "ready": "ready", "publish": "published", "rollback": "rolled_back"}.items() for x in kv))
-    last = F.max(F.struct("at", "seq", "action"))
-    states = held.groupBy("course_id", "version_id").agg(last.alias("l"), F.max(F.when(F.col("action") == "publish", F.col("at"))).alias("published_at"))
-    return states.select("course_id", "version_id", F.element_at(name, F.col("l.action")).alias("status"), "published_at")
-
-
-def active_versions(states: DataFrame) -> DataFrame:
-    """(course_id, active, previous): the published version of each course that was published last, and the one a rollback restores."""
-    order = Window.partitionBy("course_id").orderBy(F.desc("published_at"), F.desc("version_id"))
-    ranked = states.filter("status = 'published'").withColumn("n", F.row_number().over(order))
-    return ranked.groupBy("course_id").agg(F.max(F.when(F.col("n") == 1, F.col("version_id"))).alias("active"), F.max(F.when(F.col("n") == 2, F.col("version_id"))).alias("previous"))
+    known = events.filter(F.col("action").isin(*POSSIBLE)).select("course_id", "version_id", "action", "at", "seq")
+    run = run_machine(known, ["course_id", "version_id"], ["at", "seq"], "action", POSSIBLE, 1 << len(VERSION_STATES), 1)
+    run = scratch_table(run, "possible")
+    certain = F.col("state_before").isin(*(1 << s for s in range(len(VERSION_STATES))))
+    moves = F.when(certain, F.col("state_after") != F.col("state_before")).otherwise(True)
+    live = run.filter(moves & (F.col("action").isin("publish", "rollback") | ~certain))
+    number = F.log2(F.col("state_before")).cast("int")
+    live = live.select("course_id", "version_id", "action", "at", "seq", F.when(certain, number).alias("state"))
+
+    def step(course: dict, row: dict) -> list[tuple]:
+        if not course:
+            course.update(state={}, published={}, order=[], active=None)
+        v, action = row["version_id"], row["action"]
+        now = course["state"].get(v, row["state"])
+        if action == "publish" and now == 2:
+            course["state"][v], course["published"][v], course["active"] = 3, row["at"], v
+            bisect.insort(course["order"], (row["at"], v))
+        elif action == "rollback" and course["active"] == v:
+            others = [p for p in course["order"][-2:] if p[1] != v]
+            if others:
+                course["order"].remove((course["published"][v], v))
+                course["state"][v], course["active"] = 4, others[-1][1]
+        elif action in ("build", "ready") and now is not None:
+            course["state"][v] = (_BUILD if action == "build" else _READY).get(now, now)
+        return []
+
+    def finish(course: dict) -> list[tuple]:
+        if not course:
+            return []
+        last = [p for p in course["order"][-2:] if p[1] != course["active"]]
+        previous = last[-1][1] if last else None
+        return [(v, VERSION_STATES[s], course["published"].get(v), v == course["active"], v == previous) for v, s in course["state"].items()]
+
+    decided = ordered_fold(live, ["course_id"], [F.col("at"), F.col("seq")], "version_id bigint, decided string, published_at bigint, active boolean, previous boolean", dict, step, finish)
+    decided = scratch_table(decided, "decided")
+    ends = run.groupBy("course_id", "version_id").agg(F.max_by("state_after", F.struct("at", "seq")).alias("s"))
+    names = F.element_at(F.array(*map(F.lit, VERSION_STATES)), F.log2(F.col("s")).cast("int") + 1)
+    joined = ends.join(decided, ["course_id", "version_id"], "left")
+    states = joined.select("course_id", "version_id", F.coalesce("decided", names).alias("status"), "published_at").filter("status <> 'none'")
+    flagged = lambda flag: F.max(F.when(F.col(flag), F.col("version_id"))).alias(flag)
+    return states, decided.groupBy("course_id").agg(flagged("active"), flagged("previous")).filter("active IS NOT NULL")
+
+
+def version_states(events: DataFrame) -> DataFrame:
+    """(course_id, version_id, status, published_at): see ``version_history``."""
+    return version_history(events)[0]
+
+
+def active_versions(events: DataFrame) -> DataFrame:
+    """(course_id, active, previous): see ``version_history``."""
+    return version_history(events)[1]
 
 
 def publication_bindings(published: DataFrame, books: DataFrame, members: DataFrame, existing: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.time import epoch_micros, epoch_seconds
 from chalkline.operators.folds import ordered_fold
+from chalkline.operators.machines import run_machine
 
 
 def queue_depth(events: DataFrame, topic: str, processed: Column, dead: Column) -> DataFrame:
@@ -83,9 +84,16 @@ def oldest_unclaimed(queue: DataFrame, topic: str, order: list[str], limit: int)
 
 
 def trace_states(events: DataFrame, trace: str, order: list[str], state: str, terminal: tuple[str, ...] = ("completed", "failed", "cancelled", "abstained")) -> DataFrame:
-    """(trace, state, n): the first terminal state of each trace, else open, and the events up to then."""
-    first = F.min(F.when(F.col(state).isin(*terminal), F.struct(*order, F.col(state).alias("s"))))
-    return events.groupBy(trace).agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select(trace, F.coalesce("f.s", F.lit("open")).alias("state"), "n")
+    """(trace, state, n): the first terminal state of each trace, else open, and the events up to then (all of an open one).
+
+    Two aggregates, so a trace of any length is a row a task; null traces are one.
+    """
+    at = F.struct(*order)
+    ends = events.filter(F.col(state).isin(*terminal)).groupBy(trace).agg(F.min(F.struct(*order, F.col(state).alias("s"))).alias("f"))
+    ends = ends.select(F.col(trace).alias("__t"), F.struct(*(F.col("f")[o].alias(o) for o in order)).alias("__end"), F.col("f.s").alias("__s"))
+    joined = events.join(ends, F.equal_null(F.col(trace), F.col("__t")), "left")
+    counted = joined.groupBy(trace).agg(F.max("__s").alias("state"), F.count_if(F.coalesce(at <= F.col("__end"), F.lit(True))).alias("n"))
+    return counted.select(trace, F.coalesce("state", F.lit("open")).alias("state"), "n")
 
 
 def error_ratio(events: DataFrame, ts: str, failed: Column, seconds: int) -> DataFrame:
@@ -113,10 +121,19 @@ def sessions(events: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
 
 
 def invalid_transitions(events: DataFrame, key: str, order: list[str], status: str, allowed: list[tuple[str, str]]) -> DataFrame:
-    """Consecutive states of a key that the guard doesn't allow."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
+    """The events that the guard refuses, with ``from``, the state that the key was and stays in.
+
+    A key's first known status is taken; from then on an event moves it only along an ``allowed`` pair. A status that no
+    pair has is refused at any time (``from`` is null before the first).
+    """
+    names = sorted({s for pair in allowed for s in pair})
+    number = {s: i for i, s in enumerate(names, 1)}
+    moves = {s: {0: number[s]} | {number[a]: number[b] for a, b in allowed if b == s} for s in names}
+    run = run_machine(events, [key], order, status, moves, len(names) + 1)
+    before = F.when(F.col("state_before") > 0, F.element_at(F.array(*map(F.lit, names)), F.greatest("state_before", F.lit(1))))
     pair = F.concat(F.col("from"), F.lit(">"), F.col(status))
-    return events.withColumn("from", before).filter(F.col("from").isNotNull() & ~pair.isin([f"{a}>{b}" for a, b in allowed]))
+    ok = F.coalesce(pair.isin([f"{a}>{b}" for a, b in allowed]) | (F.col("from").isNull() & F.col(status).isin(names)), F.lit(False))
+    return run.withColumn("from", before).filter(~ok).drop("state_before", "state_after")
 
 
 def failure_islands(events: DataFrame, key: str, order: list[str], failed: Column, least: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
 from chalkline.functions.time import epoch_seconds
 from chalkline.operators import lifecycle as L
 from chalkline.sources.tables import table
@@ -56,11 +57,13 @@ def _events(spark, d):
 
 
 def version_states(spark, d):
+    ship(spark)
     return L.version_states(_events(spark, d))
 
 
 def active_versions(spark, d):
-    return L.active_versions(L.version_states(_events(spark, d)))
+    ship(spark)
+    return L.active_versions(_events(spark, d))
 
 
 def publication_bindings(spark, d):
@@ -120,9 +123,13 @@ def backfill_column(spark, d):
 
 
 _S = "s AS (SELECT source AS source_id, count(*) AS n, regexp_extract(source, '(\\d+)$', 1)::BIGINT AS k FROM documents GROUP BY source), m AS (SELECT k % 3 AS version_id, source_id FROM s WHERE k % 5 <> 4 UNION ALL SELECT 7, source_id FROM s WHERE k % 5 <> 4)"
-_V = """e AS (SELECT user_id % 6 AS course_id, user_id % 42 AS version_id, CASE event_type WHEN 'view' THEN 'build' WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'publish' WHEN 'error' THEN 'rollback' ELSE 'build' END AS action, floor(epoch(ts))::BIGINT AS tm, event_id FROM events),
-b AS (SELECT *, lag(action) OVER (PARTITION BY course_id, version_id ORDER BY tm, event_id) AS before FROM e), k AS (SELECT * FROM b WHERE action = 'build' OR (action = 'ready' AND before = 'build') OR (action = 'publish' AND before = 'ready') OR (action = 'rollback' AND before = 'publish')),
-v AS (SELECT course_id, version_id, CASE arg_max(action, {'a': tm, 'b': event_id}) WHEN 'build' THEN 'building' WHEN 'ready' THEN 'ready' WHEN 'publish' THEN 'published' ELSE 'rolled_back' END AS status, max(tm) FILTER (action = 'publish') AS published_at FROM k GROUP BY ALL)"""
+#: All events of a course one after the other: status and publication time of each version, and the active one.
+_V = """RECURSIVE e AS (SELECT user_id % 6 AS course_id, user_id % 42 AS v, CASE event_type WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'publish' WHEN 'error' THEN 'rollback' ELSE 'build' END AS action, floor(epoch(ts))::BIGINT AS tm, row_number() OVER (PARTITION BY user_id % 6 ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+k(course_id, n, s, p, active) AS (SELECT DISTINCT course_id, 0::BIGINT, MAP([]::BIGINT[], []::VARCHAR[]), MAP([]::BIGINT[], []::BIGINT[]), NULL::BIGINT FROM e UNION ALL
+SELECT course_id, n, CASE WHEN ok THEN map_concat(s, MAP([v], [CASE action WHEN 'build' THEN 'building' WHEN 'ready' THEN 'ready' WHEN 'publish' THEN 'published' ELSE 'rolled_back' END])) ELSE s END, CASE WHEN ok AND action = 'publish' THEN map_concat(p, MAP([v], [tm])) ELSE p END, CASE WHEN ok AND action = 'publish' THEN v WHEN ok AND action = 'rollback' THEN before.v ELSE active END
+FROM (SELECT *, CASE action WHEN 'build' THEN coalesce(s[v], '') <> 'published' WHEN 'ready' THEN s[v] = 'building' WHEN 'publish' THEN s[v] = 'ready' ELSE active = v AND before IS NOT NULL END AS ok
+FROM (SELECT e.course_id, e.n, e.v, e.action, e.tm, k.s, k.p, k.active, list_max(list_transform(list_filter(map_keys(k.s), lambda x: k.s[x] = 'published' AND x <> e.v), lambda x: {'tm': k.p[x], 'v': x})) AS before FROM k JOIN e ON e.course_id = k.course_id AND e.n = k.n + 1))),
+l AS (SELECT course_id, arg_max(s, n) AS s, arg_max(p, n) AS p, arg_max(active, n) FILTER (active IS NOT NULL) AS active FROM k GROUP BY course_id)"""
 
 QUERIES = {f.__name__: f for f in (embed_feed, version_sources, vector_upsert, drop_orphans, ingestion_stats, version_states, active_versions, publication_bindings, catalog_staging, catalog_approval, due_scans, insert_or_compare, artifacts_to_put, bulk_delete, backfill_column)}
 
@@ -133,9 +140,8 @@ SQL = {
     "drop_orphans": f"WITH {_S} SELECT doc_id AS chunk_id FROM documents JOIN s ON source = source_id WHERE k % 5 <> 4",
     "ingestion_stats": """WITH f AS (SELECT source, n_chars % 3 = 1 AS same, doc_id % 4 = 0 AS again, length(trim(text)) > 60 AS ok, ceil(length(text) / 1000)::BIGINT AS n FROM documents)
 SELECT source, count(*) AS discovered, count_if(same)::BIGINT AS unchanged, count_if(NOT same AND again)::BIGINT AS reused, count_if(NOT same AND NOT again AND ok)::BIGINT AS processed, count_if(NOT same AND NOT again AND NOT ok)::BIGINT AS quarantined, coalesce(sum(n) FILTER (NOT same AND NOT again AND ok), 0)::BIGINT AS chunks FROM f GROUP BY source""",
-    "version_states": f"WITH {_V} SELECT course_id, version_id, status, published_at FROM v",
-    "active_versions": f"""WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY published_at DESC, version_id DESC) AS n FROM v WHERE status = 'published')
-SELECT course_id, max(version_id) FILTER (n = 1) AS active, max(version_id) FILTER (n = 2) AS previous FROM r GROUP BY course_id""",
+    "version_states": f"WITH {_V} SELECT course_id, v AS version_id, s[v] AS status, p[v] AS published_at FROM (SELECT *, unnest(map_keys(s)) AS v FROM l)",
+    "active_versions": f"WITH {_V} SELECT course_id, active, list_max(list_transform(list_filter(map_keys(s), lambda x: s[x] = 'published' AND x <> active), lambda x: {{'tm': p[x], 'v': x}})).v AS previous FROM l WHERE active IS NOT NULL",
     "publication_bindings": f"""WITH {_S} SELECT DISTINCT l_partkey AS book_id, version_id, source_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN m ON version_id = o_custkey % 3
 WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 3 = version_id AND 'src' || (p_size % 20) = source_id)""",
     "catalog_staging": "SELECT source AS root, count(*) AS n_candidates, count_if(n_chars % 9 = 0)::BIGINT AS needs_review, CASE WHEN source LIKE '%1' THEN 'reused' ELSE 'new' END AS state FROM documents GROUP BY source",

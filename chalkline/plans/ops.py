@@ -74,6 +74,7 @@ _ALLOWED = [("view", "click"), ("click", "purchase"), ("view", "view"), ("signup
 
 
 def state_transition_violations(spark, d):
+    ship(spark)
     found = O.invalid_transitions(_e(spark, d), "user_id", ["ts", "event_id"], "event_type", _ALLOWED)
     return found.select("event_id", "from", "event_type")
 
@@ -185,8 +186,9 @@ j AS (SELECT o_orderkey, o_orderkey % 1000 + CASE WHEN o_custkey % 20 > 10 THEN
 s AS (SELECT o_orderkey AS job_id, CASE WHEN e.a < deadline THEN CASE WHEN e.b = 'cancel' THEN 'cancelled' ELSE 'ready' END WHEN 1100 >= deadline THEN 'failed' ELSE 'running' END AS status FROM j)
 SELECT job_id, status, status IN ('cancelled', 'failed') AS closes_event FROM s""",
     "oldest_unclaimed": "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place, event_id FROM events WHERE value >= 60 QUALIFY place <= 10",
-    "trace_states": """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN value < 5 THEN 'abstained' END AS s FROM events)
-SELECT user_id, coalesce(arg_min(s, {'a': ts, 'b': event_id}) FILTER (s IS NOT NULL), 'open') AS state, count(*) AS n FROM s GROUP BY user_id""",
+    "trace_states": """WITH s AS (SELECT user_id, {'a': ts, 'b': event_id} AS k, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN value < 5 THEN 'abstained' END AS s FROM events),
+f AS (SELECT user_id, min(k) FILTER (s IS NOT NULL) AS z, arg_min(s, k) FILTER (s IS NOT NULL) AS state FROM s GROUP BY user_id)
+SELECT user_id, coalesce(any_value(state), 'open') AS state, count(*) FILTER (z IS NULL OR k <= z) AS n FROM s JOIN f USING (user_id) GROUP BY user_id""",
     "error_ratio_10m": "SELECT (floor(epoch(ts) / 600) * 600)::BIGINT AS window_start, count(*) AS n, count_if(event_type = 'error')::BIGINT AS errors, round(avg((event_type = 'error')::INT), 6) AS ratio FROM events GROUP BY ALL",
     "histogram_quantile": f"""WITH b AS (SELECT unnest({_BOUNDS})::DOUBLE AS hi, unnest(range(6)) AS i), c AS (SELECT event_type, i, hi, count_if(value <= hi OR (i > 0 AND false))::DOUBLE AS c FROM events, b GROUP BY ALL),
 n AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT event_type, i, hi, CASE WHEN i = 0 THEN 0 ELSE c END AS c, lag(hi) OVER w AS lo, lag(CASE WHEN i = 0 THEN 0 ELSE c END) OVER w AS p FROM c WINDOW w AS (PARTITION BY event_type ORDER BY i)),
@@ -196,7 +198,10 @@ SELECT event_type, round(coalesce(q, 100.0), 6)::DOUBLE AS quantile FROM n LEFT
 s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM m)
 SELECT user_id, session, count(*) AS n_events, floor(epoch(min(ts)))::BIGINT AS first_s, floor(epoch(max(ts)))::BIGINT AS last_s FROM s GROUP BY ALL""",
     "retention_cleanup": "SELECT event_type, count(*) AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY GROUP BY event_type",
-    "state_transition_violations": f"""WITH l AS (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, event_type FROM events) SELECT event_id, f AS "from", event_type FROM l WHERE f IS NOT NULL AND f || '>' || event_type NOT IN ({_OK})""",
+    "state_transition_violations": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, event_type, NULL::VARCHAR AS was, event_type AS now, false AS refused FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.event_id, e.event_type, now, CASE WHEN now || '>' || e.event_type IN ({_OK}) THEN e.event_type ELSE now END, now || '>' || e.event_type NOT IN ({_OK}) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, was AS "from", event_type FROM f WHERE refused""",
     "failure_islands": """WITH m AS (SELECT user_id, event_type IN ('error', 'view') AS failed, sum((event_type NOT IN ('error', 'view'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events)
 SELECT user_id, island, count(*) AS failures FROM m WHERE failed GROUP BY ALL HAVING count(*) >= 3""",
     "tfidf_idf": f"WITH {_T} SELECT token, df, idf FROM idf",

@@ -133,16 +133,6 @@ def test_outline_depths_and_ranges(spark):
     assert ends[0] == 7 and ends[32] == 70 and ends[38] == 80
 
 
-def test_version_lifecycle(spark):
-    rows = [(1, 1, "build", 1, 1), (1, 1, "ready", 2, 2), (1, 1, "publish", 3, 3), (1, 2, "build", 4, 4), (1, 2, "publish", 5, 5), (1, 2, "ready", 6, 6), (1, 2, "publish", 7, 7), (1, 3, "build", 8, 8), (1, 3, "ready", 9, 9)]
-    events = spark.createDataFrame(rows, "course_id int, version_id int, action string, at long, seq long")
-    states = {r["version_id"]: r["status"] for r in lifecycle.version_states(events).collect()}
-    # publishing before it is ready is refused, and what follows that is judged by the event before
-    assert states[1] == "published" and states[3] == "ready"
-    active = lifecycle.active_versions(lifecycle.version_states(events.filter("NOT (version_id = 2 AND seq = 5)"))).first()
-    assert (active["active"], active["previous"]) == (2, 1)
-
-
 def test_embed_batches(spark):
     chunks = spark.createDataFrame([(i, 1, i, None if i % 2 else "pending") for i in range(65)] + [(100, 1, 100, "m")], "chunk_id long, source_id long, ordinal long, model string")
     sources, members = spark.createDataFrame([(1, "unit1/slides.pdf")], "source_id long, path string"), spark.createDataFrame([(1, 1)], "version_id long, source_id long")
