@@ -1,5 +1,7 @@
 """Queues, retries, rate limits and service telemetry over an event table."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,72 @@ def job_states(jobs: DataFrame, events: DataFrame, now: int) -> DataFrame:
     return joined.select("job_id", status.alias("status"), status.isin("cancelled", "failed").alias("closes_event"))
 
 
+#: Attempts after which a job isn't tried again; seconds that it has, and that one of more than ten items has.
+MAX_ATTEMPTS = 5
+DEADLINE, LONG_DEADLINE, LONG_COUNT = 300, 480, 10
+_ENDED = ("succeeded", "failed", "dead_letter", "cancelled")
+
+
+@dataclass
+class Job:
+    """What is known of a job. Times are seconds; ``deadline`` is -1 before the submission."""
+
+    status: str = "unknown"
+    attempts: int = 0
+    deadline: int = -1
+
+    def ended(self) -> bool:
+        return self.status in _ENDED
+
+    def until(self, now: int) -> list[tuple]:
+        """The change that comes with the time alone: a job that hasn't ended by its deadline fails."""
+        if self.ended() or not 0 <= self.deadline <= now:
+            return []
+        self.status = "failed"
+        return [(self.deadline, self.status, self.attempts, "deadline")]
+
+    def step(self, at: int, kind: str, retryable: bool, count: int, max_attempts: int) -> list[tuple]:
+        """The changes (at, status, attempts, reason) of an event; none for an ended job or one that wasn't submitted."""
+        out = self.until(at)
+        if self.ended() or (self.status == "unknown") != (kind == "submitted"):
+            return out
+        reason = None
+        if kind == "submitted":
+            self.status, self.deadline = "queued", at + (LONG_DEADLINE if count > LONG_COUNT else DEADLINE)
+        elif kind == "failed":
+            self.attempts += 1
+            self.status, reason = ("failed", "fatal") if not retryable else ("dead_letter", "attempts") if self.attempts >= max_attempts else ("queued", "retry")
+        elif kind in ("succeeded", "cancelled"):
+            self.status = kind
+        else:
+            return out
+        return [*out, (at, self.status, self.attempts, reason)]
+
+
+def job_outcomes(events: DataFrame, now: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """(job_id, at, status, attempts, reason): the last change of every submitted job by ``now`` (seconds).
+
+    events: job_id, event_id, at (seconds), kind (submitted, failed, succeeded, cancelled), retryable, count. A retryable
+    failure queues the job again until ``max_attempts`` failures make it a dead letter; a fatal one fails it at once, as
+    does its deadline (which comes before events of the same time). Ended jobs stay as they are; an event id counts once
+    (its first row), and events before the submission don't count.
+    """
+    known = events.filter((F.col("at") <= now) & F.col("job_id").isNotNull())
+    once = known.groupBy("job_id", "event_id").agg(F.min(F.struct("at", "kind", F.coalesce("retryable", F.lit(False)).alias("retryable"), F.coalesce("count", F.lit(0)).alias("count"))).alias("e"))
+
+    def step(state: dict, row: dict) -> list[tuple]:
+        job = state.setdefault("job", Job())
+        for change in job.step(row["at"], row["kind"], row["retryable"], row["count"], max_attempts):
+            state["last"] = change
+        return []
+
+    def finish(state: dict) -> list[tuple]:
+        last = [*([state["last"]] if "last" in state else []), *state["job"].until(now)]
+        return last[-1:]
+
+    return ordered_fold(once.select("job_id", "event_id", "e.*"), ["job_id"], [F.col("at"), F.col("event_id")], "at bigint, status string, attempts int, reason string", dict, step, finish)
+
+
 def oldest_unclaimed(queue: DataFrame, topic: str, order: list[str], limit: int) -> DataFrame:
     """(topic, place, ...): the ``limit`` oldest unclaimed events of each topic, first in first out."""
     place = F.row_number().over(Window.partitionBy(topic).orderBy(*order))

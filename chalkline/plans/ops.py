@@ -43,6 +43,19 @@ def job_deadlines(spark, d):
     return O.job_states(jobs, events, 1100)
 
 
+def _job_events(spark, d):
+    """Customers' orders as jobs: the first line item submits, the others are attempts, with a success or a cancellation among them."""
+    line, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    kind = F.when(n == 1, "submitted").when(F.col("l_quantity") < 6, "succeeded").when(F.col("l_quantity") > 49, "cancelled").otherwise("failed")
+    at = F.col("l_orderkey") % 1000 + (n - 1) * (F.col("l_partkey") % 90)
+    return line.select(F.col("l_orderkey").alias("job_id"), n.cast("long").alias("event_id"), at.alias("at"), kind.alias("kind"), (F.col("l_suppkey") % 9 != 0).alias("retryable"), (F.col("l_partkey") % 20).cast("int").alias("count"))
+
+
+def job_outcomes(spark, d):
+    ship(spark)
+    return O.job_outcomes(_job_events(spark, d), 1200, 3)
+
+
 def oldest_unclaimed(spark, d):
     queue = _e(spark, d).withColumn("claimed_at", F.when(F.col("value") < 60, F.col("ts")))
     return O.oldest_unclaimed(queue, "event_type", ["ts", "event_id"], 10).select("event_type", "place", "event_id")
@@ -167,7 +180,7 @@ cases AS (SELECT b.item_id AS qid, EXISTS (SELECT 1 FROM x WHERE x.qid = b.item_
 _BOUNDS = "[0.0, 5.0, 20.0, 50.0, 75.0, 100.0]"
 _OK = ", ".join(f"'{a}>{b}'" for a, b in _ALLOWED)
 
-QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, circuit_breaker, job_deadlines, oldest_unclaimed, trace_states, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, recall_cases, nearest_rank_p95, golden_gate, revenue_by_segment)}
+QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, circuit_breaker, job_deadlines, job_outcomes, oldest_unclaimed, trace_states, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, recall_cases, nearest_rank_p95, golden_gate, revenue_by_segment)}
 
 SQL = {
     "outbox_depth": "SELECT event_type, count_if(user_id % 3 <> 0 AND NOT (user_id % 3 = 1 AND value > 50))::BIGINT AS pending, count_if(user_id % 3 = 1 AND value > 50)::BIGINT AS dead_letter FROM events GROUP BY event_type",
@@ -185,6 +198,14 @@ SELECT route, event_id AS call_id, outcome FROM f""",
 j AS (SELECT o_orderkey, o_orderkey % 1000 + CASE WHEN o_custkey % 20 > 10 THEN 480 ELSE 300 END AS deadline, e FROM orders LEFT JOIN e ON k = o_orderkey),
 s AS (SELECT o_orderkey AS job_id, CASE WHEN e.a < deadline THEN CASE WHEN e.b = 'cancel' THEN 'cancelled' ELSE 'ready' END WHEN 1100 >= deadline THEN 'failed' ELSE 'running' END AS status FROM j)
 SELECT job_id, status, status IN ('cancelled', 'failed') AS closes_event FROM s""",
+    "job_outcomes": """WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber::BIGINT AS e, l_orderkey % 1000 + (l_linenumber - 1) * (l_partkey % 90) AS tm, CASE WHEN l_linenumber = 1 THEN 'submitted' WHEN l_quantity < 6 THEN 'succeeded' WHEN l_quantity > 49 THEN 'cancelled' ELSE 'failed' END AS kind, l_suppkey % 9 <> 0 AS retryable, l_partkey % 20 AS c FROM lineitem),
+u AS (SELECT k, e, x.* FROM (SELECT k, e, min({'tm': tm, 'kind': kind, 'retryable': retryable, 'c': c}) AS x FROM l WHERE tm <= 1200 GROUP BY k, e)), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tm, e) AS n FROM u),
+f AS (SELECT k, n, CASE WHEN kind = 'submitted' THEN tm END AS tm, CASE WHEN kind = 'submitted' THEN 'queued' ELSE 'unknown' END AS s, 0 AS a, NULL::VARCHAR AS r, CASE WHEN kind = 'submitted' THEN tm + CASE WHEN c > 10 THEN 480 ELSE 300 END END AS z FROM o WHERE n = 1
+UNION ALL SELECT k, n, CASE WHEN late THEN z WHEN act THEN tm ELSE was END, CASE WHEN late THEN 'failed' WHEN NOT act THEN s WHEN kind = 'submitted' THEN 'queued' WHEN kind <> 'failed' THEN kind WHEN NOT retryable THEN 'failed' WHEN a + 1 >= 3 THEN 'dead_letter' ELSE 'queued' END, CASE WHEN act AND NOT late AND kind = 'failed' THEN a + 1 ELSE a END,
+  CASE WHEN late THEN 'deadline' WHEN NOT act THEN r WHEN kind <> 'failed' THEN NULL WHEN NOT retryable THEN 'fatal' WHEN a + 1 >= 3 THEN 'attempts' ELSE 'retry' END, CASE WHEN act AND kind = 'submitted' THEN tm + CASE WHEN c > 10 THEN 480 ELSE 300 END ELSE z END
+FROM (SELECT o.k, o.n, o.tm, f.tm AS was, o.kind, o.retryable, o.c, s, a, r, z, s = 'queued' AND z <= o.tm AS late, (s = 'unknown' AND o.kind = 'submitted') OR (s = 'queued' AND o.kind <> 'submitted') AS act FROM f JOIN o ON o.k = f.k AND o.n = f.n + 1)),
+x AS (SELECT k, arg_max({'tm': tm, 's': s, 'a': a, 'r': r, 'z': z}, n) AS x FROM f GROUP BY k)
+SELECT k AS job_id, CASE WHEN x.s = 'queued' AND x.z <= 1200 THEN x.z ELSE x.tm END AS at, CASE WHEN x.s = 'queued' AND x.z <= 1200 THEN 'failed' ELSE x.s END AS status, x.a AS attempts, CASE WHEN x.s = 'queued' AND x.z <= 1200 THEN 'deadline' ELSE x.r END AS reason FROM x WHERE x.s <> 'unknown'""",
     "oldest_unclaimed": "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place, event_id FROM events WHERE value >= 60 QUALIFY place <= 10",
     "trace_states": """WITH s AS (SELECT user_id, {'a': ts, 'b': event_id} AS k, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN value < 5 THEN 'abstained' END AS s FROM events),
 f AS (SELECT user_id, min(k) FILTER (s IS NOT NULL) AS z, arg_min(s, k) FILTER (s IS NOT NULL) AS state FROM s GROUP BY user_id)
