@@ -1,6 +1,7 @@
 """Paragraphs of office documents: the XML parts of PPTX and DOCX archives, a file a row."""
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,34 +16,41 @@ SLIDE, BODY = r"^ppt/slides/slide(\d+)\.xml$", "word/document.xml"
 PART_BYTES = 64 << 20
 
 
-def _read(archive: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
-    """An XML part; none that is larger than PART_BYTES or declares entities."""
-    if archive.getinfo(name).file_size > PART_BYTES:
-        return None
+class Refused(ValueError):
+    """A part that isn't taken apart."""
+
+
+def _read(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    """An XML part; one that is larger than PART_BYTES or declares entities is refused."""
+    if (size := archive.getinfo(name).file_size) > PART_BYTES:
+        raise Refused(f"{name} has {size} bytes, more than {PART_BYTES}")
     data = archive.read(name)
-    return None if b"<!DOCTYPE" in data or b"<!ENTITY" in data else ElementTree.fromstring(data)
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+        raise Refused(f"{name} declares entities")
+    return ElementTree.fromstring(data)
 
 
-def _paragraphs(content: bytes) -> list[tuple[int, str, str]]:
-    """(part, style, text) of all paragraphs with text; the part is the slide's number, 0 in documents."""
-    found = []
+def paragraphs(content: bytes, slides: bool | None = None) -> Iterator[tuple[int, int, str, str]]:
+    """(slide, number, style, text) of all paragraphs, numbered from 1 in their part; the slide is 0 in documents.
+
+    ``slides`` says which of both an archive must be, else it may be either.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = pd.Series(archive.namelist(), dtype=str)
-        slides = names.str.extract(SLIDE)[0].dropna().astype(int)
-        for at, number in slides.sort_values().items():
-            root = _read(archive, names[at])
-            for p in () if root is None else root.iter(f"{DRAWING}p"):
-                found.append((number, "", "".join(t.text or "" for t in p.iter(f"{DRAWING}t"))))
-        if BODY in archive.namelist():
-            root = _read(archive, BODY)
-            for p in () if root is None else root.iter(f"{WORDS}p"):
+        numbers = sorted(int(m[1]) for name in archive.namelist() if (m := re.match(SLIDE, name)))
+        if slides and not numbers:
+            raise Refused("no slides")
+        if slides is not False:
+            for number in numbers:
+                for i, p in enumerate(_read(archive, f"ppt/slides/slide{number}.xml").iter(f"{DRAWING}p"), 1):
+                    yield number, i, "", "".join(t.text or "" for t in p.iter(f"{DRAWING}t"))
+        if slides is False or slides is None and BODY in archive.namelist():
+            for i, p in enumerate(_read(archive, BODY).iter(f"{WORDS}p"), 1):
                 style = p.find(f"{WORDS}pPr/{WORDS}pStyle")
-                found.append((0, "" if style is None else style.get(f"{WORDS}val", ""), "".join(t.text or "" for t in p.iter(f"{WORDS}t"))))
-    return [x for x in found if x[2].strip()]
+                yield 0, i, "" if style is None else style.get(f"{WORDS}val", ""), "".join(t.text or "" for t in p.iter(f"{WORDS}t"))
 
 
 def office_paragraphs(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, ordinal, line, anchor_type, anchor_value, chunk_class) of PPTX and DOCX files; a broken one yields a row with a null line.
+    """(key, ordinal, line, anchor_type, anchor_value, chunk_class) of PPTX and DOCX files; a broken or refused one yields a row with a null line.
 
     Slides are anchors, and their paragraphs are exercise questions if they ask; in documents headings and titles are anchors.
     """
@@ -52,8 +60,8 @@ def office_paragraphs(files: DataFrame, key: str = "path", content: str = "conte
             rows = []
             for name, data in zip(batch[key], batch[content], strict=True):
                 try:
-                    rows += [(name, i, *p) for i, p in enumerate(_paragraphs(data))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    rows += [(name, i, p[0], *p[2:]) for i, p in enumerate(x for x in paragraphs(data) if x[3].strip())]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, Refused):
                     rows.append((name, 0, 0, "", None))
             yield pd.DataFrame(rows, columns=[key, "ordinal", "part", "style", "line"])
 

@@ -4,6 +4,9 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chalkline.sources.artifacts import write_new
 
 
 def checked_root(path: str, below: str | None = None) -> str:
@@ -22,5 +25,9 @@ def checked_root(path: str, below: str | None = None) -> str:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """JSON lines at a path that doesn't exist yet; an existing report is an error, not overwritten."""
-    rows.write.mode("errorifexists").json(path)
+    """JSON lines in one file that its owner alone may read, at a path that doesn't exist yet; else an error.
+
+    For reports, which are small: rows come to the driver a partition at a time.
+    """
+    lines = rows.select(F.to_json(F.struct("*")).alias("line"))
+    write_new(path, (r["line"] + "\n" for r in lines.toLocalIterator()))

@@ -5,6 +5,7 @@ stage that reads a scratch table never goes back to the stages before it.
 """
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/chalkline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors open by its path; an error where the shared folder isn't mounted."""
+    path = scratch_path(spark, name)
+    if "://" in path and not path.startswith("file://"):
+        raise RuntimeError("spark.checkpoint.dir must be a mounted folder for this")
+    path = path.removeprefix("file://")
+    os.makedirs(path)
+    return path
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once as Parquet and read back."""
     spark = df.sparkSession
