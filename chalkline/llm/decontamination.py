@@ -179,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     ``prefix`` is put before these three names, for tables that have such columns.
     """
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    size, words = own.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(32)), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(ITEM_WORD))), F.lit(0))).first()
+    size, words = own.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item_id"), F.lit(0)) + F.lit(32)), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(ITEM_WORD))), F.lit(0))).first()
     if size <= broadcast_bytes and words <= MAX_WORDS:
         return _by_broadcast(docs, [tuple(r) for r in own.collect()], keep, text, prefix)
     return _by_join(docs, own, keep, text, prefix)
@@ -259,9 +259,11 @@ def _by_join(docs: DataFrame, own: DataFrame, keep: list[str], text: str, prefix
             yield pa.RecordBatch.from_pylist([dict(zip(("digest", "n", "at", "span"), r, strict=True)) for r in rows], schema=pa.schema([("digest", pa.string()), ("n", pa.int32()), ("at", pa.int64()), ("span", pa.binary())]))
 
     spans = scratch_table(candidates.mapInArrow(extend, "digest string, n int, at long, span binary"), "spans")
-    hits = spans.join(items.groupBy("span").agg(F.collect_set("item_id").alias("ids")), "span")
+    hits = scratch_table(spans.join(items.select("span").distinct(), "span"), "hits")
     words = hits.select("digest", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy("digest").agg(F.count("word").alias("__hit"))
-    named = hits.select("digest", F.explode("ids").alias("id")).distinct().groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("__listed"))
+    # Ids come to the spans of each text once, not to every place of them
+    named = hits.select("digest", "span").distinct().join(items.filter("item_id IS NOT NULL").select("span", "item_id"), "span")
+    named = named.select("digest", F.col("item_id").alias("id")).distinct().groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("__listed"))
     counted = _by_broadcast(docs.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))), [], [*keep, "__digest"], text, "__")
     found = words.join(named, "digest", "left").withColumnRenamed("digest", "__digest")
     joined = counted.drop("__n_hit", "__items").join(found, "__digest", "left")
