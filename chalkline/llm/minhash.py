@@ -15,9 +15,10 @@ A document's set holds its distinct five-word shingles; its sketch the K smalles
    together in blocks of bounded size, each with the centre. A class is compared with the centre first: the sketch
    of their union estimates the similarity and filters, and whole sets verify. Blocks that are left with several
    components are counted out exactly on whole sets.
-4. Links are contracted to components. Groups of several blocks that still hold several components are compared block
-   by block: by their sketches, and only the texts of classes that have a candidate in another component move and are
-   counted out exactly. No pair is moved and nothing is capped, so no link between components is lost.
+4. Links are contracted to components. Groups of several blocks that still hold several components are dealt anew:
+   classes of the largest component meet those of the others, and these each other, first by their sketches, and only
+   the texts of classes that have a candidate in another component move and are counted out exactly. No pair is moved
+   and nothing is capped, so no link between components is lost.
 """
 
 import hashlib
@@ -267,37 +268,59 @@ def links_within_blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("centre", "block").applyInArrow(run, "a long, b long")
 
 
+def meeting_blocks(wide: DataFrame, most_classes: int, most_values: int) -> DataFrame:
+    """The classes of groups in several components, for each pair (i, j) of blocks that meets.
+
+    wide: (centre, key, n, rep, fp, component). Blocks hold about ``most_classes`` classes and ``most_values`` hashes. Those
+    below ``own`` hold the group's largest component and don't meet each other, so a class of it is a row for each block
+    of the others, and of a group with few others the rows are in proportion to the group.
+    """
+    by = wide.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    best = by.groupBy("centre").agg(F.max_by("component", F.struct("k", F.negative("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    split = by.join(best.select("centre", "main"), "centre").groupBy("centre", "main").agg(
+        *(F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("k"))) / most_classes), F.ceil(F.sum(F.when(side, F.col("total"))) / most_values)).cast("int").alias(c) for c, side in (("own", F.col("component") == F.col("main")), ("others", F.col("component") != F.col("main"))))
+    )
+    rows = wide.join(split, "centre")
+    is_main, of = F.col("component") == F.col("main"), F.xxhash64("key")
+    block = F.when(is_main, F.pmod(of, F.col("own"))).otherwise(F.col("own") + F.pmod(of, F.col("others"))).cast("int")
+    rows = rows.withColumn("block", block)
+    met = F.when(is_main, F.sequence(F.col("own"), F.col("own") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") + F.col("others") - 1))
+    each = rows.withColumn("other", F.explode(met))
+    return each.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "n", "rep", "fp", "component")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    block = table.column("block").to_numpy()
+    return np.flatnonzero(block == table.column("i")[0].as_py()), np.flatnonzero(block == table.column("j")[0].as_py())
+
+
 def links_across_blocks(rows: DataFrame) -> DataFrame:
-    """(a, b): links of components between the blocks of groups that have several blocks and components."""
+    """(a, b): links of components between the blocks that meet."""
 
     def run(table: pa.Table) -> pa.Table:
         sets, use = _sets_of(table)
-        sets, component, block = [sets[i] for i in use], table.column("component").to_numpy()[use], table.column("block").to_numpy()[use]
+        sets, component = [sets[i] for i in use], table.column("component").to_numpy()[use]
         known = Components()
         if len(sets):
-            block_links(sets, component, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), known)
+            block_links(sets, component, *_sides(table.take(pa.array(use))), known)
         return _link_table(known)
 
     return rows.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def candidates_across_blocks(rows: DataFrame) -> DataFrame:
-    """The rows (centre, key, n, block, blocks, component, sketch) that have a candidate in another block, for each pair (i, j) of blocks."""
+    """The rows of ``meeting_blocks`` (with their sketch) that have a candidate in another component."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists, block = table.column("sketch").combine_chunks(), table.column("block").to_numpy()
+        lists = table.column("sketch").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        found = np.zeros(0, np.int64)
-        if block.min() < block.max():
-            left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-            maybe = sketch_candidates([flat[ends[i] : ends[i + 1]] for i in range(len(block))], table.column("n").to_numpy(), table.column("component").to_numpy(), left, right)
-            found = np.concatenate((left[maybe.any(axis=1)], right[maybe.any(axis=0)]))
-        return table.select(["centre", "i", "j", "key", "block", "component", "rep", "fp"]).take(pa.array(found))
+        left, right = _sides(table)
+        maybe = sketch_candidates([flat[ends[i] : ends[i + 1]] for i in range(table.num_rows)], table.column("n").to_numpy(), table.column("component").to_numpy(), left, right)
+        found = np.unique(np.concatenate((left[maybe.any(axis=1)], right[maybe.any(axis=0)])))
+        return table.select(["centre", "i", "j", "key", "block", "component", "rep", "fp"]).take(pa.array(found, pa.int64()))
 
-    each = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return each.groupBy("centre", "i", "j").applyInArrow(run, "centre long, i int, j int, key long, block int, component long, rep long, fp binary")
+    return rows.groupBy("centre", "i", "j").applyInArrow(run, "centre long, i int, j int, key long, block int, component long, rep long, fp binary")
 
 
 def repeated_id_links(made: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,13 +346,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = scratch_table(memberships(lists).join(classes, "key"), "members")
     links = scratch_table(links_within_blocks(named_texts(docs, members)).union(repeated_id_links(made, classes)), "links")
     labels = connected_components(links)
-    # Groups of several blocks whose blocks are in different components yet
-    wide = members.filter("blocks > 1").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    wide = scratch_table(wide, "wide")
-    mixed = wide.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("centre")
-    if not mixed.isEmpty():
+    # Groups of several blocks that are in several components yet
+    wide = members.filter("blocks > 1").drop("block", "blocks").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    meet = scratch_table(meeting_blocks(wide.withColumn("component", F.coalesce("component", "rep")), BLOCK_CLASSES, BLOCK_VALUES), "meeting")
+    if not meet.isEmpty():
         own = made.select(F.col("doc_id").alias("rep"), "fp", "sketch").dropDuplicates(["rep", "fp"])
-        near = scratch_table(candidates_across_blocks(wide.join(mixed, "centre").join(own, ["rep", "fp"])), "candidates")
+        near = scratch_table(candidates_across_blocks(meet.join(own, ["rep", "fp"])), "candidates")
         more = scratch_table(links_across_blocks(named_texts(docs, near)), "links")
         labels = connected_components(links.union(more))
     groups = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from chalkline.llm import columnar as C
 from chalkline.llm.frames import pick
-from chalkline.llm.minhash import Components, class_table, common_values, fingerprint, named_texts, repeated_id_links
+from chalkline.llm.minhash import Components, class_table, common_values, fingerprint, meeting_blocks, named_texts, repeated_id_links
 from chalkline.operators.components import connected_components
 from chalkline.sources.scratch import scratch_table
 
@@ -189,25 +189,6 @@ def links_within_blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("centre", "block").applyInArrow(run, "a long, b long")
 
 
-def meeting_blocks(wide: DataFrame) -> DataFrame:
-    """The classes of groups in several components, for each pair (i, j) of blocks that meets.
-
-    wide: (centre, key, n, rep, fp, component). Blocks below ``own`` hold the largest component and don't meet each other.
-    """
-    by = wide.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
-    best = by.groupBy("centre").agg(F.max_by("component", F.struct("k", F.negative("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = by.join(best.select("centre", "main"), "centre").groupBy("centre", "main").agg(
-        *(F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("k"))) / BLOCK_CLASSES), F.ceil(F.sum(F.when(side, F.col("total"))) / BLOCK_VALUES)).cast("int").alias(c) for c, side in (("own", F.col("component") == F.col("main")), ("others", F.col("component") != F.col("main"))))
-    )
-    rows = wide.join(split, "centre")
-    is_main, of = F.col("component") == F.col("main"), F.xxhash64("key")
-    block = F.when(is_main, F.pmod(of, F.col("own"))).otherwise(F.col("own") + F.pmod(of, F.col("others"))).cast("int")
-    rows = rows.withColumn("block", block)
-    met = F.when(is_main, F.sequence(F.col("own"), F.col("own") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") + F.col("others") - 1))
-    each = rows.withColumn("other", F.explode(met))
-    return each.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "n", "rep", "fp", "component")
-
-
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     block = table.column("block").to_numpy()
     return np.flatnonzero(block == table.column("i")[0].as_py()), np.flatnonzero(block == table.column("j")[0].as_py())
@@ -268,7 +249,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     links = scratch_table(links_within_blocks(named_texts(docs, near)).union(repeated_id_links(made, classes)), "links")
     labels = connected_components(links)
     wide = members.filter("blocks > 1").drop("block", "blocks").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    meet = scratch_table(meeting_blocks(wide.withColumn("component", F.coalesce("component", "rep"))), "meeting")
+    meet = scratch_table(meeting_blocks(wide.withColumn("component", F.coalesce("component", "rep")), BLOCK_CLASSES, BLOCK_VALUES), "meeting")
     if not meet.isEmpty():
         near = scratch_table(with_candidates(meet.join(first, ["rep", "fp"])), "candidates")
         more = scratch_table(links_across_blocks(named_texts(docs, near)), "links")
