@@ -31,15 +31,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id (there are no ties of different ids).
 
-    Of repeated rows with one id and one text a single row stays; rows of one id with different texts are one document,
+    Of repeated rows with one id and one text a single row stays, the smallest by its other columns (maps aside, which
+    have no order); rows of one id with different texts are one document,
     so they stay or go together. Rows with a null id can't be named and stay.
     """
     ship(spark)
     found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("gone"), F.count(F.lit(1)).alias("n"))
     marked = scratch_table(found.filter("doc_id IS NOT NULL AND (gone OR n > 1)").select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone")), "gone")
     rest = docs.join(marked, docs["doc_id"] == marked["__id"], "left").filter("__gone IS NULL OR NOT __gone")
-    once = rest.filter("__gone IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return rest.filter("__gone IS NULL").unionByName(once).select(*docs.columns)
+    names = [f"`{c}`" for c in docs.columns]
+    order = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    once = rest.filter("__gone IS NOT NULL").groupBy("doc_id", "text").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("__row")).select("__row.*")
+    return rest.filter("__gone IS NULL").select(*names).unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
