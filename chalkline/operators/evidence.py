@@ -27,37 +27,48 @@ def quotable(sentence: Column) -> Column:
     return F.when(~marked, sentence).when(F.size(F.regexp_extract_all(rest, F.lit(LATIN_WORD), F.lit(1))) >= 3, rest).otherwise("")
 
 
+#: A word of ``words`` joined by single spaces, and one that is all capitals, of two to five characters.
+_WORD, _CAPITALS = r"(?<![^ ])[^ ]+", r"(?<![^ ])(?=[A-Z'’]{2,5}(?![^ ]))[A-Z]+(?:['’][A-Z]+)?(?![^ ])"
+
+
 def readable(x: Column) -> Column:
     """Letters enough, no marks, labels or codes, and no sign of broken lines: repeats, mixed case, scattered capitals.
 
-    ``x`` is a sentence with its words: (text, words, low).
+    ``x`` is a sentence with its words, joined by single spaces so that each sign is one pattern, and counts: (text, words,
+    n, capitals, letters).
     """
-    sentence, words, low, n = x["text"], x["words"], x["low"], F.size(x["words"])
-    repeated = lambda k: F.exists(F.sequence(F.lit(1), F.greatest(n - 2 * k + 1, F.lit(1))), lambda i: (i + 2 * k - 1 <= n) & (F.slice(low, i, F.lit(k)) == F.slice(low, i + k, F.lit(k))))
-    capitals = F.size(F.filter(words, lambda w: (F.upper(w) == w) & F.length(w).between(2, 5)))
+    sentence, words, n, capitals, letters = (x[c] for c in ("text", "words", "n", "capitals", "letters"))
     share = capitals / n
     scattered = ((n >= 6) & (capitals >= 3) & (share >= 0.3)) | ((n <= 3) & (capitals >= 2) & (share >= 0.5))
-    broken = F.rlike(F.element_at(words, 1), F.lit("^[a-z]")) & (F.size(F.filter(F.slice(words, 2, F.greatest(n, F.lit(1))), lambda w: F.rlike(w, F.lit("^[A-Z]")))) >= 2)
-    latin = V.has(sentence, r"^\p{Ll}") | repeated(2) | repeated(3) | F.exists(words, lambda w: F.rlike(w, F.lit("[a-z]{4,}[A-Z]"))) | scattered | broken
-    letters = F.regexp_count(sentence, F.lit(r"\p{L}"))
+    repeated = V.has(words, r"(?i)(?<![^ ])([^ ]+ [^ ]+) \1(?![^ ])", r"(?i)(?<![^ ])([^ ]+ [^ ]+ [^ ]+) \1(?![^ ])")
+    broken = V.has(words, "^[a-z]") & (F.regexp_count(words, F.lit(" [A-Z]")) >= 2)
+    latin = V.has(sentence, r"^\p{Ll}") | repeated | V.has(words, "[a-z]{4,}[A-Z]") | scattered | broken
     return (sentence != "") & ~V.has(sentence, OCR_MARKS, ACTIVITY_LABEL, LEADING_CODE) & (letters >= 3) & (letters / F.length(sentence) >= 0.45) & F.when(n > 0, ~latin).otherwise(True)
 
 
-def _sentences(text: Column) -> Column:
+def sentences(text: Column) -> Column:
     """Sentences as (raw, text: what of it may be quoted, ok: is that readable?). Each step is an array of its own, so nothing is computed twice."""
     raw = F.transform(F.regexp_extract_all(X.compact(text), F.lit(SENTENCE), F.lit(1)), lambda s: F.trim(s))
     quoted = F.transform(raw, lambda s: F.struct(s.alias("raw"), quotable(s).alias("text")))
-    worded = F.transform(quoted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), F.regexp_extract_all(s["text"], F.lit(LATIN_WORD), F.lit(1)).alias("words")))
-    lowered = F.transform(worded, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), s["words"].alias("words"), F.transform(s["words"], F.lower).alias("low")))
-    return F.transform(lowered, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), readable(s).alias("ok")))
+    worded = F.transform(quoted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), F.array_join(F.regexp_extract_all(s["text"], F.lit(LATIN_WORD), F.lit(1)), " ").alias("words")))
+    letters = lambda s: F.length(F.regexp_replace(s["text"], r"\P{L}+", ""))
+    counted = F.transform(worded, lambda s: F.struct(*(s[c].alias(c) for c in ("raw", "text", "words")), F.regexp_count(s["words"], F.lit(_WORD)).alias("n"), F.regexp_count(s["words"], F.lit(_CAPITALS)).alias("capitals"), letters(s).alias("letters")))
+    return F.transform(counted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), readable(s).alias("ok")))
+
+
+def displayed(docs: DataFrame, text: Column, excerpt: str = "excerpt", fragments: str = "fragments") -> DataFrame:
+    """``docs`` with the excerpt and the fragments of a text, whose sentences are found once."""
+    made = docs.withColumns({"__text": text, "__sentences": sentences(text)})
+    shown = {excerpt: display_excerpt(F.col("__text"), found=F.col("__sentences")), fragments: display_fragments(F.col("__text"), found=F.col("__sentences"))}
+    return made.withColumns(shown).drop("__text", "__sentences")
 
 
-def display_excerpt(text: Column, limit: int = EXCERPT_CHARS) -> Column:
+def display_excerpt(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None) -> Column:
     """The longest run of consecutive readable sentences (the first of the longest), cut at a word; '' where several marks make the order doubtful."""
     state = F.struct(F.lit("").alias("best"), F.lit("").alias("run"), F.lit(0).alias("n"))
     longer = lambda s: F.when(F.length(s["run"]) > F.length(s["best"]), s["run"]).otherwise(s["best"])
     step = lambda s, x: F.when(x["ok"], F.struct(s["best"].alias("best"), F.concat_ws(" ", F.nullif(s["run"], F.lit("")), x["text"]).alias("run"), (s["n"] + 1).alias("n"))).otherwise(F.struct(longer(s).alias("best"), F.lit("").alias("run"), s["n"].alias("n")))
-    found = F.aggregate(_sentences(text), state, step, lambda s: F.struct(longer(s).alias("text"), s["n"].alias("n")))
+    found = F.aggregate(sentences(text) if found is None else found, state, step, lambda s: F.struct(longer(s).alias("text"), s["n"].alias("n")))
     doubtful = F.regexp_count(X.compact(text), F.lit(OCR_MARKS)) >= 2
 
     def cut(f: Column) -> Column:
@@ -69,7 +80,7 @@ def display_excerpt(text: Column, limit: int = EXCERPT_CHARS) -> Column:
     return F.element_at(F.transform(F.array(found), cut), 1)
 
 
-def display_fragments(text: Column, limit: int = EXCERPT_CHARS) -> Column:
+def display_fragments(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None) -> Column:
     """Up to MAX_FRAGMENTS distinct readable sentences of a text with several marks, skipping those that would exceed the limit in total."""
     state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("total"), F.lit(False).alias("label"))
 
@@ -79,7 +90,7 @@ def display_fragments(text: Column, limit: int = EXCERPT_CHARS) -> Column:
         take = ~unit & fits
         return F.struct(F.when(take, F.concat(s["kept"], F.array(c))).otherwise(s["kept"]).alias("kept"), (s["total"] + F.when(take, F.length(c)).otherwise(0)).alias("total"), unit.alias("label"))
 
-    found = F.aggregate(_sentences(text), state, step, lambda s: s["kept"])
+    found = F.aggregate(sentences(text) if found is None else found, state, step, lambda s: s["kept"])
     return F.when(F.regexp_count(X.compact(text), F.lit(OCR_MARKS)) >= 2, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -24,6 +24,8 @@ HINTS_ZH = {
 }
 #: Classes and words of a block, about, and words that are looked up by broadcast.
 BLOCK_CLASSES, BLOCK_WORDS, HOT_WORDS = 1024, 1 << 20, 1000
+#: Classes of a word's list of which pairs are looked at, at most.
+LIST = 128
 
 
 def set_progress(exercises: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -136,13 +138,15 @@ def similar_objectives(objectives: DataFrame, least: float = 0.72, common: int =
     """Links (a, b, jaccard) of objectives (id, words) with enough words in common and overlap of ``least``.
 
     Objectives of equal word sets are one class, named by its smallest id: a row links each other id with that one.
-    Of the classes there are as many links as tell which of them are connected, each counted on whole sets; a pair
-    without a row of its own is joined by others.
+    Of the classes there are at least as many links as tell which of them are connected, each counted on whole sets; a
+    pair without a row of its own is joined by others.
 
     Prefix filter: with words in order of rarity, such a pair shares one of the first (1 - least) * n + 1 words of
-    each, and their sizes are in the same or adjacent bands. The classes of all lists of (word, band) with the same
-    smallest class are a group and come together in blocks of bounded size, with that class in each. Groups of
-    several blocks that this leaves in several parts are counted out block by block. Words are compared by 64-bit hashes.
+    each, and their sizes are in the same or adjacent bands. Positional filter: behind the first word in common there
+    must be room for the others. Lists of a word with LIST classes or fewer give the pairs that pass both. Of longer
+    lists no pairs are made: the classes of all such lists of (word, band) with the same smallest class are a group and
+    come together in blocks of bounded size, with that class in each; groups of several blocks that this leaves in
+    several parts are counted out block by block. Words are compared by 64-bit hashes.
     """
     made = objectives.select("id", F.sort_array(F.array_distinct("words")).alias("words")).filter(F.size("words") >= common)
     made = scratch_table(made.select("id", F.unhex(F.md5(F.array_join("words", " "))).alias("fp"), F.transform("words", lambda w: F.xxhash64(w)).alias("vs")), "word-sets")
@@ -156,15 +160,41 @@ def similar_objectives(objectives: DataFrame, least: float = 0.72, common: int =
     placed = marked.filter("df IS NOT NULL").select("key", "n", "v", "df").union(rare.select("key", "n", "v", "df"))
     ordered = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ws"))
     ordered = scratch_table(ordered.withColumn("n", F.size("ws")).withColumn("take", (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")), "ordered-words")
+    sets = ordered.select("key", "take", F.transform("ws", lambda x: x["v"]).alias("vs"))
+    places = ordered.select("key", "n", F.posexplode(F.slice("ws", 1, F.col("take"))).alias("pos", "x")).filter("x.df > 1").select("key", "n", "pos", F.col("x.v").alias("v"))
+    lengths = places.groupBy("v").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    places = scratch_table(places.join(lengths, "v"), "word-places")
+    short = _listed_links(places.filter(F.col("length") <= LIST), sets, least, common)
+    long = places.filter(F.col("length") > LIST)
+    links = short if long.isEmpty() else short.union(_grouped_links(long, sets, least, common)).distinct()
+    names = classes.select("key", "rep")
+    named = links.join(names.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
+    between = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    copies = made.join(classes.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return between.union(copies)
+
+
+def _listed_links(places: DataFrame, sets: DataFrame, least: float, common: int) -> DataFrame:
+    """(a, b, jaccard): the pairs of short lists (v, key, n, pos) that have room for their overlap, counted on whole sets."""
+    x, y = (places.select("v", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos"))) for k in "xy")
+    needed = F.lit(least / (1 + least)) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * least - 1e-9
+    pairs = x.join(y, "v").filter((F.col("key_x") < F.col("key_y")) & sized & (room >= needed)).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+    found = pairs.join(sets.select(F.col("key").alias("a"), F.col("vs").alias("xs")), "a").join(sets.select(F.col("key").alias("b"), F.col("vs").alias("ys")), "b")
+    found = found.withColumn("both", F.size(F.array_intersect("xs", "ys"))).select("a", "b", "both", (F.size("xs") + F.size("ys") - F.col("both")).alias("all"))
+    return found.withColumn("jaccard", F.col("both") / F.col("all")).filter((F.col("both") >= common) & (F.col("jaccard") >= least)).select("a", "b", "jaccard")
+
+
+def _grouped_links(places: DataFrame, sets: DataFrame, least: float, common: int) -> DataFrame:
+    """(a, b, jaccard): links of the classes of long lists, as few as tell which are connected."""
     band = F.floor(F.log("n") / F.log(F.lit(1 / least))).cast("int")
-    lists = ordered.select("key", "n", F.explode(F.slice("ws", 1, F.col("take"))).alias("x"), band.alias("band")).filter("x.df > 1")
-    lists = lists.select("key", "n", F.col("x.v").alias("v"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    lists = places.select("key", "n", "v", F.explode(F.array(band, band + 1)).alias("band"))
     centres = lists.groupBy("v", "band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     members = scratch_table(lists.join(centres, ["v", "band"]).select("centre", "key", "n").distinct(), "word-members")
     sizes = members.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "centre").withColumn("block", F.explode(F.when(F.col("key") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    sets = ordered.select("key", "take", F.transform("ws", lambda x: x["v"]).alias("vs"))
 
     def run(table: pa.Table) -> pa.Table:
         return _block_links(table, least, common)
@@ -175,12 +205,7 @@ def similar_objectives(objectives: DataFrame, least: float = 0.72, common: int =
     wide = dealt.filter("blocks > 1").join(mixed, "centre").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
     wide = wide.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).dropDuplicates(["centre", "i", "j", "key"])
     across = wide.join(sets, "key").groupBy("centre", "i", "j").applyInArrow(run, schema)
-    links = first.union(across).filter("a IS NOT NULL").select("a", "b", "jaccard").distinct()
-    names = classes.select("key", "rep")
-    named = links.join(names.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
-    between = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = made.join(classes.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return between.union(copies)
+    return first.union(across).filter("a IS NOT NULL").select("a", "b", "jaccard").distinct()
 
 
 def _block_links(table: pa.Table, least: float, common: int) -> pa.Table:

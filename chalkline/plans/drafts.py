@@ -6,7 +6,7 @@ from chalkline.functions import text as X
 from chalkline.operators import evidence as E
 from chalkline.operators import objectives as J
 from chalkline.operators import validation as V
-from chalkline.sources.tables import table
+from chalkline.sources.tables import spread, table
 
 # (what the prompt says after the document's text, kind, answer, what the source says after it, what comes out)
 CASES = [
@@ -45,7 +45,7 @@ def _case(field):
 
 
 def _drafts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     body = F.coalesce("text", F.lit(""))
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(body, _case(3)).alias("text"), F.lit("小学/英语/x.pdf").alias("path"))
     answer, n = _case(2), F.col("doc_id") % 11
@@ -105,9 +105,10 @@ def cloze_prompts(spark, d):
 
 
 def display_excerpts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     marked = F.concat(F.lit("Unit 3. Here "), "text", F.when(F.col("doc_id") % 3 == 0, " ©© Here follows one more line that is long enough to show. [_]]").otherwise(""))
-    return docs.select("doc_id", F.md5(E.display_excerpt(marked)).alias("excerpt_md5"), F.size(E.display_fragments(marked)).cast("long").alias("n_fragments"))
+    shown = E.displayed(docs, marked)
+    return shown.select("doc_id", F.md5("excerpt").alias("excerpt_md5"), F.size("fragments").cast("long").alias("n_fragments"))
 
 
 def quantity_items(spark, d):

@@ -1,13 +1,12 @@
 """Telemetry and queue queries over ``events``, and the evaluation of retrieval."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
 from chalkline.functions.time import epoch_seconds
 from chalkline.operators import evaluation as V
 from chalkline.operators import ops as O
-from chalkline.sources.tables import table
+from chalkline.sources.tables import spread, table
 
 
 def _e(spark, d):
@@ -101,7 +100,7 @@ def _words(column):
 
 
 def _term_counts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return V.term_counts(docs.select("doc_id", F.explode(_words("text")).alias("token")), "doc_id")
 
 
@@ -133,10 +132,9 @@ _PASSAGE = 8
 def _expected(spark, d):
     """Documents that hold the first eight words of an item one after the other, as benchmark passages planted in a corpus do."""
     items = _bench(spark, d).select("qid", F.array_join(F.slice(_words("text"), 1, _PASSAGE), " ").alias("gram"), F.size(_words("text")).alias("n")).filter(F.col("n") >= _PASSAGE).drop("n")
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(_words("text")).alias("pos", "word"))
-    next_ = [F.lead("word", k).over(Window.partitionBy("doc_id").orderBy("pos")) for k in range(1, _PASSAGE)]
-    grams = words.withColumns({f"w{k}": w for k, w in enumerate(next_)}).filter(f"w{_PASSAGE - 2} IS NOT NULL")
-    grams = grams.select("doc_id", F.concat_ws(" ", "word", *(f"w{k}" for k in range(_PASSAGE - 1))).alias("gram"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", _words("text").alias("words")).filter(F.size("words") >= _PASSAGE)
+    starts = F.sequence(F.lit(1), F.size("words") - _PASSAGE + 1)
+    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, _PASSAGE), " ")))).alias("gram"))
     return grams.join(items, "gram").select("qid", "doc_id").distinct()
 
 

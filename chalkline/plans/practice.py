@@ -7,7 +7,7 @@ from chalkline.functions import text as X
 from chalkline.functions.time import epoch_micros, epoch_seconds
 from chalkline.operators import practice as P
 from chalkline.operators.components import connected_components
-from chalkline.sources.tables import table
+from chalkline.sources.tables import spread, table
 
 
 def _exercises(spark, d):
@@ -90,7 +90,7 @@ def objective_history_window(spark, d):
 
 def _word_sets(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), words.alias("words"))
 
 
 def near_duplicate_pairs(spark, d):

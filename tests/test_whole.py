@@ -54,8 +54,9 @@ def test_near_duplicate_links_are_few(spark, monkeypatch):
     sets = {i: set(rng.sample(base, 37)) for i in range(80)} | {100 + i: set(base) for i in range(50)}
     sets |= {200 + i: set(rng.sample(vocabulary, rng.randint(1, 12))) for i in range(150)} | {400 + i: set(f"c{j}" for j in range(i * 3, i * 3 + 25)) for i in range(30)}
     rows = [(i, sorted(s)) for i, s in sets.items()]
-    for size in (1024, 16):
+    for size, listed in ((1024, 128), (1024, 1), (16, 1), (16, 12)):  # pairs of lists, groups only, groups in several blocks, both
         monkeypatch.setattr(practice, "BLOCK_CLASSES", size)
+        monkeypatch.setattr(practice, "LIST", listed)
         found = practice.similar_objectives(spark.createDataFrame(rows, "id long, words array<string>")).collect()
         check_links(found, sets)
     monkeypatch.undo()
