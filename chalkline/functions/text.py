@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -106,23 +107,64 @@ def answer_keys(text: Column) -> Column:
     return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(phrases, lambda p: F.sha2(p, 256)))))
 
 
+#: Texts that are their own compatibility form, whose lower case is their folded one, and whose spaces Java's patterns know.
+PLAIN = r"\A[\t\n\f\r\x20-\x7E]*\z"
+
+
+def once(change: Callable[[str], str], values: pd.Series) -> pd.Series:
+    """``change`` of every value but nulls; a value that repeats in the batch is changed once."""
+    codes, distinct = pd.factorize(values)
+    changed = [change(v) for v in distinct]
+    return pd.Series([None if c < 0 else changed[c] for c in codes], dtype=object)
+
+
+def fold(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
+
+
+def clean(text: str) -> str:
+    normal = unicodedata.normalize("NFKC", text).replace("�", " ")
+    return "".join(c for c in normal if c in "\n\t" or unicodedata.category(c)[0] != "C")
+
+
 @F.pandas_udf(T.StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
-    """Compatibility form, single spaces, case folded."""
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+def _folded(text: pd.Series) -> pd.Series:
+    return once(fold, text)
 
 
 @F.pandas_udf(T.StringType())
-def clean_unicode(text: pd.Series) -> pd.Series:
+def _cleaned(text: pd.Series) -> pd.Series:
+    return once(clean, text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_folded(texts: pd.Series) -> pd.Series:
+    flat = once(fold, texts.explode())
+    flat.index = texts.explode().index
+    lists = flat.groupby(level=0).agg(list)
+    return pd.Series([None if t is None else [] if not len(t) else lists[i] for i, t in texts.items()], dtype=object)
+
+
+def is_plain(text: Column) -> Column:
+    return F.rlike(text, F.lit(PLAIN))
+
+
+def nfkc_casefold(text: Column | str) -> Column:
+    """Compatibility form, single spaces, case folded. Plain texts stay on the JVM, only others go to Python."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(is_plain(c), F.lower(compact(F.regexp_replace(c, r"[\t\n\f\r]", " ")))).otherwise(_folded(F.when(~is_plain(c), c)))
+
+
+def clean_unicode(text: Column | str) -> Column:
     """Compatibility form; replacement characters become spaces, other control characters go (not \\n and \\t)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(is_plain(c), F.regexp_replace(c, r"[\f\r]", "")).otherwise(_cleaned(F.when(~is_plain(c), c)))
 
-    def clean(t: str | None) -> str | None:
-        if t is None:
-            return None
-        normal = unicodedata.normalize("NFKC", t).replace("�", " ")
-        return "".join(c for c in normal if c in "\n\t" or unicodedata.category(c)[0] != "C")
 
-    return text.map(clean)
+def nfkc_casefold_all(texts: Column) -> Column:
+    """``nfkc_casefold`` of the items of an array."""
+    plain = F.forall(texts, lambda t: F.coalesce(is_plain(t), F.lit(True)))
+    return F.when(plain, F.transform(texts, lambda t: F.lower(compact(F.regexp_replace(t, r"[\t\n\f\r]", " "))))).otherwise(_all_folded(F.when(~plain, texts)))
 
 
 def matching_ratio(a: str, b: str, least: float = 0.0) -> float:

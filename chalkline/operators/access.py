@@ -70,11 +70,18 @@ def withhold_solutions(evidence: DataFrame, assessment: Column, attempts: Column
 
 
 def split_trailer(answers: DataFrame, text: str = "text") -> DataFrame:
-    """``visible`` text before the marker, and ``claims`` (source, chunk_id) of the JSON list after it (empty if it can't be read)."""
+    """``visible`` text before the marker, and ``claims`` (source, chunk_id) of the JSON list after it (empty if it can't be read).
+
+    The list is decoded as far as it goes, whatever follows it; its items may hold lists and brackets. Items that aren't
+    objects or whose source isn't a whole number are no claims.
+    """
     at = F.instr(text, MARKER)
     visible = F.when(at > 0, F.substring(F.col(text), F.lit(1), at - 1)).otherwise(F.col(text))
-    listed = F.regexp_extract(F.substring(F.col(text), at + len(MARKER), F.length(text)), r"(?s)^\s*(\[.*?\])", 1)
-    claims = F.when(at > 0, F.from_json(listed, "array<struct<source:bigint,chunk_id:string>>"))
+    listed = F.regexp_extract(F.substring(F.col(text), at + len(MARKER), F.length(text)), r"(?s)^\s*(\[.*)", 1)
+    items = F.transform(F.from_json(listed, "array<string>"), F.try_parse_json)
+    whole = F.filter(items, lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.source", "variant")) == "BIGINT", F.lit(False)))
+    read = F.transform(whole, lambda v: F.struct(F.try_variant_get(v, "$.source", "bigint").alias("source"), F.try_variant_get(v, "$.chunk_id", "string").alias("chunk_id")))
+    claims = F.when(at > 0, read)
     return answers.withColumn("visible", visible).withColumn("claims", F.coalesce(claims, F.array().cast("array<struct<source:bigint,chunk_id:string>>")))
 
 

@@ -62,8 +62,35 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, queries: DataFrame
     return sums.select(*(F.round(c, 6).alias(k) for k, c in named.items()))
 
 
+#: The sketch's share of ranks that it may be off by is 1 / ACCURACY.
+ACCURACY = 10_000
+
+
+def nearest_ranks(values: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, share, percentile): the value of rank ceil(n * share) of each key's sorted values, exactly.
+
+    A sketch of each key brackets the rank; a second pass counts what lies below the bracket and the values inside it, and
+    only these are looked at in order. A key with a third of all rows is partial aggregates in both passes, and a sorted
+    bracket of about 4 / ACCURACY of its values at most in between. Nulls don't count, a key without values has no row;
+    null keys are one. A share of 0 is the least value.
+    """
+    known = values.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    around = [min(1.0, max(0.0, s + d / ACCURACY)) for s in shares for d in (-2, 2)]
+    sketch = known.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", around, ACCURACY).alias("at"), F.min("v").alias("least"), F.max("v").alias("most"))
+    ends = lambda i, s: (F.col("least") if s * ACCURACY <= 2 else F.col("at")[2 * i], F.col("most") if (1 - s) * ACCURACY <= 2 else F.col("at")[2 * i + 1])
+    brackets = F.array(*(F.struct(F.lit(s).alias("share"), lo.alias("lo"), hi.alias("hi"), F.greatest(F.lit(1), F.ceil(F.col("n") * s - 1e-9)).alias("rank")) for i, s in enumerate(shares) for lo, hi in [ends(i, s)]))
+    brackets = scratch_table(sketch.select(F.col("k").alias("__k"), F.explode(brackets).alias("b")).select("__k", "b.*"), "brackets")
+    met = known.join(brackets, F.equal_null(F.col("k"), F.col("__k"))).filter(F.col("v") <= F.col("hi"))
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))  # null stands for all below
+    counts = met.groupBy("__k", "share", "rank", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    running = F.sum("c").over(Window.partitionBy("__k", "share").orderBy(F.asc_nulls_first("v")))
+    found = counts.withColumn("seen", running).filter(F.col("v").isNotNull() & (F.col("seen") >= F.col("rank"))).groupBy("__k", "share").agg(F.min("v").alias("percentile"))
+    return found.select(F.col("__k").alias(key), "share", "percentile")
+
+
 def nearest_rank(values: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    return values.groupBy(key).agg(F.percentile_disc(value, q).alias("percentile")) if hasattr(F, "percentile_disc") else values.groupBy(key).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
+    """(key, percentile): see ``nearest_ranks``."""
+    return nearest_ranks(values, key, value, [q]).select(key, "percentile")
 
 
 def golden_gate(cases: DataFrame, grounded: str, duplicate: str, valid: str) -> DataFrame:

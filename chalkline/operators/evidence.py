@@ -152,7 +152,7 @@ def quantity_items(chunks: DataFrame, known: DataFrame, language: str) -> DataFr
 
 def whole_answer_key(answer: Column) -> Column:
     """A digest of an expression of 8 characters or more that isn't a single ASCII word; else ''."""
-    words = V.found(F.lower(answer), r"(\w+)")
+    words = V.found(X.nfkc_casefold(answer), r"(\w+)")
     joined = F.array_join(words, "")
     single = (F.size(words) == 1) & ~F.rlike(answer, F.lit(r"[^\x00-\x7F]"))
     return F.when((F.length(joined) < 8) | single, "").otherwise(F.sha2(joined, 256))
@@ -165,7 +165,7 @@ def usable_facts(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     has; three words; no marks of bad recognition; and more than self-assessment. Of the facts of an objective that
     are good otherwise the first is accepted, so the check against earlier ones is a window minimum.
     """
-    n = V.normal
+    n = X.nfkc_casefold
     held = facts.join(chunks.select("batch", F.col("chunk_id").alias("citation_id"), F.col("text").alias("__t")), ["batch", "citation_id"], "left")
     c = F.col
     first = F.when(c("__t").isNull(), "unknown_citation").when(~F.contains(n(c("__t")), n(c("quote"))), "quote_not_contiguous").when(~F.contains(n(c("quote")), n(c("answer"))), "answer_not_in_quote")

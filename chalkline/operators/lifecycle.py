@@ -32,7 +32,12 @@ def version_sources(members: DataFrame, sources: DataFrame, version: Column) ->
 
 
 def vector_upsert(vectors: DataFrame, embedded: DataFrame, key: str = "chunk_id", dim: int | None = None) -> DataFrame:
-    """Vectors with the embedded ones in place of those of their key; a vector of another size than ``dim`` is an error."""
+    """Vectors with the embedded ones in place of those of their key; a vector of another size than ``dim`` is an error.
+
+    Of embedded rows that repeat a key the one with the smallest values is taken.
+    """
+    others = [c for c in embedded.columns if c != key]
+    embedded = embedded.groupBy(key).agg(F.min(F.struct(*others)).alias("__r")).select(key, "__r.*").select(*embedded.columns)
     if dim is not None:
         embedded = embedded.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit("a vector has another size than its collection"))))
     return embedded.unionByName(vectors.join(embedded.select(key), key, "left_anti"))
@@ -182,9 +187,13 @@ def due_scans(courses: DataFrame, roots: DataFrame, runs: DataFrame, events: Dat
 
 
 def insert_or_compare(existing: DataFrame, new: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, outcome) of new rows: inserted, unchanged where the same body is there, conflict where another one is."""
-    joined = new.dropDuplicates([key]).join(existing.select(key, F.col(body).alias("__b")), key, "left")
-    return joined.select(key, F.when(F.col("__b").isNull(), "inserted").when(F.col("__b") == F.col(body), "unchanged").otherwise("conflict").alias("outcome"))
+    """(key, outcome) of new rows: inserted, unchanged where the same body is there, conflict where another one is.
+
+    Of new rows of a key the one with the smallest body is tried; a second one with another body makes it a conflict.
+    """
+    once = new.groupBy(key).agg(F.min(body).alias(body), (F.min(body) != F.max(body)).alias("__two"))
+    joined = once.join(existing.select(key, F.col(body).alias("__b")), key, "left")
+    return joined.select(key, F.when(F.coalesce("__two", F.lit(False)), "conflict").when(F.col("__b").isNull(), "inserted").when(F.col("__b") == F.col(body), "unchanged").otherwise("conflict").alias("outcome"))
 
 
 def artifacts_to_put(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -200,8 +209,8 @@ def retain(rows: DataFrame, expired: Column, group: str) -> tuple[DataFrame, Dat
 
 
 def backfill(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """``column`` set from ``values`` (key, column) where it is null; other rows stay as they are."""
-    found = values.select(key, F.col(column).alias("__v")).dropDuplicates([key])
+    """``column`` set from ``values`` (key, column) where it is null, to the smallest of its key; other rows stay as they are."""
+    found = values.groupBy(key).agg(F.min(column).alias("__v"))
     return rows.join(found, key, "left").withColumn(column, F.coalesce(column, "__v")).drop("__v")
 
 

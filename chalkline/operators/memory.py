@@ -26,17 +26,19 @@ def recall_score(similarity: Column, importance: Column, confidence: Column, age
 def bounded_recall(facts: DataFrame, key: str, order: list[str], tokens: str = "tokens", most: int = MAX_FACTS, budget: int = MAX_FACT_TOKENS) -> DataFrame:
     """Greedy choice by ``order`` (sorted ascending): a fact that doesn't fit is skipped, later ones may still fit.
 
-    Not a prefix of the order, so the sorted facts of a key are folded; facts of a learner are few by nature.
+    Not a prefix of the order, so the facts of a key are folded as they come in order, and none is kept. Equal ones come by
+    fact_id; null tokens count nothing.
     """
-    listed = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).cast("long").alias("t"), F.col("fact_id").alias("__id")))).alias("fs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    rows = facts.select(key, *order, F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("__t"), F.col("fact_id").cast("long").alias("__id"))
 
-    def step(state, f):
-        fits = (F.size(state["ids"]) < most) & (state["used"] + f["t"] <= budget)
-        return F.when(fits, F.struct((state["used"] + f["t"]).alias("used"), F.concat(state["ids"], F.array(f["__id"].cast("long"))).alias("ids"))).otherwise(state)
+    def step(state: dict, row: dict) -> list[tuple]:
+        if state["n"] >= most or state["used"] + row["__t"] > budget:
+            return []
+        state["n"] += 1
+        state["used"] += row["__t"]
+        return [(state["n"] - 1, row["__id"])]
 
-    chosen = listed.select(key, F.aggregate("fs", start, step).alias("s"))
-    return chosen.select(key, F.posexplode("s.ids").alias("place", "fact_id")).withColumn("place", F.col("place").cast("long"))
+    return ordered_fold(rows, [key], [*(F.col(c) for c in order), F.col("__id")], "place bigint, fact_id bigint", lambda: {"n": 0, "used": 0}, step)
 
 
 def rolling_summary(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

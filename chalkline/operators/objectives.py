@@ -19,8 +19,8 @@ NAME_ASKED, ASKING, NAMED, OF_THINGS = r"\bwhat(?:'s| is) your name\b", r"\b(?:a
 
 
 def tokens(text: Column) -> Column:
-    """Distinct Latin words that aren't stop words, and the pairs of neighbouring CJK characters."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+|[一-鿿]+)"), F.lit(1))
+    """Distinct Latin words that aren't stop words, and the pairs of neighbouring CJK characters, of the folded text."""
+    runs = F.regexp_extract_all(X.nfkc_casefold(text), F.lit("([a-z]+|[一-鿿]+)"), F.lit(1))
     pairs = lambda w: F.when(F.length(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))
     each = F.transform(runs, lambda w: F.when(F.rlike(w, F.lit("^[一-鿿]")), pairs(w)).otherwise(F.array(w)))
     return F.array_except(F.array_distinct(F.flatten(each)), F.array(*map(F.lit, STOPS)))
@@ -28,7 +28,7 @@ def tokens(text: Column) -> Column:
 
 def skill(text: Column) -> Column:
     """The skill that an objective names whatever its words, else null."""
-    t = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
+    t = F.replace(X.nfkc_casefold(text), F.lit("’"), F.lit("'"))
     asked = has(t, NAME_ASKED) | (has(t, ASKING) & has(t, NAMED) & ~has(t, OF_THINGS))
     return F.when(has(t, *INTRODUCTION), "self_introduction").when(has(t, COUNTING) & has(t, NUMBERS), "number_sequence").when(asked, "name_inquiry")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from chalkline.functions import text as X
 
 TITLE_CHARS, MAX_DEPTH = 300, 8
+#: Pages of a bin in which chunks and nodes meet.
+PAGE_BIN = 8
 # Lines of contents, headings, and headings that are parents or children; sections that aren't taught.
 TOC = r"(?i)^(.+?)\s*(?:[．·…]{2,}|\.{3,})\s*(\d{1,4})$"
 HEADING = r"(?i)^(第\s*[一二三四五六七八九十百0-9]+\s*[章节课单元].{0,200}|(?:module|unit|lesson|chapter)\s*\d+\b.{0,200}|review\s+module|\d+(?:\.\d+){0,3}\s+.{1,200})$"
@@ -94,12 +96,16 @@ def page_ranges(records: DataFrame, doc: str = "book", last_page: str = "last_pa
 
 
 def pages_in_nodes(chunks: DataFrame, ranges: DataFrame, doc: str = "book") -> DataFrame:
-    """Chunks (doc, page) with every outline node whose pages contain theirs: an equal join on the document, then the range.
+    """Chunks (doc, page) with every outline node whose pages contain theirs: an equal join on document and bin, then the range.
 
-    A chunk meets its document's nodes only, so the rows that meet are chunks times nodes of a book.
+    A node stands in each bin of PAGE_BIN pages that it touches, a chunk in one, so what meets is the result and the few
+    nodes that begin or end in a chunk's bin, however many nodes a book has. A null page is in no node.
     """
     valid = ranges.filter("page_start >= 1 AND page_start <= page_end")
-    return chunks.join(valid, doc).filter(F.col("page").between(F.col("page_start"), F.col("page_end")))
+    bin_of = lambda c: F.floor(F.col(c) / PAGE_BIN)
+    binned = valid.withColumn("__bin", F.explode(F.sequence(bin_of("page_start"), bin_of("page_end"))))
+    met = chunks.withColumn("__bin", bin_of("page")).join(binned, [doc, "__bin"])
+    return met.filter(F.col("page").between(F.col("page_start"), F.col("page_end"))).drop("__bin")
 
 
 def instruction_range(records: DataFrame, doc: str = "book", n_pages: str = "n_pages") -> DataFrame:

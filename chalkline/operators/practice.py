@@ -100,9 +100,9 @@ def rubric_score(weights: Column, scores: Column, threshold: Column) -> tuple[Co
 
 
 def grade(kind: Column, answer: Column, expected: Column, acceptable: Column) -> Column:
-    """Objective grading: identity for choices and booleans, membership after normalising for blanks, else null."""
-    normal = lambda c: F.lower(X.compact(c))
-    return F.when(kind.isin("true_false", "multiple_choice"), answer == expected).when(kind == "fill_blank", F.array_contains(F.transform(acceptable, normal), normal(answer)))
+    """Objective grading: identity for choices and booleans, membership in compatibility form and folded for blanks, else null."""
+    given = F.array_contains(X.nfkc_casefold_all(acceptable), X.nfkc_casefold(answer))
+    return F.when(kind.isin("true_false", "multiple_choice"), answer == expected).when(kind == "fill_blank", given)
 
 
 def release_policy(n_submits: Column, gave_up: Column, correct: Column) -> Column:

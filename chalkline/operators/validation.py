@@ -180,7 +180,8 @@ def unlisted_terms(p: Column, answer: Column, rubric: Column, source: Column) ->
 
 
 def question_fingerprint(prompt: Column) -> Column:
-    return normal(prompt)
+    """The prompt in compatibility form, folded, with single spaces."""
+    return X.nfkc_casefold(prompt)
 
 
 def storage_fingerprint(kind: Column, prompt: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
 from chalkline.functions import text as X
 from chalkline.operators import evidence as E
 from chalkline.operators import objectives as J
@@ -65,12 +66,14 @@ def draft_reasons(spark, d):
 
 
 def draft_batches(spark, d):
+    ship(spark)
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("batch"), F.col("o_orderkey").alias("place"), F.concat(F.lit("Say  "), "o_orderstatus", F.col("o_custkey") % 3, F.col("o_orderkey") % 50).alias("prompt"), F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 5 == 0), "answer_leakage").alias("reason"))
     counted = rows.withColumn("asked", F.lit(4))
     return V.batch_state(counted, "batch", "asked")
 
 
 def question_fingerprints(spark, d):
+    ship(spark)
     b = table(spark, d, "benchmark")
     return b.select("item_id", F.md5(V.question_fingerprint(F.concat(F.lit("  "), F.col("text")))).alias("question_md5"), V.storage_fingerprint(F.lit("short_answer"), F.col("text")).alias("storage"))
 
@@ -90,6 +93,7 @@ def rubric_rescale(spark, d):
 
 
 def usable_facts(spark, d):
+    ship(spark)
     docs = table(spark, d, "documents").withColumn("batch", F.floor(F.col("doc_id") / 20))
     words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
     n = F.col("doc_id") % 7
@@ -126,10 +130,12 @@ def ambiguous_colours(spark, d):
 
 
 def whole_answer_keys(spark, d):
+    ship(spark)
     return table(spark, d, "part").select("p_partkey", E.whole_answer_key(F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name"))).alias("key"))
 
 
 def objective_tokens(spark, d):
+    ship(spark)
     b = table(spark, d, "benchmark")
     text = F.concat("text", F.when(F.col("item_id") % 2 == 0, " 认识数字 one two").otherwise(" counting numbers"))
     return b.select("item_id", F.md5(F.array_join(F.array_sort(J.tokens(text)), ",")).alias("tokens_md5"), J.skill(text).alias("skill"))
@@ -152,7 +158,7 @@ WHEN k IN (12, 13, 14, 15, 16, 17, 18) THEN code WHEN kind = 'short_answer' AND
     "draft_batches": """WITH r AS (SELECT o_custkey % 400 AS batch, o_orderkey AS place, lower('say ' || o_orderstatus || (o_custkey % 3) || (o_orderkey % 50)) AS f, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0 THEN 'answer_leakage' END AS reason FROM orders),
 m AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY batch, f ORDER BY place) > 1 THEN 'duplicate_question' END) AS failed FROM r)
 SELECT batch, CASE WHEN count(*) <> 4 THEN 'count_mismatch' ELSE coalesce(arg_min(failed, place) FILTER (failed IS NOT NULL), 'valid') END AS state FROM m GROUP BY batch""",
-    "question_fingerprints": "SELECT item_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS question_md5, sha256('short_answer' || chr(0) || text) AS storage FROM benchmark",
+    "question_fingerprints": "SELECT item_id, md5(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS question_md5, sha256('short_answer' || chr(0) || text) AS storage FROM benchmark",
     "grounding_repair": """WITH d AS (SELECT doc_id, doc_id // 10 AS job, doc_id - doc_id % 3 AS cite, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t, regexp_extract_all(lower(text), '[a-z]{5,}') AS w FROM documents),
 a AS (SELECT doc_id, job, cite, 1 AS nth, w[1] AS answer FROM d WHERE len(w) > 0 UNION ALL SELECT doc_id, job, cite, 2, w[-1] FROM d WHERE len(w) > 0),
 h AS (SELECT a.doc_id, nth, coalesce(bool_or(d.doc_id = a.cite) FILTER (contains(d.t, answer)), false) AS held, min(d.doc_id) FILTER (contains(d.t, answer)) AS f FROM a JOIN d USING (job) GROUP BY ALL),
@@ -160,7 +166,7 @@ g AS (SELECT doc_id, bool_and(held) AS held, bool_and(f IS NOT NULL) AS every, a
 SELECT d.doc_id AS draft_id, CASE WHEN NOT (held AND d.cite // 10 = d.job) THEN fs ELSE d.cite::VARCHAR END AS citations FROM d JOIN g USING (doc_id)
 UNION ALL SELECT doc_id, cite::VARCHAR FROM d WHERE len(w) = 0 OR w IS NULL""",
     "rubric_rescale": "SELECT l_orderkey, round(CASE WHEN abs(sum(l_quantity) - 1) > 0.001 THEN max(l_quantity) / sum(l_quantity) ELSE max(l_quantity) END, 6)::DOUBLE AS largest FROM lineitem GROUP BY l_orderkey",
-    "objective_tokens": f"""WITH t AS (SELECT item_id, lower(text) || CASE WHEN item_id % 2 = 0 THEN ' 认识数字 one two' ELSE ' counting numbers' END AS t FROM benchmark),
+    "objective_tokens": f"""WITH t AS (SELECT item_id, replace(lower(text), 'ß', 'ss') || CASE WHEN item_id % 2 = 0 THEN ' 认识数字 one two' ELSE ' counting numbers' END AS t FROM benchmark),
 w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(t, '[a-z]+'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in J.STOPS)}], x))) AS ws, item_id % 2 = 0 AS zh FROM t)
 SELECT item_id, md5(array_to_string(list_sort(CASE WHEN zh THEN list_concat(ws, ['认识', '识数', '数字']) ELSE ws END), ',')) AS tokens_md5, CASE WHEN NOT zh THEN 'number_sequence' END AS skill FROM w""",
     "cloze_prompts": f"""WITH d AS (SELECT doc_id, text, coalesce(regexp_extract(text, '([A-Za-z]{{5,}})', 1), '') AS word FROM documents WHERE text IS NOT NULL),

@@ -6,7 +6,7 @@ from chalkline.deploy import ship
 from chalkline.functions import text as X
 from chalkline.functions.time import epoch_seconds
 from chalkline.operators import memory as M
-from chalkline.sources.tables import table
+from chalkline.sources.tables import spread, table
 
 
 def recent_turn_window(spark, d):
@@ -20,6 +20,7 @@ def recall_decay_score(spark, d):
 
 
 def bounded_recall_greedy(spark, d):
+    ship(spark)
     o = table(spark, d, "orders")
     facts = o.select("o_custkey", F.col("o_orderkey").alias("fact_id"), F.negative("o_totalprice").alias("rank_by"), (F.col("o_orderkey") * 37 % 190 + 5).alias("tokens"))
     return M.bounded_recall(facts, "o_custkey", ["rank_by", "fact_id"])
@@ -114,7 +115,7 @@ def semantic_similarity(spark, d):
 def unicode_normalisation(spark, d):
     ship(spark)
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.md5(X.nfkc_casefold("text")).alias("folded_md5"), F.md5(X.clean_unicode("text")).alias("clean_md5"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.md5(X.nfkc_casefold("text")).alias("folded_md5"), F.md5(X.clean_unicode("text")).alias("clean_md5"))
 
 
 _TOK = "coalesce(ceil(length(text) / 4), 0)::BIGINT"
@@ -130,6 +131,7 @@ QUERIES = {f.__name__: f for f in (recent_turn_window, recall_decay_score, bound
 SQL = {
     "recent_turn_window": f"""WITH m AS (SELECT conv_id, turn, sum({_TOK}) OVER w::BIGINT AS used, row_number() OVER w AS back FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, turn, back, used FROM m WHERE used <= 300 AND back <= 12""",
+    "unicode_normalisation": "SELECT doc_id, md5(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS folded_md5, md5(regexp_replace(replace(text, '�', ' '), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) AS clean_md5 FROM documents",
     "recall_decay_score": "SELECT c_custkey, round(CASE WHEN c_custkey % 50 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.35::DOUBLE * 0.5::DOUBLE + 0.3::DOUBLE * (c_acctbal / 10000.0::DOUBLE) + 0.2::DOUBLE * 0.9::DOUBLE * exp(-(c_custkey % 400)::DOUBLE / 180) + 0.15::DOUBLE * exp(-(c_custkey % 400)::DOUBLE / 90), 6) AS score FROM customer",
     "bounded_recall_greedy": """WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderkey * 37 % 190 + 5 AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY -o_totalprice, o_orderkey) AS n FROM orders),
 f AS (SELECT k, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS cnt, NULL::BIGINT AS id FROM (SELECT DISTINCT k FROM o)

@@ -151,6 +151,11 @@ def nearest_rank_p95(spark, d):
     return V.nearest_rank(_e(spark, d), "event_type", "value", 0.95)
 
 
+def price_quantiles(spark, d):
+    """Median and 95th percentile of few keys that hold all rows."""
+    return V.nearest_ranks(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", [0.5, 0.95])
+
+
 def golden_gate(spark, d):
     labels = table(spark, d, "labels").select((F.col("quality") == 1).alias("grounded"), (F.col("toxic") == 1).alias("duplicate"), ((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("valid"))
     return V.golden_gate(labels, "grounded", "duplicate", "valid")
@@ -178,7 +183,7 @@ cases AS (SELECT b.item_id AS qid, EXISTS (SELECT 1 FROM x WHERE x.qid = b.item_
 _BOUNDS = "[0.0, 5.0, 20.0, 50.0, 75.0, 100.0]"
 _OK = ", ".join(f"'{a}>{b}'" for a, b in _ALLOWED)
 
-QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, circuit_breaker, job_deadlines, job_outcomes, oldest_unclaimed, trace_states, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, recall_cases, nearest_rank_p95, golden_gate, revenue_by_segment)}
+QUERIES = {f.__name__: f for f in (outbox_depth, retry_dead_letter, idempotent_dedup, fixed_window_rate, circuit_breaker, job_deadlines, job_outcomes, oldest_unclaimed, trace_states, error_ratio_10m, histogram_quantile, session_activity, retention_cleanup, state_transition_violations, failure_islands, tfidf_idf, tfidf_top5, recall_mrr, recall_cases, nearest_rank_p95, price_quantiles, golden_gate, revenue_by_segment)}
 
 SQL = {
     "outbox_depth": "SELECT event_type, count_if(user_id % 3 <> 0 AND NOT (user_id % 3 = 1 AND value > 50))::BIGINT AS pending, count_if(user_id % 3 = 1 AND value > 50)::BIGINT AS dead_letter FROM events GROUP BY event_type",
@@ -230,6 +235,7 @@ SELECT user_id, island, count(*) AS failures FROM m WHERE failed GROUP BY ALL HA
   count_if(NOT answered AND NOT answerable) AS tp, count_if(NOT answered) AS na, count_if(NOT answerable) AS ns FROM cases), p AS (SELECT *, tp / greatest(na, 1) AS ap, tp / greatest(ns, 1) AS ar FROM s)
 SELECT round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(precision, 6) AS citation_precision, round(ap, 6) AS abstention_precision, round(ar, 6) AS abstention_recall, round(CASE WHEN ap + ar > 0 THEN 2 * ap * ar / (ap + ar) ELSE 0 END, 6)::DOUBLE AS abstention_f1 FROM p""",
     "nearest_rank_p95": "SELECT event_type, quantile_disc(value, 0.95) AS percentile FROM events GROUP BY event_type",
+    "price_quantiles": "SELECT l_returnflag, 0.5::DOUBLE AS share, quantile_disc(l_extendedprice, 0.5) AS percentile FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 0.95::DOUBLE, quantile_disc(l_extendedprice, 0.95) FROM lineitem GROUP BY 1",
     "golden_gate": """WITH r AS (SELECT count(*) AS n, round(avg((quality = 1)::INT), 6) AS groundedness, round(avg((toxic = 1)::INT), 6) AS duplicates, round(1 - avg((quality = 1 OR toxic = 0)::INT), 6) AS invalid FROM labels)
 SELECT *, n >= 20 AND groundedness >= 0.95 AND duplicates <= 0.02 AND invalid <= 0.05 AS passes FROM r""",
     "revenue_by_segment": "SELECT c_mktsegment, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, max(epoch(o_orderdate)::BIGINT) AS last_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.05 GROUP BY c_mktsegment",

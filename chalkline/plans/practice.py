@@ -64,6 +64,7 @@ def rubric_score(spark, d):
 
 
 def objective_grading(spark, d):
+    ship(spark)
     rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "fill_blank").when(F.col("p_size") % 3 == 1, "multiple_choice").otherwise("short_answer").alias("kind"), F.upper("p_type").alias("answer"), F.concat(F.lit(" "), F.col("p_type")).alias("expected"))
     graded = P.grade(F.col("kind"), F.col("answer"), F.col("expected"), F.array(F.col("expected"), F.lit("small")))
     return rows.select("p_partkey", "kind", graded.alias("correct"))
