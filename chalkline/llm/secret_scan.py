@@ -2,10 +2,12 @@
 
 Two first-order Markov chains over characters are trained from labelled samples. Random strings are the keys and
 digests that the patterns find, and SEEDED drawn strings over the usual key alphabets, so that a corpus without keys has
-a model too; ordinary identifiers are all other tokens of MIN_WORD to MIN_TOKEN - 1 characters, and the
-names of Python's own library, for the same reason. Transitions are counted over all
+a model too; ordinary identifiers are all other tokens of MIN_WORD to MIN_TOKEN - 1 characters, and drawn names of
+syllables in the usual cases, for the same reason (drawn by a fixed generator, so a model depends on the corpus alone).
+Transitions are counted over all
 documents (a task yields a bounded table of counts, which Spark sums). A token of MIN_TOKEN characters or more
-outside the patterns' spans is reported when its log-likelihood ratio is high in total and for each character.
+outside the patterns' spans is reported when its log-likelihood ratio is high in total and for each character: above
+cuts that FALSE_SHARE of HELD_OUT names exceed, which are drawn anew and have taught nothing.
 
 Cases: null and empty texts have no spans; a very long text takes time in proportion to its length, however dense in
 spans it is (sorted sweeps, and one count of code points); ties (spans of one start) are ordered by kind; repeated
@@ -13,21 +15,7 @@ rows are scanned each and count each in training; an empty table gives an empty
 read, and the result's column ``spans`` must not be one of ``keep``.
 """
 
-import argparse
-import builtins
-import collections
-import datetime
-import functools
-import itertools
-import json
-import logging
-import os
-import pathlib
-import random
 import re
-import string
-import threading
-import unittest
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -53,10 +41,11 @@ MIN_TOKEN, MIN_WORD = 20, 8
 #: Drawn strings in training, and the alphabets of keys (fixed values: digits by base, letters and digits, URL-safe base 64).
 SEEDED = 4000
 ALPHABETS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _TOKEN_BYTES[:62], _TOKEN_BYTES[:64], _TOKEN_BYTES[26:62])
-MIN_LLR, MIN_MEAN_LLR = 15.0, 0.6
+#: Cuts are set where so many of the held-out names lie above them, and not below these ratios.
+HELD_OUT, FALSE_SHARE, LEAST_LLR, LEAST_MEAN_LLR = 4000, 0.001, 8.0, 0.3
 
-#: Modules whose names are a labelled sample of ordinary identifiers in every corpus.
-IDENTIFIERS_OF = (builtins, argparse, collections, datetime, functools, itertools, json, logging, os, pathlib, random, re, string, threading, unittest)
+#: Drawn names: consonants and vowels of their syllables, and what stands between their words.
+_CONSONANTS, _VOWELS, _JOINTS = "b c d f g h k l m n p r s t v st tr ch sh pr".split(), "a e i o u ea io".split(), ("_", "-", ".", "/", "")
 
 Span = tuple[int, int, int]
 
@@ -133,20 +122,40 @@ def _word_transitions(chunk: C.Chunk, secret: np.ndarray) -> tuple[np.ndarray, n
     return before, states
 
 
+def drawn_name(rng: np.random.Generator) -> str:
+    """Two to four words of syllables: joined by one sign, or with capitals, sometimes with a number behind."""
+    of = lambda values: values[int(rng.integers(len(values)))]
+    words = ["".join(of(_CONSONANTS) + of(_VOWELS) + (of(_CONSONANTS)[:1] if rng.random() < 0.4 else "") for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(2, 5)))]
+    joint = of(_JOINTS)
+    name = joint.join(words) if joint else words[0] + "".join(w.capitalize() for w in words[1:])
+    if rng.random() < 0.1:
+        name = name.upper()
+    return name + (joint or "") + str(int(rng.integers(1, 100))) if rng.random() < 0.2 else name
+
+
 def seeded_counts(strings: int = SEEDED) -> np.ndarray:
-    """Counts of both chains: those of drawn random strings (0), and of the names of Python's own library (1)."""
+    """Counts of both chains: those of drawn random strings (0), and of as many drawn names (1)."""
     rng = np.random.Generator(np.random.PCG64(7))
     counts = np.zeros((2, N_STATES, N_STATES))
     for alphabet in ALPHABETS:
         for _ in range(strings // len(ALPHABETS)):
             word = np.frombuffer(alphabet, np.uint8)[rng.integers(0, len(alphabet), int(rng.integers(20, 45)))].tobytes()
             np.add.at(counts[0], transitions(word), 1)
-    for module in IDENTIFIERS_OF:
-        for name in dir(module):
-            np.add.at(counts[1], transitions(f"{module.__name__}.{name}".encode()), 1)
+    for _ in range(strings):
+        np.add.at(counts[1], transitions(drawn_name(rng).encode()), 1)
     return counts
 
 
+def cuts(model: np.ndarray) -> tuple[float, float]:
+    """From the curve of held-out names: the ratios in total and for each character that a reported token has at least."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    names = [n.encode() for n in (drawn_name(rng) for _ in range(HELD_OUT)) if len(n) >= MIN_TOKEN]
+    total = np.array([float(model[transitions(n)].sum()) for n in names])
+    mean = total / np.array([len(n) for n in names])
+    at = lambda x, least: max(least, float(np.quantile(x, 1 - FALSE_SHARE)))
+    return at(total, LEAST_LLR), at(mean, LEAST_MEAN_LLR)
+
+
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratios of all transitions, random against ordinary, counted over all documents."""
 
@@ -172,10 +181,14 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return logs[0] - logs[1]
 
 
-def find_secrets(docs: DataFrame, keep: list[str], model: np.ndarray | None = None, min_llr: float = MIN_LLR, min_mean_llr: float = MIN_MEAN_LLR) -> DataFrame:
-    """``keep`` of every document and its ``spans``, ordered by start and kind; places are code points, end exclusive."""
+def find_secrets(docs: DataFrame, keep: list[str], model: np.ndarray | None = None, least: tuple[float, float] | None = None) -> DataFrame:
+    """``keep`` of every document and its ``spans``, ordered by start and kind; places are code points, end exclusive.
+
+    ``least`` are the ratios in total and for each character, of ``cuts`` by default.
+    """
     if model is None:
         model = train(docs)
+    min_llr, min_mean_llr = least or cuts(model)
     ratios = docs.sparkSession.sparkContext.broadcast(model)
     read = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("__text"))
     schema = T.StructType([*read.drop("__text").schema, *T._parse_datatype_string("spans array<struct<kind:string,start:bigint,end:bigint>>")])

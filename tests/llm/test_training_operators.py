@@ -322,6 +322,37 @@ def test_added_spans_by_labels(spark, tmp_path):
     assert precision >= 0.95 and recall >= 0.9
 
 
+#: Shapes that training never draws, with the least share of keys and the largest of names that is reported.
+KEY_SHAPES = {"prefix": ("sk_live_", 24, "letters", 0.9), "long prefix": ("ghp_", 36, "letters", 0.95), "groups": ("", 25, "groups", 0.75), "uuid": ("", 32, "uuid", 0.9), "upper hex": ("", 32, "upper", 0.85), "padded": ("", 64, "padded", 0.95)}
+NAMES = "account balance customer invoice payment server request response handler factory builder manager context session config network storage cluster partition shuffle executor driver memory buffer stream channel listener adapter controller service repository entity mapper query index table column record schema".split()
+
+
+def test_added_spans_by_unseen_shapes(spark, sf):
+    """Recall for each shape of key and false reports for each shape of name; neither alphabets' groups nor cases nor words are those of training."""
+    import uuid
+
+    from chalkline.llm import secret_scan
+
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    body = {"letters": lambda n: drawn(letters, n), "groups": lambda n: "-".join(drawn("ABCDEFGHJKMNPQRSTVWXYZ0123456789", 5) for _ in range(n // 5)), "uuid": lambda n: str(uuid.UUID(int=rng.getrandbits(128))), "upper": lambda n: drawn("0123456789ABCDEF", n), "padded": lambda n: drawn(letters + "+/", n) + "=="}
+    name = {"camel": lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "path": "/".join, "upper": lambda w: "_".join(w).upper(), "package": lambda w: "org." + ".".join(w) + "." + w[0].capitalize(), "version": lambda w: "-".join(w) + f"-{rng.randint(0, 9)}.{rng.randint(0, 20)}", "one word": "".join}
+    model = secret_scan.train(table(spark, sf, "documents"))
+    total, mean = secret_scan.cuts(model)
+
+    def reported(token):
+        ratio = float(model[secret_scan.transitions(token.encode())].sum())
+        return ratio >= total and ratio >= mean * len(token)
+
+    shares = {shape: np.mean([reported(prefix + body[kind](n)) for _ in range(300)]) for shape, (prefix, n, kind, _) in KEY_SHAPES.items()}
+    false = {shape: np.mean([reported(t) for t in (make([rng.choice(NAMES) for _ in range(4)]) for _ in range(300)) if len(t) >= secret_scan.MIN_TOKEN]) for shape, make in name.items()}
+    print({k: round(float(v), 3) for k, v in (shares | false).items()})
+    assert all(shares[shape] >= least for shape, (*_, least) in KEY_SHAPES.items()) and max(false.values()) <= 0.02
+    # The drawn samples are those of a fixed generator, whatever library names there are
+    assert np.array_equal(secret_scan.seeded_counts(500), secret_scan.seeded_counts(500)) and secret_scan.drawn_name(np.random.Generator(np.random.PCG64(1))) == secret_scan.drawn_name(np.random.Generator(np.random.PCG64(1)))
+
+
 def test_long_text_dense_in_keys():
     """Time in proportion to the length."""
     import time
