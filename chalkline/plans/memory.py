@@ -1,5 +1,6 @@
 """Memory queries over ``conversations``; learners are ``customer`` rows, their facts ``orders`` and ``events``."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.deploy import ship
@@ -105,11 +106,11 @@ def key_normalisation(spark, d):
 
 
 def semantic_similarity(spark, d):
+    """Every turn against the one before."""
     ship(spark)
-    t = table(spark, d, "conversations")
-    a = t.filter("turn = 0").select("conv_id", F.col("text").alias("a"))
-    b = t.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role"))
+    turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text")).withColumn("before", before)
+    return turns.filter("before IS NOT NULL").select("conv_id", "turn", F.round(X.similarity(F.col("before"), F.col("text")), 6).alias("similarity"))
 
 
 def unicode_normalisation(spark, d):
