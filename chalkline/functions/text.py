@@ -137,6 +137,11 @@ def _cleaned(text: pd.Series) -> pd.Series:
     return once(clean, text)
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(text: pd.Series) -> pd.Series:
+    return once(lambda t: unicodedata.normalize("NFKC", t), text)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _all_folded(texts: pd.Series) -> pd.Series:
     flat = once(fold, texts.explode())
@@ -161,6 +166,11 @@ def clean_unicode(text: Column | str) -> Column:
     return F.when(is_plain(c), F.regexp_replace(c, r"[\f\r]", "")).otherwise(_cleaned(F.when(~is_plain(c), c)))
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility form alone."""
+    return F.when(is_plain(text), text).otherwise(_compatible(F.when(~is_plain(text), text)))
+
+
 def nfkc_casefold_all(texts: Column) -> Column:
     """``nfkc_casefold`` of the items of an array."""
     plain = F.forall(texts, lambda t: F.coalesce(is_plain(t), F.lit(True)))

@@ -17,8 +17,8 @@ SUPPLEMENTARY = r"(?i)^(?:words? (?:and expressions|list|poster)|glossary|vocabu
 
 
 def clean_title(title: Column) -> Column:
-    """Single spaces, a space between a kind of section and its number, bounded; give it the compatibility form of a title."""
-    return F.substring(F.regexp_replace(X.compact(title), r"(?i)\b(module|unit|lesson|chapter)\s*(\d+)\b", "$1 $2"), 1, TITLE_CHARS)
+    """Compatibility form with single spaces, a space between a kind of section and its number, bounded."""
+    return F.substring(F.regexp_replace(X.compact(X.compatible(title)), r"(?i)\b(module|unit|lesson|chapter)\s*(\d+)\b", "$1 $2"), 1, TITLE_CHARS)
 
 
 def line_kind(line: Column) -> Column:

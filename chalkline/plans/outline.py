@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chalkline.deploy import ship
 from chalkline.operators import outline as O
 from chalkline.sources.tables import table
 
@@ -40,6 +41,7 @@ def instruction_pages(spark, d):
 
 
 def clean_titles(spark, d):
+    ship(spark)
     return _records(spark, d).select("ordinal", O.clean_title(F.col("title")).alias("title"))
 
 
@@ -55,6 +57,7 @@ def toc_line_kinds(spark, d):
 
 
 def toc_records(spark, d):
+    ship(spark)
     lines = _lines(spark, d)
     lines = lines.filter("book % 4 <> 3 OR NOT line RLIKE '[0-9]$'")  # every fourth book has headings only
     books = lines.select("book").distinct().select("book", F.lit(_PAGES).alias("n_pages"), (F.col("book") % 3).cast("int").alias("page_offset"))
@@ -62,6 +65,7 @@ def toc_records(spark, d):
 
 
 def bookmark_flatten(spark, d):
+    ship(spark)
     path = F.when(F.col("n_chars") % 3 == 0, F.array(F.col("doc_id"))).when(F.col("n_chars") % 3 == 1, F.array(F.col("doc_id") - F.col("doc_id") % 4, F.col("doc_id"))).otherwise(F.array(F.col("doc_id") - F.col("doc_id") % 4, F.col("doc_id") - F.col("doc_id") % 2, F.col("doc_id")))
     entries = _docs(spark, d).select("book", path.alias("path"), F.col("word").alias("title"), F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 90).alias("page"))
     return O.bookmark_records(entries).select("book", "ordinal", "title", "page", "depth")

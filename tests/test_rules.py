@@ -45,6 +45,10 @@ def test_rules_use_the_compatibility_form(spark):
     assert [r["v"] for r in pairs.select(objectives.near_duplicate(F.col("a"), F.col("b")).alias("v")).collect()] == [True, True, False]
 
 
+def test_titles_are_in_compatibility_form(spark):
+    assert values(spark, outline.clean_title(F.col("t")), ["Ｕｎｉｔ３  ﬁne", "module 12b", None]) == ["Unit 3 fine", "module 12b", None]
+
+
 def test_trailers_are_decoded(spark):
     def read(tail):
         (row,) = access.split_trailer(spark.createDataFrame([("Seen. CITATIONS:" + tail,)], "text string")).collect()
