@@ -77,8 +77,10 @@ def publication_bindings(spark, d):
 def catalog_staging(spark, d):
     docs = table(spark, d, "documents")
     c = docs.select(F.col("source").alias("root"), F.concat("lang", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("checksum"), F.concat(F.lit("k"), "doc_id").alias("stable_key"), F.when(F.col("n_chars") % 9 == 0, "needs_review").otherwise("staged").alias("status"))
-    before = L.snapshot_hash(c.withColumn("checksum", F.concat("checksum", F.lit("\0"), "stable_key")), ["root"]).filter("root LIKE '%1'").select("root", "snapshot")
-    return L.stage_catalog(c, before).select("root", "n_candidates", "needs_review", "state")
+    # The scan before found other contents below most roots
+    other = F.when(F.col("root").like("%1"), F.col("checksum")).otherwise(F.md5("checksum"))
+    before = L.stage_catalog(c.withColumn("checksum", other), spark.createDataFrame([], "root string, snapshot string"))
+    return L.stage_catalog(c, before.select("root", "snapshot")).select("root", "snapshot", "n_candidates", "needs_review", "state")
 
 
 def catalog_approval(spark, d):
@@ -144,7 +146,9 @@ SELECT source, count(*) AS discovered, count_if(same)::BIGINT AS unchanged, coun
     "active_versions": f"WITH {_V} SELECT course_id, active, list_max(list_transform(list_filter(map_keys(s), lambda x: s[x] = 'published' AND x <> active), lambda x: {{'tm': p[x], 'v': x}})).v AS previous FROM l WHERE active IS NOT NULL",
     "publication_bindings": f"""WITH {_S} SELECT DISTINCT l_partkey AS book_id, version_id, source_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN m ON version_id = o_custkey % 3
 WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 3 = version_id AND 'src' || (p_size % 20) = source_id)""",
-    "catalog_staging": "SELECT source AS root, count(*) AS n_candidates, count_if(n_chars % 9 = 0)::BIGINT AS needs_review, CASE WHEN source LIKE '%1' THEN 'reused' ELSE 'new' END AS state FROM documents GROUP BY source",
+    "catalog_staging": """WITH f AS (SELECT source AS root, lang || '/' || doc_id AS path, md5(text) || chr(0) || 'k' || doc_id AS checksum, n_chars FROM documents),
+b AS (SELECT root, left(sha256(path), 3) AS bucket, sha256(string_agg(path || chr(0) || checksum || chr(10), '' ORDER BY path)) AS digest, count(*) AS n, count_if(n_chars % 9 = 0) AS r FROM f GROUP BY ALL)
+SELECT root, sha256(string_agg(digest, '' ORDER BY bucket)) AS snapshot, sum(n)::BIGINT AS n_candidates, sum(r)::BIGINT AS needs_review, CASE WHEN root LIKE '%1' THEN 'reused' ELSE 'new' END AS state FROM b GROUP BY root""",
     "catalog_approval": """WITH c AS (SELECT p_partkey AS id, p_name || '/' || p_brand AS k, lower(p_brand) AS pub, p_type || '/' || (p_size % 4) AS prog FROM part WHERE p_size % 3 <> 0),
 r AS (SELECT 'publisher' AS t, pub AS key, id FROM c UNION ALL SELECT 'programme', prog, id FROM c UNION ALL SELECT 'book', k, id FROM c WHERE k NOT IN (SELECT p_name || '/' || p_brand FROM part WHERE p_partkey % 5 = 0)
 UNION ALL SELECT u.t, u.p || ':' || k, id FROM c, (VALUES ('source_root', 'root'), ('course', 'course'), ('course_run', 'run'), ('book_course_binding', 'binding'), ('outbox_event', 'ingest')) u(t, p)) SELECT t AS "table", key, min(id) AS candidate_id FROM r GROUP BY ALL""",
