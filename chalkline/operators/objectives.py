@@ -1,6 +1,6 @@
 """Learning objectives: their content tokens, and skills that go by many names."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
@@ -33,8 +33,23 @@ def skill(text: Column) -> Column:
     return F.when(has(t, *INTRODUCTION), "self_introduction").when(has(t, COUNTING) & has(t, NUMBERS), "number_sequence").when(asked, "name_inquiry")
 
 
+def repeated_in_job(objectives: DataFrame) -> DataFrame:
+    """(job_id, a, b): pairs of a job's objectives (job_id, id, objective) that are near-duplicates, the smaller id first.
+
+    A job has some tens of objectives, so pairs are made within it; over a corpus ``practice.similar_objectives`` is for that.
+    """
+    read = objectives.select("job_id", "id", tokens(F.col("objective")).alias("words"), skill(F.col("objective")).alias("skill"))
+    x, y = (read.select("job_id", F.col("id").alias(k), F.col("words").alias(f"words_{k}"), F.col("skill").alias(f"skill_{k}")) for k in "ab")
+    same = alike(*(F.col(c) for c in ("words_a", "words_b", "skill_a", "skill_b")))
+    return x.join(y, "job_id").filter((F.col("a") < F.col("b")) & same).select("job_id", "a", "b")
+
+
+def alike(x: Column, y: Column, skill_x: Column, skill_y: Column, least: float = 0.72, common: int = 3) -> Column:
+    """The same skill, or enough of two token sets in common."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(skill_x == skill_y, F.lit(False)) | ((F.least(F.size(x), F.size(y)) >= common) & (shared >= common) & (X.jaccard(x, y) >= least))
+
+
 def near_duplicate(a: Column, b: Column, least: float = 0.72, common: int = 3) -> Column:
     """The same skill, or enough tokens in common."""
-    x, y = tokens(a), tokens(b)
-    shared = F.size(F.array_intersect(x, y))
-    return F.coalesce(skill(a) == skill(b), F.lit(False)) | ((F.least(F.size(x), F.size(y)) >= common) & (shared >= common) & (X.jaccard(x, y) >= least))
+    return alike(tokens(a), tokens(b), skill(a), skill(b), least, common)

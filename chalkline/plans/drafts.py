@@ -146,7 +146,19 @@ _LIT = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"  # no
 _COL = lambda i: "[" + ", ".join(_LIT(c[i]) for c in CASES) + "]"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
-QUERIES = {f.__name__: f for f in (draft_reasons, draft_batches, question_fingerprints, grounding_repair, rubric_rescale, usable_facts, cloze_prompts, display_excerpts, quantity_items, ambiguous_colours, whole_answer_keys, objective_tokens)}
+_SKILLS = (" and count to ten", " and introduce yourself", " and ask for the name", "", "", "")
+
+
+def near_duplicate_objectives(spark, d):
+    """The rule of near-duplicates on objectives of jobs of ten parts, some of which name a skill."""
+    ship(spark)
+    p = table(spark, d, "part")
+    skill = F.element_at(F.array(*map(F.lit, _SKILLS)), (F.col("p_size") % 6 + 1).cast("int"))
+    text = F.concat(F.lit("Describe the "), "p_name", F.lit(" made by "), "p_brand", F.lit(" as "), "p_type", skill)
+    return J.repeated_in_job(p.select(F.floor(F.col("p_partkey") / 10).alias("job_id"), F.col("p_partkey").alias("id"), text.alias("objective")))
+
+
+QUERIES = {f.__name__: f for f in (near_duplicate_objectives, draft_reasons, draft_batches, question_fingerprints, grounding_repair, rubric_rescale, usable_facts, cloze_prompts, display_excerpts, quantity_items, ambiguous_colours, whole_answer_keys, objective_tokens)}
 
 SQL = {
     "draft_reasons": f"""WITH {_B}, c AS (SELECT *, t || {_COL(0)}[k + 1] AS p, {_COL(1)}[k + 1] AS kind, {_COL(2)}[k + 1] AS a, {_COL(4)}[k + 1] AS code, lower(t || {_COL(3)}[k + 1]) AS s FROM b)
@@ -155,6 +167,9 @@ WHEN kind <> 'fill_blank' AND k >= 6 AND regexp_matches(p, '_{{2,}}|\\[\\s*\\]|[
 WHEN k < 10 THEN code WHEN k = 10 THEN 'unreadable_cloze_context' WHEN k = 11 THEN code
 WHEN n = 10 THEN 'type_mismatch' WHEN n = 9 THEN 'request_mismatch' WHEN n IN (7, 8) THEN 'invalid_citations' WHEN trim(s) = '' THEN 'insufficient_evidence'
 WHEN k IN (12, 13, 14, 15, 16, 17, 18) THEN code WHEN kind = 'short_answer' AND n = 6 THEN 'invalid_rubric' ELSE code END AS reason FROM c""",
+    "near_duplicate_objectives": f"""WITH o AS (SELECT p_partkey // 10 AS job_id, p_partkey AS id, p_size % 6 AS k, list_filter(list_distinct(regexp_extract_all(lower('Describe the ' || p_name || ' made by ' || p_brand || ' as ' || p_type || {list(_SKILLS)}[p_size % 6 + 1]), '[a-z]+')), lambda x: x NOT IN {J.STOPS}) AS w FROM part),
+p AS (SELECT x.job_id, x.id AS a, y.id AS b, x.k < 3 AND x.k = y.k AS skill, len(x.w) AS n, len(y.w) AS m, len(list_intersect(x.w, y.w)) AS c FROM o x JOIN o y ON x.job_id = y.job_id AND x.id < y.id)
+SELECT job_id, a, b FROM p WHERE skill OR (least(n, m) >= 3 AND c >= 3 AND c / (n + m - c) >= 0.72)""",
     "draft_batches": """WITH r AS (SELECT o_custkey % 400 AS batch, o_orderkey AS place, lower('say ' || o_orderstatus || (o_custkey % 3) || (o_orderkey % 50)) AS f, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0 THEN 'answer_leakage' END AS reason FROM orders),
 m AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY batch, f ORDER BY place) > 1 THEN 'duplicate_question' END) AS failed FROM r)
 SELECT batch, CASE WHEN count(*) <> 4 THEN 'count_mismatch' ELSE coalesce(arg_min(failed, place) FILTER (failed IS NOT NULL), 'valid') END AS state FROM m GROUP BY batch""",
