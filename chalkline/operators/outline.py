@@ -8,8 +8,8 @@ from chalkline.functions import text as X
 TITLE_CHARS, MAX_DEPTH = 300, 8
 #: Pages of a bin in which chunks and nodes meet.
 PAGE_BIN = 8
-# Lines of contents, headings, and headings that are parents or children; sections that aren't taught.
-TOC = r"(?i)^(.+?)\s*(?:[．·…]{2,}|\.{3,})\s*(\d{1,4})$"
+# Lines of contents (leaders follow a title), headings, and headings that are parents or children; sections that aren't taught.
+TOC = r"(?i)^(?!\s*[．·…])(.+?)\s*(?:[．·…]{2,}|\.{3,})\s*(\d{1,4})$"
 HEADING = r"(?i)^(第\s*[一二三四五六七八九十百0-9]+\s*[章节课单元].{0,200}|(?:module|unit|lesson|chapter)\s*\d+\b.{0,200}|review\s+module|\d+(?:\.\d+){0,3}\s+.{1,200})$"
 PARENT_HEADING = r"(?i)^(?:(?:module\s*\d+)|review\s+module|第\s*[一二三四五六七八九十百0-9]+\s*(?:章|单元).*)$"
 CHILD_HEADING = r"(?i)^(?:(?:unit|lesson)\s*\d+\b|第\s*[一二三四五六七八九十百0-9]+\s*课\b)"

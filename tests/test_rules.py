@@ -49,6 +49,11 @@ def test_titles_are_in_compatibility_form(spark):
     assert values(spark, outline.clean_title(F.col("t")), ["Ｕｎｉｔ３  ﬁne", "module 12b", None]) == ["Unit 3 fine", "module 12b", None]
 
 
+def test_leaders_without_a_title_are_no_line_of_contents(spark):
+    lines = [" ……… 88", "……… 88", "···· 9", "one ……… 88", "1 … ……… 88", "Unit 3  ..... 7", None]
+    assert values(spark, outline.line_kind(F.col("t")), lines) == ["text", "text", "text", "toc", "toc", "toc", "text"]
+
+
 def test_trailers_are_decoded(spark):
     def read(tail):
         (row,) = access.split_trailer(spark.createDataFrame([("Seen. CITATIONS:" + tail,)], "text string")).collect()
