@@ -54,6 +54,13 @@ def test_leaders_without_a_title_are_no_line_of_contents(spark):
     assert values(spark, outline.line_kind(F.col("t")), lines) == ["text", "text", "text", "toc", "toc", "toc", "text"]
 
 
+def test_records_leave_out_leaders_without_a_title(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "Module  2"), (1, 1, 2, "Unit 3 one ..... 7"), (1, 1, 3, " ……… 8"), (1, 1, 4, "Unit 4 two ..... 9")], "book long, page int, n int, line string")
+    books = spark.createDataFrame([(1, 120, 0)], "book long, n_pages int, page_offset int")
+    found = outline.text_records(lines, books).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["title"], r["page"], r["depth"]) for r in found] == [(0, "Module 2", 7, 0), (1, "Unit 3 one", 7, 1), (2, "Unit 4 two", 9, 1)]
+
+
 def test_trailers_are_decoded(spark):
     def read(tail):
         (row,) = access.split_trailer(spark.createDataFrame([("Seen. CITATIONS:" + tail,)], "text string")).collect()
