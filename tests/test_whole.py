@@ -64,6 +64,21 @@ def test_near_duplicate_links_are_few(spark, monkeypatch):
     assert len(found) == 49
 
 
+def test_sketches_keep_every_link_and_few_others(spark):
+    rng = random.Random(5)
+    sets = {}
+    for i in range(60):  # neighbours at the limit of 0.72, and others that share a rare word
+        common = [rng.getrandbits(63) for _ in range(180)]
+        sets |= {2 * i: [7, *common, *(rng.getrandbits(63) for _ in range(35))], 2 * i + 1: [7, *common, *(rng.getrandbits(63) for _ in range(35))]}
+    frame = spark.createDataFrame(list(sets.items()), "key long, vs array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    found = {(r["a"], r["b"]) for r in practice._sketched(pairs, frame, 0.72).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(60)} <= found and len(found) < 200
+    short = spark.createDataFrame([(0, [1, 2, 3]), (1, list(range(100))), (2, list(range(72))), (3, list(range(200, 272)))], "key long, vs array<long>")
+    near = practice._sketched(spark.createDataFrame([(0, 1), (1, 2), (1, 3)], "a long, b long"), short, 0.72).collect()
+    assert [(r["a"], r["b"]) for r in near] == [(1, 2)]
+
+
 def test_texts_are_judged_whole(spark, tmp_path):
     prose = "some plain words of a lesson " * 100
     documents = [(1, prose), (2, prose + "my password is x"), (3, prose + "call +44 20 7946 0958 now"), (4, None), (13, prose + "see page 12"), (15, "see ____ " + prose)]
