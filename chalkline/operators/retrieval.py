@@ -13,17 +13,46 @@ from chalkline.sources.scratch import scratch_table
 
 #: Query vectors that are sent to the tasks at a time, about; more of them are handled in further blocks.
 QUERY_BLOCK = 1 << 16
+#: Scores that a task looks at in a step, however large its batches are.
+SCORES = 1 << 20
 MIN_SCORE, SURE_SCORE = 0.2, 0.5
 MAX_CHUNKS, MAX_TOKENS, LEAST_LEFT = 5, 3500, 32
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equally long vectors as unit rows."""
-    flat = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)  # of a slice, its own values
     rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
 
 
+def merge_best(held: tuple, vectors: np.ndarray, stored: np.ndarray, cid: np.ndarray, k: int, ranks: tuple | None = None) -> tuple:
+    """(scores, cids): the ``k`` best for each of the vectors among those held and the stored rows, ties by cid.
+
+    Rows are looked at in steps of about SCORES scores. With ``ranks`` (of vectors, of rows) rows above a vector's rank
+    have a score of -inf.
+    """
+    step = max(1, SCORES // max(1, len(vectors)))
+    for at in range(0, len(cid), step):
+        scores = vectors @ stored[at : at + step].T
+        np.round(scores, 6, out=scores)
+        if ranks is not None:
+            scores[ranks[1][None, at : at + step] > ranks[0][:, None]] = -np.inf
+        some = cid[at : at + step]
+        if held[0].shape[1] == k:  # rows that none of the vectors can still take
+            near = (scores >= held[0][:, -1:]).any(axis=0)
+            scores, some = scores[:, near], some[near]
+        ids = np.hstack((held[1], np.broadcast_to(some, scores.shape)))
+        scores = np.hstack((held[0], scores))
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        held = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    return held
+
+
+def none_held(n: int) -> tuple:
+    return np.zeros((n, 0)), np.zeros((n, 0), np.int64)
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, ranked_access: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, cid, score, recall_rank): the ``k`` most similar chunks of every query by cosine, ties by cid.
 
@@ -61,22 +90,15 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
 def _block_topk(chunks: DataFrame, shared: Broadcast, k: int, step: int = 1024) -> DataFrame:
     """The ``k`` best chunks of a block's queries in each task."""
 
-    def merge(held: tuple, cid: np.ndarray, scores: np.ndarray) -> tuple:
-        scores, cid = np.hstack((held[0], scores)), np.hstack((held[1], np.broadcast_to(cid, scores.shape)))
-        order = np.lexsort((cid, -scores), axis=1)[:, :k]
-        return np.take_along_axis(scores, order, 1), np.take_along_axis(cid, order, 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, ranks = shared.value
-        held = {at: (np.zeros((len(ids[at : at + step]), 0)), np.zeros((len(ids[at : at + step]), 0), np.int64)) for at in range(0, len(ids), step)}
+        held = {at: none_held(len(ids[at : at + step])) for at in range(0, len(ids), step)}
         for batch in batches:
             if batch.num_rows:
-                cid, stored = batch.column("cid").to_numpy(), _matrix(batch.column("cvec")).T
+                cid, stored = batch.column("cid").to_numpy(), _matrix(batch.column("cvec"))
                 for at in held:
-                    scores = np.round(vectors[at : at + step] @ stored, 6)
-                    if ranks is not None:
-                        scores = np.where(batch.column("crank").to_numpy()[None, :] <= ranks[at : at + step, None], scores, -np.inf)
-                    held[at] = merge(held[at], cid, scores)
+                    of = None if ranks is None else (ranks[at : at + step], batch.column("crank").to_numpy())
+                    held[at] = merge_best(held[at], vectors[at : at + step], stored, cid, k, of)
         for at, (scores, cid) in held.items():
             keep = np.isfinite(scores)
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[at : at + step, None], scores.shape)[keep]), pa.array(cid[keep]), pa.array(scores[keep] + 0.0)], names=["qid", "cid", "score"])

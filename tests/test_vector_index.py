@@ -1,5 +1,7 @@
 """The inverted-file index against brute force: exact results, recall, filters in the scan, hot cells and odd rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,20 @@ def test_filters_reach_the_scan(spark, sf, capsys):
     kept.explain("formatted")
     plan = capsys.readouterr().out
     assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "[cell") and "EqualTo(tenant_id,1)" in plan and "EqualTo(version_id,3)" in plan
+
+
+def test_memory_of_a_search_does_not_grow_with_batches(monkeypatch):
+    rng = np.random.default_rng(8)
+    stored, wanted, cid = rng.normal(size=(10_000, 8)), rng.normal(size=(1024, 8)), rng.permutation(10_000)
+    stored[50:90] = stored[50]
+    tracemalloc.start()
+    scores, found = retrieval.merge_best(retrieval.none_held(1024), wanted, stored, cid, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all scores at once are 82 MB, and there were six such arrays
+    all_scores = np.round(wanted @ stored.T, 6)
+    order = np.lexsort((np.broadcast_to(cid, all_scores.shape), -all_scores), axis=1)[:, :15]
+    assert np.array_equal(found, cid[order]) and np.allclose(scores, np.take_along_axis(all_scores, order, 1), atol=2e-6)
+    ranks = rng.integers(0, 4, 1024), rng.integers(0, 5, 10_000)
+    held, ids = retrieval.merge_best(retrieval.none_held(1024), wanted, stored, cid, 15, ranks)
+    assert (ranks[1][np.argsort(cid)][ids] <= ranks[0][:, None])[np.isfinite(held)].all()
