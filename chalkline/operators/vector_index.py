@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkline.operators.retrieval import _matrix, _whole
+from chalkline.operators.retrieval import _matrix, _whole, merge_best, none_held
 from chalkline.sources.scratch import scratch_table
 
 #: Rows that centroids are fitted on, about, and steps of the fit.
 SAMPLE, STEPS = 50_000, 12
 #: Rows of a part of a cell, and queries of a block that meets a part.
 PART_ROWS, QUERY_ROWS = 8192, 2048
+#: Rows that a task compares with all centroids, or queries with a part, in a step.
+STEP_ROWS = 256
 #: Centroids are sent to the tasks whole; there are no more of them than this allows.
 CENTROID_BYTES = 64 << 20
 
@@ -49,6 +51,13 @@ def fit_centroids(sample: np.ndarray, cells: int, steps: int = STEPS) -> np.ndar
     return centroids
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of STEP_ROWS rows at most, none empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(at, STEP_ROWS)
+
+
 def _nearest(rows: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     """The numbers of the ``k`` nearest centroids of each row, nearest first."""
     similar = rows @ centroids.T
@@ -83,12 +92,11 @@ class VectorIndex:
         shared = spark.sparkContext.broadcast(centroids)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    rows = _matrix(batch.column("cvec"))
-                    cell = _nearest(rows, shared.value, 1)[:, 0]
-                    to_centre = np.einsum("ij,ij->i", rows, shared.value[cell])
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(to_centre)], names=[*batch.schema.names, "cell", "to_centre"])
+            for batch in _steps(batches):
+                rows = _matrix(batch.column("cvec"))
+                cell = _nearest(rows, shared.value, 1)[:, 0]
+                to_centre = np.einsum("ij,ij->i", rows, shared.value[cell])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(to_centre)], names=[*batch.schema.names, "cell", "to_centre"])
 
         schema = T.StructType([*known.schema, T.StructField("cell", T.IntegerType()), T.StructField("to_centre", T.DoubleType())])
         placed = scratch_table(known.mapInArrow(assign, schema), "placed")
@@ -116,11 +124,12 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell, centroids, least = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    of, at = np.nonzero(reach(_matrix(batch.column("qvec")) @ centroids.T, least, cell, batch))
-                    kept = batch.select(names).take(pa.array(of))
-                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell[at])], names=[*names, "cell"])
+            for batch in _steps(batches):
+                of, at = np.nonzero(reach(_matrix(batch.column("qvec")) @ centroids.T, least, cell, batch))
+                # A query goes to many cells, each time with its vector
+                for some in range(0, len(of), PART_ROWS):
+                    kept = batch.select(names).take(pa.array(of[some : some + PART_ROWS]))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell[at[some : some + PART_ROWS]])], names=[*names, "cell"])
 
         return queries.mapInArrow(run, T.StructType([*(queries.schema[c] for c in names), T.StructField("cell", T.IntegerType())]))
 
@@ -134,17 +143,16 @@ class VectorIndex:
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("met", "of")
 
         def best(queries: pa.Table, stored: pa.Table) -> pa.Table:
-            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
             if queries.num_rows and stored.num_rows:
-                scores = np.round(_matrix(_whole(queries.column("qvec"))) @ _matrix(_whole(stored.column("cvec"))).T, 6) + 0.0
-                if ranked:
-                    scores[stored.column("crank").to_numpy()[None, :] > queries.column("qrank").to_numpy()[:, None]] = -np.inf
-                cid = np.broadcast_to(stored.column("cid").to_numpy(), scores.shape)
-                order = np.lexsort((cid, -scores), axis=1)[:, :k]
-                scores, cid = np.take_along_axis(scores, order, 1), np.take_along_axis(cid, order, 1)
-                keep = np.isfinite(scores)
-                out = [np.broadcast_to(queries.column("qid").to_numpy()[:, None], scores.shape)[keep], cid[keep], scores[keep]]
-            return pa.table([pa.array(x) for x in out], names=["qid", "cid", "score"])
+                qid, vectors, cid, unit = queries.column("qid").to_numpy(), _matrix(_whole(queries.column("qvec"))), stored.column("cid").to_numpy(), _matrix(_whole(stored.column("cvec")))
+                for at in range(0, len(qid), STEP_ROWS):
+                    of = (queries.column("qrank").to_numpy()[at : at + STEP_ROWS], stored.column("crank").to_numpy()) if ranked else None
+                    scores, found = merge_best(none_held(len(qid[at : at + STEP_ROWS])), vectors[at : at + STEP_ROWS], unit, cid, k, of)
+                    keep = np.isfinite(scores)
+                    for part, x in zip(out, (np.broadcast_to(qid[at : at + STEP_ROWS, None], scores.shape)[keep], found[keep], scores[keep] + 0.0), strict=True):
+                        part.append(x)
+            return pa.table([pa.array(np.concatenate(x)) for x in out], names=["qid", "cid", "score"])
 
         keys = ["cell", "part", "block"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "qid long, cid long, score double")

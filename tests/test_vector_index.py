@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,10 @@ def test_memory_of_a_search_does_not_grow_with_batches(monkeypatch):
     ranks = rng.integers(0, 4, 1024), rng.integers(0, 5, 10_000)
     held, ids = retrieval.merge_best(retrieval.none_held(1024), wanted, stored, cid, 15, ranks)
     assert (ranks[1][np.argsort(cid)][ids] <= ranks[0][:, None])[np.isfinite(held)].all()
+
+
+def test_batches_of_the_index_are_cut():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array([[float(i)] * 2 for i in range(1000)])], names=["cid", "cvec"])
+    cut = list(vector_index._steps(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in cut) <= vector_index.STEP_ROWS and [x for b in cut for x in b.column("cid").to_pylist()] == list(range(1000))
+    assert np.allclose(np.vstack([retrieval._matrix(b.column("cvec")) for b in cut]), retrieval._matrix(batch.column("cvec")))
