@@ -6,6 +6,15 @@ from pyspark.sql import functions as F
 from chalkline.sources.scratch import scratch_table
 
 
+#: Rows of queries' terms or passages that are sent to all tasks; more of them meet the documents by shuffle.
+SMALL_ROWS = 50_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for a broadcast where they are few, so that a frequent term's documents stay in all tasks."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+
+
 def term_counts(tokens: DataFrame, key: str) -> DataFrame:
     """(key, token, tf) as a written table, so that texts are split once."""
     return scratch_table(tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
@@ -20,15 +29,15 @@ def inverse_frequency(terms: DataFrame, n_docs: Column) -> DataFrame:
 def tfidf_scores(queries: DataFrame, terms: DataFrame, n_docs: Column, k: int) -> DataFrame:
     """Top ``k`` documents of each query (qid, token) by cosine of normalised TF-IDF vectors: an equi-join on tokens.
 
-    Only the documents' terms that some query has meet the queries; lengths are sums over all terms of a document.
+    Few queries' terms meet the documents' where these are (``small``); lengths are sums over all terms of a document.
     """
     idf = scratch_table(inverse_frequency(terms, n_docs).select("token", "idf"), "idf")
     d = terms.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    q = scratch_table(queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token").select("qid", "token", (F.col("tf") * F.col("idf")).alias("qw")), "query-terms")
+    q = scratch_table(queries.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token").select("qid", "token", "idf", (F.col("tf") * F.col("idf")).alias("qw")), "query-terms")
     norm = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    met = terms.join(q.select("token").distinct(), "token", "left_semi").join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    scores = met.join(q, "token").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    met = terms.join(small(q), "token").withColumn("w", F.col("tf") * F.col("idf"))
+    scores = met.groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
     scores = scores.join(norm, "doc_id").join(qnorm, "qid").select("qid", "doc_id", F.round(F.col("s") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked.filter(F.col("rank") <= k)

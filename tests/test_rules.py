@@ -61,6 +61,22 @@ def test_records_leave_out_leaders_without_a_title(spark):
     assert [(r["ordinal"], r["title"], r["page"], r["depth"]) for r in found] == [(0, "Module 2", 7, 0), (1, "Unit 3 one", 7, 1), (2, "Unit 4 two", 9, 1)]
 
 
+def test_few_query_terms_go_to_the_documents(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms = spark.createDataFrame([(d, t, 1 + d % 2) for d in range(40) for t in ("the", f"w{d % 5}")], "doc_id long, token string, tf long")
+        queries = spark.createDataFrame([(1, "the"), (1, "w3"), (2, "w4")], "qid long, token string")
+        few = evaluation.tfidf_scores(queries, terms, F.lit(40), 3)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().toString()
+        monkeypatch.setattr(evaluation, "SMALL_ROWS", 1)
+        many = evaluation.tfidf_scores(queries, terms, F.lit(40), 3)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().toString()
+        assert sorted(few.collect()) == sorted(many.collect()) and len(few.collect()) == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_trailers_are_decoded(spark):
     def read(tail):
         (row,) = access.split_trailer(spark.createDataFrame([("Seen. CITATIONS:" + tail,)], "text string")).collect()
