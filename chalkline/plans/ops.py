@@ -135,7 +135,7 @@ def _expected(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", _words("text").alias("words")).filter(F.size("words") >= _PASSAGE)
     starts = F.sequence(F.lit(1), F.size("words") - _PASSAGE + 1)
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, _PASSAGE), " ")))).alias("gram"))
-    return grams.join(items, "gram").select("qid", "doc_id").distinct()
+    return grams.join(V.small(items), "gram").select("qid", "doc_id").distinct()
 
 
 def recall_mrr(spark, d):
