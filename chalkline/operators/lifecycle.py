@@ -153,10 +153,12 @@ def active_versions(events: DataFrame) -> DataFrame:
 def publication_bindings(published: DataFrame, books: DataFrame, members: DataFrame, existing: DataFrame) -> DataFrame:
     """New (book_id, version_id, source_id) of a publication: a run's books with all of its version's sources, those that exist left out.
 
-    published (run_id, version_id), books (run_id, book_id), members (version_id, source_id).
+    published (run_id, version_id), books (run_id, book_id), members (version_id, source_id). A version's books and its
+    sources are each made distinct before they meet, so no pair is made twice, however many runs have it.
     """
     keys = ["book_id", "version_id", "source_id"]
-    wanted = published.join(books, "run_id").join(members, "version_id").select(*keys).distinct()
+    bound = published.join(books, "run_id").select("book_id", "version_id").distinct()
+    wanted = bound.join(members.select("version_id", "source_id").distinct(), "version_id").select(*keys)
     return wanted.join(existing.select(*keys), keys, "left_anti")
 
 

@@ -77,6 +77,17 @@ def test_few_query_terms_go_to_the_documents(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bindings_of_a_publication_meet_once(spark):
+    published = spark.createDataFrame([(r, 1) for r in range(50)], "run_id long, version_id long")
+    books = spark.createDataFrame([(r, b) for r in range(50) for b in (1, 2)], "run_id long, book_id long")
+    members = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "version_id long, source_id string")
+    existing = spark.createDataFrame([(2, 1, "b")], "book_id long, version_id long, source_id string")
+    found = lifecycle.publication_bindings(published, books, members, existing)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (1, 1, "b"), (2, 1, "a")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # nothing is made distinct after the pairs are made
+
+
 def test_trailers_are_decoded(spark):
     def read(tail):
         (row,) = access.split_trailer(spark.createDataFrame([("Seen. CITATIONS:" + tail,)], "text string")).collect()
