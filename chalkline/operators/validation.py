@@ -289,17 +289,22 @@ def repair_grounding(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
 
     drafts (draft_id, job_id, citations, answers) and chunks (job_id, place, chunk_id, text) of the same inference call;
     a draft is compared with its own call's chunks only. Where an answer is in none of them, citations stay.
+
+    Texts move once and are neither sorted nor kept: they stream past a hash table of their calls' answers, and what
+    goes on is whether they hold them.
     """
-    each = drafts.select("draft_id", "job_id", "citations", F.posexplode("answers").alias("nth", "answer")).join(chunks.withColumn("__t", normal(F.col("text"))), "job_id")
-    holds = contains_answer(F.col("__t"), F.col("answer"))
-    cited = F.array_contains("citations", F.col("chunk_id"))
-    per = each.groupBy("draft_id", "nth").agg(F.bool_or(holds & cited).alias("held"), F.min(F.when(holds, F.struct("place", "chunk_id")))["chunk_id"].alias("first"))
-    known = drafts.select("draft_id", "job_id", F.explode("citations").alias("chunk_id")).join(chunks.select("job_id", "chunk_id"), ["job_id", "chunk_id"]).groupBy("draft_id").agg(F.countDistinct("chunk_id").alias("known"))
-    found_ = per.groupBy("draft_id").agg(F.bool_and("held").alias("held"), F.array_sort(F.collect_list(F.struct("nth", "first"))).alias("fs"), F.bool_and(F.col("first").isNotNull()).alias("all"))
-    joined = drafts.join(found_, "draft_id", "left").join(known, "draft_id", "left")
-    good = F.col("held") & (F.coalesce("known", F.lit(0)) == F.size(F.array_distinct("citations")))
+    c = F.col
+    each = drafts.select("job_id", "draft_id", "citations", F.posexplode("answers").alias("nth", "answer")).withColumn("answer", normal(c("answer")))
+    texts = chunks.select("job_id", "place", "chunk_id", normal(c("text")).alias("__t"))
+    holds = (F.length("answer") >= 2) & F.contains("__t", "answer")
+    met = each.hint("shuffle_hash").join(texts, "job_id").select("job_id", "draft_id", "nth", "place", "chunk_id", F.array_contains("citations", c("chunk_id")).alias("cited"), holds.alias("holds"))
+    first = F.min(F.when(c("holds"), F.struct("place", "chunk_id")))["chunk_id"]
+    per = met.groupBy("job_id", "draft_id", "nth").agg(F.bool_or(c("holds") & c("cited")).alias("held"), first.alias("first"), F.size(F.collect_set(F.when(c("cited"), c("chunk_id")))).alias("known"))
+    found_ = per.groupBy("job_id", "draft_id").agg(F.bool_and("held").alias("held"), F.array_sort(F.collect_list(F.struct("nth", "first"))).alias("fs"), F.bool_and(c("first").isNotNull()).alias("all"), F.max("known").alias("known"))
+    joined = drafts.select("job_id", "draft_id", "citations").join(found_, ["job_id", "draft_id"], "left")
+    good = c("held") & (c("known") == F.size(F.array_distinct("citations")))
     repaired = F.array_distinct(F.transform("fs", lambda f: f["first"]))
-    return joined.select("draft_id", F.when(F.coalesce(~good & F.col("all"), F.lit(False)), repaired).otherwise(F.col("citations")).alias("citations"))
+    return joined.select("draft_id", F.when(F.coalesce(~good & c("all"), F.lit(False)), repaired).otherwise(c("citations")).alias("citations"))
 
 
 def rescale(rubric: Column) -> Column:

@@ -167,3 +167,12 @@ def test_name_uuids(spark):
 
     names = ["practice-set:1", "exercise:x:0", "日本"]
     assert values(spark, sets.name_uuid(F.col("t")), names) == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
+def test_grounding_keeps_texts_out_of_sorts(spark):
+    chunks = spark.createDataFrame([(1, 1, 10, "Alpha beta"), (1, 2, 11, "gamma  DELTA"), (1, 3, 12, "alpha gamma"), (3, 1, 30, "omega")], "job_id long, place int, chunk_id long, text string")
+    rows = [(1, 1, [10], ["alpha"]), (2, 1, [10], ["alpha", "Gamma delta"]), (3, 1, [12], ["alpha", "gamma"]), (4, 1, [12, 99], ["alpha"]), (5, 1, [10], ["alpha", "zeta"]), (6, 1, [10], []), (7, 2, [10], ["alpha"]), (8, 1, [12], ["a"]), (2, 3, [30], ["omega"])]
+    found = validation.repair_grounding(spark.createDataFrame(rows, "draft_id long, job_id long, citations array<long>, answers array<string>"), chunks)
+    assert sorted((r["draft_id"], r["citations"]) for r in found.collect()) == [(1, [10]), (2, [10, 11]), (2, [30]), (3, [12]), (4, [10]), (5, [10]), (6, [10]), (7, [10]), (8, [12])]
+    nodes = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "ShuffledHashJoin" in nodes and "SortAggregate" not in nodes
