@@ -95,19 +95,25 @@ def display_fragments(text: Column, limit: int = EXCERPT_CHARS, found: Column |
 
 
 def cloze_span(quote: Column, answer: Column) -> Column:
-    """(sentence, at, length) of the shortest sentence of a quote (or all of it) that a blank for ``answer`` leaves readable, else null."""
-    parts = F.concat(F.transform(F.regexp_extract_all(quote, F.lit(r"([^.!?]+(?:[.!?]+|$))"), F.lit(1)), X.strip), F.array(X.strip(quote)))
-    sorted_ = F.array_sort(F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), F.regexp_replace(x, r"^#+\s*", "").alias("c"))))
+    """(n, i, sentence, at, length) of the shortest sentence of a quote (or all of it) that a blank for ``answer`` leaves readable, else null.
+
+    Quote and answer are bound as an array's element, so both are computed once, and only short sentences with the answer meet patterns.
+    """
+
+    def span(g: Column) -> Column:
+        parts = F.concat(F.transform(F.regexp_extract_all(g["quote"], F.lit(r"([^.!?]+(?:[.!?]+|$))"), F.lit(1)), X.strip), F.array(X.strip(g["quote"])))
+        plain = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), F.regexp_replace(x, r"^#+\s*", "").alias("c")))
+        short = F.filter(plain, lambda x: F.length(x["c"]) <= CLOZE_CHARS)
+        placed = F.transform(short, lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), x["c"].alias("sentence"), F.instr(F.lower(x["c"]), F.lower(g["answer"])).alias("at"), F.length(g["answer"]).alias("length")))
+        return F.array_min(F.filter(F.filter(placed, lambda x: x["at"] > 0), good))
 
     def good(x: Column) -> Column:
-        c = x["c"]
-        at = F.instr(F.lower(c), F.lower(answer))
-        rest = F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(answer), F.length(c)))
-        clean = (F.length(c) <= CLOZE_CHARS) & ~F.contains(c, F.lit("____")) & ~F.rlike(c, F.lit(r"\.{2,}|…")) & ~V.unreadable_cloze(c)
-        return clean & (at > 0) & (F.regexp_count(rest, F.lit(r"(?U)\w")) >= 4)
+        c = x["sentence"]
+        rest = F.concat(F.substring(c, F.lit(1), x["at"] - 1), F.substring(c, x["at"] + x["length"], F.length(c)))
+        clean = ~F.contains(c, F.lit("____")) & ~F.rlike(c, F.lit(r"\.{2,}|…")) & ~V.unreadable_cloze(c)
+        return clean & (F.regexp_count(rest, F.lit(r"(?U)\w")) >= 4)
 
-    first = F.try_element_at(F.filter(sorted_, good), F.lit(1))["c"]
-    return F.when(first.isNotNull(), F.struct(first.alias("sentence"), F.instr(F.lower(first), F.lower(answer)).alias("at"), F.length(answer).alias("length")))
+    return F.element_at(F.transform(F.array(F.struct(quote.alias("quote"), answer.alias("answer"))), span), 1)
 
 
 def cloze_answer(quote: Column, answer: Column) -> Column:
@@ -121,10 +127,13 @@ def cloze_answer(quote: Column, answer: Column) -> Column:
 
 def cloze_prompt(quote: Column, answer: Column, language: Column) -> Column:
     """A prompt with a blank for ``answer`` in its sentence; null where there is none."""
-    s = cloze_span(quote, answer)
     prefixes = F.create_map(*(F.lit(x) for kv in CLOZE_PREFIX.items() for x in kv))
-    template = F.concat(F.substring(s["sentence"], F.lit(1), s["at"] - 1), F.lit("____"), F.substring(s["sentence"], s["at"] + s["length"], F.length(s["sentence"])))
-    return F.concat(F.try_element_at(prefixes, language), F.lit("“"), template, F.lit("”"))
+
+    def prompt(s: Column) -> Column:
+        template = F.concat(F.substring(s["sentence"], F.lit(1), s["at"] - 1), F.lit("____"), F.substring(s["sentence"], s["at"] + s["length"], F.length(s["sentence"])))
+        return F.concat(F.try_element_at(prefixes, language), F.lit("“"), template, F.lit("”"))
+
+    return F.element_at(F.transform(F.array(cloze_span(quote, answer)), prompt), 1)
 
 
 def ambiguous_colour(prompt: Column, source: Column) -> Column:

@@ -176,3 +176,13 @@ def test_grounding_keeps_texts_out_of_sorts(spark):
     assert sorted((r["draft_id"], r["citations"]) for r in found.collect()) == [(1, [10]), (2, [10, 11]), (2, [30]), (3, [12]), (4, [10]), (5, [10]), (6, [10]), (7, [10]), (8, [12])]
     nodes = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     assert "ShuffledHashJoin" in nodes and "SortAggregate" not in nodes
+
+
+def test_cloze_finds_the_sentences_once(spark):
+    quote = "## A hello is a word here. So is hello in this one too. " + "x" * 94 + " hello. Or hello .. it is a word."
+    rows = [(1, quote, "hello"), (2, quote, "absent"), (3, None, "hello"), (4, "", "hello"), (5, "One more word.", ""), (6, quote, None), (7, "Hello is one word. hello as one word.", "HELLO"), (8, "Say it, hello, " + "y" * 84 + ".", "hello"), (9, "Say it, hello, " + "y" * 85 + ".", "hello")]
+    found = spark.createDataFrame(rows, "i int, q string, a string").select("i", evidence.cloze_prompt(F.col("q"), F.col("a"), F.lit("en")).alias("v"))
+    shown = lambda t: f"Complete the textbook sentence: “{t}”"
+    expected = [shown("A ____ is a word here."), None, None, None, shown("____One more word."), None, shown("____ is one word."), shown("Say it, ____, " + "y" * 84 + "."), None]
+    assert [r["v"] for r in sorted(found.collect(), key=lambda r: r["i"])] == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^.!?]+") == 1
