@@ -1,5 +1,8 @@
 """Evidence as learners see it, and facts, blanks and keys made from exact quotes. Everything happens on the row but the check of facts."""
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,11 +10,12 @@ from chalkline.functions import text as X
 from chalkline.operators import validation as V
 
 EXCERPT_CHARS, MAX_FRAGMENTS, FRAGMENT_CHARS, CLOZE_CHARS = 240, 4, (12, 120), 100
-# Sentences, words, marks of bad recognition, labels of activities, colours and questions for one, words that aren't blanked.
-SENTENCE = r"([^.!?。！？]+(?:[.!?。！？]+|$))"
+# Ends of sentences, words, marks of bad recognition, labels of activities, colours and questions for one, words that aren't blanked.
+ASCII_STOPS, WIDE_STOPS = ".!?", "。！？"
 LATIN_WORD = r"([A-Za-z]+(?:['’][A-Za-z]+)?)"
 OCR_MARKS = r"\\?\[_+\]\]+|[�¢§%®©]|[—_]{2,}"
-ACTIVITY_LABEL = r"(?i)\blisten(?:,|\s+(?:and|point))|\b(?:look and|read and|do and say|practise|practice|unit\s+\d+|module\s+\d+)\b"
+OCR_SIGNS = ("�", "¢", "§", "%", "®", "©", "[_", "__", "—")  # each mark has one of them
+ACTIVITY_LABEL = r"(?=[DLMPRUdlmpru])(?i:\blisten(?:,|\s+(?:and|point))|\b(?:look and|read and|do and say|practise|practice|unit\s+\d+|module\s+\d+)\b)"
 LEADING_CODE = r"^[\s\"'‘’]*(?:\d+[A-Z]\s|#\s*\d+\s)"
 COLOURS = r"\b(red|blue|green|yellow|black|white|pink|purple|orange|brown|grey|gray)\b"
 COLOUR_ASKED = (r"(?i)\bnow\s+it['’]s\s+_{2,}", r"这(?:顶|个|件|只).{0,12}颜色是什么", r"(?i)what\s+colou?r\s+is\s+(?:this|that|the)\s+")
@@ -20,56 +24,84 @@ CLOZE_PREFIX = {"zh": "补全教材原句：", "en": "Complete the textbook sent
 SELF_ASSESSMENT = ("i can do this", "can do this")
 
 
-def quotable(sentence: Column) -> Column:
-    """The sentence, or what follows its last mark of bad recognition if that is three words or more, else ''."""
+def quotable(sentence: Column, marks: Column) -> Column:
+    """The sentence, or what follows its last mark of bad recognition if that is three words or more, else ''. ``marks`` is the count of its whole text."""
     rest = F.regexp_replace(sentence, rf"(?s)^.*(?:{OCR_MARKS})[ =:;'\"‘’\t]*", "")
-    marked = V.has(sentence, OCR_MARKS)
-    return F.when(~marked, sentence).when(F.size(F.regexp_extract_all(rest, F.lit(LATIN_WORD), F.lit(1))) >= 3, rest).otherwise("")
+    clean = (marks == 0) | ~V.has(sentence, OCR_MARKS)
+    return F.when(clean, sentence).when(F.size(F.regexp_extract_all(rest, F.lit(LATIN_WORD), F.lit(1))) >= 3, rest).otherwise("")
 
 
-#: A word of ``words`` joined by single spaces, and one that is all capitals, of two to five characters.
-_WORD, _CAPITALS = r"(?<![^ ])[^ ]+", r"(?<![^ ])(?=[A-Z'’]{2,5}(?![^ ]))[A-Z]+(?:['’][A-Z]+)?(?![^ ])"
+#: A word of ``words`` that is all capitals, of two to five characters, and what every one of them begins with.
+_CAPITALS, _TWO_CAPITALS = r" (?=[A-Z'’]{2,5}(?![^ ]))[A-Z]+(?:['’][A-Z]+)?(?![^ ])", r" [A-Z](?:[A-Z]|['’])"
 
 
-def readable(x: Column) -> Column:
+def readable(x: Column, marks: Column) -> Column:
     """Letters enough, no marks, labels or codes, and no sign of broken lines: repeats, mixed case, scattered capitals.
 
-    ``x`` is a sentence with its words, joined by single spaces so that each sign is one pattern, and counts: (text, words,
-    n, capitals, letters).
+    ``x`` is a sentence with its words, each behind one space so that each sign is one pattern, and counts: (text, words,
+    n, capitals). Letters are counted only where those of the words (all but a space and perhaps an apostrophe each) aren't enough.
     """
-    sentence, words, n, capitals, letters = (x[c] for c in ("text", "words", "n", "capitals", "letters"))
+    sentence, words, n, capitals = (x[c] for c in ("text", "words", "n", "capitals"))
     share = capitals / n
     scattered = ((n >= 6) & (capitals >= 3) & (share >= 0.3)) | ((n <= 3) & (capitals >= 2) & (share >= 0.5))
-    repeated = V.has(words, r"(?i)(?<![^ ])([^ ]+ [^ ]+) \1(?![^ ])", r"(?i)(?<![^ ])([^ ]+ [^ ]+ [^ ]+) \1(?![^ ])")
-    broken = V.has(words, "^[a-z]") & (F.regexp_count(words, F.lit(" [A-Z]")) >= 2)
-    latin = V.has(sentence, r"^\p{Ll}") | repeated | V.has(words, "[a-z]{4,}[A-Z]") | scattered | broken
-    return (sentence != "") & ~V.has(sentence, OCR_MARKS, ACTIVITY_LABEL, LEADING_CODE) & (letters >= 3) & (letters / F.length(sentence) >= 0.45) & F.when(n > 0, ~latin).otherwise(True)
+    repeated = V.has(words, r"(?i) ([^ ]++ [^ ]++(?: [^ ]++)?) \1(?![^ ])")
+    broken = V.has(words, "^ [a-z]") & (F.regexp_count(words, F.lit(" [A-Z]")) >= 2)
+    latin = V.has(sentence, r"^\p{Ll}") | V.has(words, "(?<=[a-z]{4})[A-Z]") | scattered | broken | repeated
+    enough = lambda k: (k >= 3) & (k / F.length(sentence) >= 0.45)
+    lettered = enough(F.length(words) - 2 * n) | enough(F.length(F.regexp_replace(sentence, r"\P{L}+", "")))
+    return (sentence != "") & lettered & ((marks == 0) | ~V.has(sentence, OCR_MARKS)) & ~V.has(sentence, LEADING_CODE, ACTIVITY_LABEL) & F.when(n > 0, ~latin).otherwise(True)
+
+
+def holds_any(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences as (raw, text: what of it may be quoted, ok: is that readable?). Each step is an array of its own, so nothing is computed twice."""
-    raw = F.transform(F.regexp_extract_all(X.compact(text), F.lit(SENTENCE), F.lit(1)), lambda s: F.trim(s))
-    quoted = F.transform(raw, lambda s: F.struct(s.alias("raw"), quotable(s).alias("text")))
-    worded = F.transform(quoted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), F.array_join(F.regexp_extract_all(s["text"], F.lit(LATIN_WORD), F.lit(1)), " ").alias("words")))
-    letters = lambda s: F.length(F.regexp_replace(s["text"], r"\P{L}+", ""))
-    counted = F.transform(worded, lambda s: F.struct(*(s[c].alias(c) for c in ("raw", "text", "words")), F.regexp_count(s["words"], F.lit(_WORD)).alias("n"), F.regexp_count(s["words"], F.lit(_CAPITALS)).alias("capitals"), letters(s).alias("letters")))
-    return F.transform(counted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), readable(s).alias("ok")))
+def behind_stops(text: Column) -> Column:
+    """A text's parts, each with the stops that end it.
+
+    It is split behind stops, not matched by what isn't one, and by wide stops only where it has some: Java takes long for classes beyond Latin-1.
+    """
+    ends = lambda stops: rf"(?<=[{stops}])(?![{stops}])"
+    parts = F.when(holds_any(text, WIDE_STOPS), F.split(text, ends(ASCII_STOPS + WIDE_STOPS))).otherwise(F.split(text, ends(ASCII_STOPS)))
+    return F.filter(parts, lambda s: (s != "") & ~F.rlike(s, F.lit(f"^[{ASCII_STOPS}{WIDE_STOPS}]")))
+
+
+def marks_of(text: Column) -> Column:
+    """How many marks of bad recognition (none has white space, so the text needn't be compacted); null for null."""
+    return F.when(holds_any(text, OCR_SIGNS), F.regexp_count(text, F.lit(OCR_MARKS))).when(text.isNotNull(), 0)
+
+
+def sentences(text: Column, marks: Column) -> Column:
+    """Sentences as (raw, text: what of it may be quoted, ok: is that readable?). Each step is an array of its own, so nothing is computed twice.
+
+    ``marks`` is ``marks_of`` the text, by which most sentences are known to have none.
+    """
+    raw = F.flatten(F.transform(F.array(X.compact(text)), lambda t: F.transform(behind_stops(t), lambda s: F.trim(s))))
+    quoted = F.transform(raw, lambda s: F.struct(s.alias("raw"), quotable(s, marks).alias("text")))
+    spaced = lambda s: F.rtrim(F.regexp_replace(s, rf"[^A-Za-z]*+{LATIN_WORD}?", " $1"))
+    worded = F.transform(quoted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), spaced(s["text"]).alias("words")))
+    n = lambda w: F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit("")))
+    capitals = lambda w: F.when(F.rlike(w, F.lit(_TWO_CAPITALS)), F.regexp_count(w, F.lit(_CAPITALS))).otherwise(0)
+    counted = F.transform(worded, lambda s: F.struct(*(s[c].alias(c) for c in ("raw", "text", "words")), n(s["words"]).alias("n"), capitals(s["words"]).alias("capitals")))
+    return F.transform(counted, lambda s: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), readable(s, marks).alias("ok")))
 
 
 def displayed(docs: DataFrame, text: Column, excerpt: str = "excerpt", fragments: str = "fragments") -> DataFrame:
-    """``docs`` with the excerpt and the fragments of a text, whose sentences are found once."""
-    made = docs.withColumns({"__text": text, "__sentences": sentences(text)})
-    shown = {excerpt: display_excerpt(F.col("__text"), found=F.col("__sentences")), fragments: display_fragments(F.col("__text"), found=F.col("__sentences"))}
-    return made.withColumns(shown).drop("__text", "__sentences")
+    """``docs`` with the excerpt and the fragments of a text, whose marks and sentences are found once."""
+    made = docs.withColumn("__text", text).withColumn("__marks", marks_of(F.col("__text"))).withColumn("__sentences", sentences(F.col("__text"), F.col("__marks")))
+    found = {"found": F.col("__sentences"), "marks": F.col("__marks")}
+    shown = {excerpt: display_excerpt(F.col("__text"), **found), fragments: display_fragments(F.col("__text"), **found)}
+    return made.withColumns(shown).drop("__text", "__marks", "__sentences")
 
 
-def display_excerpt(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None) -> Column:
+def display_excerpt(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None, marks: Column | None = None) -> Column:
     """The longest run of consecutive readable sentences (the first of the longest), cut at a word; '' where several marks make the order doubtful."""
+    marks = marks_of(text) if marks is None else marks
     state = F.struct(F.lit("").alias("best"), F.lit("").alias("run"), F.lit(0).alias("n"))
     longer = lambda s: F.when(F.length(s["run"]) > F.length(s["best"]), s["run"]).otherwise(s["best"])
     step = lambda s, x: F.when(x["ok"], F.struct(s["best"].alias("best"), F.concat_ws(" ", F.nullif(s["run"], F.lit("")), x["text"]).alias("run"), (s["n"] + 1).alias("n"))).otherwise(F.struct(longer(s).alias("best"), F.lit("").alias("run"), s["n"].alias("n")))
-    found = F.aggregate(sentences(text) if found is None else found, state, step, lambda s: F.struct(longer(s).alias("text"), s["n"].alias("n")))
-    doubtful = F.regexp_count(X.compact(text), F.lit(OCR_MARKS)) >= 2
+    found = F.aggregate(sentences(text, marks) if found is None else found, state, step, lambda s: F.struct(longer(s).alias("text"), s["n"].alias("n")))
+    doubtful = marks >= 2
 
     def cut(f: Column) -> Column:
         head = F.substring(f["text"], 1, limit - 1)
@@ -80,8 +112,9 @@ def display_excerpt(text: Column, limit: int = EXCERPT_CHARS, found: Column | No
     return F.element_at(F.transform(F.array(found), cut), 1)
 
 
-def display_fragments(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None) -> Column:
+def display_fragments(text: Column, limit: int = EXCERPT_CHARS, found: Column | None = None, marks: Column | None = None) -> Column:
     """Up to MAX_FRAGMENTS distinct readable sentences of a text with several marks, skipping those that would exceed the limit in total."""
+    marks = marks_of(text) if marks is None else marks
     state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("total"), F.lit(False).alias("label"))
 
     def step(s: Column, x: Column) -> Column:
@@ -90,8 +123,8 @@ def display_fragments(text: Column, limit: int = EXCERPT_CHARS, found: Column |
         take = ~unit & fits
         return F.struct(F.when(take, F.concat(s["kept"], F.array(c))).otherwise(s["kept"]).alias("kept"), (s["total"] + F.when(take, F.length(c)).otherwise(0)).alias("total"), unit.alias("label"))
 
-    found = F.aggregate(sentences(text) if found is None else found, state, step, lambda s: s["kept"])
-    return F.when(F.regexp_count(X.compact(text), F.lit(OCR_MARKS)) >= 2, found).otherwise(F.array().cast("array<string>"))
+    found = F.aggregate(sentences(text, marks) if found is None else found, state, step, lambda s: s["kept"])
+    return F.when(marks >= 2, found).otherwise(F.array().cast("array<string>"))
 
 
 def cloze_span(quote: Column, answer: Column) -> Column:

@@ -1,5 +1,7 @@
 """Evidence, drafts, outlines, versions and memory on small fixtures, against plain rules and expected values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,13 @@ def test_cloze_finds_the_sentences_once(spark):
     expected = [shown("A ____ is a word here."), None, None, None, shown("____One more word."), None, shown("____ is one word."), shown("Say it, ____, " + "y" * 84 + "."), None]
     assert [r["v"] for r in sorted(found.collect(), key=lambda r: r["i"])] == expected
     assert found._jdf.queryExecution().optimizedPlan().toString().count("[^.!?]+") == 1
+
+
+def test_sentences_are_split_behind_stops_once(spark):
+    texts = ["", "One. Two!? Three", "...One. ", "?！", "这是。那是？ And one. ！end", "No stop", "a.b。。c!?d", None]
+    pattern = re.compile("[^.!?。！？]+(?:[.!?。！？]+|$)")
+    assert values(spark, evidence.behind_stops(F.col("t")), texts) == [None if t is None else pattern.findall(t) for t in texts]
+    docs = spark.createDataFrame([(1, "It's good to one two one two here. It's good to see them here again."), (2, "ABC DEF is good. Here is the wordCase of one. LISTEN and see it here."), (3, "© Here is 这是一个 line. Also one ® it is so good. © Now Its x'Y z here.")], "i int, t string")
+    found = evidence.displayed(docs, F.col("t"))
+    assert [(r["excerpt"], r["fragments"]) for r in found.orderBy("i").collect()] == [("It's good to see them here again.", []), ("ABC DEF is good.", []), ("", ["Here is 这是一个 line.", "Now Its x'Y z here."])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(__text") == 1
