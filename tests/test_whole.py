@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -64,6 +65,40 @@ def test_near_duplicate_links_are_few(spark, monkeypatch):
     assert len(found) == 49
 
 
+def test_every_link_of_different_sets_has_its_row(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(40)]
+    sets = {i: frozenset(rng.sample(base, 36)) for i in range(200)} | {300 + i: frozenset(rng.sample(base, 3 + i % 30)) for i in range(60)} | {400: frozenset(base[:36]), 401: frozenset(base[:36])}
+    least = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    linked = lambda a, b: len(a & b) >= 3 and len(a & b) / len(a | b) >= 0.72
+    true = {(a, b) for s, a in least.items() for t, b in least.items() if a < b and linked(s, t)} | {(least[s], i) for i, s in sets.items() if least[s] != i}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, words array<string>")
+    for size, listed in ((practice.BLOCK_CLASSES, practice.LIST), (50, 10)):
+        monkeypatch.setattr(practice, "BLOCK_CLASSES", size)
+        monkeypatch.setattr(practice, "LIST", listed)
+        found = practice.similar_objectives(frame).collect()
+        assert len(found) == len(true) and {(r["a"], r["b"]) for r in found} == true
+        check_links(found, sets)
+
+
+def test_links_that_span_are_few(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(40)]
+    sets = {i: set(rng.sample(base, 37)) for i in range(60)} | {100 + i: {f"c{i}", f"d{i}", "e"} for i in range(5)}
+    hashed = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, words array<string>").select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("vs"))
+    found = practice.similar_sets(hashed, spanning=True).collect()
+    check_links(found, sets)
+    assert len(found) == 59
+
+
+def test_words_of_texts(spark):
+    texts = ["", None, "one two  Two", "ab-ab9ab", "z" * 9 + " " + "z" * 8 + " " + "z" * 17, "zzzzzzzzz", "é日本ab語cd", "\u212aelvin kelvin", "tail", "head tail", "a b c " * 40]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, text string").coalesce(1)
+    found = {r["id"]: set(r["vs"]) for r in practice.text_word_sets(rows).collect()}
+    words = {i: set(re.findall("[a-z]+", (t or "").lower())) for i, t in enumerate(texts)}
+    assert all(len(found[i]) == len(words[i]) and len(found[i] & found[j]) == len(words[i] & words[j]) for i in words for j in words)
+
+
 def test_sketches_keep_every_link_and_few_others(spark):
     rng = random.Random(5)
     sets = {}
