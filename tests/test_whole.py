@@ -99,6 +99,32 @@ def test_words_of_texts(spark):
     assert all(len(found[i]) == len(words[i]) and len(found[i] & found[j]) == len(words[i] & words[j]) for i in words for j in words)
 
 
+def test_few_pairs_leave_the_lists(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    rare = [word() for _ in range(5)]  # in all sets' prefixes
+    sets = {}
+    for i in range(60):
+        common = [word() for _ in range(150)]
+        sets |= {2 * i: {*rare, *common, *(word() for _ in range(25))}, 2 * i + 1: {*rare, *common, *(word() for _ in range(25))}}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "key long, words array<string>")
+    hashed = frame.select("key", F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("vs"))
+    found = {(r["a"], r["b"]) for r in practice._candidates(hashed, 0.72).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(60)} <= found and len(found) < 200
+
+
+def test_groups_are_the_parts_of_all_pairs(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
+    texts = [" ".join(rng.sample(words[:30], 27)) for _ in range(20)] + [" ".join(rng.sample(words[30:], 12)) for _ in range(20)] + [None, "", "one two", "one two three", "Three, TWO one!", "one two three 4"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = practice_queries.near_duplicate_pairs(spark, str(tmp_path)).collect()
+    sets = {i: set(re.findall("[a-z]+", (t or "").lower())) for i, t in enumerate(texts)}
+    check_links(pairs, sets)
+    found = {r["id"]: r["component"] for r in practice_queries.near_duplicate_groups(spark, str(tmp_path)).collect()}
+    assert found == {i: min(part) for part in parts_of([i for i in sets if len(sets[i]) >= 3], [(r["a"], r["b"]) for r in pairs]) for i in part}
+
+
 def test_sketches_keep_every_link_and_few_others(spark):
     rng = random.Random(5)
     sets = {}
